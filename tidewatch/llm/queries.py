@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import quality
+from tidewatch.llm import byte_bpe, packing, quality, token_counts
 from tidewatch.llm.common import table
 
 
+#: Production parameters: the vocabulary files, and the tokens a document may have.
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKEN_LIMIT = 2048
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCABULARY, TOKEN_LIMIT)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCABULARY)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries():
     return {
+        "op2_token_counts": op2_token_counts,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
 
