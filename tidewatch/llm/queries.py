@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, line_dedup, packing, quality, token_counts
+from tidewatch.llm import byte_bpe, line_dedup, near_dup, packing, quality, token_counts
 from tidewatch.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCABULARY)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
 
@@ -42,6 +46,7 @@ def queries():
         "op1_line_dedup": op1_line_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
