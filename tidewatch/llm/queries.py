@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, line_dedup, near_dup, packing, quality, token_counts
+from tidewatch.llm import byte_bpe, license_scan, line_dedup, media, near_dup, packing, quality, token_counts
 from tidewatch.llm.common import table
 
 
@@ -33,6 +33,17 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = media.media(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height", "media_bits"
+    )
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
 
@@ -47,6 +58,8 @@ def queries():
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op6_media_columns": op6_media_columns,
+        "op8_license_scans": op8_license_scans,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
