@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, license_scan, line_dedup, media, near_dup, packing, quality, token_counts
+from tidewatch.llm import byte_bpe, html_extract, license_scan, line_dedup, media, near_dup, packing, quality, token_counts, url_filter
 from tidewatch.llm.common import table
 
 
@@ -33,6 +33,43 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures; the tables give no day of fetch, so it follows from page_id."""
+    return table(spark, sf_dir, "pages", "page_id", "url").withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(730)).cast("int")))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the captures: hosts are listed, delisted and listed again, their
+    parent domains are listed for two months, and their first path segments are allowed for a year."""
+    day = F.lit("2023-06-01").cast("date")
+    hosts = pages.select(url_filter.url_host(F.col("url")).alias("h"), F.split_part(url_filter.url_path(F.col("url")), F.lit("/"), F.lit(2)).alias("seg")).where("h is not null").distinct()
+    n = F.ascii("h") + 3 * F.length("h")
+    own = hosts.select("h").distinct()
+    parts = [
+        own.select(F.col("h").alias("pattern"), F.date_add(day, n.cast("int") + shift).alias("entry_date"), F.lit(verdict).alias("verdict"))
+        for shift, verdict in ((0, "block"), (150, "none"), (300, "block"), (520, "none"))
+    ]
+    parent = own.select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''").distinct()
+    length = F.length("pattern")
+    parts += [parent.select("pattern", F.date_add(day, shift + 7 * length).alias("entry_date"), F.lit(verdict).alias("verdict")) for shift, verdict in ((400, "block"), (460, "none"))]
+    paths = hosts.where("seg <> ''").select(F.concat("h", F.lit("/"), "seg", F.lit("/")).alias("pattern")).distinct()
+    parts += [paths.select("pattern", F.date_add(day, shift + 2 * length).alias("entry_date"), F.lit(verdict).alias("verdict")) for shift, verdict in ((230, "allow"), (595, "none"))]
+    entries = parts[0]
+    for part in parts[1:]:
+        entries = entries.unionByName(part)
+    return entries
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = captures(spark, sf_dir)
+    judged = url_filter.judge(pages, list_entries(pages))
+    return judged.withColumn("fetched_on", F.col("fetched_on").cast("string")).withColumn("list_since", F.col("list_since").cast("string"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = media.media(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select(
@@ -58,6 +95,8 @@ def queries():
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_html_extraction": op5_html_extraction,
+        "op7_url_filters": op7_url_filters,
         "op6_media_columns": op6_media_columns,
         "op8_license_scans": op8_license_scans,
         "op9_byte_bpe": op9_byte_bpe,
@@ -86,5 +125,92 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP7_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(((page_id % 730) + 730) % 730 AS INTEGER) AS fetched_on,
+    nullif(rtrim(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host,
+    regexp_extract(url, '^[^/?#]*//[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), hosts AS (SELECT DISTINCT host AS h, split_part(path, '/', 2) AS seg FROM captures WHERE host IS NOT NULL),
+own AS (SELECT DISTINCT h FROM hosts),
+parent AS (SELECT DISTINCT regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS pattern FROM own WHERE regexp_extract(h, '([^.]+\.[^.]+)$', 1) <> ''),
+paths AS (SELECT DISTINCT h || '/' || seg || '/' AS pattern FROM hosts WHERE seg <> ''),
+entries AS (
+  SELECT h AS pattern, DATE '2023-06-01' + CAST(ascii(h) + 3 * length(h) + shift AS INTEGER) AS entry_date, verdict
+  FROM own, (VALUES (0, 'block'), (150, 'none'), (300, 'block'), (520, 'none')) v(shift, verdict)
+  UNION ALL
+  SELECT pattern, DATE '2023-06-01' + CAST(shift + 7 * length(pattern) AS INTEGER), verdict
+  FROM parent, (VALUES (400, 'block'), (460, 'none')) v(shift, verdict)
+  UNION ALL
+  SELECT pattern, DATE '2023-06-01' + CAST(shift + 2 * length(pattern) AS INTEGER), verdict
+  FROM paths, (VALUES (230, 'allow'), (595, 'none')) v(shift, verdict)
+), patterns AS (SELECT DISTINCT pattern FROM entries),
+keyed AS (
+  SELECT c.*, p.pattern FROM captures c JOIN patterns p
+  ON c.host = p.pattern OR c.host LIKE '%.' || p.pattern OR (contains(p.pattern, '/') AND starts_with(c.host || c.path, p.pattern))
+), held AS (
+  SELECT k.page_id, k.url, k.fetched_on, k.pattern, e.verdict, e.entry_date
+  FROM keyed k ASOF JOIN entries e ON k.pattern = e.pattern AND k.fetched_on >= e.entry_date
+), best AS (
+  SELECT * FROM held WHERE verdict <> 'none'
+  QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY length(pattern) DESC, pattern DESC) = 1
+)
+SELECT c.page_id, c.url, CAST(c.fetched_on AS VARCHAR) AS fetched_on, c.host, coalesce(b.verdict, 'none') = 'block' AS blocked,
+  b.pattern AS list_pattern, b.verdict AS list_verdict, CAST(b.entry_date AS VARCHAR) AS list_since
+FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND c.url = b.url
+"""
+
+#: Length of the text as in the contract; words, windows and lines by DuckDB's list functions.
+OP10_BASE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 5)
+), rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, generate_series(0, 4) s(k) GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+    - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+  coalesce(cov.n, 0) AS n_repeat_words
+FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id
+"""
+
+
+def _op10_sql() -> str:
+    """The base figures and the distances of op10 in SQL, from the same reference tables."""
+    q = quality
+    text = "coalesce(text, '')"
+
+    def term(p: str, r: float) -> str:
+        m = f"(({p} + {r}) / 2)"
+        return f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + {r} * log2({r} / {m}))"
+
+    def distance(shares: list[str], refs: list[float]) -> str:
+        return "sqrt(greatest((" + " + ".join(term(p, r) for p, r in zip(shares, refs, strict=True)) + ") / 2, 0))"
+
+    classes = [f"length({text}) - length(regexp_replace({text}, '{c.replace(chr(39), chr(39) * 2)}', '', 'g'))" for c in q.CHAR_CLASSES]
+    n = "greatest(b.word_chars, 1)"
+    shares = [f"(c{i}::DOUBLE / {n})" for i in range(len(classes))]
+    shares.append(f"greatest(0, ({n} - {' - '.join(f'c{i}' for i in range(len(classes)))})::DOUBLE / {n})")
+    words = [f"len(list_filter(u.words, lambda x: x = '{w}'))" for w in q.WORD_LIST]
+    total = "greatest(b.n_words, 1)"
+    usual = []
+    for ref in q.COMMON_WORDS.values():
+        seen = [f"(w{q.WORD_LIST.index(w)}::DOUBLE / {total})" for w in ref]
+        usual.append(distance([*seen, f"greatest(0, 1 - ({' + '.join(seen)}))"], [*ref.values(), 1 - sum(ref.values())]))
+    char = [distance(shares, list(r)) for r in q.CHAR_REFERENCES.values()]
+    return f"""
+WITH b AS ({OP10_BASE_SQL}),
+u AS (SELECT doc_id, string_split_regex({text}, '[\\x20\\x09-\\x0D]+') AS words, {', '.join(f'{c} AS c{i}' for i, c in enumerate(classes))} FROM documents),
+v AS (SELECT u.*, {', '.join(f'{w} AS w{i}' for i, w in enumerate(words))} FROM u),
+d AS (SELECT b.*, round(least({', '.join(char)}), 6) AS class_distance, round(least({', '.join(usual)}), 6) AS common_distance FROM b JOIN v ON b.doc_id = v.doc_id),
+f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_SHARE} * n_words AS base_failed FROM d)
+SELECT *, NOT (base_failed OR (word_chars >= {q.MIN_CHARS_FOR_CLASSES} AND class_distance > {q.MAX_CLASS_DISTANCE})
+  OR (n_words >= {q.MIN_WORDS_FOR_COMMON} AND common_distance > {q.MAX_COMMON_DISTANCE})) AS kept FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_url_filters": OP7_SQL, "op10_quality_rules": _op10_sql()}
