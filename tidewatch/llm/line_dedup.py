@@ -57,8 +57,9 @@ def document_keys(docs: DataFrame, min_chars: int, key: str = "doc_id", text: st
     """(doc_id, h1, h2): each different long key of each row once."""
     lines = F.filter(F.split(text_or_empty(text), "\n"), lambda x: _is_long(x, min_chars))
     keys = F.array_distinct(F.transform(lines, line_key))
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.explode(keys).alias("__key"))
-    return out.select("doc_id", F.xxhash64("__key").alias("h1"), F.xxhash64(F.lit(SEED), "__key").alias("h2"))
+    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.explode_outer(keys).alias("__key"))
+    # the outer form and this test in place of a plain explode, whose inferred filter would build the keys twice
+    return out.where("__key is not null").select("doc_id", F.xxhash64("__key").alias("h1"), F.xxhash64(F.lit(SEED), "__key").alias("h2"))
 
 
 class LineRuns:
@@ -187,7 +188,7 @@ def dedup_lines(
     rows = docs.select(
         F.struct(*keep).alias("__kept"), F.col(key).cast("long").alias("__doc"), text_or_empty(text).alias("__text")
     ).withColumn("__row", F.xxhash64("__text"))
-    lines = rows.select("__doc", "__row", F.posexplode(F.split("__text", "\n")).alias("__at", "__line")).where(_is_long(F.col("__line"), min_chars))
+    lines = rows.select("__doc", "__row", F.posexplode_outer(F.split("__text", "\n")).alias("__at", "__line")).where(_is_long(F.col("__line"), min_chars))
     lines = lines.withColumn("__key", line_key(F.col("__line"))).select(
         "__doc", "__row", "__at", F.xxhash64("__key").alias("h1"), F.xxhash64(F.lit(SEED), "__key").alias("h2")
     )

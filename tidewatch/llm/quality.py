@@ -140,6 +140,9 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     odd = ((F.col("word_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.col("common_distance") > MAX_COMMON_DISTANCE)
     )
-    return out.withColumn("base_failed", failed).withColumn("kept", ~(failed | odd)).select(
+    # A filter on the verdict would be pushed down through the projections above, each figure repeated
+    # wherever it is used; a column that does not count as deterministic keeps the filter up here.
+    fence = F.monotonically_increasing_id() >= 0
+    return out.withColumn("base_failed", failed).withColumn("kept", ~(failed | odd) & fence).select(
         "__kept.*", *[c for c in out.columns if c != "__kept"], "base_failed", "kept"
     )
