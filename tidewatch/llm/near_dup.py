@@ -11,9 +11,9 @@ weighted by how often they occur in their text.
 3. Bands of registers put texts into buckets. Within a bucket every text is verified against the
    smallest one, by exact shingles of the whole texts; links give classes (large star, small star).
 4. A bucket that still holds several classes is looked at again: its texts of different classes are
-   compared by their registers, in blocks, and pairs that may be similar enough are verified too. So
+   compared by exact shingles, in blocks of bounded size, and only links that join classes come out. So
    every pair of texts that share a bucket is either in one class or has been compared. Buckets with the
-   same members are looked at once. No step emits the pairs within a class, and none has a cap.
+   same members are looked at once. No step emits the pairs within a group, and none has a cap.
 
 A link needs a similarity of at least 0.8, as probability Jaccard of weighted shingles or as plain
 Jaccard of the sets of shingles. Links go through keyed joins on both sides of which Spark can
@@ -44,7 +44,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 RETRY_SHARE = 0.68
-BLOCK = 256
+BLOCK_CHARS = 4_000_000
 LEADER_SALTS = 1024
 BLOCK_DOCS = 1024
 CACHE_WORDS = 500_000
@@ -140,12 +140,12 @@ def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], li
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t1, t2, sig): text hashes and registers of each row."""
+    """(doc_id, t1, t2, sig, chars): text hashes, registers and length of each row."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("__text"))
 
     def made(batches):
         for batch in batches:
-            t1, t2, sigs = [], [], []
+            t1, t2, sigs, chars = [], [], [], []
             for block in blocks(column_texts(batch, "__text")):
                 for i in range(0, len(block), BLOCK_DOCS):
                     part = block[i : i + BLOCK_DOCS]
@@ -154,9 +154,10 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                         t1.append(int.from_bytes(digest[:8], "little", signed=True))
                         t2.append(int.from_bytes(digest[8:], "little", signed=True))
                     sigs += [row.tobytes() for row in signatures(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "t1", "t2", "sig"])
+                    chars += map(len, part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(chars, pa.int64())], names=["doc_id", "t1", "t2", "sig", "chars"])
 
-    return source.mapInArrow(made, "doc_id long, t1 long, t2 long, sig binary")
+    return source.mapInArrow(made, "doc_id long, t1 long, t2 long, sig binary, chars long")
 
 
 def _banded(texts: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"))
     )
     texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    rows = wanted.join(texts, "id").select("a", "salt", "role", "id", "text")
+    rows = wanted.join(texts.hint("merge"), "id").select("a", "salt", "role", "id", "text")
 
     def checked(batches):
         held, leaders = None, []
@@ -223,38 +224,71 @@ def components(links: DataFrame, purpose: str = "classes") -> DataFrame:
         size = (now["n"], now["h"])
 
 
-def _again(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket and may be similar enough, by registers in blocks."""
-    mixed = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high")
+def _links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Exact links between the texts of a group, (block, id, root, sig, text) each; classes joined on the way
+    are not compared again, so there are fewer links than texts."""
+    parts = [weighted(r[4]) for r in rows]
+    sizes = np.array([len(k) for k, _ in parts])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    vocabulary, tokens = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    lumpy = np.array([w[0] != w[-1] or w.min() != w.max() for _, w in parts])
+    sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
+    block = np.array([r[0] for r in rows])
+    crossing = len(set(block.tolist())) > 1
+    root = np.unique(np.array([r[2] for r in rows], dtype=np.int64), return_inverse=True)[1]
+    out = []
+    held = np.zeros(len(vocabulary), dtype=bool)
+    for x in range(len(rows) - 1):
+        open_to = root[x + 1 :] != root[x]
+        if crossing:  # pairs within one block are compared where that block stands alone
+            open_to &= block[x + 1 :] != block[x]
+        if not open_to.any():
+            continue
+        mine = tokens[starts[x] : starts[x + 1]]
+        held[mine] = True
+        shared = np.add.reduceat(held[tokens[starts[x + 1] :]], starts[x + 1 : -1] - starts[x + 1], dtype=np.int64)
+        held[mine] = False
+        near = shared >= SIMILARITY * (sizes[x] + sizes[x + 1 :] - shared) - 1e-9
+        # weights matter only where a shingle repeats; the registers tell which of these can be alike
+        unsure = np.flatnonzero(open_to & ~near & (lumpy[x] | lumpy[x + 1 :]))
+        if len(unsure):
+            unsure = unsure[(sig[x + 1 + unsure] == sig[x]).mean(axis=1) >= RETRY_SHARE]
+            for y in unsure:
+                near[y] = root[x] != root[x + 1 + y] and probability_jaccard(parts[x], parts[x + 1 + y]) >= SIMILARITY - 1e-9
+        for y in np.flatnonzero(near & open_to) + x + 1:
+            if root[x] != root[y]:
+                root[root == root[y]] = root[x]
+                out.append((min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])))
+    return out
+
+
+def _again(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links between different classes that share a bucket, by exact shingles, in blocks of bounded size."""
+    sized = members.join(texts.select("id", "chars"), "id")
+    mixed = sized.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low <> high")
-    once = stored(mixed.groupBy("n", "who").agg(F.min("bucket").alias("bucket")), "mixed")
-    blocks_of = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = members.join(once.select("bucket", blocks_of.alias("nb")), "bucket").join(texts.select("id", "sig"), "id")
-    mine = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "root", "sig")
+    once = stored(mixed.groupBy("n", "who").agg(F.min_by(F.struct("bucket", "chars"), "bucket").alias("b")).select("b.*"), "mixed")
+    parts = F.greatest(F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)), F.lit(1)).cast("int")
+    rows = members.join(once.select("bucket", parts.alias("nb")), "bucket").join(texts.select("id", "sig"), "id")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "sig")
+    whole = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    rows = rows.join(whole.hint("merge"), "id").select("bucket", "i", "j", "mine", "id", "root", "sig", "text")
 
     def compared(batches):
         def flush(rows):
-            ids = np.array([r[0] for r in rows], dtype=np.int64)
-            roots = np.array([r[1] for r in rows], dtype=np.int64)
-            sig = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
-            out = []
-            for x in range(len(rows) - 1):
-                near = ((sig[x + 1 :] == sig[x]).mean(axis=1) >= RETRY_SHARE) & (roots[x + 1 :] != roots[x])
-                out += [(min(ids[x], y), max(ids[x], y)) for y in ids[x + 1 :][near]]
-            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            found = _links(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         held, group = None, []
         for k, row in _groups(batches, 3):
             if k != held:
-                if group:
+                if len(group) > 1:
                     yield flush(group)
                 held, group = k, []
             group.append(row)
-        if group:
+        if len(group) > 1:
             yield flush(group)
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
@@ -265,7 +299,7 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = (), key: str = "doc_id", te
     """Each row's doc_id (or columns ``keep``), its ``class_id`` (the smallest doc_id of the class) and the
     number of equal texts ``n_equal``; a document is its class's representative if both ids are equal."""
     made = stored(features(docs, key, text), "features")
-    texts = stored(made.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("n_equal")), "texts")
+    texts = stored(made.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("chars").alias("chars"), F.count("*").alias("n_equal")), "texts")
     known = texts.where("id is not null")
     banded = _banded(known)
     # buckets of several texts, with the smallest of each; then its members meet it
@@ -275,8 +309,7 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = (), key: str = "doc_id", te
     links = stored(verify(stars, docs, key, text), "links")
     found = components(links)
     rooted = members.join(found, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    more = stored(_again(rooted, known), "pairs")
-    links = stored(links.unionByName(verify(more, docs, key, text)), "links")
+    links = stored(links.unionByName(_again(rooted, known, docs, key, text)), "links")
     found = components(links)
     whole = stored(texts.join(found, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("class_id"), "n_equal"), "classes")
     return made.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"]).select("doc_id", "class_id", "n_equal")
