@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 from tidewatch.functions.expr import correlation, safe_div
 
 MIN_HISTORY = 60
-SERIES = Window.partitionBy("symbol").orderBy("bar_date")
+
+
+def series():
+    """The order of each symbol's days (a function: windows need a running session)."""
+    return Window.partitionBy("symbol").orderBy("bar_date")
 
 
 def last_rows(n: int):
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def rows_before(n: int):
-    return SERIES.rowsBetween(-n, -1)
+    return series().rowsBetween(-n, -1)
 
 
 def full(value: Column, guard: Column, n: int) -> Column:
@@ -31,8 +35,8 @@ def full(value: Column, guard: Column, n: int) -> Column:
 
 def returns(bars: DataFrame) -> DataFrame:
     """Adds rn, prev_close, ret1d, log_ret and true_range."""
-    prev = F.lag("close").over(SERIES)
-    out = bars.withColumn("rn", F.row_number().over(SERIES)).withColumn("prev_close", prev)
+    prev = F.lag("close").over(series())
+    out = bars.withColumn("rn", F.row_number().over(series())).withColumn("prev_close", prev)
     moved = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close")))
     return out.withColumns({
         "ret1d": safe_div(F.col("close"), F.col("prev_close")) - 1,
@@ -74,8 +78,8 @@ def own_features(bars: DataFrame) -> DataFrame:
 def paired(bars: DataFrame, proxies: DataFrame, on: list[str]) -> DataFrame:
     """Own and proxy closes of days that both have; ``proxies`` holds (on..., bar_date, proxy_close)."""
     out = bars.select("symbol", *[c for c in on if c != "bar_date"], "bar_date", "close").join(proxies, on)
-    own = F.ln(safe_div(F.col("close"), F.lag("close").over(SERIES)))
-    theirs = F.ln(safe_div(F.col("proxy_close"), F.lag("proxy_close").over(SERIES)))
+    own = F.ln(safe_div(F.col("close"), F.lag("close").over(series())))
+    theirs = F.ln(safe_div(F.col("proxy_close"), F.lag("proxy_close").over(series())))
     return out.select("symbol", "bar_date", own.alias("y"), theirs.alias("x"))
 
 
@@ -119,7 +123,7 @@ def features(bars: DataFrame) -> DataFrame:
     out = own.join(regressions(paired(mine, market, ["bar_date"]), "market"), ["symbol", "bar_date"], "left")
     out = out.join(regressions(by_sector, "sector"), ["symbol", "bar_date"], "left")
     out = out.join(correlations(by_sector), ["symbol", "bar_date"], "left")
-    carried = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    carried = series().rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumns({c: F.last(c, ignorenulls=True).over(carried) for c in ("corr20", "corr120")})
 
 

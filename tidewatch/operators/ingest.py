@@ -59,10 +59,10 @@ def validated(bars: DataFrame, today: Column) -> DataFrame:
     """``bars`` with ``problem``: null where accepted.
 
     Whether a bar repeats a date or moves too far depends on the last *accepted* bar, so each series is
-    folded in order. A series is one provider's daily history of one symbol, which bounds the array.
+    folded in order of date, then of its other columns. A series is one provider's daily history of one symbol, which bounds the array.
     """
     rows = bars.withColumn("static", first_problem(today))
-    item = F.struct("bar_date", F.monotonically_increasing_id().alias("nth"), *[c for c in rows.columns if c not in [*KEY, "bar_date"]])
+    item = F.struct("bar_date", *[c for c in rows.columns if c not in [*KEY, "bar_date"]])
     series = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
     empty = F.struct(
         F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.array().cast("array<string>").alias("out")
@@ -72,8 +72,9 @@ def validated(bars: DataFrame, today: Column) -> DataFrame:
         gap = F.datediff(x["bar_date"], acc["day"])
         jump = F.abs(F.try_divide(x["close"], acc["close"]) - 1) > MAX_MOVE
         problem = F.coalesce(
-            x["static"],
+            F.when(x["bar_date"].isNull(), "malformed date"),
             F.when(x["bar_date"] == acc["day"], "duplicate date"),
+            x["static"],
             F.when((gap > 0) & (gap <= MAX_GAP_DAYS) & jump, "implausible move"),
             F.lit(""),
         )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detect, features, score
+from tidewatch.operators import brief, detect, features, ingest, narrative, score, themes
 from tidewatch.plans import oracle
 from tidewatch.sources import market
 
@@ -113,3 +113,327 @@ def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = score.score_days(found(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(s,) for s in SEVERITIES], "severity string")
     return every.join(days, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n_days"))
+
+
+# ---- ingest ------------------------------------------------------------------------------------
+
+
+PROVIDERS = f"""{oracle.BARS}, own AS (SELECT *, (bar_date - DATE '1970-01-01') + length(symbol) AS day FROM bars WHERE kind = 'instrument'),
+given AS (
+  SELECT 'alpha' AS source_id, 1 AS trust_rank, symbol, bar_date, open, high, low, close, volume::DOUBLE AS volume FROM own WHERE day % 31 <> 0
+  UNION ALL
+  SELECT 'beta', 2, symbol, bar_date, round(open * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4), round(high * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4),
+    round(low * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4), round(close * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4), round(volume * (1 + (day % 7) / 10.0::DOUBLE)) FROM own WHERE day % 17 <> 0
+)"""
+_RD = "coalesce(abs({0} - {1}) / nullif(greatest(abs({0}), abs({1})), 0), 0)"
+
+
+def _rd(field: str) -> str:
+    return _RD.format(f"p_{field}", field)
+
+
+RECONCILED = f"""{PROVIDERS}, ranked AS (
+  SELECT *, row_number() OVER o AS nth, first_value(source_id) OVER o AS p_source, {', '.join(f'first_value({c}) OVER o AS p_{c}' for c in ('open', 'high', 'low', 'close', 'volume'))}
+  FROM given WINDOW o AS (PARTITION BY symbol, bar_date ORDER BY trust_rank, source_id)
+), worst AS (
+  SELECT symbol, bar_date, count(*) AS n_sources, max(greatest({', '.join(f'CASE WHEN {_rd(c)} > 0.003 THEN {_rd(c)} END' for c in ('open', 'high', 'low', 'close'))})) AS worst,
+    list_sort(list(DISTINCT source_id)) AS sources FROM ranked GROUP BY symbol, bar_date
+)"""
+
+
+@register("ingest_reconcile", "WITH " + RECONCILED + """
+SELECT r.symbol, CAST(r.bar_date AS VARCHAR) AS bar_date, source_id, round(close, 4) AS close, volume,
+  CASE WHEN n_sources = 1 THEN 0.9 WHEN worst IS NULL THEN 1.0 ELSE greatest(0.5, least(1, round(1 - (worst - 0.003) / (0.1 - 0.003) / 2, 3))) END::DOUBLE AS confidence,
+  worst IS NULL AS confirmed, n_sources, array_to_string(sources, ',') AS sources
+FROM ranked r JOIN worst w ON r.symbol = w.symbol AND r.bar_date = w.bar_date WHERE nth = 1""")
+def ingest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.reconciled(market.provider_bars(spark, sf_dir))
+    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "source_id", F.round("close", 4).alias("close"), "volume", "confidence", "confirmed", "n_sources", F.concat_ws(",", "sources").alias("sources"))
+
+
+@register("ingest_conflicts", "WITH " + RECONCILED + ", long AS (" + " UNION ALL ".join(
+    f"SELECT symbol, bar_date, p_source, source_id, '{c}' AS field, {_rd(c)} AS delta, {0.25 if c == 'volume' else 0.003} AS tol FROM ranked WHERE nth > 1" for c in ("open", "high", "low", "close", "volume")
+) + ") SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, p_source AS primary_source, source_id AS other_source, field, round(delta, 5) AS delta FROM long WHERE delta > tol")
+def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.conflicts(market.provider_bars(spark, sf_dir))
+    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "primary_source", "other_source", "field", F.round("delta", 5).alias("delta"))
+
+
+@register("ingest_gaps_filled", "WITH " + PROVIDERS + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date FROM given GROUP BY symbol, bar_date HAVING min(trust_rank) > 1")
+def ingest_gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.gaps_filled(market.provider_bars(spark, sf_dir)).select("symbol", F.col("bar_date").cast("string").alias("bar_date"))
+
+
+@register("ingest_split_adjust", "WITH " + PROVIDERS + """, f AS (SELECT *, CASE WHEN day(bar_date) = 7 AND month(bar_date) % 6 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS split_factor FROM given WHERE source_id = 'beta'),
+g AS (SELECT *, coalesce(exp(sum(ln(split_factor)) OVER (PARTITION BY symbol, source_id ORDER BY bar_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1) AS fac FROM f)
+SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, round(round(close / fac, 6) + 1e-5, 2) AS close FROM g""")
+def ingest_split_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factor = F.when((F.dayofmonth("bar_date") == 7) & (F.month("bar_date") % 6 == 0), 2.0).otherwise(1.0)
+    out = ingest.split_adjusted(market.provider_bars(spark, sf_dir).where("source_id = 'beta'").withColumn("split_factor", factor))
+    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), F.round(F.col("close") + 1e-5, 2).alias("close"))
+
+
+VALIDATED = "WITH RECURSIVE " + PROVIDERS + """, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS nth FROM given WHERE source_id = 'alpha'
+), fold AS (
+  SELECT symbol, bar_date, close, nth, '' AS problem, bar_date AS day, close AS kept FROM numbered WHERE nth = 1
+  UNION ALL
+  SELECT n.symbol, n.bar_date, n.close, n.nth, p.problem, CASE WHEN p.problem = '' THEN n.bar_date ELSE f.day END, CASE WHEN p.problem = '' THEN n.close ELSE f.kept END
+  FROM fold f JOIN numbered n ON n.symbol = f.symbol AND n.nth = f.nth + 1,
+    LATERAL (SELECT CASE WHEN n.bar_date - f.day BETWEEN 1 AND 4 AND abs(n.close / f.kept - 1) > 0.6 THEN 'implausible move' ELSE '' END AS problem) p
+)"""
+
+
+@register("ingest_validate", VALIDATED + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, nullif(problem, '') AS problem FROM fold")
+def ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = market.provider_bars(spark, sf_dir).where("source_id = 'alpha'")
+    return ingest.validated(bars, F.lit("2030-01-01").cast("date")).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "problem")
+
+
+@register("ingest_dead_letters", VALIDATED + " SELECT symbol, problem, count(*) AS n FROM fold WHERE problem <> '' GROUP BY ALL")
+def ingest_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest_validate(spark, sf_dir).where("problem is not null").groupBy("symbol", "problem").agg(F.count("*").alias("n"))
+
+
+@register("ingest_insert_if_absent", "WITH " + PROVIDERS + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date FROM given WHERE source_id = 'beta' AND (symbol, bar_date) NOT IN (SELECT (symbol, bar_date) FROM given WHERE source_id = 'alpha')")
+def ingest_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = market.provider_bars(spark, sf_dir)
+    out = ingest.insert_if_absent(given.where("source_id = 'beta'"), given.where("source_id = 'alpha'"), ["symbol", "bar_date"])
+    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"))
+
+
+@register("basis_diagnostic", "WITH " + PROVIDERS + """ SELECT a.symbol, count(*) AS n, round(avg(b.close / a.close), 5) AS mean_ratio FROM given a JOIN given b
+ON a.symbol = b.symbol AND a.bar_date = b.bar_date AND a.source_id = 'alpha' AND b.source_id = 'beta' GROUP BY a.symbol""")
+def basis_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = market.provider_bars(spark, sf_dir)
+    a = given.where("source_id = 'alpha'").select("symbol", "bar_date", F.col("close").alias("a"))
+    b = given.where("source_id = 'beta'").select("symbol", "bar_date", F.col("close").alias("b"))
+    return a.join(b, ["symbol", "bar_date"]).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") / F.col("a")), 5).alias("mean_ratio"))
+
+
+# ---- themes ------------------------------------------------------------------------------------
+
+_S = oracle._last(91)
+SERIES = f"""
+own0 AS (SELECT symbol, bar_date, close, row_number() {oracle.W} AS rn, lag(close) {oracle.W} AS pc, lag(bar_date) {oracle.W} AS pd FROM bars WHERE kind = 'instrument'),
+own1 AS (
+  SELECT o.*, ln(o.close / nullif(pc, 0)) AS lr, ln(m1.close / nullif(m0.close, 0)) AS x FROM own0 o
+  LEFT JOIN bars m1 ON m1.kind = 'market' AND m1.bar_date = o.bar_date LEFT JOIN bars m0 ON m0.kind = 'market' AND m0.bar_date = o.pd
+), own2 AS (
+  SELECT *, CASE WHEN x IS NOT NULL THEN lr END AS y FROM own1
+), own3 AS (
+  SELECT *, list_filter(list(CASE WHEN y IS NOT NULL THEN {{'y': y, 'x': x}} END) {_S}, lambda p: p IS NOT NULL) AS pairs, regr_count(y, x) {_S} AS n, regr_sxx(y, x) {_S} AS sxx, regr_sxy(y, x) {_S} AS sxy,
+    regr_avgx(y, x) {_S} AS gx, regr_avgy(y, x) {_S} AS gy, stddev_samp(lr) {oracle._last(20)} AS sd20 FROM own2
+), series91 AS (
+  SELECT symbol, bar_date, close / nullif(pc, 0) - 1 AS ret, coalesce(lr / nullif(sd20, 0), 0) AS move_sigmas, sxy / nullif(sxx, 0) AS beta,
+    list_transform(pairs, lambda p: p.y - (gy + sxy / sxx * (p.x - gx))) AS residuals, sxy / nullif(sxx, 0) * pairs[len(pairs)].x AS explained
+  FROM own3 WHERE rn >= 92 AND n >= 20 AND sxx > 0
+), mem AS (
+  SELECT d.symbol, d.sector, d.bar_date, d.score, s.ret, s.move_sigmas, s.residuals, s.explained, CASE WHEN s.ret < 0 THEN -1 ELSE 1 END AS direction
+  FROM days d JOIN series91 s ON d.symbol = s.symbol AND d.bar_date = s.bar_date WHERE d.severity_rank >= 2 AND d.sector IS NOT NULL AND abs(s.move_sigmas) >= 1
+)"""
+
+
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars = market.bars(spark, sf_dir)
+    return score.score_days(found(spark, sf_dir)), themes.member_series(bars)
+
+
+@register("theme_members", oracle.scores_sql("SELECT symbol, sector, CAST(bar_date AS VARCHAR) AS bar_date, direction, round(score, 1) AS score, round(move_sigmas, 4) AS move_sigmas, round(explained, 4) + 0.0 AS explained, len(residuals) AS n_residuals FROM mem", SERIES))
+def theme_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = themes.members(*_members(spark, sf_dir))
+    return out.select("symbol", "sector", F.col("bar_date").cast("string").alias("bar_date"), "direction", F.round("score", 1).alias("score"), F.round("move_sigmas", 4).alias("move_sigmas"), (F.round("explained", 4) + 0.0).alias("explained"), F.size("residuals").alias("n_residuals"))
+
+
+THEMES = """
+grp AS (SELECT *, count(*) OVER g AS size_of, min(CASE WHEN len(residuals) >= 20 THEN len(residuals) END) OVER g AS shortest FROM mem WINDOW g AS (PARTITION BY bar_date, sector, direction)),
+big AS (SELECT * FROM grp WHERE size_of >= 3),
+pr AS (
+  SELECT a.bar_date, a.sector, a.direction, a.symbol, b.symbol AS other, unnest(a.residuals[-a.shortest:]) AS ra, unnest(b.residuals[-a.shortest:]) AS rb
+  FROM big a JOIN big b ON a.bar_date = b.bar_date AND a.sector = b.sector AND a.direction = b.direction AND a.symbol < b.symbol WHERE len(a.residuals) >= 20 AND len(b.residuals) >= 20
+), prc AS (
+  SELECT bar_date, sector, direction, symbol, other, regr_sxy(ra, rb) / nullif(sqrt(regr_sxx(ra, rb) * regr_syy(ra, rb)), 0) AS r FROM pr GROUP BY ALL
+), coh AS (SELECT bar_date, sector, direction, avg(r) AS mean_r FROM prc GROUP BY ALL),
+th0 AS (
+  SELECT bar_date, sector, direction, count(*) AS n_members, avg(abs(ret)) AS mean_ret, avg(abs(explained)) AS mean_explained, string_agg(symbol, ',' ORDER BY score DESC, symbol) AS members FROM big GROUP BY ALL
+), th1 AS (
+  SELECT t.*, coalesce(greatest(0, least(1, mean_r)), 0) AS coh, least(1, n_members / 5.0) AS sz, greatest(0, least(1, 1 - CASE WHEN mean_ret > 1e-9 THEN mean_explained / mean_ret ELSE 1 END)) AS dis
+  FROM th0 t LEFT JOIN coh c ON t.bar_date = c.bar_date AND t.sector = c.sector AND t.direction = c.direction
+), themes AS (
+  SELECT bar_date, sector, direction, n_members, members, floor(coh * 1000 + 0.5) / 1000 AS cohesion, 1.0::DOUBLE AS timing, floor(sz * 1000 + 0.5) / 1000 AS size, floor(dis * 1000 + 0.5) / 1000 AS distinctness,
+    floor(100 * (0.35 * coh + 0.2 + 0.2 * sz + 0.25 * dis)::DOUBLE * 10 + 0.5) / 10 AS confidence FROM th1
+)"""
+
+
+@register("themes", oracle.scores_sql("SELECT CAST(bar_date AS VARCHAR) AS bar_date, sector, direction, n_members, members, cohesion, size::DOUBLE AS size, distinctness, confidence FROM themes WHERE distinctness >= 0.35 AND confidence >= 45", SERIES, THEMES))
+def themes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return themes.themes(*_members(spark, sf_dir)).withColumn("bar_date", F.col("bar_date").cast("string")).drop("timing")
+
+
+# ---- briefs ------------------------------------------------------------------------------------
+
+NOW = "1998-12-31"
+INTENTS = ["CONSIDERING_BUY", "HOLDING", "THEMATIC", "HEDGE", "NONE"]
+
+
+def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watched names of every customer: the own nation and two neighbours; intent by market segment."""
+    customers = market.read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    names = market.instruments(spark, sf_dir).select("n_nationkey", "symbol")
+    rows = customers.select(F.col("c_custkey").alias("user_id"), F.explode(F.array(*[(F.col("c_nationkey") + k) % 25 for k in (0, 1, 2)])).alias("n_nationkey"))
+    intent = F.get(F.array(*[F.lit(i) for i in INTENTS]), (F.col("user_id") % 5).cast("int"))
+    priority = F.get(F.array(F.lit("HIGH"), F.lit("NORMAL"), F.lit("LOW")), (F.col("user_id") % 3).cast("int"))
+    cursor = F.date_sub(F.lit(NOW).cast("date"), (F.lit(5) + (F.col("user_id") + F.col("n_nationkey")) % 26).cast("int"))
+    return rows.join(names, "n_nationkey").select("user_id", "symbol", intent.alias("intent"), priority.alias("priority"), cursor.alias("last_seen"))
+
+
+READERS = f"""
+readers AS (
+  SELECT c_custkey AS user_id, n.n_name AS symbol, {INTENTS!r}[(c_custkey % 5) + 1] AS intent, ['HIGH', 'NORMAL', 'LOW'][(c_custkey % 3) + 1] AS priority,
+    DATE '{NOW}' - CAST(5 + (c_custkey + n.n_nationkey) % 26 AS INTEGER) AS last_seen
+  FROM customer c, (VALUES (0), (1), (2)) k(k) JOIN nation n ON n.n_nationkey = (c.c_nationkey + k.k) % 25
+)"""
+
+
+@register("window_stats", "WITH " + oracle.BARS + "," + READERS + f""",
+w0 AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back FROM bars WHERE kind = 'instrument' AND bar_date <= DATE '{NOW}'),
+w1 AS (SELECT *, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bar_date), 0)) AS r, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS idx FROM w0 WHERE back <= 40),
+w2 AS (SELECT symbol, coalesce(stddev_samp(r), 0) AS sigma, count(*) AS n, list(close ORDER BY bar_date) AS closes, list(bar_date ORDER BY bar_date) AS days FROM w1 GROUP BY symbol),
+w3 AS (SELECT u.user_id, u.symbol, w.*, len(list_filter(days, lambda d: d < u.last_seen)) AS k FROM readers u JOIN w2 w ON u.symbol = w.symbol),
+w4 AS (SELECT *, greatest(0, least(CASE WHEN k >= n THEN n - 2 WHEN k > 0 THEN k - 1 ELSE 0 END, n - 2)) AS base FROM w3)
+SELECT user_id, symbol, round(closes[n] / closes[base + 1] - 1, 5) + 0.0 AS return_pct, round(ln(closes[n] / closes[base + 1]) / nullif(sigma * sqrt(greatest(1, n - 1 - base)), 0), 5) + 0.0 AS sigmas, closes[n] AS last_close FROM w4""")
+def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = market.bars(spark, sf_dir).where(F.col("kind") == "instrument").where(F.col("bar_date") <= F.lit(NOW).cast("date"))
+    return rounded(brief.window_stats(bars, readers(spark, sf_dir)), 5, "return_pct", "sigmas")
+
+
+def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = score.score_events(found(spark, sf_dir)).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
+    watch = readers(spark, sf_dir)
+    states = watch.join(events.select("symbol", "fingerprint", "position", "bar_date"), "symbol").where((F.col("user_id") + F.dayofmonth("bar_date") + F.col("position")) % 4 == 0)
+    seen = F.when(F.col("position") % 2 == 0, "SEEN").otherwise("SNOOZED")
+    until = F.date_add(F.lit(NOW).cast("date"), F.when(F.col("user_id") % 2 == 0, 2).otherwise(-2))
+    states = states.where(F.col("bar_date") > F.date_sub(F.lit(NOW).cast("date"), 40)).select("user_id", "fingerprint", seen.alias("status"), until.alias("until")).distinct()
+    return brief.visible(events, watch, states, F.lit(NOW).cast("date"))
+
+
+def _tilt(family: str) -> str:
+    cases = " ".join(f"WHEN '{i}' THEN {oracle.WEIGHTS[family] * t[family]!r}" for i, t in score.INTENT_TILT.items() if family in t)
+    return f"(CASE intent {cases} ELSE {oracle.WEIGHTS[family]} END)" if cases else str(oracle.WEIGHTS[family])
+
+
+BRIEF = READERS + f""",
+shown AS (
+  SELECT e.*, r.user_id, r.intent, r.priority FROM events_scored e JOIN (SELECT *, min(last_seen) OVER (PARTITION BY user_id) AS cursor FROM readers) r ON e.symbol = r.symbol
+  WHERE e.severity_rank > 0 AND e.bar_date > r.cursor AND e.bar_date <= DATE '{NOW}'
+    AND NOT ((r.user_id + day(e.bar_date) + e.position) % 4 = 0 AND e.bar_date > DATE '{NOW}' - 40 AND (e.position % 2 = 0 OR r.user_id % 2 = 0))
+), itm AS (
+  SELECT user_id, symbol, intent, priority, bool_or(detector = 'earnings_upcoming') AS has_catalyst, bool_or(detector = 'sector_divergence') AS idiosyncratic,
+    min(confidence) AS confidence, bool_and(is_confirmed) AS is_confirmed, count(*) AS n_events, {', '.join(f"max(CASE WHEN family = '{f}' THEN abs(strength) END) AS s_{f}" for f in oracle.WEIGHTS)}
+  FROM shown GROUP BY user_id, symbol, intent, priority
+), {oracle.score_sql('itm', 'its', {f: _tilt(f) for f in oracle.WEIGHTS}, extra="CASE priority WHEN 'HIGH' THEN 1.3 WHEN 'LOW' THEN 0.7 ELSE 1 END")},
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, symbol) AS place FROM its WHERE severity_rank >= 2)"""
+
+
+@register("brief_items", oracle.scores_sql("SELECT user_id, symbol, n_events, round(score, 1) AS score, severity_rank FROM its", BRIEF))
+def brief_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief.items(_visible(spark, sf_dir)).select("user_id", "symbol", "n_events", F.round("score", 1).alias("score"), "severity_rank")
+
+
+@register("brief_top", oracle.scores_sql("SELECT user_id, place, symbol, round(score, 1) AS score FROM rk WHERE place <= 2", BRIEF))
+def brief_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top-k report of every reader."""
+    out = brief.ranked(brief.items(_visible(spark, sf_dir)), budget=2).where("shown")
+    return out.select("user_id", "place", "symbol", F.round("score", 1).alias("score"))
+
+
+@register("brief_accounting", oracle.scores_sql("""SELECT w.user_id, w.n_watched, coalesce(s.n, 0) AS n_surfaced, least(coalesce(s.n, 0), 2) AS n_shown, w.n_watched - coalesce(s.n, 0) AS n_normal,
+  CASE WHEN w.n_watched = 0 THEN 'empty_watchlist' WHEN coalesce(s.n, 0) = 0 THEN 'quiet' WHEN s.n = 1 THEN 'isolated' ELSE 'scattered' END AS rule
+FROM (SELECT user_id, count(*) AS n_watched FROM readers GROUP BY user_id) w LEFT JOIN (SELECT user_id, count(*) AS n FROM rk GROUP BY user_id) s ON w.user_id = s.user_id""", BRIEF))
+def brief_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    surfaced = brief.ranked(brief.items(_visible(spark, sf_dir)), budget=2).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("shown").alias("k"))
+    watched = readers(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_watched"))
+    none = F.lit(None)
+    out = watched.join(surfaced, "user_id", "left").withColumns({"n_surfaced": F.coalesce("n", F.lit(0)), "n_shown": F.coalesce("k", F.lit(0))})
+    rule = narrative.rule(F.col("n_surfaced"), F.lit(0), F.lit(0), F.lit(0), none.cast("int"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("n_watched"))
+    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", (F.col("n_watched") - F.col("n_surfaced")).alias("n_normal"), rule.alias("rule"))
+
+
+@register("state_mark_seen", f"""WITH {READERS.strip()}, seen AS (SELECT user_id, symbol, max(last_seen + 7) AS seen_at FROM readers WHERE user_id % 2 = 0 GROUP BY ALL)
+SELECT r.user_id, r.symbol, CAST(greatest(r.last_seen, s.seen_at) AS VARCHAR) AS last_seen, CASE WHEN s.seen_at > r.last_seen THEN 1 ELSE 0 END AS version FROM readers r LEFT JOIN seen s ON r.user_id = s.user_id AND r.symbol = s.symbol""")
+def state_mark_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cursors = readers(spark, sf_dir).select("user_id", "symbol", "last_seen", F.lit(0).alias("version"))
+    seen = readers(spark, sf_dir).where("user_id % 2 = 0").select("user_id", "symbol", F.date_add("last_seen", 7).alias("seen_at"))
+    return brief.mark_seen(cursors, seen).withColumn("last_seen", F.col("last_seen").cast("string"))
+
+
+@register("state_ensure_cursors", f"WITH {READERS.strip()} SELECT user_id, symbol, CASE WHEN user_id % 3 = 0 THEN '{NOW}' ELSE CAST(last_seen AS VARCHAR) END AS last_seen FROM readers")
+def state_ensure_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    watch = readers(spark, sf_dir)
+    cursors = watch.where("user_id % 3 <> 0").select("user_id", "symbol", "last_seen", F.lit(0).alias("version"))
+    return brief.ensure_cursors(cursors, watch, F.lit(NOW).cast("date")).select("user_id", "symbol", F.col("last_seen").cast("string").alias("last_seen"))
+
+
+# ---- calibration, replay and operations ---------------------------------------------------------
+
+
+@register("calibration_detectors", oracle.scores_sql("""SELECT e.detector, count(*) AS fired, count(*) FILTER (d.severity_rank >= 2) AS on_surfaced_day
+FROM events_scored e JOIN days d ON e.symbol = d.symbol AND e.bar_date = d.bar_date GROUP BY e.detector"""))
+def calibration_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = found(spark, sf_dir)
+    days = score.score_days(events).select("symbol", "bar_date", F.col("severity_rank").alias("day_rank"))
+    return events.join(days, ["symbol", "bar_date"]).groupBy("detector").agg(F.count("*").alias("fired"), F.count_if(F.col("day_rank") >= 2).alias("on_surfaced_day"))
+
+
+@register("calibration_rate", oracle.scores_sql("""SELECT symbol, count(*) FILTER (severity_rank >= 2) AS surfaced, round(count(*) FILTER (severity_rank >= 2) / ((max(bar_date) - min(bar_date) + 1) / 30.44), 4) AS per_month FROM days GROUP BY symbol"""))
+def calibration_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = score.score_days(found(spark, sf_dir))
+    months = (F.datediff(F.max("bar_date"), F.min("bar_date")) + 1) / 30.44
+    n = F.count_if(F.col("severity_rank") >= 2)
+    return days.groupBy("symbol").agg(n.alias("surfaced"), F.round(n / months, 4).alias("per_month"))
+
+
+@register("calibration_follow_through", oracle.scores_sql("""SELECT surfaced, count(*) AS n, count(*) FILTER (moved) AS n_moved, round(avg(moved::INT), 6) AS share FROM (
+  SELECT coalesce(d.severity_rank >= 2, false) AS surfaced, abs(ln(f.nxt / nullif(f.close, 0))) / nullif(f.sigma20 * sqrt(3), 0) >= 1.5 AS moved
+  FROM (SELECT *, lead(close, 3) OVER (PARTITION BY symbol ORDER BY bar_date) AS nxt FROM feats) f LEFT JOIN days d ON f.symbol = d.symbol AND f.bar_date = d.bar_date
+  WHERE f.rn >= 60 AND f.nxt IS NOT NULL AND f.sigma20 > 0) GROUP BY surfaced"""))
+def calibration_follow_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = market.bars(spark, sf_dir).where("kind = 'instrument'")
+    own = features.own_features(bars).withColumn("nxt", F.lead("close", 3).over(features.series()))
+    own = own.where("rn >= 60 and nxt is not null and sigma20 > 0").select("symbol", "bar_date", "close", "nxt", "sigma20")
+    days = score.score_days(found(spark, sf_dir)).select("symbol", "bar_date", "severity_rank")
+    moved = F.abs(F.ln(F.col("nxt") / F.col("close"))) / (F.col("sigma20") * F.sqrt(F.lit(3.0))) >= 1.5
+    rows = own.join(days, ["symbol", "bar_date"], "left").select(F.coalesce(F.col("severity_rank") >= 2, F.lit(False)).alias("surfaced"), moved.alias("moved"))
+    return rows.groupBy("surfaced").agg(F.count("*").alias("n"), F.count_if("moved").alias("n_moved"), F.round(F.avg(F.col("moved").cast("int")), 6).alias("share"))
+
+
+@register("replay_top", oracle.scores_sql("""SELECT CAST(bar_date AS VARCHAR) AS bar_date, symbol, place FROM (
+  SELECT bar_date, symbol, row_number() OVER (PARTITION BY bar_date ORDER BY floor(raw_score * 10 + 0.5) DESC, symbol) AS place FROM days WHERE severity_rank >= 2) WHERE place <= 5"""))
+def replay_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five strongest names of every replayed day."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("bar_date").orderBy(F.floor(F.col("raw_score") * 10 + 0.5).desc(), "symbol")
+    days = score.score_days(found(spark, sf_dir)).where("severity_rank >= 2").withColumn("place", F.row_number().over(order))
+    return days.where("place <= 5").select(F.col("bar_date").cast("string").alias("bar_date"), "symbol", "place")
+
+
+@register("ops_health", "WITH " + RECONCILED + """ SELECT count(*) AS n_bars, count(*) FILTER (worst IS NOT NULL) AS n_unconfirmed, count(*) FILTER (n_sources = 1) AS n_single_source FROM worst""")
+def ops_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = ingest.reconciled(market.provider_bars(spark, sf_dir))
+    return bars.agg(F.count("*").alias("n_bars"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"), F.count_if(F.col("n_sources") == 1).alias("n_single_source"))
+
+
+@register("ops_freshness", "SELECT event_type AS source_id, CAST(max(CAST(ts AS TIMESTAMP)) AS DATE)::VARCHAR AS last_success, count(*) AS n FROM events GROUP BY event_type")
+def ops_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = market.read(spark, sf_dir, "events", "ts", "event_type")
+    return events.groupBy(F.col("event_type").alias("source_id")).agg(F.to_date(F.max("ts")).cast("string").alias("last_success"), F.count("*").alias("n"))
+
+
+@register("debounce_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT user_id, count(*) AS n, CAST(min(ts) AS VARCHAR)[1:19] AS start FROM s GROUP BY user_id, burst""")
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = market.read(spark, sf_dir, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    return out.select("user_id", "n", F.date_format(F.col("session_window.start"), "yyyy-MM-dd HH:mm:ss").alias("start"))

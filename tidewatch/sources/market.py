@@ -59,10 +59,10 @@ def provider_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bars(spark, sf_dir).where("kind = 'instrument'").select("symbol", "bar_date", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
     day = F.datediff("bar_date", F.lit("1970-01-01")) + F.length("symbol")
     first = own.where(day % 31 != 0).select(F.lit("alpha").alias("source_id"), F.lit(1).alias("trust_rank"), "*")
-    by = 1 + (day % 11 - 5) / 1000.0
+    by = 1 + (day % 11 - 5) / 990.0
     second = own.where(day % 17 != 0).select(
         F.lit("beta").alias("source_id"), F.lit(2).alias("trust_rank"), "symbol", "bar_date",
-        *[F.round(F.col(c) * by, 4).alias(c) for c in ("open", "high", "low", "close")],
+        *[F.round(F.col(c) * by + 1e-7, 4).alias(c) for c in ("open", "high", "low", "close")],
         F.round(F.col("volume") * (1 + (day % 7) / 10.0)).alias("volume"),
     )
     return first.unionByName(second)
