@@ -262,6 +262,18 @@ def test_quality_by_brute_force(docs):
         assert r.base_failed == (len(words) < 10 or 100 * len(repeated) > 20 * len(words))
 
 
+def test_common_words_decide_long_texts(spark):
+    rng = random.Random(4)
+    rare = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(7)) for _ in range(2000)]
+    usual = ["the", "of", "and", "to", "in", "is", "for", "with", "this"]
+    prose = [rng.choice(usual) if rng.random() < 0.1 else rng.choice(rare) for _ in range(400)]
+    texts = {1: prose, 2: rng.choices(rare, k=400), 3: rng.choices(rare, k=150), 4: rng.choices(usual, k=400)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = by_id(quality.judge(docs))
+    assert {i: got[i].kept for i in (1, 2, 3, 4)} == {1: True, 2: False, 3: True, 4: False}
+    assert not any(got[i].base_failed for i in (1, 2, 3))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
