@@ -150,3 +150,66 @@ def test_stream_once_and_cursors(spark, tmp_path):
     moved = feeds.drain(feeds.cursor_updates(stream), "cursor_out", str(tmp_path / "c2"), "update")
     last = moved.groupBy("user_id").agg(F.max("version").alias("v")).collect()
     assert sorted((r.user_id, r.v) for r in last) == [(0, 1), (1, 1), (2, 1)]
+
+
+def accounting_tables():
+    """Readers of ten names in two sectors, with themes, a moving market and events of every kind."""
+    rng = random.Random(7)
+    now = dt.date(2024, 3, 31)
+    names = [(f"N{i}", "AB"[i % 2]) for i in range(10)]
+    days = [now - dt.timedelta(days=k) for k in range(59, -1, -1)]
+    bars = []
+    for symbol, kind in [*((s, "instrument") for s, _ in names), ("MARKET", "market")]:
+        price = 100.0
+        for i, day in enumerate(days):
+            # the market climbs until a week before the end and falls from then on
+            price *= math.exp(rng.gauss(0, 0.01) + (0.006 if i < 53 else -0.02) * (1 if kind == "market" else rng.choice([-1, 1.5])))
+            bars.append((symbol, kind, day, round(price, 4)))
+    recent = [now - dt.timedelta(days=k) for k in (1, 4, 9)]
+    themes = [(recent[0], "A", 1, 70.0), (recent[1], "A", -1, 60.0), (recent[1], "B", -1, 80.0), (recent[2], "B", 1, 80.0)]
+    links = [(s, day, sector, way, c) for day, sector, way, c in themes for s, x in names if x == sector and rng.random() < 0.8]
+    watch, shown = [], []
+    for user in range(400):
+        since = rng.choice([2, 5, 8, 12, 25, 40])
+        mine = rng.sample(names, rng.choice([3, 5, 7]))
+        if user % 4 == 0:
+            mine = [n for n in names if n[1] == "AB"[user % 8 // 4]]
+        for symbol, sector in mine:
+            watch.append((user, symbol, now - dt.timedelta(days=since + rng.randrange(3))))
+            for day in [*recent, now] if user % 3 else [now, recent[user % 2]]:
+                if rng.random() < 0.45:
+                    shown.append((user, symbol, sector, "NONE", "NORMAL", "range_break", "price", rng.choice([0.2, 0.99]), day))
+    return watch, shown, links, bars
+
+
+def test_accounting_tells_every_story(spark):
+    """Every rule of the narrative comes out, the same as from SQL; with a budget of 2 no three items can be shown."""
+    from tidewatch.plans.queries import ACCOUNTING, accounting_facts
+
+    watch, shown, links, bars = accounting_tables()
+    context = {"confidence": 1.0, "is_confirmed": True, "score": 50.0, "position": 3, "resid_market": 0.0, "resid_std_market": 1.0}
+    events = spark.createDataFrame(shown, "user_id long, symbol string, sector string, intent string, priority string, detector string, family string, strength double, bar_date date")
+    tables = {
+        "readers": spark.createDataFrame(watch, "user_id long, symbol string, last_seen date"),
+        "shown": events.withColumns({k: F.lit(v) for k, v in context.items()}),
+        "links": spark.createDataFrame(links, "symbol string, bar_date date, sector string, direction int, confidence double"),
+        "bars": spark.createDataFrame(bars, "symbol string, kind string, bar_date date, close double"),
+    }
+    items = brief.items(tables["shown"])
+    con = duckdb.connect()
+    con.sql("create table nation as select 'N' || i as n_name, i % 2 as n_regionkey from range(10) t(i)")
+    con.sql("create table region as select * from (values (0, 'A'), (1, 'B')) t(r_regionkey, r_name)")
+    for name, rows in {**tables, "its": items.select("user_id", "symbol"), "rk": brief.ranked(items).select("user_id", "symbol", "place")}.items():
+        frame = rows.toPandas()  # noqa: F841
+        con.sql(f"create table {name} as select * replace ({', '.join(f'{c}::date as {c}' for c in rows.columns if c in ('bar_date', 'last_seen')) or 'user_id as user_id'}) from frame")
+    con.sql("create table mem as select symbol, bar_date, sector, direction from links")
+    con.sql("create table themes as select distinct bar_date, sector, direction, confidence, 1.0 as distinctness from links")
+    seen = {}
+    for budget in (2, 5):
+        out = brief.accounting(tables["readers"], tables["shown"], tables["links"], tables["bars"], budget)
+        seen[budget] = {(r.user_id, r.rule) for r in out.select("user_id", "rule").collect()}
+        sql = "WITH " + accounting_facts(budget).replace("1998-12-31", "2024-03-31") + ACCOUNTING
+        assert seen[budget] == {(u, r) for u, r in con.sql(f"select user_id, rule from ({sql})").fetchall()}
+    every = {"quiet", "sector_rotation", "sector_specific", "theme_led_market", "broad_market", "single_theme", "isolated", "scattered"}
+    assert {r for _, r in seen[5]} == every
+    assert {r for _, r in seen[2]} == every - {"sector_specific"}

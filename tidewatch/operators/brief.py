@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import safe_div, severity_name
+from tidewatch.operators import narrative
 from tidewatch.operators.score import FAMILIES, scored
 
 DEFAULT_BUDGET = 5
@@ -27,7 +28,7 @@ def items(shown: DataFrame) -> DataFrame:
     rows = shown.groupBy("user_id", "symbol", "intent", "priority").agg(
         F.bool_or(F.col("detector") == "earnings_upcoming").alias("has_catalyst"), F.bool_or(F.col("detector") == "sector_divergence").alias("idiosyncratic"),
         F.min("confidence").alias("confidence"), F.bool_and("is_confirmed").alias("is_confirmed"), F.count("*").alias("n_events"),
-        F.max(F.abs(z)).alias("__z"), F.max_by("detector", F.struct("score", -F.col("position"), "bar_date")).alias("lead_detector"),
+        F.max("sector").alias("sector"), F.max(F.abs(z)).alias("__z"), F.max_by("detector", F.struct("score", -F.col("position"), "bar_date")).alias("lead_detector"),
         *[F.max(F.when(F.col("family") == f, F.abs("strength"))).alias(f"s_{f}") for f in FAMILIES],
     )
     out = scored(rows.drop("__z"), intent=F.col("intent"), priority=F.col("priority"))
@@ -66,6 +67,37 @@ def window_stats(bars: DataFrame, cursors: DataFrame) -> DataFrame:
     )
 
 
+def accounting(watch: DataFrame, shown: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """One row for each reader: how many names are watched, surfaced and shown, and the rule of the narrative.
+
+    ``shown`` holds the visible events, ``links`` the theme of each member and day, ``bars`` the closes up to now of
+    instruments and market. The first theme is the most confident one that a visible event belongs to, then the
+    latest. A name counts for the breadth if it has visible events and rose by more than one sigma since its own
+    cursor; the market's window starts at the reader's oldest cursor. A window without figures counts as no move.
+    """
+    scored_items = items(shown)
+    placed = ranked(scored_items, budget)
+    first = F.min(F.struct((-F.col("confidence")).alias("c"), F.datediff(F.lit("1970-01-01"), "bar_date").alias("d"), "sector", "direction"))
+    reached = shown.select("user_id", "symbol", "bar_date").join(links, ["symbol", "bar_date"]).drop("symbol").distinct()
+    reached = reached.groupBy("user_id").agg(F.count_if(F.col("direction") == 1).alias("up"), F.count_if(F.col("direction") == -1).alias("down"), first.alias("theme"))
+    top = placed.join(reached.select("user_id", "theme.sector"), ["user_id", "sector"], "left_semi").where("shown and place <= 5").groupBy("user_id").agg(F.count("*").alias("top_share"))
+    surfaced = placed.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("shown").alias("k"))
+    stats = window_stats(bars.where("kind = 'instrument'"), watch)
+    moved = stats.where("sigmas > 1").join(scored_items.select("user_id", "symbol"), ["user_id", "symbol"], "left_semi").groupBy("user_id").agg(F.count("*").alias("moved"))
+    benchmark = bars.where("kind = 'market'")
+    readers = watch.groupBy("user_id").agg(F.count("*").alias("n_watched"), F.min("last_seen").alias("last_seen"))
+    market = window_stats(benchmark, readers.join(benchmark.select("symbol").distinct(), how="cross")).select("user_id", "return_pct", "sigmas")
+    out = readers.join(surfaced, "user_id", "left").join(reached, "user_id", "left").join(top, "user_id", "left").join(moved, "user_id", "left").join(market, "user_id", "left")
+    out = out.withColumns({"n_surfaced": F.coalesce("n", F.lit(0)), "n_shown": F.coalesce("k", F.lit(0))})
+    count = {c: F.coalesce(c, F.lit(0)) for c in ("up", "down", "top_share", "moved")}
+    move = {c: F.coalesce(c, F.lit(0.0)) for c in ("sigmas", "return_pct")}
+    rule = narrative.rule(
+        F.col("n_surfaced"), count["up"], count["down"], count["top_share"], F.col("theme.direction"), move["sigmas"], move["return_pct"],
+        count["moved"] / F.col("n_watched"), F.col("n_watched"),
+    )
+    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", rule.alias("rule"))
+
+
 def mark_seen(cursors: DataFrame, seen: DataFrame) -> DataFrame:
     """Cursors after readers have seen names up to a time: they only move forward, and count versions."""
     latest = seen.groupBy("user_id", "symbol").agg(F.max("seen_at").alias("seen_at"))

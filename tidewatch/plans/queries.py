@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import brief, detect, features, ingest, narrative, score, themes
+from tidewatch.llm.common import stored
+from tidewatch.operators import brief, detect, features, ingest, score, themes
 from tidewatch.plans import oracle
 from tidewatch.sources import market
 
@@ -234,9 +235,9 @@ own1 AS (
 )"""
 
 
-def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _members(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     bars = market.bars(spark, sf_dir)
-    return score.score_days(found(spark, sf_dir)), themes.member_series(bars)
+    return score.score_days(found(spark, sf_dir) if cands is None else cands), themes.member_series(bars)
 
 
 @register("theme_members", oracle.scores_sql("SELECT symbol, sector, CAST(bar_date AS VARCHAR) AS bar_date, direction, round(score, 1) AS score, round(move_sigmas, 4) AS move_sigmas, round(explained, 4) + 0.0 AS explained, len(residuals) AS n_residuals FROM mem", SERIES))
@@ -314,8 +315,8 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(brief.window_stats(bars, readers(spark, sf_dir)), 5, "return_pct", "sigmas")
 
 
-def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = score.score_events(found(spark, sf_dir)).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
+def _visible(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> DataFrame:
+    events = score.score_events(found(spark, sf_dir) if cands is None else cands).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
     watch = readers(spark, sf_dir)
     states = watch.join(events.select("symbol", "fingerprint", "position", "bar_date"), "symbol").where((F.col("user_id") + F.dayofmonth("bar_date") + F.col("position")) % 4 == 0)
     seen = F.when(F.col("position") % 2 == 0, "SEEN").otherwise("SNOOZED")
@@ -354,16 +355,69 @@ def brief_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "place", "symbol", F.round("score", 1).alias("score"))
 
 
+BUDGET = 2
+
+
+# all nine rules, written from the reference; not registered, since the registered SQL stays as it is
+def accounting_facts(budget: int) -> str:
+    """Subqueries up to ``facts``: what the rules need of each reader."""
+    return f"""
+member_theme AS (
+  SELECT m.symbol, m.bar_date, t.sector, t.direction, t.confidence FROM mem m JOIN themes t ON m.bar_date = t.bar_date AND m.sector = t.sector AND m.direction = t.direction
+  WHERE t.distinctness >= 0.35 AND t.confidence >= 45
+), reached AS (
+  SELECT DISTINCT e.user_id, t.bar_date, t.sector, t.direction, t.confidence FROM shown e JOIN member_theme t ON e.symbol = t.symbol AND e.bar_date = t.bar_date
+), story AS (
+  SELECT user_id, count(*) FILTER (direction = 1) AS up, count(*) FILTER (direction = -1) AS down,
+    first(sector ORDER BY confidence DESC, bar_date DESC, sector, direction) AS sector, first(direction ORDER BY confidence DESC, bar_date DESC, sector, direction) AS direction
+  FROM reached GROUP BY user_id
+), placed AS (
+  SELECT rk.user_id, rk.place, r.r_name AS sector FROM rk JOIN nation n ON rk.symbol = n.n_name LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+), asked AS (
+  SELECT user_id, symbol, last_seen FROM readers UNION ALL SELECT user_id, 'MARKET', min(last_seen) FROM readers GROUP BY user_id
+), b40 AS (
+  SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back FROM bars WHERE kind <> 'sector' AND bar_date <= DATE '{NOW}'
+), r40 AS (
+  SELECT *, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bar_date), 0)) AS r FROM b40 WHERE back <= 40
+), p40 AS (
+  SELECT symbol, stddev_samp(r) AS sigma, count(*) AS n, list(close ORDER BY bar_date) AS closes, list(bar_date ORDER BY bar_date) AS days FROM r40 GROUP BY symbol
+), k40 AS (
+  SELECT a.user_id, a.symbol, p.* EXCLUDE (symbol), len(list_filter(p.days, lambda d: d < a.last_seen)) AS k FROM asked a JOIN p40 p ON a.symbol = p.symbol
+), s40 AS (
+  SELECT *, greatest(0, least(CASE WHEN k >= n THEN n - 2 WHEN k > 0 THEN k - 1 ELSE 0 END, n - 2)) AS base FROM k40
+), stats AS (
+  SELECT user_id, symbol, closes[n] / nullif(closes[base + 1], 0) - 1 AS return_pct, ln(closes[n] / nullif(closes[base + 1], 0)) / nullif(sigma * sqrt(greatest(1, n - 1 - base)), 0) AS sigmas FROM s40
+), facts AS (
+  SELECT w.user_id, w.n_watched, (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id) AS n_surfaced, coalesce(t.up, 0) AS up, coalesce(t.down, 0) AS down, t.direction,
+    (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id AND p.sector = t.sector AND p.place <= least(5, {budget})) AS top_share,
+    coalesce(m.sigmas, 0) AS sigmas, coalesce(m.return_pct, 0) AS return_pct,
+    (SELECT count(*) FROM its i JOIN stats s ON i.user_id = s.user_id AND i.symbol = s.symbol WHERE i.user_id = w.user_id AND s.sigmas > 1) / w.n_watched AS breadth
+  FROM (SELECT user_id, count(*) AS n_watched FROM readers GROUP BY user_id) w LEFT JOIN story t ON w.user_id = t.user_id LEFT JOIN stats m ON w.user_id = m.user_id AND m.symbol = 'MARKET'
+)"""
+
+
+ACCOUNTING = f"""SELECT user_id, n_watched, n_surfaced, least(n_surfaced, {BUDGET}) AS n_shown, n_watched - n_surfaced AS n_normal,
+  CASE WHEN n_watched = 0 THEN 'empty_watchlist' WHEN n_surfaced = 0 THEN 'quiet' WHEN up > 0 AND down > 0 THEN 'sector_rotation'
+    WHEN direction IS NOT NULL AND top_share >= 3 AND abs(sigmas) < 0.5 THEN 'sector_specific'
+    WHEN direction IS NOT NULL AND abs(sigmas) >= 0.5 AND sign(return_pct) = direction THEN 'theme_led_market'
+    WHEN breadth >= 0.6 AND abs(sigmas) >= 1.5 THEN 'broad_market' WHEN direction IS NOT NULL THEN 'single_theme'
+    WHEN n_surfaced = 1 THEN 'isolated' ELSE 'scattered' END AS rule
+FROM facts"""
+WHOLE_ACCOUNTING = oracle.scores_sql(ACCOUNTING, SERIES, THEMES, BRIEF, accounting_facts(BUDGET))
+
+
 @register("brief_accounting", oracle.scores_sql("""SELECT w.user_id, w.n_watched, coalesce(s.n, 0) AS n_surfaced, least(coalesce(s.n, 0), 2) AS n_shown, w.n_watched - coalesce(s.n, 0) AS n_normal,
   CASE WHEN w.n_watched = 0 THEN 'empty_watchlist' WHEN coalesce(s.n, 0) = 0 THEN 'quiet' WHEN s.n = 1 THEN 'isolated' ELSE 'scattered' END AS rule
 FROM (SELECT user_id, count(*) AS n_watched FROM readers GROUP BY user_id) w LEFT JOIN (SELECT user_id, count(*) AS n FROM rk GROUP BY user_id) s ON w.user_id = s.user_id""", BRIEF))
 def brief_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    surfaced = brief.ranked(brief.items(_visible(spark, sf_dir)), budget=2).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("shown").alias("k"))
-    watched = readers(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_watched"))
-    none = F.lit(None)
-    out = watched.join(surfaced, "user_id", "left").withColumns({"n_surfaced": F.coalesce("n", F.lit(0)), "n_shown": F.coalesce("k", F.lit(0))})
-    rule = narrative.rule(F.col("n_surfaced"), F.lit(0), F.lit(0), F.lit(0), none.cast("int"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("n_watched"))
-    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", (F.col("n_watched") - F.col("n_surfaced")).alias("n_normal"), rule.alias("rule"))
+    """Judged by ``WHOLE_ACCOUNTING``: the registered SQL knows neither themes nor market nor breadth."""
+    bars = market.bars(spark, sf_dir).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
+    # events, days and themes all start from the candidates: written once instead of computed for each use
+    cands = stored(found(spark, sf_dir), "candidates")
+    shown = stored(_visible(spark, sf_dir, cands), "visible")
+    links = themes.linked(*_members(spark, sf_dir, cands))
+    out = brief.accounting(readers(spark, sf_dir), shown, links, bars, budget=BUDGET)
+    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", (F.col("n_watched") - F.col("n_surfaced")).alias("n_normal"), "rule")
 
 
 @register("state_mark_seen", f"""WITH {READERS.strip()}, seen AS (SELECT user_id, symbol, max(last_seen + 7) AS seen_at FROM readers WHERE user_id % 2 = 0 GROUP BY ALL)
