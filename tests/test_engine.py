@@ -202,14 +202,37 @@ def test_accounting_tells_every_story(spark):
     for name, rows in {**tables, "its": items.select("user_id", "symbol"), "rk": brief.ranked(items).select("user_id", "symbol", "place")}.items():
         frame = rows.toPandas()  # noqa: F841
         con.sql(f"create table {name} as select * replace ({', '.join(f'{c}::date as {c}' for c in rows.columns if c in ('bar_date', 'last_seen')) or 'user_id as user_id'}) from frame")
+    con.sql("create table silenced as select 0 as user_id where false")
     con.sql("create table mem as select symbol, bar_date, sector, direction from links")
     con.sql("create table themes as select distinct bar_date, sector, direction, confidence, 1.0 as distinctness from links")
+    silenced = tables["readers"].select("user_id", "symbol").where("false")
     seen = {}
     for budget in (2, 5):
-        out = brief.accounting(tables["readers"], tables["shown"], tables["links"], tables["bars"], budget)
+        out = brief.accounting(tables["readers"], tables["shown"], silenced, tables["links"], tables["bars"], budget)
         seen[budget] = {(r.user_id, r.rule) for r in out.select("user_id", "rule").collect()}
         sql = "WITH " + accounting_facts(budget).replace("1998-12-31", "2024-03-31") + ACCOUNTING
         assert seen[budget] == {(u, r) for u, r in con.sql(f"select user_id, rule from ({sql})").fetchall()}
     every = {"quiet", "sector_rotation", "sector_specific", "theme_led_market", "broad_market", "single_theme", "isolated", "scattered"}
     assert {r for _, r in seen[5]} == every
     assert {r for _, r in seen[2]} == every - {"sector_specific"}
+
+
+def test_snoozed_names_are_not_normal(spark):
+    day, now = dt.date(2024, 3, 28), F.lit("2024-03-31").cast("date")
+    names = ["SHOWN", "CUT", "ASLEEP", "HALF", "WOKEN", "SEEN", "CALM"]
+    watch = spark.createDataFrame([(1, n, "NONE", "NORMAL", dt.date(2024, 3, 20)) for n in names], "user_id long, symbol string, intent string, priority string, last_seen date")
+    fired = [(n, n + "1", 0.99 if n in ("SHOWN", "CUT", "WOKEN") else 0.2) for n in names[:-1]] + [("HALF", "HALF2", 0.2)]
+    context = {"sector": "A", "bar_date": day, "detector": "range_break", "family": "price", "confidence": 1.0, "is_confirmed": True, "score": 50.0, "position": 3, "resid_market": 0.0, "resid_std_market": 1.0, "severity_rank": 2}
+    events = spark.createDataFrame(fired, "symbol string, fingerprint string, strength double").withColumns({k: F.lit(v) for k, v in context.items()})
+    later, past = dt.date(2024, 4, 2), dt.date(2024, 3, 30)
+    rows = [(1, "ASLEEP1", "SNOOZED", later), (1, "HALF1", "SNOOZED", later), (1, "WOKEN1", "SNOOZED", past), (1, "SEEN1", "SEEN", later)]
+    states = spark.createDataFrame(rows, "user_id long, fingerprint string, status string, until date")
+    shown = brief.visible(events, watch, states, now)
+    silenced = brief.snoozed_names(brief.past_cursor(events, watch), shown, states, now)
+    assert [r.symbol for r in silenced.collect()] == ["ASLEEP"]
+    links = spark.createDataFrame([], "symbol string, bar_date date, sector string, direction int, confidence double")
+    bars = spark.createDataFrame([], "symbol string, kind string, bar_date date, close double")
+    r = brief.accounting(watch, shown, silenced, links, bars, budget=2).first()
+    assert (r.n_watched, r.n_surfaced, r.n_shown, r.n_below_budget, r.n_snoozed, r.n_normal) == (7, 3, 2, 1, 1, 3)
+    assert r.n_shown + r.n_below_budget + r.n_snoozed + r.n_normal == r.n_watched
+    assert r.rule == "scattered"

@@ -13,13 +13,29 @@ from tidewatch.operators.score import FAMILIES, scored
 DEFAULT_BUDGET = 5
 
 
-def visible(events: DataFrame, watch: DataFrame, states: DataFrame, now: Column) -> DataFrame:
-    """Events of watched names past the reader's oldest cursor, not noise, less those SEEN, DISMISSED or still snoozed."""
+def past_cursor(events: DataFrame, watch: DataFrame) -> DataFrame:
+    """Events of watched names past the reader's oldest cursor, not noise."""
     oldest = Window.partitionBy("user_id")
     watched = watch.withColumn("cursor", F.min("last_seen").over(oldest))
-    rows = events.where("severity_rank > 0").join(watched, "symbol").where(F.col("bar_date") > F.col("cursor"))
-    hidden = states.where(F.col("status").isin("SEEN", "DISMISSED") | ((F.col("status") == "SNOOZED") & (F.col("until") > now)))
-    return rows.join(hidden.select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti")
+    return events.where("severity_rank > 0").join(watched, "symbol").where(F.col("bar_date") > F.col("cursor"))
+
+
+def _asleep(now: Column) -> Column:
+    return (F.col("status") == "SNOOZED") & (F.col("until") > now)
+
+
+def visible(events: DataFrame, watch: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """Events of watched names past the reader's oldest cursor, not noise, less those SEEN, DISMISSED or still snoozed."""
+    hidden = states.where(F.col("status").isin("SEEN", "DISMISSED") | _asleep(now))
+    return past_cursor(events, watch).join(hidden.select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti")
+
+
+def snoozed_names(rows: DataFrame, shown: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """(user_id, symbol) of names of which an event past the cursor is still snoozed while none is visible: they are
+    silenced, not calm. ``rows`` are the events past the cursor, ``shown`` the visible ones."""
+    asleep = states.where(_asleep(now)).select("user_id", "fingerprint")
+    names = rows.join(asleep, ["user_id", "fingerprint"], "left_semi").select("user_id", "symbol").distinct()
+    return names.join(shown.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti")
 
 
 def items(shown: DataFrame) -> DataFrame:
@@ -67,10 +83,11 @@ def window_stats(bars: DataFrame, cursors: DataFrame) -> DataFrame:
     )
 
 
-def accounting(watch: DataFrame, shown: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """One row for each reader: how many names are watched, surfaced and shown, and the rule of the narrative.
+def accounting(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """One row for each reader: how many names are watched, surfaced, shown, below the budget, snoozed and within their
+    normal range, and the rule of the narrative. Shown, below budget, snoozed and normal add up to watched.
 
-    ``shown`` holds the visible events, ``links`` the theme of each member and day, ``bars`` the closes up to now of
+    ``silenced`` are the names of :func:`snoozed_names`; ``shown`` holds the visible events, ``links`` the theme of each member and day, ``bars`` the closes up to now of
     instruments and market. The first theme is the most confident one that a visible event belongs to, then the
     latest. A name counts for the breadth if it has visible events and rose by more than one sigma since its own
     cursor; the market's window starts at the reader's oldest cursor. A window without figures counts as no move.
@@ -86,16 +103,18 @@ def accounting(watch: DataFrame, shown: DataFrame, links: DataFrame, bars: DataF
     moved = stats.where("sigmas > 1").join(scored_items.select("user_id", "symbol"), ["user_id", "symbol"], "left_semi").groupBy("user_id").agg(F.count("*").alias("moved"))
     benchmark = bars.where("kind = 'market'")
     readers = watch.groupBy("user_id").agg(F.count("*").alias("n_watched"), F.min("last_seen").alias("last_seen"))
-    market = window_stats(benchmark, readers.join(benchmark.select("symbol").distinct(), how="cross")).select("user_id", "return_pct", "sigmas")
+    market = window_stats(benchmark, readers.join(F.broadcast(benchmark.select("symbol").distinct()), how="cross")).select("user_id", "return_pct", "sigmas")
     out = readers.join(surfaced, "user_id", "left").join(reached, "user_id", "left").join(top, "user_id", "left").join(moved, "user_id", "left").join(market, "user_id", "left")
-    out = out.withColumns({"n_surfaced": F.coalesce("n", F.lit(0)), "n_shown": F.coalesce("k", F.lit(0))})
+    out = out.join(silenced.groupBy("user_id").agg(F.count("*").alias("s")), "user_id", "left")
+    out = out.withColumns({"n_surfaced": F.coalesce("n", F.lit(0)), "n_shown": F.coalesce("k", F.lit(0)), "n_snoozed": F.coalesce("s", F.lit(0))})
     count = {c: F.coalesce(c, F.lit(0)) for c in ("up", "down", "top_share", "moved")}
     move = {c: F.coalesce(c, F.lit(0.0)) for c in ("sigmas", "return_pct")}
     rule = narrative.rule(
         F.col("n_surfaced"), count["up"], count["down"], count["top_share"], F.col("theme.direction"), move["sigmas"], move["return_pct"],
         count["moved"] / F.col("n_watched"), F.col("n_watched"),
     )
-    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", rule.alias("rule"))
+    below, normal = F.col("n_surfaced") - F.col("n_shown"), F.col("n_watched") - F.col("n_surfaced") - F.col("n_snoozed")
+    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", below.alias("n_below_budget"), "n_snoozed", normal.alias("n_normal"), rule.alias("rule"))
 
 
 def mark_seen(cursors: DataFrame, seen: DataFrame) -> DataFrame:

@@ -74,8 +74,8 @@ def feat_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- detectors and scores ----------------------------------------------------------------------
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = detect.with_earnings(features.features(market.bars(spark, sf_dir)))
+def found(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    feats = detect.with_earnings(features.features(market.bars(spark, sf_dir) if bars is None else bars))
     return detect.candidates(features.ready(feats))
 
 
@@ -235,9 +235,9 @@ own1 AS (
 )"""
 
 
-def _members(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bars = market.bars(spark, sf_dir)
-    return score.score_days(found(spark, sf_dir) if cands is None else cands), themes.member_series(bars)
+    return score.score_days(found(spark, sf_dir)), themes.member_series(bars)
 
 
 @register("theme_members", oracle.scores_sql("SELECT symbol, sector, CAST(bar_date AS VARCHAR) AS bar_date, direction, round(score, 1) AS score, round(move_sigmas, 4) AS move_sigmas, round(explained, 4) + 0.0 AS explained, len(residuals) AS n_residuals FROM mem", SERIES))
@@ -315,14 +315,19 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(brief.window_stats(bars, readers(spark, sf_dir)), 5, "return_pct", "sigmas")
 
 
-def _visible(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> DataFrame:
+def _events_and_states(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     events = score.score_events(found(spark, sf_dir) if cands is None else cands).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
     watch = readers(spark, sf_dir)
     states = watch.join(events.select("symbol", "fingerprint", "position", "bar_date"), "symbol").where((F.col("user_id") + F.dayofmonth("bar_date") + F.col("position")) % 4 == 0)
     seen = F.when(F.col("position") % 2 == 0, "SEEN").otherwise("SNOOZED")
     until = F.date_add(F.lit(NOW).cast("date"), F.when(F.col("user_id") % 2 == 0, 2).otherwise(-2))
     states = states.where(F.col("bar_date") > F.date_sub(F.lit(NOW).cast("date"), 40)).select("user_id", "fingerprint", seen.alias("status"), until.alias("until")).distinct()
-    return brief.visible(events, watch, states, F.lit(NOW).cast("date"))
+    return events, states
+
+
+def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, states = _events_and_states(spark, sf_dir)
+    return brief.visible(events, readers(spark, sf_dir), states, F.lit(NOW).cast("date"))
 
 
 def _tilt(family: str) -> str:
@@ -388,7 +393,8 @@ member_theme AS (
 ), stats AS (
   SELECT user_id, symbol, closes[n] / nullif(closes[base + 1], 0) - 1 AS return_pct, ln(closes[n] / nullif(closes[base + 1], 0)) / nullif(sigma * sqrt(greatest(1, n - 1 - base)), 0) AS sigmas FROM s40
 ), facts AS (
-  SELECT w.user_id, w.n_watched, (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id) AS n_surfaced, coalesce(t.up, 0) AS up, coalesce(t.down, 0) AS down, t.direction,
+  SELECT w.user_id, w.n_watched, (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id) AS n_surfaced, (SELECT count(*) FROM silenced z WHERE z.user_id = w.user_id) AS n_snoozed,
+    coalesce(t.up, 0) AS up, coalesce(t.down, 0) AS down, t.direction,
     (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id AND p.sector = t.sector AND p.place <= least(5, {budget})) AS top_share,
     coalesce(m.sigmas, 0) AS sigmas, coalesce(m.return_pct, 0) AS return_pct,
     (SELECT count(*) FROM its i JOIN stats s ON i.user_id = s.user_id AND i.symbol = s.symbol WHERE i.user_id = w.user_id AND s.sigmas > 1) / w.n_watched AS breadth
@@ -396,28 +402,39 @@ member_theme AS (
 )"""
 
 
-ACCOUNTING = f"""SELECT user_id, n_watched, n_surfaced, least(n_surfaced, {BUDGET}) AS n_shown, n_watched - n_surfaced AS n_normal,
+ACCOUNTING = f"""SELECT user_id, n_watched, n_surfaced, least(n_surfaced, {BUDGET}) AS n_shown, n_surfaced - least(n_surfaced, {BUDGET}) AS n_below_budget, n_snoozed,
+  n_watched - n_surfaced - n_snoozed AS n_normal,
   CASE WHEN n_watched = 0 THEN 'empty_watchlist' WHEN n_surfaced = 0 THEN 'quiet' WHEN up > 0 AND down > 0 THEN 'sector_rotation'
     WHEN direction IS NOT NULL AND top_share >= 3 AND abs(sigmas) < 0.5 THEN 'sector_specific'
     WHEN direction IS NOT NULL AND abs(sigmas) >= 0.5 AND sign(return_pct) = direction THEN 'theme_led_market'
     WHEN breadth >= 0.6 AND abs(sigmas) >= 1.5 THEN 'broad_market' WHEN direction IS NOT NULL THEN 'single_theme'
     WHEN n_surfaced = 1 THEN 'isolated' ELSE 'scattered' END AS rule
 FROM facts"""
-WHOLE_ACCOUNTING = oracle.scores_sql(ACCOUNTING, SERIES, THEMES, BRIEF, accounting_facts(BUDGET))
+SILENCED = f"""
+silenced AS (
+  SELECT DISTINCT r.user_id, e.symbol FROM events_scored e JOIN (SELECT *, min(last_seen) OVER (PARTITION BY user_id) AS cursor FROM readers) r ON e.symbol = r.symbol
+  WHERE e.severity_rank > 0 AND e.bar_date > r.cursor AND e.bar_date <= DATE '{NOW}' AND e.bar_date > DATE '{NOW}' - 40
+    AND (r.user_id + day(e.bar_date) + e.position) % 4 = 0 AND e.position % 2 = 1 AND r.user_id % 2 = 0
+    AND NOT EXISTS (SELECT 1 FROM shown v WHERE v.user_id = r.user_id AND v.symbol = e.symbol)
+)"""
+WHOLE_ACCOUNTING = oracle.scores_sql(ACCOUNTING, SERIES, THEMES, BRIEF, SILENCED, accounting_facts(BUDGET))
 
 
 @register("brief_accounting", oracle.scores_sql("""SELECT w.user_id, w.n_watched, coalesce(s.n, 0) AS n_surfaced, least(coalesce(s.n, 0), 2) AS n_shown, w.n_watched - coalesce(s.n, 0) AS n_normal,
   CASE WHEN w.n_watched = 0 THEN 'empty_watchlist' WHEN coalesce(s.n, 0) = 0 THEN 'quiet' WHEN s.n = 1 THEN 'isolated' ELSE 'scattered' END AS rule
 FROM (SELECT user_id, count(*) AS n_watched FROM readers GROUP BY user_id) w LEFT JOIN (SELECT user_id, count(*) AS n FROM rk GROUP BY user_id) s ON w.user_id = s.user_id""", BRIEF))
 def brief_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged by ``WHOLE_ACCOUNTING``: the registered SQL knows neither themes nor market nor breadth."""
-    bars = market.bars(spark, sf_dir).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
-    # events, days and themes all start from the candidates: written once instead of computed for each use
-    cands = stored(found(spark, sf_dir), "candidates")
-    shown = stored(_visible(spark, sf_dir, cands), "visible")
-    links = themes.linked(*_members(spark, sf_dir, cands))
-    out = brief.accounting(readers(spark, sf_dir), shown, links, bars, budget=BUDGET)
-    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", (F.col("n_watched") - F.col("n_surfaced")).alias("n_normal"), "rule")
+    """Judged by ``WHOLE_ACCOUNTING``: the registered SQL knows neither themes nor market nor breadth nor snoozed names."""
+    now, watch = F.lit(NOW).cast("date"), stored(readers(spark, sf_dir), "readers")
+    # each part has several uses: written once, since one plan of all of them is more than a small driver holds
+    bars = stored(market.bars(spark, sf_dir), "bars")
+    cands = stored(found(spark, sf_dir, bars), "candidates")
+    events, states = (stored(df, name) for df, name in zip(_events_and_states(spark, sf_dir, cands), ("events", "states"), strict=True))
+    shown = stored(brief.visible(events, watch, states, now), "visible")
+    silenced = stored(brief.snoozed_names(brief.past_cursor(events, watch), shown, states, now), "silenced")
+    days = stored(score.score_days(cands), "days")
+    links = stored(themes.linked(days, themes.member_series(bars)), "links")
+    return brief.accounting(watch, shown, silenced, links, bars.where(F.col("bar_date") <= now), budget=BUDGET)
 
 
 @register("state_mark_seen", f"""WITH {READERS.strip()}, seen AS (SELECT user_id, symbol, max(last_seen + 7) AS seen_at FROM readers WHERE user_id % 2 = 0 GROUP BY ALL)
