@@ -289,3 +289,15 @@ def test_pipeline_stages(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.dedup_lines(spark, kept, ""), "")
     assert {r.doc_id for r in left.collect()} == set(range(20)) and left.columns == list(corpus_pipeline.COLUMNS)
     assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, left, "").collect()} == set(range(20))
+
+
+def test_url_filter_one_label_domains(spark):
+    """A list entry of one label holds for its subdomains, and gives way to a longer one."""
+    import datetime as dt
+
+    day = dt.date(2024, 5, 5)
+    urls = ["http://a.bad.zip/x", "http://zip/", "http://app.localhost:8080/", "http://good.zip/", "http://a.zip.org/", "http://azip/"]
+    pages = spark.createDataFrame([(u, day) for u in urls], "url string, fetched_on date")
+    entries = spark.createDataFrame([(p, day, v) for p, v in [("zip", "block"), ("localhost", "block"), ("good.zip", "allow")]], "pattern string, entry_date date, verdict string")
+    out = {r.url: (r.list_pattern, r.blocked) for r in url_filter.judge(pages, entries).collect()}
+    assert [out[u] for u in urls] == [("zip", True), ("zip", True), ("localhost", True), ("good.zip", False), (None, False), (None, False)]

@@ -48,10 +48,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def _keys(host: Column, path: Column) -> Column:
-    """Patterns that can hold for a URL: domain suffixes of two labels or more, and path prefixes."""
+    """Patterns that can hold for a URL: domain suffixes down to the last label, and path prefixes."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     parts = F.split(path, "/")
     prefixes = F.when(
