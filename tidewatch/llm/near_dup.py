@@ -16,7 +16,9 @@ weighted by how often they occur in their text.
    same members are looked at once. No step emits the pairs within a group, and none has a cap.
 
 A link needs a similarity of at least 0.8, as probability Jaccard of weighted shingles or as plain
-Jaccard of the sets of shingles. Links go through keyed joins on both sides of which Spark can
+Jaccard of the sets of shingles. Candidates come from weighted registers only, so that they share a band
+is guaranteed (see the parameters) for probability Jaccard alone: texts that differ in how often a passage
+is repeated can have plain Jaccard above 0.8 and still never be compared. Links go through keyed joins on both sides of which Spark can
 split hot keys; the verifier streams rows, holding one text's shingles at a time.
 
 Defined results: null counts as empty, and all texts without words are copies of each other.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored, text_or_empty
 from tidewatch.llm.tokens import blocks, column_texts
 
-#: Production parameters. A pair at 0.8 misses all bands with probability 6e-5; its registers agree
+#: Production parameters. A pair at 0.8 of probability Jaccard misses all bands with probability 6e-5; its registers agree
 #: in less than RETRY_SHARE with probability 2e-5 (binomial, 192 registers).
 SHINGLE = 5
 SIMILARITY = 0.8
