@@ -16,6 +16,16 @@ def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, halves away from zero."""
+    return F.format_string(f"%.{digits}f", F.signum(x) * half_up(F.abs(x), digits))
+
+
+def signed_percent(x: Column) -> Column:
+    """A share as a percentage with one decimal and its sign."""
+    return F.concat(F.when(x >= 0, "+").otherwise("-"), fixed(F.abs(x) * 100, 1), F.lit("%"))
+
+
 def squash(z: Column) -> Column:
     """A signed strength between -1 and 1; what is not finite counts as 0."""
     return F.when(z.isNull() | F.isnan(z), F.lit(0.0)).otherwise(F.tanh(z / 4))

@@ -6,18 +6,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.expr import safe_div, severity_name
+from tidewatch.functions.expr import SEVERITIES, safe_div, severity_name
 from tidewatch.operators import narrative
-from tidewatch.operators.score import FAMILIES, scored
+from tidewatch.operators.features import adjusted
+from tidewatch.operators.score import explained, scored, strongest
 
 DEFAULT_BUDGET = 5
+MARKET = "MARKET"
 
 
 def past_cursor(events: DataFrame, watch: DataFrame) -> DataFrame:
-    """Events of watched names past the reader's oldest cursor, not noise."""
+    """Events of watched names past the reader's oldest cursor, not noise.
+
+    Events that are older than every reader's cursor go first, before any meets a reader.
+    """
     oldest = Window.partitionBy("user_id")
     watched = watch.withColumn("cursor", F.min("last_seen").over(oldest))
-    return events.where("severity_rank > 0").join(watched, "symbol").where(F.col("bar_date") > F.col("cursor"))
+    recent = events.where("severity_rank > 0").where(F.col("bar_date") > watch.agg(F.min("last_seen")).scalar())
+    return recent.join(watched, "symbol").where(F.col("bar_date") > F.col("cursor"))
 
 
 def _asleep(now: Column) -> Column:
@@ -38,54 +44,90 @@ def snoozed_names(rows: DataFrame, shown: DataFrame, states: DataFrame, now: Col
     return names.join(shown.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti")
 
 
-def items(shown: DataFrame) -> DataFrame:
-    """One row for each reader and name: all its signals scored again with the reader's intent and priority."""
-    z = safe_div(F.col("resid_market"), F.col("resid_std_market"))
+def items(shown: DataFrame, explain: bool = False) -> DataFrame:
+    """One row for each reader and name: all its signals scored again with the reader's intent and priority.
+
+    With ``explain`` also the contributions, ``positives`` and ``suppressors``, and the headline of the lead event: of
+    those that own the strongest signal (by key and label), the one with the highest score, then the latest.
+    """
+    own = [c for c in ("budget",) if c in shown.columns]
     rows = shown.groupBy("user_id", "symbol", "intent", "priority").agg(
         F.bool_or(F.col("detector") == "earnings_upcoming").alias("has_catalyst"), F.bool_or(F.col("detector") == "sector_divergence").alias("idiosyncratic"),
         F.min("confidence").alias("confidence"), F.bool_and("is_confirmed").alias("is_confirmed"), F.count("*").alias("n_events"),
-        F.max("sector").alias("sector"), F.max(F.abs(z)).alias("__z"), F.max_by("detector", F.struct("score", -F.col("position"), "bar_date")).alias("lead_detector"),
-        *[F.max(F.when(F.col("family") == f, F.abs("strength"))).alias(f"s_{f}") for f in FAMILIES],
+        F.max("sector").alias("sector"), *[F.max(c).alias(c) for c in own], *strongest(explain),
     )
-    out = scored(rows.drop("__z"), intent=F.col("intent"), priority=F.col("priority"))
-    return out.withColumn("severity", severity_name(F.col("severity_rank")))
+    out = scored(rows, intent=F.col("intent"), priority=F.col("priority"), explain=explain)
+    out = out.withColumns({"severity": severity_name(F.col("severity_rank")), "attention": F.floor(F.col("score") + 0.5).cast("int")})
+    if not explain:
+        return out
+    ups, downs = explained(F.col("contributions"))
+    out = out.withColumns({"positives": ups, "suppressors": downs})
+    top = F.filter("positives", lambda c: c["kind"] == "additive")
+    out = out.withColumn("top", F.get(top, F.lit(0)))
+    owned = out.select("user_id", "symbol", F.col("top.key").alias("signal_key"), F.col("top.label").alias("signal_label"))
+    leads = shown.join(owned, ["user_id", "symbol", "signal_key", "signal_label"]).groupBy("user_id", "symbol").agg(
+        F.max_by(F.struct("headline", "detector", "fingerprint"), F.struct("score", "bar_date", -F.col("position"))).alias("lead")
+    )
+    return out.join(leads, ["user_id", "symbol"], "left").drop("top", *[c for c in out.columns if c.startswith("l_")])
 
 
 def ranked(scored_items: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """Surfaced items in order, with whether the budget shows them."""
-    order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "symbol")
+    """Surfaced items by whole points, then name, with whether the budget shows them: the reader's own where the items
+    have it, ``budget`` otherwise."""
+    order = Window.partitionBy("user_id").orderBy(F.col("attention").desc(), "symbol")
     rows = scored_items.where("severity_rank >= 2").withColumn("place", F.row_number().over(order))
-    return rows.withColumn("shown", F.col("place") <= budget)
+    allowed = F.coalesce(F.col("budget"), F.lit(budget)) if "budget" in scored_items.columns else F.lit(budget)
+    return rows.withColumn("shown", F.col("place") <= allowed)
 
 
 def window_stats(bars: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Return and sigmas of each watched name since the reader's cursor, from its last 40 bars.
+    """Return and sigmas of each watched name since the reader's cursor, from its last 40 bars, with the last close, its
+    day and the last 20 closes.
 
     The baseline is the bar before the first one on or after the cursor; the first bar if the cursor is older than
     all, the last but one if none follows.
     """
     newest = Window.partitionBy("symbol").orderBy(F.col("bar_date").desc())
     by_day = Window.partitionBy("symbol").orderBy("bar_date")
-    rows = bars.withColumn("back", F.row_number().over(newest)).where("back <= 40")
+    rows = (adjusted(bars) if "close_adj" in bars.columns else bars).withColumn("back", F.row_number().over(newest)).where("back <= 40")
     rows = rows.withColumn("r", F.ln(safe_div(F.col("close"), F.lag("close").over(by_day))))
     packed = rows.groupBy("symbol").agg(
         F.array_sort(F.collect_list(F.struct("bar_date", "close"))).alias("b"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sigma"), F.count("*").alias("n")
     )  # at most 40 rows a symbol
-    joined = cursors.join(packed, "symbol")
+    joined = cursors.select("user_id", "symbol", "last_seen").join(packed, "symbol")
     at = F.size(F.filter("b", lambda x: x["bar_date"] < F.col("last_seen")))
     base = F.when(at >= F.col("n"), F.col("n") - 2).when(at > 0, at - 1).otherwise(F.lit(0))
     joined = joined.withColumn("base", F.greatest(F.lit(0), F.least(base, F.col("n") - 2)).cast("int"))
-    first, last = F.get(F.col("b"), F.col("base"))["close"], F.get(F.col("b"), (F.col("n") - 1).cast("int"))["close"]
+    newest_bar = F.get(F.col("b"), (F.col("n") - 1).cast("int"))
+    first, last = F.get(F.col("b"), F.col("base"))["close"], newest_bar["close"]
     sessions = F.greatest(F.lit(1), F.col("n") - 1 - F.col("base"))
     return joined.select(
         "user_id", "symbol", (safe_div(last, first) - 1).alias("return_pct"),
         F.try_divide(F.ln(safe_div(last, first)), F.nullif(F.col("sigma") * F.sqrt(sessions.cast("double")), F.lit(0.0))).alias("sigmas"), last.alias("last_close"),
+        newest_bar["bar_date"].alias("as_of"), F.transform(F.slice("b", -F.least(F.lit(20), F.size("b")), 20), lambda x: x["close"]).alias("sparkline"),
     )
 
 
-def accounting(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """One row for each reader: how many names are watched, surfaced, shown, below the budget, snoozed and within their
-    normal range, and the rule of the narrative. Shown, below budget, snoozed and normal add up to watched.
+def histogram(watch: DataFrame, scored_items: DataFrame, silenced: DataFrame) -> DataFrame:
+    """(user_id, severity, n) with all five severities for each reader: a name without visible events counts as NOISE,
+    unless it is snoozed."""
+    silent = watch.select("user_id", "symbol").distinct().join(scored_items.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti")
+    silent = silent.join(silenced.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti").select("user_id", F.lit("NOISE").alias("severity"))
+    counts = scored_items.select("user_id", "severity").unionByName(silent).groupBy("user_id", "severity").agg(F.count("*").alias("n"))
+    every = watch.select("user_id").distinct().withColumn("severity", F.explode(F.array(*[F.lit(s) for s in SEVERITIES])))
+    return every.join(counts, ["user_id", "severity"], "left").select("user_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+THEME_KEY = ["window_start", "sector", "direction", "confidence", "distinctness", "n_members"]
+
+
+def reached_themes(shown: DataFrame, links: DataFrame) -> DataFrame:
+    """(user_id, theme...): each theme once that a visible event of the reader belongs to."""
+    return shown.select("user_id", "symbol", "bar_date").join(links, ["symbol", "bar_date"]).select("user_id", *THEME_KEY).distinct()
+
+
+def facts(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """One row for each reader with all that the narrative needs: counts of names, the themes, market and breadth.
 
     ``silenced`` are the names of :func:`snoozed_names`; ``shown`` holds the visible events, ``links`` the theme of each member and day, ``bars`` the closes up to now of
     instruments and market. The first theme is the most confident one that a visible event belongs to, then the
@@ -94,40 +136,63 @@ def accounting(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: D
     """
     scored_items = items(shown)
     placed = ranked(scored_items, budget)
-    first = F.min(F.struct((-F.col("confidence")).alias("c"), F.datediff(F.lit("1970-01-01"), "bar_date").alias("d"), "sector", "direction"))
-    reached = shown.select("user_id", "symbol", "bar_date").join(links, ["symbol", "bar_date"]).drop("symbol").distinct()
-    reached = reached.groupBy("user_id").agg(F.count_if(F.col("direction") == 1).alias("up"), F.count_if(F.col("direction") == -1).alias("down"), first.alias("theme"))
+
+    def first(condition: Column | None = None) -> Column:
+        by = F.struct((-F.col("confidence")).alias("c"), F.datediff(F.lit("1970-01-01"), "window_start").alias("d"), "sector", "direction", "n_members")
+        return F.min(by if condition is None else F.when(condition, by))
+
+    def theme(name: str) -> Column:
+        c = F.col(name)
+        return F.when(c.isNotNull(), F.struct(c["sector"].alias("sector"), c["direction"].alias("direction"), (-c["c"]).alias("confidence"), c["n_members"].alias("n_members")))
+
+    up, down = F.col("direction") == 1, F.col("direction") == -1
+    reached = reached_themes(shown, links).groupBy("user_id").agg(
+        F.count_if(up).alias("up"), F.count_if(down).alias("down"), first().alias("theme"), first(up).alias("up_theme"), first(down).alias("down_theme")
+    )
+    reached = reached.withColumns({n: theme(n) for n in ("theme", "up_theme", "down_theme")})
     top = placed.join(reached.select("user_id", "theme.sector"), ["user_id", "sector"], "left_semi").where("shown and place <= 5").groupBy("user_id").agg(F.count("*").alias("top_share"))
     surfaced = placed.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("shown").alias("k"))
     stats = window_stats(bars.where("kind = 'instrument'"), watch)
     moved = stats.where("sigmas > 1").join(scored_items.select("user_id", "symbol"), ["user_id", "symbol"], "left_semi").groupBy("user_id").agg(F.count("*").alias("moved"))
-    benchmark = bars.where("kind = 'market'")
-    readers = watch.groupBy("user_id").agg(F.count("*").alias("n_watched"), F.min("last_seen").alias("last_seen"))
-    market = window_stats(benchmark, readers.join(F.broadcast(benchmark.select("symbol").distinct()), how="cross")).select("user_id", "return_pct", "sigmas")
-    out = readers.join(surfaced, "user_id", "left").join(reached, "user_id", "left").join(top, "user_id", "left").join(moved, "user_id", "left").join(market, "user_id", "left")
-    out = out.join(silenced.groupBy("user_id").agg(F.count("*").alias("s")), "user_id", "left")
-    out = out.withColumns({"n_surfaced": F.coalesce("n", F.lit(0)), "n_shown": F.coalesce("k", F.lit(0)), "n_snoozed": F.coalesce("s", F.lit(0))})
-    count = {c: F.coalesce(c, F.lit(0)) for c in ("up", "down", "top_share", "moved")}
-    move = {c: F.coalesce(c, F.lit(0.0)) for c in ("sigmas", "return_pct")}
-    rule = narrative.rule(
-        F.col("n_surfaced"), count["up"], count["down"], count["top_share"], F.col("theme.direction"), move["sigmas"], move["return_pct"],
-        count["moved"] / F.col("n_watched"), F.col("n_watched"),
-    )
-    below, normal = F.col("n_surfaced") - F.col("n_shown"), F.col("n_watched") - F.col("n_surfaced") - F.col("n_snoozed")
-    return out.select("user_id", "n_watched", "n_surfaced", "n_shown", below.alias("n_below_budget"), "n_snoozed", normal.alias("n_normal"), rule.alias("rule"))
+    readers = watch.groupBy("user_id").agg(F.count("*").alias("n_watched"), F.min("last_seen").alias("since"))
+    asked = readers.select("user_id", F.lit(MARKET).alias("symbol"), F.col("since").alias("last_seen"))
+    market = window_stats(bars.where("kind = 'market'"), asked).select("user_id", F.col("return_pct").alias("market_return"), F.col("sigmas").alias("market_sigmas"))
+    out = readers
+    for part in (surfaced, reached, top, moved, market, silenced.groupBy("user_id").agg(F.count("*").alias("s"))):
+        out = out.join(part, "user_id", "left")
+    zero = {"n_surfaced": "n", "n_shown": "k", "n_snoozed": "s", "up": "up", "down": "down", "top_share": "top_share", "moved": "moved"}
+    out = out.withColumns({new: F.coalesce(old, F.lit(0)) for new, old in zero.items()} | {c: F.coalesce(c, F.lit(0.0)) for c in ("market_return", "market_sigmas")})
+    return out.withColumn("breadth", F.col("moved") / F.col("n_watched")).drop("n", "k", "s")
 
 
-def mark_seen(cursors: DataFrame, seen: DataFrame) -> DataFrame:
-    """Cursors after readers have seen names up to a time: they only move forward, and count versions."""
-    latest = seen.groupBy("user_id", "symbol").agg(F.max("seen_at").alias("seen_at"))
-    rows = cursors.join(latest, ["user_id", "symbol"], "full")
-    moved = F.coalesce(F.col("seen_at") > F.col("last_seen"), F.col("last_seen").isNull())
-    return rows.select(
-        "user_id", "symbol", F.greatest("last_seen", "seen_at").alias("last_seen"), (F.coalesce("version", F.lit(0)) + moved.cast("int")).alias("version")
+def accounting(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """One row for each reader: how many names are watched, surfaced, shown, below the budget, snoozed and within their
+    normal range, and the rule and text of the narrative. Shown, below budget, snoozed and normal add up to watched."""
+    out = facts(watch, shown, silenced, links, bars, budget)
+    c = F.col
+    rule = narrative.rule(c("n_surfaced"), c("up"), c("down"), c("top_share"), c("theme.direction"), c("market_sigmas"), c("market_return"), c("breadth"), c("n_watched"))
+    out = out.withColumns({
+        "n_below_budget": c("n_surfaced") - c("n_shown"), "n_normal": c("n_watched") - c("n_surfaced") - c("n_snoozed"), "rule": rule,
+    })
+    return out.withColumn("text", narrative.text(c("rule")))
+
+
+def quality(watch: DataFrame, scored_items: DataFrame, budget: int, stats: DataFrame, bars: DataFrame, freshness: DataFrame, now: Column) -> DataFrame:
+    """(user_id, since, absence_hours, as_of, n_unconfirmed, stalest_source): how long the reader was away, the day that the
+    brief stands for (of the first shown item, else of any item, else the newest bar of a watched name), items with
+    disputed prices, and the source whose last success is the oldest (one that never succeeded comes last)."""
+    placed = ranked(scored_items, budget).select("user_id", "symbol", "place", "shown")
+    dated = scored_items.select("user_id", "symbol", "is_confirmed").join(stats.select("user_id", "symbol", "as_of"), ["user_id", "symbol"], "left").join(placed, ["user_id", "symbol"], "left")
+    told = dated.groupBy("user_id").agg(
+        F.min_by("as_of", F.when(F.col("shown"), F.col("place"))).alias("first_shown"), F.min_by("as_of", "symbol").alias("first_item"), F.count_if(~F.col("is_confirmed")).alias("n_unconfirmed")
     )
+    newest = watch.select("user_id", "symbol").join(bars.groupBy("symbol").agg(F.max("bar_date").alias("d")), "symbol").groupBy("user_id").agg(F.max("d").alias("newest"))
+    readers = watch.groupBy("user_id").agg(F.min("last_seen").alias("since"))
+    stalest = freshness.agg(F.min_by("source_id", F.struct(F.col("last_success").isNull(), "last_success", "source_id"))).scalar()
+    out = readers.join(told, "user_id", "left").join(newest, "user_id", "left")
+    return out.select(
+        "user_id", "since", (F.datediff(now, "since") * 24).alias("absence_hours"), F.coalesce("first_shown", "first_item", "newest").alias("as_of"),
+        F.coalesce("n_unconfirmed", F.lit(0)).alias("n_unconfirmed"), stalest.alias("stalest_source"),
+    )
 
 
-def ensure_cursors(cursors: DataFrame, watch: DataFrame, now: Column) -> DataFrame:
-    """Cursors planted where a watched name has none."""
-    missing = watch.select("user_id", "symbol").distinct().join(cursors.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti")
-    return cursors.unionByName(missing.select("user_id", "symbol", now.alias("last_seen"), F.lit(0).alias("version")))

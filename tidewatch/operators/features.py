@@ -1,8 +1,12 @@
 """Rolling features of every instrument and day, from frames that end at the day itself.
 
-All own-series frames share one window order, so Spark sorts each symbol once. Regressions run on the
-series paired with a proxy by date; a proxy has one row per day, and Spark broadcasts it by its size.
+All own-series frames share one window order, so Spark sorts each symbol once. A proxy has one row a day; its close
+joins the own row by date, and the frames of a regression run over the rows that have one, still in the partition of
+the symbol: no series is joined with itself. Prices are adjusted closes, except for highs, lows and volume.
 No frame looks ahead, which makes the features point-in-time by construction.
+
+Samples of past values (:func:`trailing`) are gathered only for rows that ask for them: each value is packed once into
+a block, and a row meets the two blocks that its sample can lie in.
 """
 
 from __future__ import annotations
@@ -65,66 +69,114 @@ def own_features(bars: DataFrame) -> DataFrame:
     })
     out = out.withColumn("rvol", F.coalesce(safe_div(F.col("volume").cast("double"), F.col("median_volume20")), F.lit(1.0)))
     past = F.when(F.col("rn") >= 21, safe_div(F.col("volume").cast("double"), F.col("volume_before20")))
-    out = out.withColumn("rvol_past", past)
-    sample = F.collect_list(F.when(F.col("rn") >= 12, F.col("rv10"))).over(last_rows(252))
-    ranked = F.size(F.filter(sample, lambda v: v <= F.col("rv10"))) / F.size(sample)
-    return out.withColumns({
-        "rvol_centre": F.percentile("rvol_past", F.lit(0.5)).over(last_rows(90)),
-        "rvol_sample": F.collect_list("rvol_past").over(last_rows(90)),
-        "rv10_pct": F.when((F.col("rn") >= 40) & (F.size(sample) >= 30), ranked),
-    })
+    return out.withColumn("rvol_past", past)
+
+
+def trailing(rows: DataFrame, wanted: DataFrame, value: Column, n: int) -> DataFrame:
+    """(symbol, rn, sample): for each (symbol, rn) of ``wanted`` the values of the last n rows, nulls left out."""
+    packed = rows.select("symbol", "rn", value.alias("v")).where("v is not null").groupBy("symbol", F.floor(F.col("rn") / n).alias("block")).agg(F.collect_list(F.struct("rn", "v")).alias("packed"))
+    at = F.floor(F.col("rn") / n)
+    asked = wanted.select("symbol", "rn", F.explode(F.array(at - 1, at)).alias("block"))
+    mine = F.filter("packed", lambda p: (p["rn"] <= F.col("rn")) & (p["rn"] > F.col("rn") - n))
+    met = asked.join(packed, ["symbol", "block"]).select("symbol", "rn", F.transform(mine, lambda p: p["v"]).alias("part"))
+    return met.groupBy("symbol", "rn").agg(F.flatten(F.collect_list("part")).alias("sample"))
+
+
+def rank_share(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(symbol, rn, rv10_pct): the share of the last 252 volatilities, from the twelfth bar on, that today's does not
+    fall below; null before the fortieth bar or with fewer than 30 of them."""
+    met = wanted.select("symbol", "rn", "rv10").join(trailing(rows, wanted, F.when(F.col("rn") >= 12, F.col("rv10")), 252), ["symbol", "rn"])
+    size = F.size("sample")
+    share = F.size(F.filter("sample", lambda v: v <= F.col("rv10"))) / size
+    return met.select("symbol", "rn", F.when((F.col("rn") >= 40) & (size >= 30), share).alias("rv10_pct"))
+
+
+def moved_from(rows: DataFrame, closes: DataFrame, sessions: Column) -> DataFrame:
+    """Adds sessions_used, from_close and move_sigmas: the move of each row over its own number of sessions, in
+    deviations of such a stretch. The close is met by position in ``closes``, so each row may look back its own way.
+
+    At most one session less than there are bars, of which 300 count. Null without a number of sessions of 1 or more.
+    """
+    n = F.least(sessions, F.least(F.col("rn"), F.lit(300)) - 1)
+    out = rows.withColumn("sessions_used", F.when((sessions >= 1) & (n >= 1), n).cast("int")).withColumn("__back", F.col("rn") - F.col("sessions_used"))
+    past = closes.select("symbol", F.col("rn").alias("__back"), F.col("close").alias("from_close"))
+    out = out.join(past, ["symbol", "__back"], "left").drop("__back")
+    return out.withColumn("move_sigmas", safe_div(F.ln(safe_div(F.col("close"), F.col("from_close"))), F.col("sigma20") * F.sqrt(F.col("sessions_used").cast("double"))))
+
+
+def moved(feats: DataFrame, sessions: Column) -> DataFrame:
+    """:func:`moved_from` over the rows' own closes."""
+    return moved_from(feats, feats, sessions)
+
 
+def abs_returns(rows: DataFrame, n: int = 90) -> DataFrame:
+    """Adds abs_return_sample: the absolute log returns of the last n bars, as many as there are."""
+    return rows.withColumn("abs_return_sample", F.collect_list(F.abs("log_ret")).over(last_rows(n)))
 
-def paired(bars: DataFrame, proxies: DataFrame, on: list[str]) -> DataFrame:
-    """Own and proxy closes of days that both have; ``proxies`` holds (on..., bar_date, proxy_close)."""
-    out = bars.select("symbol", *[c for c in on if c != "bar_date"], "bar_date", "close").join(proxies, on)
-    own = F.ln(safe_div(F.col("close"), F.lag("close").over(series())))
-    theirs = F.ln(safe_div(F.col("proxy_close"), F.lag("proxy_close").over(series())))
-    return out.select("symbol", "bar_date", own.alias("y"), theirs.alias("x"))
 
+def vol_over(rows: DataFrame, n: int) -> DataFrame:
+    """Adds vol_over: the deviation of the last n log returns, null until there are so many."""
+    return rows.withColumn("vol_over", full(F.stddev_samp("log_ret"), F.col("log_ret"), n))
 
-def regressions(pairs: DataFrame, prefix: str) -> DataFrame:
-    """Slope, today's residual and its deviation over the last 90 paired returns, 20 at least."""
-    y, x, frame = F.col("y"), F.col("x"), last_rows(90)
-    n = F.regr_count(y, x).over(frame)
-    out = pairs.withColumns({
-        "n": n, "sxx": F.regr_sxx(y, x).over(frame), "syy": F.regr_syy(y, x).over(frame), "sxy": F.regr_sxy(y, x).over(frame),
-        "mx": F.regr_avgx(y, x).over(frame), "my": F.regr_avgy(y, x).over(frame),
+
+def sparkline(rows: DataFrame, n: int = 20) -> DataFrame:
+    """Adds sparkline: the last n closes."""
+    return rows.withColumn("sparkline", F.collect_list("close").over(last_rows(n)))
+
+
+def _paired(flag: str, n: int):
+    """The last n rows among those of the symbol that have the proxy."""
+    return Window.partitionBy("symbol", flag).orderBy("bar_date").rowsBetween(-(n - 1), 0)
+
+
+def regressed(rows: DataFrame, prefix: str) -> DataFrame:
+    """Adds beta_, resid_ and resid_std_ to rows with ``<prefix>_close``: slope, today's residual and its deviation
+    over the last 90 paired returns, 20 at least; null on days that the proxy lacks."""
+    flag, y, x = f"__has_{prefix}", F.col(f"__y_{prefix}"), F.col(f"__x_{prefix}")
+    order = Window.partitionBy("symbol", flag).orderBy("bar_date")
+    out = rows.withColumn(flag, F.col(f"{prefix}_close").isNotNull())
+    out = out.withColumns({
+        f"__y_{prefix}": F.when(F.col(flag), F.ln(safe_div(F.col("close"), F.lag("close").over(order)))),
+        f"__x_{prefix}": F.when(F.col(flag), F.ln(safe_div(F.col(f"{prefix}_close"), F.lag(f"{prefix}_close").over(order)))),
     })
-    beta = F.when(F.col("n") >= 20, safe_div(F.col("sxy"), F.col("sxx")))
-    out = out.withColumn("beta", beta)
-    spread = F.sqrt(F.greatest(safe_div(F.col("syy") - F.col("beta") * F.col("sxy"), F.col("n") - 1), F.lit(0.0)))
-    return out.select(
-        "symbol", "bar_date", F.col("beta").alias(f"beta_{prefix}"),
-        (y - (F.col("my") + F.col("beta") * (x - F.col("mx")))).alias(f"resid_{prefix}"),
-        F.when(F.col("beta").isNotNull(), spread).alias(f"resid_std_{prefix}"),
-    )
-
-
-def correlations(pairs: DataFrame) -> DataFrame:
-    """Correlation with the sector over 20 and 120 paired returns."""
-    y, x = F.col("y"), F.col("x")
-
-    def over(n: int) -> Column:
-        frame = last_rows(n)
+    frame = _paired(flag, 90)
+    figures = {"n": F.regr_count, "sxx": F.regr_sxx, "syy": F.regr_syy, "sxy": F.regr_sxy, "mx": F.regr_avgx, "my": F.regr_avgy}
+    out = out.withColumns({f"__{k}": f(y, x).over(frame) for k, f in figures.items()})
+    c = {k: F.col(f"__{k}") for k in figures}
+    out = out.withColumn("__beta", F.when(c["n"] >= 20, safe_div(c["sxy"], c["sxx"])))
+    spread = F.sqrt(F.greatest(safe_div(c["syy"] - F.col("__beta") * c["sxy"], c["n"] - 1), F.lit(0.0)))
+    return out.withColumns({
+        f"beta_{prefix}": F.col("__beta"),
+        f"resid_{prefix}": y - (c["my"] + F.col("__beta") * (x - c["mx"])),
+        f"resid_std_{prefix}": F.when(F.col("__beta").isNotNull(), spread),
+    }).drop("__beta", *[f"__{k}" for k in figures])
+
+
+def correlated(rows: DataFrame, prefix: str, *lengths: int) -> DataFrame:
+    """Adds corr<n>: the correlation with the proxy over so many paired returns, carried over days that the proxy lacks."""
+    flag, y, x = f"__has_{prefix}", F.col(f"__y_{prefix}"), F.col(f"__x_{prefix}")
+    carried = series().rowsBetween(Window.unboundedPreceding, 0)
+    for n in lengths:
+        frame = _paired(flag, n)
         value = correlation(F.regr_sxy(y, x).over(frame), F.regr_sxx(y, x).over(frame), F.regr_syy(y, x).over(frame))
-        return F.when(F.regr_count(y, x).over(frame) == n, value)
+        rows = rows.withColumn(f"__corr{n}", F.when(F.col(flag) & (F.regr_count(y, x).over(frame) == n), value))
+    return rows.withColumns({f"corr{n}": F.last(f"__corr{n}", ignorenulls=True).over(carried) for n in lengths}).drop(*[f"__corr{n}" for n in lengths])
+
 
-    return pairs.select("symbol", "bar_date", over(20).alias("corr20"), over(120).alias("corr120"))
+def adjusted(bars: DataFrame) -> DataFrame:
+    """Bars whose close is the adjusted one."""
+    return bars.withColumn("close", F.col("close_adj")).drop("close_adj")
 
 
 def features(bars: DataFrame) -> DataFrame:
     """One row for each instrument and day of its series, short histories included (see ``ready``)."""
-    own = own_features(bars.where("kind = 'instrument'"))
-    mine = bars.where("kind = 'instrument'")
-    market = bars.where("kind = 'market'").select("bar_date", F.col("close").alias("proxy_close"))
-    sector = bars.where("kind = 'sector'").select("sector", "bar_date", F.col("close").alias("proxy_close"))
-    by_sector = paired(mine, sector, ["sector", "bar_date"])
-    out = own.join(regressions(paired(mine, market, ["bar_date"]), "market"), ["symbol", "bar_date"], "left")
-    out = out.join(regressions(by_sector, "sector"), ["symbol", "bar_date"], "left")
-    out = out.join(correlations(by_sector), ["symbol", "bar_date"], "left")
-    carried = series().rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumns({c: F.last(c, ignorenulls=True).over(carried) for c in ("corr20", "corr120")})
+    bars = adjusted(bars)
+    market = bars.where("kind = 'market'").select("bar_date", F.col("close").alias("market_close"))
+    sector = bars.where("kind = 'sector'").select("sector", "bar_date", F.col("close").alias("sector_close"))
+    rows = bars.where("kind = 'instrument'").join(market, "bar_date", "left").join(sector, ["sector", "bar_date"], "left")
+    out = regressed(regressed(own_features(rows), "market"), "sector")
+    out = correlated(out, "sector", 20, 120)
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def ready(feats: DataFrame) -> DataFrame:

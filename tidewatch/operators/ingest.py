@@ -11,42 +11,91 @@ WORST_CONFLICT = 0.1
 MAX_MOVE = 0.6
 MAX_GAP_DAYS = 4
 PRICES = ["open", "high", "low", "close"]
+FIELDS = [*PRICES, "close_adj"]
 KEY = ["symbol", "source_id"]
 
 
-def parse_payload(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Rows of a provider's JSON body ``{"values": [{"datetime", "open", ...}]}`` with numbers as strings.
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
-    A body that is not JSON, reports an error or has no values gives no rows; rows without finite prices
-    are dropped, a bad volume counts as 0.
+
+def _checked(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with an array ``usable`` of one value or more, the bodies that gave none with their reason)."""
+    judged = rows.withColumn("reason", F.coalesce(error, F.when(F.size("usable") == 0, "no usable rows in response")))
+    letters = judged.where("reason is not null").select("source_id", "symbol", F.col("__body").alias("payload"), "reason")
+    return judged.where("reason is null"), letters
+
+
+def parse_values(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(bars, dead letters) of provider bodies ``{"values": [{"datetime", "open", ...}]}`` with numbers as strings.
+
+    A body that is not JSON, reports an error (a status or a code) or has no usable row becomes a dead letter with its
+    reason. Rows without finite prices are dropped, a bad volume counts as 0. The feed is adjusted already, so
+    its close is the adjusted close too. ``bars`` are sorted by day within each body.
+    """
+    schema = "status string, code string, message string, values array<struct<datetime string, open string, high string, low string, close string, volume string>>"
+    rows = raw.select("symbol", "source_id", F.col(body).alias("__body"), F.from_json(body, schema).alias("b"))
+
+    def number(v: Column) -> Column:
+        return v.try_cast("double")
+
+    made = F.transform("b.values", lambda v: F.struct(
+        F.substring(v["datetime"], 1, 10).try_cast("date").alias("bar_date"), *[number(v[c]).alias(c) for c in PRICES], number(v["close"]).alias("close_adj"), number(v["volume"]).alias("volume")
+    ))
+    rows = rows.withColumn("usable", F.filter(F.coalesce(made, F.array().cast("array<struct<bar_date date, open double, high double, low double, close double, close_adj double, volume double>>")), _usable))
+    error = F.coalesce(
+        F.when(F.col("b").isNull(), "not a JSON object"),
+        F.when((F.col("b.status") == "error") | F.col("b.code").isNotNull(), F.coalesce("b.message", F.concat(F.lit("error code "), "b.code"), F.lit("error"))),
+        F.when(F.col("b.values").isNull() | (F.size("b.values") == 0), "no values in response"),
+    )
+    good, letters = _checked(rows, error)
+    bars = good.select("symbol", "source_id", F.inline(F.array_sort("usable")))
+    return bars.withColumn("volume", F.when(_finite("volume"), F.col("volume")).otherwise(0.0)), letters
+
+
+def _usable(v: Column) -> Column:
+    out = F.lit(True)
+    for c in PRICES:
+        out = out & F.coalesce(~F.isnan(v[c]) & (F.abs(v[c]) < float("inf")), F.lit(False))
+    return out
+
+
+def parse_array(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(bars, dead letters) of provider bodies ``[{"date", "open", ..., "splitFactor"}]`` with unadjusted numbers.
+
+    Prices are divided and volumes multiplied by all later split factors, then rounded to six places and to whole shares.
+    A body that is no array, is empty or has no usable row becomes a dead letter.
     """
-    schema = "status string, message string, values array<struct<datetime string, open string, high string, low string, close string, volume string>>"
-    rows = raw.select("symbol", "source_id", F.from_json(body, schema).alias("b")).where("b.values is not null and coalesce(b.status, 'ok') <> 'error'")
-    rows = rows.select("symbol", "source_id", F.explode_outer("b.values").alias("v")).where("v is not null")
-    number = {c: F.expr(f"try_cast(v.{c} as double)") for c in [*PRICES, "volume"]}
-    out = rows.select("symbol", "source_id", F.expr("try_cast(substring(v.datetime, 1, 10) as date)").alias("bar_date"), *[n.alias(c) for c, n in number.items()])
-    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in PRICES]
-    volume = F.when(F.col("volume").isNull() | F.isnan("volume") | (F.abs("volume") == float("inf")), 0.0).otherwise(F.col("volume"))
-    return out.where(finite[0] & finite[1] & finite[2] & finite[3]).withColumn("volume", volume)
+    schema = "array<struct<date string, open double, high double, low double, close double, volume double, splitFactor double>>"
+    rows = raw.select("symbol", "source_id", F.col(body).alias("__body"), F.from_json(body, schema).alias("b"))
+    rows = rows.withColumn("usable", F.filter(F.coalesce("b", F.array().cast(schema)), _usable))
+    error = F.coalesce(
+        F.when(F.col("b").isNull() | ~F.ltrim("__body").startswith("["), "expected an array of prices"), F.when(F.size("b") == 0, "no rows in response")
+    )
+    good, letters = _checked(rows, error)
+    bars = good.select("symbol", "source_id", F.inline("usable")).withColumns({"bar_date": F.substring("date", 1, 10).try_cast("date"), "close_adj": F.col("close"), "volume": F.coalesce("volume", F.lit(0.0))})
+    return split_adjusted(bars, "splitFactor").drop("date", "splitFactor"), letters
 
 
 def split_adjusted(bars: DataFrame, factor: str = "split_factor") -> DataFrame:
     """Prices divided and volumes multiplied by all later split factors; invalid factors count as 1."""
-    valid = F.when((F.col(factor) > 0) & ~F.isnan(factor), F.col(factor)).otherwise(1.0)
+    valid = F.when((F.col(factor) > 0) & ~F.isnan(factor) & (F.abs(factor) < float("inf")), F.col(factor)).otherwise(1.0)
     later = Window.partitionBy(*KEY).orderBy("bar_date").rowsBetween(1, Window.unboundedFollowing)
     total = F.coalesce(F.exp(F.sum(F.ln(valid)).over(later)), F.lit(1.0))
     out = bars.withColumn("__by", total)
-    return out.withColumns({c: F.round(F.col(c) / F.col("__by"), 6) for c in PRICES} | {"volume": F.round(F.col("volume") * F.col("__by"))}).drop("__by")
+    prices = [c for c in FIELDS if c in bars.columns]
+    return out.withColumns({c: F.round(F.col(c) / F.col("__by"), 6) for c in prices} | {"volume": F.floor(F.col("volume") * F.col("__by") + 0.5).cast("double")}).drop("__by")
 
 
 def first_problem(today: Column) -> Column:
-    """The first rule that a single bar breaks, or null; the order of rules is fixed."""
-    rules = [F.when(F.col("bar_date").isNull(), "malformed date")]
-    for c in PRICES:
-        rules.append(F.when(F.col(c).isNull() | F.isnan(c), f"{c} is not finite"))
+    """The first rule that a single bar breaks, or null; the order of rules is fixed. (A repeated date, which comes after
+    a malformed one, depends on other bars: see :func:`validated`.)"""
+    rules = []
+    for c in FIELDS:
+        rules.append(F.when(~F.coalesce(_finite(c), F.lit(False)), f"{c} is not finite"))
         rules.append(F.when(F.col(c) <= 0, f"{c} is not positive"))
     rules += [
-        F.when(F.col("volume").isNull() | F.isnan("volume") | (F.col("volume") < 0), "volume is not valid"),
+        F.when(~F.coalesce(_finite("volume") & (F.col("volume") >= 0), F.lit(False)), "volume is not valid"),
         F.when(F.col("high") < F.col("low"), "high below low"),
         F.when(F.col("high") < F.greatest("open", "close"), "high below open or close"),
         F.when(F.col("low") > F.least("open", "close"), "low above open or close"),
@@ -59,36 +108,39 @@ def validated(bars: DataFrame, today: Column) -> DataFrame:
     """``bars`` with ``problem``: null where accepted.
 
     Whether a bar repeats a date or moves too far depends on the last *accepted* bar, so each series is
-    folded in order of date, then of its other columns. A series is one provider's daily history of one symbol, which bounds the array.
+    folded in order of date, then of its other columns. A series is one provider's daily history of one symbol, which
+    bounds the array; the fold carries the last accepted bar and only what it rejects.
     """
     rows = bars.withColumn("static", first_problem(today))
     item = F.struct("bar_date", *[c for c in rows.columns if c not in [*KEY, "bar_date"]])
     series = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
     empty = F.struct(
-        F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.array().cast("array<string>").alias("out")
+        F.lit(0).alias("i"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")).alias("bad")
     )
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.datediff(x["bar_date"], acc["day"])
-        jump = F.abs(F.try_divide(x["close"], acc["close"]) - 1) > MAX_MOVE
+        leap = (gap > 0) & (gap <= MAX_GAP_DAYS) & (F.abs(F.try_divide(x["close"], acc["close"]) - 1) > MAX_MOVE)
         problem = F.coalesce(
-            F.when(x["bar_date"].isNull(), "malformed date"),
-            F.when(x["bar_date"] == acc["day"], "duplicate date"),
-            x["static"],
-            F.when((gap > 0) & (gap <= MAX_GAP_DAYS) & jump, "implausible move"),
-            F.lit(""),
+            F.when(x["bar_date"].isNull(), "malformed date"), F.when(x["bar_date"] == acc["day"], "duplicate date"), x["static"], F.when(leap, "implausible move")
         )
-        good = problem == ""
+        good = problem.isNull()
         return F.struct(
-            F.when(good, x["bar_date"]).otherwise(acc["day"]).alias("day"), F.when(good, x["close"]).otherwise(acc["close"]).alias("close"),
-            F.concat(acc["out"], F.array(problem)).alias("out"),
+            (acc["i"] + 1).alias("i"), F.when(good, x["bar_date"]).otherwise(acc["day"]).alias("day"), F.when(good, x["close"]).otherwise(acc["close"]).alias("close"),
+            F.when(good, acc["bad"]).otherwise(F.map_concat(acc["bad"], F.create_map(acc["i"], F.coalesce(problem, F.lit(""))))).alias("bad"),
         )
 
-    judged = series.withColumn("problems", F.aggregate("items", empty, step, lambda acc: acc["out"]))
-    out = judged.select(*KEY, F.inline(F.arrays_zip("items", "problems"))).select(*KEY, "items.*", F.nullif("problems", F.lit("")).alias("problem"))
+    judged = series.withColumn("bad", F.aggregate("items", empty, step, lambda acc: acc["bad"]))
+    out = judged.select(*KEY, "bad", F.posexplode("items").alias("__i", "x")).select(*KEY, "x.*", F.try_element_at("bad", F.col("__i")).alias("problem"))
     return out.select(*bars.columns, "problem")
 
 
+def dead_letters(judged: DataFrame) -> DataFrame:
+    """(source_id, symbol, payload, reason) of rejected bars, the bar itself as JSON."""
+    fields = [c for c in judged.columns if c not in ("problem", "trust_rank", *KEY)]
+    return judged.where("problem is not null").select("source_id", "symbol", F.to_json(F.struct(*fields)).alias("payload"), F.col("problem").alias("reason"))
+
+
 def relative_delta(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(a - b), F.nullif(F.greatest(F.abs(a), F.abs(b)), F.lit(0.0))), F.lit(0.0))
 
@@ -107,7 +159,8 @@ def conflicts(bars: DataFrame) -> DataFrame:
                  F.lit(VOLUME_TOLERANCE if c == "volume" else PRICE_TOLERANCE).alias("tolerance"))
         for c in [*PRICES, "volume"]
     ]
-    return rows.select("symbol", "bar_date", F.col("p_source").alias("primary_source"), F.col("source_id").alias("other_source"), F.inline(F.array(*fields))).where("delta > tolerance")
+    # the primary's value is what is stored
+    return rows.select("symbol", "bar_date", F.col("p_source").alias("primary_source"), F.col("source_id").alias("other_source"), F.inline(F.array(*fields))).where("delta > tolerance").withColumn("resolved_to", F.col("primary_source"))
 
 
 def reconciled(bars: DataFrame) -> DataFrame:
@@ -122,7 +175,7 @@ def reconciled(bars: DataFrame) -> DataFrame:
     }).where("nth = 1")
     graded = 1 - (F.col("worst") - PRICE_TOLERANCE) / (WORST_CONFLICT - PRICE_TOLERANCE) / 2
     confidence = F.when(F.col("n_sources") == 1, 0.9).when(F.col("worst").isNull(), 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.round(graded, 3))))
-    return rows.select("symbol", "bar_date", "source_id", *PRICES, "volume", confidence.alias("confidence"), F.col("worst").isNull().alias("confirmed"), "n_sources", "sources")
+    return rows.select("symbol", "bar_date", "source_id", *[c for c in FIELDS if c in bars.columns], "volume", confidence.alias("confidence"), F.col("worst").isNull().alias("confirmed"), "n_sources", "sources")
 
 
 def gaps_filled(bars: DataFrame, primary_rank: int = 1) -> DataFrame:
@@ -140,3 +193,55 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], version: str) -> D
     both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     latest = Window.partitionBy(*key).orderBy(F.col(version).desc(), F.col("__new").desc())
     return both.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "__new")
+
+
+def runs(asked: DataFrame, judged: DataFrame, failures: DataFrame, n_sources: int = 2) -> DataFrame:
+    """(symbol, status, rows_in, rows_rejected, note): how the ingestion of each asked symbol ended.
+
+    ``ok`` if every source gave usable bars, ``partial`` if some did, ``failed`` if none did; always one of them, also
+    where every source failed. ``failures`` holds (source_id, symbol, reason) of bodies that could not be read.
+    """
+    good = judged.where("problem is null").groupBy("symbol").agg(F.countDistinct("source_id").alias("given"), F.countDistinct("bar_date").alias("rows_in"))
+    bad = judged.where("problem is not null").groupBy("symbol").agg(F.count("*").alias("rows_rejected"))
+    why = failures.groupBy("symbol").agg(F.concat_ws("; ", F.array_sort(F.collect_set(F.concat_ws(": ", "source_id", "reason")))).alias("note"))
+    out = asked.select("symbol").distinct().join(good, "symbol", "left").join(bad, "symbol", "left").join(why, "symbol", "left")
+    given = F.coalesce("given", F.lit(0))
+    status = F.when(given >= n_sources, "ok").when(given > 0, "partial").otherwise("failed")
+    return out.select("symbol", status.alias("status"), F.coalesce("rows_in", F.lit(0)).alias("rows_in"), F.coalesce("rows_rejected", F.lit(0)).alias("rows_rejected"), "note")
+
+
+def run_totals(finished: DataFrame) -> DataFrame:
+    """One row: sums over runs, and how many ended each way."""
+    ended = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "partial", "failed")]
+    return finished.agg(F.count("*").alias("runs"), *ended, F.sum("rows_in").alias("rows_in"), F.sum("rows_rejected").alias("rows_rejected"))
+
+
+def freshness(attempts: DataFrame) -> DataFrame:
+    """(source_id, kind, last_success, last_attempt, consecutive_failures, last_error) from attempts
+    (source_id, kind, at, error): failures since the last success count, and a success clears the error."""
+    of_source = Window.partitionBy("source_id", "kind")
+    rows = attempts.withColumn("good", F.max(F.when(F.col("error").isNull(), F.col("at"))).over(of_source))
+    failed = F.col("error").isNotNull() & (F.col("good").isNull() | (F.col("at") > F.col("good")))
+    return rows.groupBy("source_id", "kind").agg(
+        F.max("good").alias("last_success"), F.max("at").alias("last_attempt"), F.count_if(failed).alias("consecutive_failures"), F.max_by("error", F.when(failed, F.struct("at", "error"))).alias("last_error")
+    )
+
+
+def source_health(sources: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Every known source (source_id, kind, trust_rank) with its freshness, those never tried included."""
+    return sources.join(fresh, ["source_id", "kind"], "left")
+
+
+def stalest(fresh: DataFrame) -> DataFrame:
+    """The one source whose last success is the oldest; sources that never succeeded come last."""
+    return fresh.orderBy(F.col("last_success").asc_nulls_last(), "source_id").limit(1)
+
+
+def padded(bars: DataFrame, windows: DataFrame, sessions: int = 320) -> DataFrame:
+    """Bars inside any of the windows (name, low, high), each extended backward by so many sessions of the symbol.
+
+    Each window gives one range of positions a symbol; a bar is kept once, however many ranges hold it."""
+    place = Window.partitionBy("symbol").orderBy("bar_date")
+    rows = bars.withColumn("__n", F.row_number().over(place))
+    ranges = rows.join(F.broadcast(windows), F.col("bar_date").between(F.col("low"), F.col("high"))).groupBy("symbol", "name").agg((F.min("__n") - sessions).alias("a"), F.max("__n").alias("b"))
+    return rows.join(ranges.select("symbol", "a", "b"), (rows["symbol"] == ranges["symbol"]) & F.col("__n").between(F.col("a"), F.col("b")), "left_semi").drop("__n")

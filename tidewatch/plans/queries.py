@@ -1,56 +1,33 @@
-"""The registered queries of the engine, each with its DuckDB SQL where SQL can say the same."""
+"""The registered queries over bars, features, detectors, scores, themes and calibration, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
-from tidewatch.operators import brief, detect, features, ingest, score, themes
-from tidewatch.plans import oracle
-from tidewatch.sources import market
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-
-    return keep
-
-
-# adding 0.0 turns a negative zero into zero
-def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
-
-
-def _r(digits: int, *names: str) -> str:
-    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
+from tidewatch.functions import stats
+from tidewatch.functions.expr import SEVERITIES
+from tidewatch.operators import detect, features, score, themes
+from tidewatch.plans import oracle, registry
+from tidewatch.plans.registry import DAY, ORACLES, QUERIES, dated, register, round_sql, rounded
 
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---- bars and features -------------------------------------------------------------------------
 
 
-@register("bars_daily", oracle.bars_sql(f"SELECT symbol, kind, sector, CAST(bar_date AS VARCHAR) AS bar_date, {_r(4, 'open', 'high', 'low', 'close')}, volume, confidence, confirmed FROM bars"))
+@register("bars_daily", oracle.bars_sql(f"SELECT symbol, kind, sector, CAST(bar_date AS VARCHAR) AS bar_date, {round_sql(4, 'open', 'high', 'low', 'close', 'close_adj')}, volume, confidence, confirmed FROM bars"))
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rounded(market.bars(spark, sf_dir), 4, "open", "high", "low", "close")
+    df = rounded(registry.bars(spark, sf_dir), 4, "open", "high", "low", "close", "close_adj")
     return df.withColumn("bar_date", F.col("bar_date").cast("string"))
 
 
 def _feature_query(name: str, digits: int, *columns: str) -> None:
-    sql = oracle.feats_sql(f"SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, {_r(digits, *columns)} FROM feats WHERE rn >= 60")
+    sql = oracle.feats_sql(f"SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, {round_sql(digits, *columns)} FROM feats WHERE rn >= 60")
 
     @register(name, sql)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = features.ready(features.features(market.bars(spark, sf_dir)))
+        df = features.ready(registry.features(spark, sf_dir))
         return rounded(df.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), *columns), digits, *columns)
 
 
@@ -62,28 +39,88 @@ _feature_query("feat_rvol", 6, "median_volume20", "rvol", "rvol_past")
 _feature_query("feat_beta_market", 4, "beta_market", "resid_market", "resid_std_market")
 _feature_query("feat_beta_sector", 4, "beta_sector", "resid_sector", "resid_std_sector")
 _feature_query("feat_corr_sector", 4, "corr20", "corr120")
-_feature_query("feat_rv10_pct", 6, "rv10_pct")
+
+
+@register("feat_rv10_pct", oracle.feats_sql(f"SELECT symbol, {DAY}, round(rv10_pct, 6) AS rv10_pct FROM feats WHERE rn >= 60"))
+def feat_rv10_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = registry.features(spark, sf_dir)
+    wanted = features.ready(rows)
+    out = wanted.join(features.rank_share(rows, wanted), ["symbol", "rn"], "left")
+    return dated(rounded(out.select("symbol", "bar_date", "rv10_pct"), 6, "rv10_pct"))
+
+
+@register("feat_move_sigmas", oracle.feats_sql(f"""SELECT f.symbol, CAST(f.bar_date AS VARCHAR) AS bar_date, nullif(least(1 + f.rn % 40, least(f.rn, 300) - 1), 0) AS sessions_used,
+  round(ln(f.close / nullif(g.close, 0)) / nullif(f.sigma20 * sqrt(least(1 + f.rn % 40, least(f.rn, 300) - 1)), 0), 5) + 0.0 AS move_sigmas
+FROM feats f LEFT JOIN feats g ON g.symbol = f.symbol AND g.rn = f.rn - least(1 + f.rn % 40, least(f.rn, 300) - 1)"""))
+def feat_move_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The move over 1 to 40 sessions, another number on each day."""
+    out = features.moved(registry.features(spark, sf_dir), 1 + F.col("rn") % 40)
+    return dated(rounded(out.select("symbol", "bar_date", "sessions_used", "move_sigmas"), 5, "move_sigmas"))
+
+
+@register("feat_samples", oracle.feats_sql(f"""SELECT symbol, {DAY}, len(a) AS n_returns, round(list_avg(a), 6) AS mean_abs_return, round(v, 6) AS vol30, len(s) AS n_closes, s[1] AS oldest_close FROM (
+  SELECT symbol, bar_date, list_filter(list(abs(log_ret)) {oracle._last(90)}, lambda x: x IS NOT NULL) AS a, {oracle._full('stddev_samp(log_ret)', 'log_ret', 30)} AS v, list(close) {oracle._last(20)} AS s FROM feats)"""))
+def feat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute returns of 90 days, volatility over 30, and the sparkline of 20 closes, as figures of each."""
+    rows = features.sparkline(features.vol_over(features.abs_returns(registry.features(spark, sf_dir)), 30))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    mean = F.try_divide(total("abs_return_sample"), F.nullif(F.size("abs_return_sample"), F.lit(0)))
+    out = rows.select("symbol", "bar_date", F.size("abs_return_sample").alias("n_returns"), mean.alias("mean_abs_return"), F.col("vol_over").alias("vol30"), F.size("sparkline").alias("n_closes"), F.col("sparkline")[0].alias("oldest_close"))
+    return dated(rounded(out, 6, "mean_abs_return", "vol30"))
+
+
+@register("feat_benchmark_sigmas", oracle.bars_sql(f"""SELECT {DAY}, CASE WHEN rn < 22 THEN 0 ELSE round(coalesce(r / nullif(stddev_samp(r) OVER (ORDER BY bar_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0), 0), 5) + 0.0 END::DOUBLE AS sigmas
+FROM (SELECT bar_date, row_number() OVER (ORDER BY bar_date) AS rn, ln(close / nullif(lag(close) OVER (ORDER BY bar_date), 0)) AS r FROM adj WHERE kind = 'market')"""))
+def feat_benchmark_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    market_bars = features.adjusted(registry.bars(spark, sf_dir)).where("kind = 'market'")
+    return dated(rounded(themes.session_sigmas(features.returns(market_bars)).select("bar_date", "sigmas"), 5, "sigmas"))
+
+
+# ---- statistics over groups --------------------------------------------------------------------
+
+
+@register("stats_quantiles", oracle.feats_sql("SELECT symbol, " + ", ".join(f"round(quantile_cont(log_ret, {q}), 6) + 0.0 AS {n}" for n, q in (("q00", 0), ("q05", 0.05), ("q30", 0.3), ("q95", 0.95), ("q100", 1))) + " FROM feats GROUP BY symbol"))
+def stats_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = {"q00": -0.5, "q05": 0.05, "q30": 0.3, "q95": 0.95, "q100": 1.5}
+    out = registry.features(spark, sf_dir).groupBy("symbol").agg(*[stats.quantile("log_ret", q).alias(n) for n, q in asked.items()])
+    return rounded(out, 6, *asked)
+
+
+@register("stats_winsorized", oracle.feats_sql("""SELECT symbol, count(log_ret) AS n, round(sum(greatest(lo, least(hi, log_ret))), 5) + 0.0 AS total, round(max(greatest(lo, least(hi, log_ret))), 6) AS top
+FROM feats JOIN (SELECT symbol AS s, quantile_cont(log_ret, 0.005) AS lo, quantile_cont(log_ret, 0.995) AS hi FROM feats GROUP BY symbol) ON symbol = s WHERE log_ret IS NOT NULL GROUP BY symbol"""))
+def stats_winsorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.winsorized(registry.features(spark, sf_dir), "log_ret", ["symbol"]).groupBy("symbol")
+    return rows.agg(F.count("log_ret").alias("n"), (F.round(F.sum("log_ret"), 5) + 0.0).alias("total"), F.round(F.max("log_ret"), 6).alias("top"))
+
+
+@register("stats_pairwise_correlation", oracle.sql("""SELECT sector, yr, count(DISTINCT a) AS n_series, round(avg(r), 5) + 0.0 AS mean_r FROM (
+  SELECT x.sector, x.yr, x.symbol AS a, y.symbol AS b, regr_sxy(x.v, y.v) / nullif(sqrt(regr_sxx(x.v, y.v) * regr_syy(x.v, y.v)), 0) AS r
+  FROM s2 x JOIN s2 y ON x.sector = y.sector AND x.yr = y.yr AND x.symbol <> y.symbol AND x.back = y.back WHERE x.back <= x.shortest GROUP BY ALL)
+GROUP BY sector, yr""", oracle.BARS, oracle.FEATS, """
+s0 AS (SELECT sector, symbol, year(bar_date) AS yr, bar_date, log_ret AS v FROM feats WHERE log_ret IS NOT NULL),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, yr ORDER BY bar_date DESC) AS back, count(*) OVER (PARTITION BY symbol, yr) AS n FROM s0),
+s2 AS (SELECT *, min(n) OVER (PARTITION BY sector, yr) AS shortest FROM s1 WHERE n >= 2)"""))
+def stats_pairwise_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean correlation of the names of each sector and year."""
+    rows = registry.features(spark, sf_dir).withColumn("yr", F.year("bar_date"))
+    out = stats.mean_pairwise_correlation(rows, ["sector", "yr"], "symbol", "bar_date", "log_ret").where("n_series > 1")
+    return out.select("sector", "yr", "n_series", (F.round("mean_r", 5) + 0.0).alias("mean_r"))
 
 
 @register("feat_quality", oracle.feats_sql("SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, worst_confidence, all_confirmed FROM feats WHERE rn >= 60"))
 def feat_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features.ready(features.own_features(market.bars(spark, sf_dir).where("kind = 'instrument'")))
+    df = features.ready(registry.features(spark, sf_dir))
     return df.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "worst_confidence", "all_confirmed")
 
 
 # ---- detectors and scores ----------------------------------------------------------------------
 
 
-def found(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
-    feats = detect.with_earnings(features.features(market.bars(spark, sf_dir) if bars is None else bars))
-    return detect.candidates(features.ready(feats))
-
-
 CAND_COLUMNS = "symbol, sector, CAST(bar_date AS VARCHAR) AS bar_date, position, detector, family, direction, round(magnitude, 4) AS magnitude, round(strength, 4) AS strength"
 
 
 def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).select(
+    return registry.candidates(spark, sf_dir).select(
         "symbol", "sector", F.col("bar_date").cast("string").alias("bar_date"), "position", "detector", "family", "direction",
         F.round("magnitude", 4).alias("magnitude"), F.round("strength", 4).alias("strength"),
     )
@@ -97,129 +134,69 @@ for _d in ("move_since_last_seen", "volume_spike", "sector_divergence", "range_b
     )
 
 
+@register("detect_headlines", oracle.cands_sql(f"SELECT symbol, {DAY}, detector, signal_key, signal_label, round(signal_value, 4) + 0.0 AS signal_value, headline FROM cands"))
+def detect_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every candidate says."""
+    return dated(rounded(registry.candidates(spark, sf_dir).select("symbol", "bar_date", "detector", "signal_key", "signal_label", "signal_value", "headline"), 4, "signal_value"))
+
+
 @register("score_events", oracle.scores_sql("SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, detector, direction, round(score, 1) AS score, severity, fingerprint FROM events_scored"))
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.score_events(found(spark, sf_dir)).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "detector", "direction", F.round("score", 1).alias("score"), "severity", "fingerprint")
+    return registry.events(spark, sf_dir).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "detector", "direction", F.round("score", 1).alias("score"), "severity", "fingerprint")
 
 
 @register("score_days", oracle.scores_sql("SELECT symbol, sector, CAST(bar_date AS VARCHAR) AS bar_date, n_events, round(score, 1) AS score, severity FROM days"))
 def score_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.score_days(found(spark, sf_dir)).select("symbol", "sector", F.col("bar_date").cast("string").alias("bar_date"), "n_events", F.round("score", 1).alias("score"), "severity")
+    return registry.days(spark, sf_dir).select("symbol", "sector", F.col("bar_date").cast("string").alias("bar_date"), "n_events", F.round("score", 1).alias("score"), "severity")
 
 
 @register("severity_histogram", oracle.scores_sql("SELECT s.severity, count(d.symbol) AS n_days FROM (VALUES ('NOISE'), ('INFO'), ('WATCH'), ('IMPORTANT'), ('CRITICAL')) s(severity) LEFT JOIN days d ON s.severity = d.severity GROUP BY s.severity"))
 def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewatch.functions.expr import SEVERITIES
-
-    days = score.score_days(found(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
+    days = registry.days(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(s,) for s in SEVERITIES], "severity string")
     return every.join(days, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n_days"))
 
 
-# ---- ingest ------------------------------------------------------------------------------------
-
-
-PROVIDERS = f"""{oracle.BARS}, own AS (SELECT *, (bar_date - DATE '1970-01-01') + length(symbol) AS day FROM bars WHERE kind = 'instrument'),
-given AS (
-  SELECT 'alpha' AS source_id, 1 AS trust_rank, symbol, bar_date, open, high, low, close, volume::DOUBLE AS volume FROM own WHERE day % 31 <> 0
-  UNION ALL
-  SELECT 'beta', 2, symbol, bar_date, round(open * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4), round(high * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4),
-    round(low * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4), round(close * (1 + (day % 11 - 5) / 990.0::DOUBLE) + 1e-7, 4), round(volume * (1 + (day % 7) / 10.0::DOUBLE)) FROM own WHERE day % 17 <> 0
-)"""
-_RD = "coalesce(abs({0} - {1}) / nullif(greatest(abs({0}), abs({1})), 0), 0)"
-
-
-def _rd(field: str) -> str:
-    return _RD.format(f"p_{field}", field)
-
-
-RECONCILED = f"""{PROVIDERS}, ranked AS (
-  SELECT *, row_number() OVER o AS nth, first_value(source_id) OVER o AS p_source, {', '.join(f'first_value({c}) OVER o AS p_{c}' for c in ('open', 'high', 'low', 'close', 'volume'))}
-  FROM given WINDOW o AS (PARTITION BY symbol, bar_date ORDER BY trust_rank, source_id)
-), worst AS (
-  SELECT symbol, bar_date, count(*) AS n_sources, max(greatest({', '.join(f'CASE WHEN {_rd(c)} > 0.003 THEN {_rd(c)} END' for c in ('open', 'high', 'low', 'close'))})) AS worst,
-    list_sort(list(DISTINCT source_id)) AS sources FROM ranked GROUP BY symbol, bar_date
-)"""
-
-
-@register("ingest_reconcile", "WITH " + RECONCILED + """
-SELECT r.symbol, CAST(r.bar_date AS VARCHAR) AS bar_date, source_id, round(close, 4) AS close, volume,
-  CASE WHEN n_sources = 1 THEN 0.9 WHEN worst IS NULL THEN 1.0 ELSE greatest(0.5, least(1, round(1 - (worst - 0.003) / (0.1 - 0.003) / 2, 3))) END::DOUBLE AS confidence,
-  worst IS NULL AS confirmed, n_sources, array_to_string(sources, ',') AS sources
-FROM ranked r JOIN worst w ON r.symbol = w.symbol AND r.bar_date = w.bar_date WHERE nth = 1""")
-def ingest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ingest.reconciled(market.provider_bars(spark, sf_dir))
-    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "source_id", F.round("close", 4).alias("close"), "volume", "confidence", "confirmed", "n_sources", F.concat_ws(",", "sources").alias("sources"))
-
-
-@register("ingest_conflicts", "WITH " + RECONCILED + ", long AS (" + " UNION ALL ".join(
-    f"SELECT symbol, bar_date, p_source, source_id, '{c}' AS field, {_rd(c)} AS delta, {0.25 if c == 'volume' else 0.003} AS tol FROM ranked WHERE nth > 1" for c in ("open", "high", "low", "close", "volume")
-) + ") SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, p_source AS primary_source, source_id AS other_source, field, round(delta, 5) AS delta FROM long WHERE delta > tol")
-def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ingest.conflicts(market.provider_bars(spark, sf_dir))
-    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "primary_source", "other_source", "field", F.round("delta", 5).alias("delta"))
-
-
-@register("ingest_gaps_filled", "WITH " + PROVIDERS + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date FROM given GROUP BY symbol, bar_date HAVING min(trust_rank) > 1")
-def ingest_gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.gaps_filled(market.provider_bars(spark, sf_dir)).select("symbol", F.col("bar_date").cast("string").alias("bar_date"))
-
-
-@register("ingest_split_adjust", "WITH " + PROVIDERS + """, f AS (SELECT *, CASE WHEN day(bar_date) = 7 AND month(bar_date) % 6 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS split_factor FROM given WHERE source_id = 'beta'),
-g AS (SELECT *, coalesce(exp(sum(ln(split_factor)) OVER (PARTITION BY symbol, source_id ORDER BY bar_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1) AS fac FROM f)
-SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, round(round(close / fac, 6) + 1e-5, 2) AS close FROM g""")
-def ingest_split_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factor = F.when((F.dayofmonth("bar_date") == 7) & (F.month("bar_date") % 6 == 0), 2.0).otherwise(1.0)
-    out = ingest.split_adjusted(market.provider_bars(spark, sf_dir).where("source_id = 'beta'").withColumn("split_factor", factor))
-    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), F.round(F.col("close") + 1e-5, 2).alias("close"))
+@register("score_contributions", oracle.scores_sql("SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, side, place, key, label, family, kind, round(amount, 2) AS amount FROM con", oracle.contributions_sql("context", "con", "symbol, bar_date")))
+def score_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each day has its score: positives, the strongest first, and suppressors, the hardest first."""
+    rows = score.score_days(registry.candidates(spark, sf_dir), explain=True)
+    ups, downs = score.explained(F.col("contributions"))
+    sides = F.array(F.struct(F.lit("positive").alias("side"), ups.alias("c")), F.struct(F.lit("suppressor").alias("side"), downs.alias("c")))
+    out = rows.select("symbol", "bar_date", F.inline(sides)).select("symbol", "bar_date", "side", F.posexplode("c").alias("at", "c"))
+    return dated(out.select("symbol", "bar_date", "side", (F.col("at") + 1).alias("place"), "c.key", "c.label", "c.family", "c.kind", F.round("c.amount", 2).alias("amount")))
 
 
-VALIDATED = "WITH RECURSIVE " + PROVIDERS + """, numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS nth FROM given WHERE source_id = 'alpha'
-), fold AS (
-  SELECT symbol, bar_date, close, nth, '' AS problem, bar_date AS day, close AS kept FROM numbered WHERE nth = 1
-  UNION ALL
-  SELECT n.symbol, n.bar_date, n.close, n.nth, p.problem, CASE WHEN p.problem = '' THEN n.bar_date ELSE f.day END, CASE WHEN p.problem = '' THEN n.close ELSE f.kept END
-  FROM fold f JOIN numbered n ON n.symbol = f.symbol AND n.nth = f.nth + 1,
-    LATERAL (SELECT CASE WHEN n.bar_date - f.day BETWEEN 1 AND 4 AND abs(n.close / f.kept - 1) > 0.6 THEN 'implausible move' ELSE '' END AS problem) p
-)"""
-
-
-@register("ingest_validate", VALIDATED + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, nullif(problem, '') AS problem FROM fold")
-def ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = market.provider_bars(spark, sf_dir).where("source_id = 'alpha'")
-    return ingest.validated(bars, F.lit("2030-01-01").cast("date")).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), "problem")
+_AGE = "((bar_date - DATE '1970-01-01') % 12)"
+_DECAY = f"CASE WHEN {_AGE} <= 0 OR detector = 'earnings_upcoming' THEN 1 ELSE greatest(0.35, pow(2, -{_AGE} / CASE detector WHEN 'move_since_last_seen' THEN 2.0 WHEN 'volume_spike' THEN 2.0 WHEN 'sector_divergence' THEN 3.0 WHEN 'range_break' THEN 4.0 WHEN 'vol_regime_shift' THEN 10.0 ELSE 3.0 END::DOUBLE)) END"
 
 
-@register("ingest_dead_letters", VALIDATED + " SELECT symbol, problem, count(*) AS n FROM fold WHERE problem <> '' GROUP BY ALL")
-def ingest_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_validate(spark, sf_dir).where("problem is not null").groupBy("symbol", "problem").agg(F.count("*").alias("n"))
+@register("score_aged", oracle.scores_sql(f"SELECT symbol, {DAY}, detector, round(score, 1) AS score, severity_rank FROM aged", oracle.score_sql("alone", "aged", detector="detector", age=_AGE, extra=f"{oracle._mult(_DECAY)} * CASE WHEN day(bar_date) % 5 = 0 THEN 0.9 ELSE 1 END")))
+def score_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scored with an age of 0 to 11 trading days and a macro event on every fifth day of the month."""
+    age, macro = F.datediff("bar_date", F.lit("1970-01-01")) % 12, F.dayofmonth("bar_date") % 5 == 0
+    rows = score.score_events(registry.candidates(spark, sf_dir), age=age, macro=macro)
+    return dated(rows.select("symbol", "bar_date", "detector", F.round("score", 1).alias("score"), "severity_rank"))
 
 
-@register("ingest_insert_if_absent", "WITH " + PROVIDERS + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date FROM given WHERE source_id = 'beta' AND (symbol, bar_date) NOT IN (SELECT (symbol, bar_date) FROM given WHERE source_id = 'alpha')")
-def ingest_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = market.provider_bars(spark, sf_dir)
-    out = ingest.insert_if_absent(given.where("source_id = 'beta'"), given.where("source_id = 'alpha'"), ["symbol", "bar_date"])
-    return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"))
-
-
-@register("basis_diagnostic", "WITH " + PROVIDERS + """ SELECT a.symbol, count(*) AS n, round(avg(b.close / a.close), 5) AS mean_ratio FROM given a JOIN given b
-ON a.symbol = b.symbol AND a.bar_date = b.bar_date AND a.source_id = 'alpha' AND b.source_id = 'beta' GROUP BY a.symbol""")
-def basis_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = market.provider_bars(spark, sf_dir)
-    a = given.where("source_id = 'alpha'").select("symbol", "bar_date", F.col("close").alias("a"))
-    b = given.where("source_id = 'beta'").select("symbol", "bar_date", F.col("close").alias("b"))
-    return a.join(b, ["symbol", "bar_date"]).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") / F.col("a")), 5).alias("mean_ratio"))
+@register("score_similar", oracle.scores_sql(f"""SELECT symbol, {DAY}, detector, coalesce(lag(direction) OVER e = direction AND abs(score - lag(score) OVER e) < 15, false) AS says_the_same
+FROM events_scored WINDOW e AS (PARTITION BY symbol, detector ORDER BY bar_date)"""))
+def score_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an event says the same as the one before it of its name and detector."""
+    order = Window.partitionBy("symbol", "detector").orderBy("bar_date")
+    before = [F.lag(c).over(order) for c in ("detector", "direction", "score")]
+    same = score.materially_similar(*before, F.col("detector"), F.col("direction"), F.col("score"))
+    return dated(registry.events(spark, sf_dir).select("symbol", "bar_date", "detector", F.coalesce(same, F.lit(False)).alias("says_the_same")))
 
 
 # ---- themes ------------------------------------------------------------------------------------
 
 _S = oracle._last(91)
 SERIES = f"""
-own0 AS (SELECT symbol, bar_date, close, row_number() {oracle.W} AS rn, lag(close) {oracle.W} AS pc, lag(bar_date) {oracle.W} AS pd FROM bars WHERE kind = 'instrument'),
+own0 AS (SELECT symbol, bar_date, close, row_number() {oracle.W} AS rn, lag(close) {oracle.W} AS pc, lag(bar_date) {oracle.W} AS pd FROM adj WHERE kind = 'instrument'),
 own1 AS (
   SELECT o.*, ln(o.close / nullif(pc, 0)) AS lr, ln(m1.close / nullif(m0.close, 0)) AS x FROM own0 o
-  LEFT JOIN bars m1 ON m1.kind = 'market' AND m1.bar_date = o.bar_date LEFT JOIN bars m0 ON m0.kind = 'market' AND m0.bar_date = o.pd
+  LEFT JOIN adj m1 ON m1.kind = 'market' AND m1.bar_date = o.bar_date LEFT JOIN adj m0 ON m0.kind = 'market' AND m0.bar_date = o.pd
 ), own2 AS (
   SELECT *, CASE WHEN x IS NOT NULL THEN lr END AS y FROM own1
 ), own3 AS (
@@ -235,240 +212,100 @@ own1 AS (
 )"""
 
 
-def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bars = market.bars(spark, sf_dir)
-    return score.score_days(found(spark, sf_dir)), themes.member_series(bars)
-
-
 @register("theme_members", oracle.scores_sql("SELECT symbol, sector, CAST(bar_date AS VARCHAR) AS bar_date, direction, round(score, 1) AS score, round(move_sigmas, 4) AS move_sigmas, round(explained, 4) + 0.0 AS explained, len(residuals) AS n_residuals FROM mem", SERIES))
 def theme_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = themes.members(*_members(spark, sf_dir))
+    out = registry.members(spark, sf_dir)
     return out.select("symbol", "sector", F.col("bar_date").cast("string").alias("bar_date"), "direction", F.round("score", 1).alias("score"), F.round("move_sigmas", 4).alias("move_sigmas"), (F.round("explained", 4) + 0.0).alias("explained"), F.size("residuals").alias("n_residuals"))
 
 
-THEMES = """
-grp AS (SELECT *, count(*) OVER g AS size_of, min(CASE WHEN len(residuals) >= 20 THEN len(residuals) END) OVER g AS shortest FROM mem WINDOW g AS (PARTITION BY bar_date, sector, direction)),
-big AS (SELECT * FROM grp WHERE size_of >= 3),
+def themes_sql(least: int = 3, window: int = 1) -> str:
+    """Subqueries up to ``themes``: pairs of members are compared one by one."""
+    timing = "1.0::DOUBLE" if window == 1 else f"greatest(0, least(1, 1 - spread / {window - 1}::DOUBLE))"
+    return f"""
+wmem AS (SELECT *, bar_date - CAST((bar_date - DATE '1970-01-01') % {window} AS INTEGER) AS window_start FROM mem),
+grp AS (SELECT *, count(*) OVER g AS size_of, min(CASE WHEN len(residuals) >= 20 THEN len(residuals) END) OVER g AS shortest, row_number() OVER (PARTITION BY window_start, sector, direction ORDER BY symbol, bar_date) AS nth
+  FROM wmem WINDOW g AS (PARTITION BY window_start, sector, direction)),
+big AS (SELECT * FROM grp WHERE size_of >= {least}),
 pr AS (
-  SELECT a.bar_date, a.sector, a.direction, a.symbol, b.symbol AS other, unnest(a.residuals[-a.shortest:]) AS ra, unnest(b.residuals[-a.shortest:]) AS rb
-  FROM big a JOIN big b ON a.bar_date = b.bar_date AND a.sector = b.sector AND a.direction = b.direction AND a.symbol < b.symbol WHERE len(a.residuals) >= 20 AND len(b.residuals) >= 20
+  SELECT a.window_start, a.sector, a.direction, a.nth, b.nth AS other, unnest(a.residuals[-a.shortest:]) AS ra, unnest(b.residuals[-a.shortest:]) AS rb
+  FROM big a JOIN big b ON a.window_start = b.window_start AND a.sector = b.sector AND a.direction = b.direction AND a.nth < b.nth WHERE len(a.residuals) >= 20 AND len(b.residuals) >= 20
 ), prc AS (
-  SELECT bar_date, sector, direction, symbol, other, regr_sxy(ra, rb) / nullif(sqrt(regr_sxx(ra, rb) * regr_syy(ra, rb)), 0) AS r FROM pr GROUP BY ALL
-), coh AS (SELECT bar_date, sector, direction, avg(r) AS mean_r FROM prc GROUP BY ALL),
+  SELECT window_start, sector, direction, nth, other, regr_sxy(ra, rb) / nullif(sqrt(regr_sxx(ra, rb) * regr_syy(ra, rb)), 0) AS r FROM pr GROUP BY ALL
+), coh AS (SELECT window_start, sector, direction, avg(r) AS mean_r FROM prc GROUP BY ALL),
 th0 AS (
-  SELECT bar_date, sector, direction, count(*) AS n_members, avg(abs(ret)) AS mean_ret, avg(abs(explained)) AS mean_explained, string_agg(symbol, ',' ORDER BY score DESC, symbol) AS members FROM big GROUP BY ALL
+  SELECT window_start, sector, direction, count(*) AS n_members, avg(abs(ret)) AS mean_ret, avg(abs(explained)) AS mean_explained, max(bar_date) - min(bar_date) AS spread,
+    string_agg(symbol, ',' ORDER BY score DESC, symbol, bar_date) AS members FROM big GROUP BY ALL
 ), th1 AS (
-  SELECT t.*, coalesce(greatest(0, least(1, mean_r)), 0) AS coh, least(1, n_members / 5.0) AS sz, greatest(0, least(1, 1 - CASE WHEN mean_ret > 1e-9 THEN mean_explained / mean_ret ELSE 1 END)) AS dis
-  FROM th0 t LEFT JOIN coh c ON t.bar_date = c.bar_date AND t.sector = c.sector AND t.direction = c.direction
-), themes AS (
-  SELECT bar_date, sector, direction, n_members, members, floor(coh * 1000 + 0.5) / 1000 AS cohesion, 1.0::DOUBLE AS timing, floor(sz * 1000 + 0.5) / 1000 AS size, floor(dis * 1000 + 0.5) / 1000 AS distinctness,
-    floor(100 * (0.35 * coh + 0.2 + 0.2 * sz + 0.25 * dis)::DOUBLE * 10 + 0.5) / 10 AS confidence FROM th1
-)"""
-
-
-@register("themes", oracle.scores_sql("SELECT CAST(bar_date AS VARCHAR) AS bar_date, sector, direction, n_members, members, cohesion, size::DOUBLE AS size, distinctness, confidence FROM themes WHERE distinctness >= 0.35 AND confidence >= 45", SERIES, THEMES))
-def themes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return themes.themes(*_members(spark, sf_dir)).withColumn("bar_date", F.col("bar_date").cast("string")).drop("timing")
-
-
-@register("theme_groups", oracle.scores_sql("SELECT CAST(bar_date AS VARCHAR) AS bar_date, sector, direction, n_members, members, round(cohesion, 2) AS cohesion, size::DOUBLE AS size, round(distinctness, 2) AS distinctness FROM themes", SERIES, THEMES.replace("size_of >= 3", "size_of >= 2")))
-def theme_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of every group of two or more, before the gates."""
-    out = themes.themes(*_members(spark, sf_dir), gates=False, least=2).drop("timing", "confidence")
-    return out.withColumns({"bar_date": F.col("bar_date").cast("string"), "cohesion": F.round("cohesion", 2), "distinctness": F.round("distinctness", 2)})
-
-
-# ---- briefs ------------------------------------------------------------------------------------
-
-NOW = "1998-12-31"
-INTENTS = ["CONSIDERING_BUY", "HOLDING", "THEMATIC", "HEDGE", "NONE"]
-
-
-def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watched names of every customer: the own nation and two neighbours; intent by market segment."""
-    customers = market.read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    names = market.instruments(spark, sf_dir).select("n_nationkey", "symbol")
-    rows = customers.select(F.col("c_custkey").alias("user_id"), F.explode(F.array(*[(F.col("c_nationkey") + k) % 25 for k in (0, 1, 2)])).alias("n_nationkey"))
-    intent = F.get(F.array(*[F.lit(i) for i in INTENTS]), (F.col("user_id") % 5).cast("int"))
-    priority = F.get(F.array(F.lit("HIGH"), F.lit("NORMAL"), F.lit("LOW")), (F.col("user_id") % 3).cast("int"))
-    cursor = F.date_sub(F.lit(NOW).cast("date"), (F.lit(5) + (F.col("user_id") + F.col("n_nationkey")) % 26).cast("int"))
-    return rows.join(names, "n_nationkey").select("user_id", "symbol", intent.alias("intent"), priority.alias("priority"), cursor.alias("last_seen"))
-
-
-READERS = f"""
-readers AS (
-  SELECT c_custkey AS user_id, n.n_name AS symbol, {INTENTS!r}[(c_custkey % 5) + 1] AS intent, ['HIGH', 'NORMAL', 'LOW'][(c_custkey % 3) + 1] AS priority,
-    DATE '{NOW}' - CAST(5 + (c_custkey + n.n_nationkey) % 26 AS INTEGER) AS last_seen
-  FROM customer c, (VALUES (0), (1), (2)) k(k) JOIN nation n ON n.n_nationkey = (c.c_nationkey + k.k) % 25
-)"""
-
-
-@register("window_stats", "WITH " + oracle.BARS + "," + READERS + f""",
-w0 AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back FROM bars WHERE kind = 'instrument' AND bar_date <= DATE '{NOW}'),
-w1 AS (SELECT *, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bar_date), 0)) AS r, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS idx FROM w0 WHERE back <= 40),
-w2 AS (SELECT symbol, coalesce(stddev_samp(r), 0) AS sigma, count(*) AS n, list(close ORDER BY bar_date) AS closes, list(bar_date ORDER BY bar_date) AS days FROM w1 GROUP BY symbol),
-w3 AS (SELECT u.user_id, u.symbol, w.*, len(list_filter(days, lambda d: d < u.last_seen)) AS k FROM readers u JOIN w2 w ON u.symbol = w.symbol),
-w4 AS (SELECT *, greatest(0, least(CASE WHEN k >= n THEN n - 2 WHEN k > 0 THEN k - 1 ELSE 0 END, n - 2)) AS base FROM w3)
-SELECT user_id, symbol, round(closes[n] / closes[base + 1] - 1, 5) + 0.0 AS return_pct, round(ln(closes[n] / closes[base + 1]) / nullif(sigma * sqrt(greatest(1, n - 1 - base)), 0), 5) + 0.0 AS sigmas, closes[n] AS last_close FROM w4""")
-def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = market.bars(spark, sf_dir).where(F.col("kind") == "instrument").where(F.col("bar_date") <= F.lit(NOW).cast("date"))
-    return rounded(brief.window_stats(bars, readers(spark, sf_dir)), 5, "return_pct", "sigmas")
-
-
-def _events_and_states(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    events = score.score_events(found(spark, sf_dir) if cands is None else cands).where(F.col("bar_date") <= F.lit(NOW).cast("date"))
-    watch = readers(spark, sf_dir)
-    states = watch.join(events.select("symbol", "fingerprint", "position", "bar_date"), "symbol").where((F.col("user_id") + F.dayofmonth("bar_date") + F.col("position")) % 4 == 0)
-    seen = F.when(F.col("position") % 2 == 0, "SEEN").otherwise("SNOOZED")
-    until = F.date_add(F.lit(NOW).cast("date"), F.when(F.col("user_id") % 2 == 0, 2).otherwise(-2))
-    states = states.where(F.col("bar_date") > F.date_sub(F.lit(NOW).cast("date"), 40)).select("user_id", "fingerprint", seen.alias("status"), until.alias("until")).distinct()
-    return events, states
-
-
-def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, states = _events_and_states(spark, sf_dir)
-    return brief.visible(events, readers(spark, sf_dir), states, F.lit(NOW).cast("date"))
-
-
-def _tilt(family: str) -> str:
-    cases = " ".join(f"WHEN '{i}' THEN {oracle.WEIGHTS[family] * t[family]!r}" for i, t in score.INTENT_TILT.items() if family in t)
-    return f"(CASE intent {cases} ELSE {oracle.WEIGHTS[family]} END)" if cases else str(oracle.WEIGHTS[family])
-
-
-BRIEF = READERS + f""",
-shown AS (
-  SELECT e.*, r.user_id, r.intent, r.priority FROM events_scored e JOIN (SELECT *, min(last_seen) OVER (PARTITION BY user_id) AS cursor FROM readers) r ON e.symbol = r.symbol
-  WHERE e.severity_rank > 0 AND e.bar_date > r.cursor AND e.bar_date <= DATE '{NOW}'
-    AND NOT ((r.user_id + day(e.bar_date) + e.position) % 4 = 0 AND e.bar_date > DATE '{NOW}' - 40 AND (e.position % 2 = 0 OR r.user_id % 2 = 0))
-), itm AS (
-  SELECT user_id, symbol, intent, priority, bool_or(detector = 'earnings_upcoming') AS has_catalyst, bool_or(detector = 'sector_divergence') AS idiosyncratic,
-    min(confidence) AS confidence, bool_and(is_confirmed) AS is_confirmed, count(*) AS n_events, {', '.join(f"max(CASE WHEN family = '{f}' THEN abs(strength) END) AS s_{f}" for f in oracle.WEIGHTS)}
-  FROM shown GROUP BY user_id, symbol, intent, priority
-), {oracle.score_sql('itm', 'its', {f: _tilt(f) for f in oracle.WEIGHTS}, extra="CASE priority WHEN 'HIGH' THEN 1.3 WHEN 'LOW' THEN 0.7 ELSE 1 END")},
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, symbol) AS place FROM its WHERE severity_rank >= 2)"""
-
+  SELECT t.*, coalesce(greatest(0, least(1, mean_r)), 0) AS coh, {timing} AS tim, least(1, n_members / 5.0) AS sz, greatest(0, least(1, 1 - CASE WHEN mean_ret > 1e-9 THEN mean_explained / mean_ret ELSE 1 END)) AS dis
+  FROM th0 t LEFT JOIN coh c ON t.window_start = c.window_start AND t.sector = c.sector AND t.direction = c.direction
+), groups AS (
+  SELECT window_start, window_start + {window - 1} AS window_end, sector, direction, n_members, members, mean_ret, floor(coh * 1000 + 0.5) / 1000 AS cohesion, floor(tim * 1000 + 0.5) / 1000 AS timing, floor(sz * 1000 + 0.5) / 1000 AS size,
+    floor(dis * 1000 + 0.5) / 1000 AS distinctness, floor(100 * (0.35 * coh + 0.2 * tim + 0.2 * sz + 0.25 * dis)::DOUBLE * 10 + 0.5) / 10 AS confidence FROM th1
+), themes AS (SELECT * FROM groups WHERE distinctness >= 0.35 AND confidence >= 45)"""
 
-@register("brief_items", oracle.scores_sql("SELECT user_id, symbol, n_events, round(score, 1) AS score, severity_rank FROM its", BRIEF))
-def brief_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief.items(_visible(spark, sf_dir)).select("user_id", "symbol", "n_events", F.round("score", 1).alias("score"), "severity_rank")
 
+_PARTS = "sector, direction, n_members, members, cohesion, timing::DOUBLE AS timing, size::DOUBLE AS size, distinctness, confidence"
+_SPAN = "CAST(window_start AS VARCHAR) AS window_start, CAST(window_end AS VARCHAR) AS window_end"
+PARTS = ["sector", "direction", "n_members", "members", "cohesion", "timing", "size", "distinctness", "confidence"]
 
-@register("brief_top", oracle.scores_sql("SELECT user_id, place, symbol, round(score, 1) AS score FROM rk WHERE place <= 2", BRIEF))
-def brief_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top-k report of every reader."""
-    out = brief.ranked(brief.items(_visible(spark, sf_dir)), budget=2).where("shown")
-    return out.select("user_id", "place", "symbol", F.round("score", 1).alias("score"))
 
+def _themes(df: DataFrame, *columns: str) -> DataFrame:
+    return dated(df, "window_start", "window_end").select("window_start", "window_end", *columns)
 
-BUDGET = 2
 
-
-# all nine rules, written from the reference; not registered, since the registered SQL stays as it is
-def accounting_facts(budget: int) -> str:
-    """Subqueries up to ``facts``: what the rules need of each reader."""
-    return f"""
-member_theme AS (
-  SELECT m.symbol, m.bar_date, t.sector, t.direction, t.confidence FROM mem m JOIN themes t ON m.bar_date = t.bar_date AND m.sector = t.sector AND m.direction = t.direction
-  WHERE t.distinctness >= 0.35 AND t.confidence >= 45
-), reached AS (
-  SELECT DISTINCT e.user_id, t.bar_date, t.sector, t.direction, t.confidence FROM shown e JOIN member_theme t ON e.symbol = t.symbol AND e.bar_date = t.bar_date
-), story AS (
-  SELECT user_id, count(*) FILTER (direction = 1) AS up, count(*) FILTER (direction = -1) AS down,
-    first(sector ORDER BY confidence DESC, bar_date DESC, sector, direction) AS sector, first(direction ORDER BY confidence DESC, bar_date DESC, sector, direction) AS direction
-  FROM reached GROUP BY user_id
-), placed AS (
-  SELECT rk.user_id, rk.place, r.r_name AS sector FROM rk JOIN nation n ON rk.symbol = n.n_name LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
-), asked AS (
-  SELECT user_id, symbol, last_seen FROM readers UNION ALL SELECT user_id, 'MARKET', min(last_seen) FROM readers GROUP BY user_id
-), b40 AS (
-  SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back FROM bars WHERE kind <> 'sector' AND bar_date <= DATE '{NOW}'
-), r40 AS (
-  SELECT *, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bar_date), 0)) AS r FROM b40 WHERE back <= 40
-), p40 AS (
-  SELECT symbol, stddev_samp(r) AS sigma, count(*) AS n, list(close ORDER BY bar_date) AS closes, list(bar_date ORDER BY bar_date) AS days FROM r40 GROUP BY symbol
-), k40 AS (
-  SELECT a.user_id, a.symbol, p.* EXCLUDE (symbol), len(list_filter(p.days, lambda d: d < a.last_seen)) AS k FROM asked a JOIN p40 p ON a.symbol = p.symbol
-), s40 AS (
-  SELECT *, greatest(0, least(CASE WHEN k >= n THEN n - 2 WHEN k > 0 THEN k - 1 ELSE 0 END, n - 2)) AS base FROM k40
-), stats AS (
-  SELECT user_id, symbol, closes[n] / nullif(closes[base + 1], 0) - 1 AS return_pct, ln(closes[n] / nullif(closes[base + 1], 0)) / nullif(sigma * sqrt(greatest(1, n - 1 - base)), 0) AS sigmas FROM s40
-), facts AS (
-  SELECT w.user_id, w.n_watched, (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id) AS n_surfaced, (SELECT count(*) FROM silenced z WHERE z.user_id = w.user_id) AS n_snoozed,
-    coalesce(t.up, 0) AS up, coalesce(t.down, 0) AS down, t.direction,
-    (SELECT count(*) FROM placed p WHERE p.user_id = w.user_id AND p.sector = t.sector AND p.place <= least(5, {budget})) AS top_share,
-    coalesce(m.sigmas, 0) AS sigmas, coalesce(m.return_pct, 0) AS return_pct,
-    (SELECT count(*) FROM its i JOIN stats s ON i.user_id = s.user_id AND i.symbol = s.symbol WHERE i.user_id = w.user_id AND s.sigmas > 1) / w.n_watched AS breadth
-  FROM (SELECT user_id, count(*) AS n_watched FROM readers GROUP BY user_id) w LEFT JOIN story t ON w.user_id = t.user_id LEFT JOIN stats m ON w.user_id = m.user_id AND m.symbol = 'MARKET'
-)"""
+@register("themes", oracle.scores_sql(f"SELECT {_SPAN}, {_PARTS} FROM themes", SERIES, themes_sql()))
+def themes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _themes(themes.themes(registry.members(spark, sf_dir)), *PARTS)
 
 
-ACCOUNTING = f"""SELECT user_id, n_watched, n_surfaced, least(n_surfaced, {BUDGET}) AS n_shown, n_surfaced - least(n_surfaced, {BUDGET}) AS n_below_budget, n_snoozed,
-  n_watched - n_surfaced - n_snoozed AS n_normal,
-  CASE WHEN n_watched = 0 THEN 'empty_watchlist' WHEN n_surfaced = 0 THEN 'quiet' WHEN up > 0 AND down > 0 THEN 'sector_rotation'
-    WHEN direction IS NOT NULL AND top_share >= 3 AND abs(sigmas) < 0.5 THEN 'sector_specific'
-    WHEN direction IS NOT NULL AND abs(sigmas) >= 0.5 AND sign(return_pct) = direction THEN 'theme_led_market'
-    WHEN breadth >= 0.6 AND abs(sigmas) >= 1.5 THEN 'broad_market' WHEN direction IS NOT NULL THEN 'single_theme'
-    WHEN n_surfaced = 1 THEN 'isolated' ELSE 'scattered' END AS rule
-FROM facts"""
-SILENCED = f"""
-silenced AS (
-  SELECT DISTINCT r.user_id, e.symbol FROM events_scored e JOIN (SELECT *, min(last_seen) OVER (PARTITION BY user_id) AS cursor FROM readers) r ON e.symbol = r.symbol
-  WHERE e.severity_rank > 0 AND e.bar_date > r.cursor AND e.bar_date <= DATE '{NOW}' AND e.bar_date > DATE '{NOW}' - 40
-    AND (r.user_id + day(e.bar_date) + e.position) % 4 = 0 AND e.position % 2 = 1 AND r.user_id % 2 = 0
-    AND NOT EXISTS (SELECT 1 FROM shown v WHERE v.user_id = r.user_id AND v.symbol = e.symbol)
-)"""
-WHOLE_ACCOUNTING = oracle.scores_sql(ACCOUNTING, SERIES, THEMES, BRIEF, SILENCED, accounting_facts(BUDGET))
+@register("theme_groups", oracle.scores_sql(f"SELECT {_SPAN}, {_PARTS} FROM groups", SERIES, themes_sql(2)))
+def theme_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of every group of two or more, before the gates."""
+    return _themes(themes.themes(registry.members(spark, sf_dir), gates=False, least=2), *PARTS)
 
 
-@register("brief_accounting", oracle.scores_sql("""SELECT w.user_id, w.n_watched, coalesce(s.n, 0) AS n_surfaced, least(coalesce(s.n, 0), 2) AS n_shown, w.n_watched - coalesce(s.n, 0) AS n_normal,
-  CASE WHEN w.n_watched = 0 THEN 'empty_watchlist' WHEN coalesce(s.n, 0) = 0 THEN 'quiet' WHEN s.n = 1 THEN 'isolated' ELSE 'scattered' END AS rule
-FROM (SELECT user_id, count(*) AS n_watched FROM readers GROUP BY user_id) w LEFT JOIN (SELECT user_id, count(*) AS n FROM rk GROUP BY user_id) s ON w.user_id = s.user_id""", BRIEF))
-def brief_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged by ``WHOLE_ACCOUNTING``: the registered SQL knows neither themes nor market nor breadth nor snoozed names."""
-    now, watch = F.lit(NOW).cast("date"), stored(readers(spark, sf_dir), "readers")
-    # each part has several uses: written once, since one plan of all of them is more than a small driver holds
-    bars = stored(market.bars(spark, sf_dir), "bars")
-    cands = stored(found(spark, sf_dir, bars), "candidates")
-    events, states = (stored(df, name) for df, name in zip(_events_and_states(spark, sf_dir, cands), ("events", "states"), strict=True))
-    shown = stored(brief.visible(events, watch, states, now), "visible")
-    silenced = stored(brief.snoozed_names(brief.past_cursor(events, watch), shown, states, now), "silenced")
-    days = stored(score.score_days(cands), "days")
-    links = stored(themes.linked(days, themes.member_series(bars)), "links")
-    return brief.accounting(watch, shown, silenced, links, bars.where(F.col("bar_date") <= now), budget=BUDGET)
+@register("themes_multi_day", oracle.scores_sql(f"SELECT {_SPAN}, {_PARTS} FROM groups", SERIES, themes_sql(3, 5)))
+def themes_multi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of three or more over windows of five days, whose timing tells how spread their days are."""
+    return _themes(themes.themes(registry.members(spark, sf_dir), gates=False, window_days=5), *PARTS)
 
 
-@register("state_mark_seen", f"""WITH {READERS.strip()}, seen AS (SELECT user_id, symbol, max(last_seen + 7) AS seen_at FROM readers WHERE user_id % 2 = 0 GROUP BY ALL)
-SELECT r.user_id, r.symbol, CAST(greatest(r.last_seen, s.seen_at) AS VARCHAR) AS last_seen, CASE WHEN s.seen_at > r.last_seen THEN 1 ELSE 0 END AS version FROM readers r LEFT JOIN seen s ON r.user_id = s.user_id AND r.symbol = s.symbol""")
-def state_mark_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cursors = readers(spark, sf_dir).select("user_id", "symbol", "last_seen", F.lit(0).alias("version"))
-    seen = readers(spark, sf_dir).where("user_id % 2 = 0").select("user_id", "symbol", F.date_add("last_seen", 7).alias("seen_at"))
-    return brief.mark_seen(cursors, seen).withColumn("last_seen", F.col("last_seen").cast("string"))
+@register("theme_texts", oracle.scores_sql(f"""SELECT {_SPAN}, sector, direction, CASE WHEN confidence >= 75 THEN 'High' WHEN confidence >= 50 THEN 'Medium' ELSE 'Low' END AS band,
+  concat_ws('; ', CASE WHEN timing >= 0.8 THEN 'Similar timing' ELSE 'Developed over several sessions' END, CASE WHEN cohesion >= 0.5 THEN 'These names historically move together' END,
+    CASE WHEN distinctness >= 0.6 THEN 'Not explained by the broader market' WHEN distinctness <= 0.35 THEN 'Largely tracks a broader market move' END,
+    CASE WHEN mean_ret > 0 THEN 'Average move ' || {oracle._fixed('(mean_ret * 100)', 1)} || '%' END) AS characteristics,
+  n_members || ' of your ' || sector || ' names showed ' || CASE WHEN direction < 0 THEN 'selling pressure' ELSE 'strength' END || ', led by ' || split_part(members, ',', 1) || '.'
+    || CASE WHEN distinctness >= 0.6 THEN ' It is specific to these names rather than the broader market.' ELSE '' END AS summary FROM groups""", SERIES, themes_sql(3, 5)))
+def theme_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = themes.themes(registry.members(spark, sf_dir), gates=False, window_days=5)
+    return _themes(out.withColumn("characteristics", F.array_join("characteristics", "; ")), "sector", "direction", "band", "characteristics", "summary")
 
 
-@register("state_ensure_cursors", f"WITH {READERS.strip()} SELECT user_id, symbol, CASE WHEN user_id % 3 = 0 THEN '{NOW}' ELSE CAST(last_seen AS VARCHAR) END AS last_seen FROM readers")
-def state_ensure_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    watch = readers(spark, sf_dir)
-    cursors = watch.where("user_id % 3 <> 0").select("user_id", "symbol", "last_seen", F.lit(0).alias("version"))
-    return brief.ensure_cursors(cursors, watch, F.lit(NOW).cast("date")).select("user_id", "symbol", F.col("last_seen").cast("string").alias("last_seen"))
+@register("theme_events", oracle.scores_sql("""SELECT e.symbol, CAST(e.bar_date AS VARCHAR) AS bar_date, e.detector, e.fingerprint, t.sector AS theme_sector, t.direction AS theme_direction, t.confidence AS theme_confidence
+FROM events_scored e LEFT JOIN (SELECT m.symbol, m.bar_date, t.* FROM mem m JOIN themes t ON m.bar_date = t.window_start AND m.sector = t.sector AND m.direction = t.direction) t ON e.symbol = t.symbol AND e.bar_date = t.bar_date""", SERIES, themes_sql()))
+def theme_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the theme it belongs to, if any."""
+    out = themes.linked_events(registry.events(spark, sf_dir), registry.links(spark, sf_dir))
+    return dated(out.select("symbol", "bar_date", "detector", "fingerprint", *[F.col(f"theme.{c}").alias(f"theme_{c}") for c in ("sector", "direction", "confidence")]))
 
 
-# ---- calibration, replay and operations ---------------------------------------------------------
+# ---- calibration and replay ----------------------------------------------------------
 
 
 @register("calibration_detectors", oracle.scores_sql("""SELECT e.detector, count(*) AS fired, count(*) FILTER (d.severity_rank >= 2) AS on_surfaced_day
 FROM events_scored e JOIN days d ON e.symbol = d.symbol AND e.bar_date = d.bar_date GROUP BY e.detector"""))
 def calibration_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = found(spark, sf_dir)
-    days = score.score_days(events).select("symbol", "bar_date", F.col("severity_rank").alias("day_rank"))
+    events = registry.candidates(spark, sf_dir)
+    days = registry.days(spark, sf_dir).select("symbol", "bar_date", F.col("severity_rank").alias("day_rank"))
     return events.join(days, ["symbol", "bar_date"]).groupBy("detector").agg(F.count("*").alias("fired"), F.count_if(F.col("day_rank") >= 2).alias("on_surfaced_day"))
 
 
-@register("calibration_rate", oracle.scores_sql("""SELECT symbol, count(*) FILTER (severity_rank >= 2) AS surfaced, round(count(*) FILTER (severity_rank >= 2) / ((max(bar_date) - min(bar_date) + 1) / 30.44), 4) AS per_month FROM days GROUP BY symbol"""))
+@register("calibration_rate", oracle.scores_sql("""SELECT symbol, count(*) FILTER (severity_rank >= 2) AS surfaced, round(count(*) FILTER (severity_rank >= 2) / ((max(bar_date) - min(bar_date) + 1) / 30.44), 8) AS per_month FROM days GROUP BY symbol"""))
 def calibration_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = score.score_days(found(spark, sf_dir))
+    days = registry.days(spark, sf_dir)
     months = (F.datediff(F.max("bar_date"), F.min("bar_date")) + 1) / 30.44
     n = F.count_if(F.col("severity_rank") >= 2)
-    return days.groupBy("symbol").agg(n.alias("surfaced"), F.round(n / months, 4).alias("per_month"))
+    return days.groupBy("symbol").agg(n.alias("surfaced"), F.round(n / months, 8).alias("per_month"))
 
 
 @register("calibration_follow_through", oracle.scores_sql("""SELECT surfaced, count(*) AS n, count(*) FILTER (moved) AS n_moved, round(avg(moved::INT), 6) AS share FROM (
@@ -476,10 +313,9 @@ def calibration_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT *, lead(close, 3) OVER (PARTITION BY symbol ORDER BY bar_date) AS nxt FROM feats) f LEFT JOIN days d ON f.symbol = d.symbol AND f.bar_date = d.bar_date
   WHERE f.rn >= 60 AND f.nxt IS NOT NULL AND f.sigma20 > 0) GROUP BY surfaced"""))
 def calibration_follow_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = market.bars(spark, sf_dir).where("kind = 'instrument'")
-    own = features.own_features(bars).withColumn("nxt", F.lead("close", 3).over(features.series()))
+    own = registry.features(spark, sf_dir).withColumn("nxt", F.lead("close", 3).over(features.series()))
     own = own.where("rn >= 60 and nxt is not null and sigma20 > 0").select("symbol", "bar_date", "close", "nxt", "sigma20")
-    days = score.score_days(found(spark, sf_dir)).select("symbol", "bar_date", "severity_rank")
+    days = registry.days(spark, sf_dir).select("symbol", "bar_date", "severity_rank")
     moved = F.abs(F.ln(F.col("nxt") / F.col("close"))) / (F.col("sigma20") * F.sqrt(F.lit(3.0))) >= 1.5
     rows = own.join(days, ["symbol", "bar_date"], "left").select(F.coalesce(F.col("severity_rank") >= 2, F.lit(False)).alias("surfaced"), moved.alias("moved"))
     return rows.groupBy("surfaced").agg(F.count("*").alias("n"), F.count_if("moved").alias("n_moved"), F.round(F.avg(F.col("moved").cast("int")), 6).alias("share"))
@@ -489,29 +325,30 @@ def calibration_follow_through(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT bar_date, symbol, row_number() OVER (PARTITION BY bar_date ORDER BY floor(raw_score * 10 + 0.5) DESC, symbol) AS place FROM days WHERE severity_rank >= 2) WHERE place <= 5"""))
 def replay_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five strongest names of every replayed day."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("bar_date").orderBy(F.floor(F.col("raw_score") * 10 + 0.5).desc(), "symbol")
-    days = score.score_days(found(spark, sf_dir)).where("severity_rank >= 2").withColumn("place", F.row_number().over(order))
+    days = registry.days(spark, sf_dir).where("severity_rank >= 2").withColumn("place", F.row_number().over(order))
     return days.where("place <= 5").select(F.col("bar_date").cast("string").alias("bar_date"), "symbol", "place")
 
 
-@register("ops_health", "WITH " + RECONCILED + """ SELECT count(*) AS n_bars, count(*) FILTER (worst IS NOT NULL) AS n_unconfirmed, count(*) FILTER (n_sources = 1) AS n_single_source FROM worst""")
-def ops_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = ingest.reconciled(market.provider_bars(spark, sf_dir))
-    return bars.agg(F.count("*").alias("n_bars"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"), F.count_if(F.col("n_sources") == 1).alias("n_single_source"))
-
-
-@register("ops_freshness", "SELECT event_type AS source_id, CAST(max(CAST(ts AS TIMESTAMP)) AS DATE)::VARCHAR AS last_success, count(*) AS n FROM events GROUP BY event_type")
-def ops_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = market.read(spark, sf_dir, "events", "ts", "event_type")
-    return events.groupBy(F.col("event_type").alias("source_id")).agg(F.to_date(F.max("ts")).cast("string").alias("last_success"), F.count("*").alias("n"))
+@register("calibration_summary", oracle.scores_sql("""SELECT round(avg(per_month), 5) AS per_name_month, round(avg(per_month) * 17 / 8.7, 5) AS items_per_brief, round(max(shown_share), 6) AS shown_share, round(max(every_share), 6) AS every_share,
+  round(max(shown_share) / max(every_share), 5) AS lift
+FROM (SELECT count(*) FILTER (severity_rank >= 2) / ((max(bar_date) - min(bar_date) + 1) / 30.44) AS per_month FROM days GROUP BY symbol), (
+  SELECT avg(moved::INT) FILTER (surfaced) AS shown_share, avg(moved::INT) AS every_share FROM (
+    SELECT coalesce(d.severity_rank >= 2, false) AS surfaced, abs(ln(f.nxt / nullif(f.close, 0))) / nullif(f.sigma20 * sqrt(3), 0) >= 1.5 AS moved
+    FROM (SELECT *, lead(close, 3) OVER (PARTITION BY symbol ORDER BY bar_date) AS nxt FROM feats) f LEFT JOIN days d ON f.symbol = d.symbol AND f.bar_date = d.bar_date
+    WHERE f.rn >= 60 AND f.nxt IS NOT NULL AND f.sigma20 > 0))"""))
+def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The macro average of surfaced days a name and month, items of a typical brief (17 names, 8.7 visits a month), and how
+    much more often a surfaced day is followed by a move than any session is."""
+    rates = calibration_rate(spark, sf_dir).agg(F.avg("per_month").alias("rate"))
+    groups = calibration_follow_through(spark, sf_dir)
+    shares = groups.agg((F.sum(F.when(F.col("surfaced"), F.col("n_moved"))) / F.sum(F.when(F.col("surfaced"), F.col("n")))).alias("shown"), (F.sum("n_moved") / F.sum("n")).alias("every"))
+    both = rates.withColumn("k", F.lit(1)).join(shares.withColumn("k", F.lit(1)), "k")
+    return both.select(
+        F.round("rate", 5).alias("per_name_month"), F.round(F.col("rate") * 17 / 8.7, 5).alias("items_per_brief"), F.round("shown", 6).alias("shown_share"), F.round("every", 6).alias("every_share"),
+        F.round(F.col("shown") / F.col("every"), 5).alias("lift"),
+    )
 
 
-@register("debounce_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events),
-s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
-SELECT user_id, count(*) AS n, CAST(min(ts) AS VARCHAR)[1:19] AS start FROM s GROUP BY user_id, burst""")
-def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = market.read(spark, sf_dir, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
-    return out.select("user_id", "n", F.date_format(F.col("session_window.start"), "yyyy-MM-dd HH:mm:ss").alias("start"))
+# the other parts register their queries on import
+from tidewatch.plans import briefs, ingestion  # noqa: E402, F401

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) -> DataFrame:
@@ -17,7 +19,7 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) ->
 
 
 def once(events: DataFrame, key: str = "event_id", delay: str = "2 days") -> DataFrame:
-    """Each key once within the watermark: a repeated job or file adds nothing."""
+    """Each key (an id, or the fingerprint of an event) once within the watermark: a repeated job or file adds nothing."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -32,19 +34,24 @@ def debounced(events: DataFrame, quiet: str = "3 seconds", delay: str = "10 minu
 
 
 def cursor_updates(events: DataFrame) -> DataFrame:
-    """The cursor of each user: the greatest event time, with a version that counts moves; it never goes back."""
-    import pandas as pd
-
-    def move(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, version = state.get if state.exists else (0, 0)
-        newest = max(int(b["micros"].max()) for b in batches)
-        if newest > at:
-            at, version = newest, version + 1
-            state.update((at, version))
-        yield pd.DataFrame({"user_id": [key[0]], "micros": [at], "version": [version]})
-
-    rows = events.select("user_id", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy("user_id").applyInPandasWithState(move, "user_id long, micros long, version long", "micros long, version long", "update", GroupStateTimeout.NoTimeout)
+    """The cursor of each user, in update mode: the greatest event time so far, which never goes back, and how many
+    events were seen. The state is one row a user and stays in the JVM."""
+    return events.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.count("*").alias("n_events"))
+
+
+def restarted(start: Callable[[], StreamingQuery], tries: int = 3, wait: float = 30.0) -> StreamingQuery:
+    """Run a query that ends by itself; one that fails is started again from its checkpoint, ``tries`` times in all, after
+    ``wait`` seconds and twice as long each further time."""
+    for attempt in range(tries):
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if attempt + 1 == tries:
+                raise
+            time.sleep(wait * 2**attempt)
+    raise ValueError("tries must be 1 or more")
 
 
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
