@@ -1,18 +1,19 @@
 """Operator 5, HTML extraction: boosted trees over DOM nodes, decoded over the hierarchy.
 
-A page is parsed into a tree; every element gets features: its tag, tokens of its class, id and role,
-depth, text and tag density of its subtree, link density, punctuation, and how it stands among its
-siblings and ancestors. Gradient-boosted trees, trained here, give each node the probability of being
-main text. Decoding is a dynamic program over the tree with three states:
+A page is parsed into a tree; every element, block or inline, and the page itself get features: tag, tokens of class,
+id and role, depth, text and tag density of the subtree, link density, punctuation, text of its own, and how it stands
+among its siblings and ancestors. Gradient-boosted trees, trained here, give each node the probability that its text
+is main text. Decoding is a dynamic program over the tree with three states:
 
 * *drop*: the node and all below are boilerplate, so nothing below can be kept;
-* *keep*: the node belongs to the main text; children are kept or dropped (an advert inside an article);
-  inline elements always go with the block that holds them;
-* *pass*: the node merely holds main text somewhere below; its own text is not taken.
+* *keep*: the node's own text is main text; each child is kept, passed or dropped (an advert or a share link inside
+  a paragraph);
+* *pass*: the node merely holds main text somewhere below; its own text is not taken. A node without text of its own passes free.
 
-The cheapest assignment of the whole tree is taken, so an ancestor and a descendant never contradict.
-The trees are fitted on ``TRAIN_PAGES`` generated pages (a bounded, labelled, seeded sample of varied
-layouts), once in the driver, and travel with the tasks (under 100 kB).
+The cheapest assignment of the whole tree is taken, so an ancestor and a descendant never contradict: what is kept
+hangs from nodes that are kept or passed. The trees are fitted on ``TRAIN_PAGES`` generated pages (a bounded, labelled,
+seeded sample of varied layouts: with and without classes, semantic elements, wrappers, tables, html and body, bare text and
+inline holders, and without main text), once in the driver, and travel with the tasks (under 200 kB).
 
 Blocks: text is divided at block elements; white space (also a line break element) becomes one space,
 blocks are trimmed, empty ones dropped, and joined by a line feed. Defined results: null or empty html,
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 from tidewatch.llm.tokens import blocks, column_texts
 
 #: Production parameters of training: pages generated, trees, depth, shrinkage and bins.
-TRAIN_PAGES = 400
-TREES, DEPTH, SHRINK, BINS = 60, 4, 0.25, 32
+TRAIN_PAGES = 700
+TREES, DEPTH, SHRINK, BINS = 60, 5, 0.25, 32
 SEED = 20_240_101
 
 # Element names of HTML by role.
@@ -80,7 +81,7 @@ TAG_OF = {
 }
 TOKEN = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
-FEATURES = len(TAGS) + 2 * (1 + len(BAD_GROUPS)) + 18
+FEATURES = len(TAGS) + 2 * (1 + len(BAD_GROUPS)) + 27
 
 
 class Tree(HTMLParser):
@@ -150,12 +151,12 @@ def parse(html: str) -> Tree:
 
 
 def features(tree: Tree) -> np.ndarray:
-    """One row of figures for each node."""
+    """One row of figures for each node, the page itself first."""
     n = len(tree.tags)
     parents = tree.parents
-    own, links, stops, first = [0] * n, [0] * n, [0] * n, [0] * n
+    own, links, stops, first = [0] * n, [0] * n, [0] * n, [-1] * n
     silent, in_link, depth = [False] * n, [False] * n, [0] * n
-    holder = [0] * n  # text of inline elements counts for the block that holds it
+    holder = [0] * n  # the block that holds an inline element
     for i in range(1, n):
         p, tag = parents[i], tree.tags[i]
         silent[i] = silent[p] or tag in SILENT
@@ -163,19 +164,20 @@ def features(tree: Tree) -> np.ndarray:
         depth[i] = depth[p] + 1
         holder[i] = i if tag in BLOCK else holder[p]
     total = 0
-    starts = [-1] * n
+    held = [0] * n
     for node, text in tree.runs:
         if text and not silent[node]:
             size = len(text.strip())
-            at = holder[node]
-            if starts[at] < 0:
-                starts[at] = total
-            own[at] += size
+            if size and first[node] < 0:
+                first[node] = total
+            own[node] += size
+            held[holder[node]] += size
             total += size
-            stops[at] += len(PUNCTUATION.findall(text))
+            stops[node] += len(PUNCTUATION.findall(text))
             if in_link[node]:
-                links[at] += size
-    text, link, stop, count, paras, kids = own[:], links[:], stops[:], [1] * n, [0] * n, [0] * n
+                links[node] += size
+    text, link, stop, count, paras, kids, starts = own[:], links[:], stops[:], [1] * n, [0] * n, [0] * n, first[:]
+    largest = [0] * n
     for i in range(n - 1, 0, -1):
         p = parents[i]
         text[p] += text[i]
@@ -184,35 +186,43 @@ def features(tree: Tree) -> np.ndarray:
         count[p] += count[i]
         paras[p] += paras[i] + (tree.tags[i] == "p")
         kids[p] += 1
+        largest[p] = max(largest[p], text[i])
         if starts[i] >= 0 and (starts[p] < 0 or starts[i] < starts[p]):
             starts[p] = starts[i]
     out = np.zeros((n, FEATURES), dtype=np.float32)
     lists = [GOOD_TOKENS, *BAD_GROUPS]
-    place = [0] * n
-    seen = [0] * n
+    place, seen = [0] * n, [0] * n
     above = np.zeros((n, len(lists)), dtype=np.float32)
     base = len(TAGS)
     total = max(total, 1)
     figures = base + 2 * len(lists)
     flags = {k: j for j, k in enumerate(("nav", "header", "footer", "aside", "form", "article", "main"))}
     inside = [0] * n
-    for i in range(1, n):
+    # what the page offers: semantic elements, named holders, the longest text held by one block
+    semantic = float(any(t in ("article", "main") for t in tree.tags))
+    named = float(any(k & GOOD_TOKENS for k in tree.tokens))
+    longest = max(max(held), 1)
+    out[0, TAGS.index("body")] = 1
+    for i in range(n):
         p, tag = parents[i], tree.tags[i]
-        place[i] = seen[p]
-        seen[p] += 1
-        out[i, TAGS.index(TAG_OF.get(tag, "inline"))] = 1
-        if tree.tokens[i]:
-            for j, group in enumerate(lists):
-                if tree.tokens[i] & group:
-                    out[i, base + j] = 1
-        above[i] = np.maximum(above[p], out[p, base : base + len(lists)])
-        out[i, base + len(lists) : figures] = above[i]
-        inside[i] = inside[p] | (1 << flags[tree.tags[p]] if tree.tags[p] in flags else 0)
-        t = text[i]
+        if i:
+            place[i] = seen[p]
+            seen[p] += 1
+            out[i, TAGS.index(TAG_OF.get(tag, "inline"))] = 1
+            if tree.tokens[i]:
+                for j, group in enumerate(lists):
+                    if tree.tokens[i] & group:
+                        out[i, base + j] = 1
+            above[i] = np.maximum(above[p], out[p, base : base + len(lists)])
+            out[i, base + len(lists) : figures] = above[i]
+            inside[i] = inside[p] | (1 << flags[tree.tags[p]] if tree.tags[p] in flags else 0)
+        t, up = text[i], text[p] if i else text[0]
+        h = holder[i]
         out[i, figures:] = (
             min(depth[i], 30), np.log1p(t), np.log1p(own[i]), link[i] / t if t else 0.0, count[i] / (t + 1), stop[i] / (t + 1), np.log1p(paras[i]),
-            t / (text[p] or 1), t / total, place[i] / max(kids[p] - 1, 1), min(kids[p], 50), max(starts[i], 0) / total, (max(starts[i], 0) + t) / total,
+            t / (up or 1), t / total, place[i] / max(kids[p] - 1, 1) if i else 0.0, min(kids[p], 50) if i else 0, max(starts[i], 0) / total, (max(starts[i], 0) + t) / total,
             inside[i] & 1, inside[i] >> 1 & 3, inside[i] >> 3 & 3, inside[i] >> 5 & 3, float(silent[i]),
+            np.log1p(held[h]), held[h] / longest, link[h] / text[h] if text[h] else 0.0, float(in_link[i]), t / (largest[p] or 1) if i else 1.0, semantic, named, np.log1p(total), (text[p] - t) / total if i else 0.0,
         )
     return out
 
@@ -277,32 +287,28 @@ def decode(tree: Tree, probability: np.ndarray) -> list[bool]:
     n = len(tree.tags)
     p = np.clip(probability, 1e-4, 1 - 1e-4)
     yes, no = (-np.log(p)).tolist(), (-np.log(1 - p)).tolist()
-    inline = [tag not in BLOCK for tag in tree.tags]
-    for i in range(1, n):
-        if inline[i]:
-            yes[i] = no[i] = 0.0
-    drop, keep, free = no[:], yes[:], no[:]
+    spoken = [False] * n
+    for node, text in tree.runs:
+        if text and not spoken[node] and text.strip():
+            spoken[node] = True
+    # what speaks for itself has its say; a node without text of its own passes free
+    drop = no[:]
+    keep = [y if s else float("inf") for y, s in zip(yes, spoken, strict=True)]
+    free = [x if s else 0.0 for x, s in zip(no, spoken, strict=True)]
     for i in range(n - 1, 0, -1):
         q = tree.parents[i]
         if tree.tags[i] in SILENT:
             keep[i] = free[i] = float("inf")
         drop[q] += drop[i]
-        best = min(keep[i], drop[i])
-        keep[q] += keep[i] if inline[i] and keep[i] < float("inf") else best
-        free[q] += min(best, free[i])
+        best = min(keep[i], free[i], drop[i])
+        keep[q] += best
+        free[q] += best
     state = [0] * n  # 0 drop, 1 keep, 2 pass
-    state[0] = 2
+    state[0] = 1 if keep[0] <= free[0] else 2
     for i in range(1, n):
-        above = state[tree.parents[i]]
-        if above == 0:
-            continue
-        if above == 1:
-            state[i] = int(keep[i] < float("inf") if inline[i] else keep[i] <= drop[i])
-        elif inline[i]:
-            state[i] = 2
-        else:
+        if state[tree.parents[i]]:
             best = min(keep[i], free[i], drop[i])
-            state[i] = 1 if keep[i] == best else 0 if drop[i] == best else 2
+            state[i] = 1 if keep[i] == best else 2 if free[i] == best else 0
     return [s == 1 for s in state]
 
 
@@ -333,20 +339,25 @@ def _words(rng: random.Random, n: int) -> str:
 
 
 def training_page(rng: random.Random) -> str:
-    """A generated page: elements that hold main text carry ``data-y="1"``, elements of boilerplate ``data-y="0"``."""
+    """A generated page: elements that hold main text carry ``data-y="1"``, elements of boilerplate ``data-y="0"``; a
+    holder without text of its own is marked as what it holds. ``data-r`` marks the text outside of all elements."""
     good, bad = ' data-y="1"', ' data-y="0"'
+    plain = rng.random() < 0.35  # pages that name nothing
 
     def named(*names: str) -> str:
-        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(names)}"' if rng.random() < 0.85 else ""
+        return "" if plain or rng.random() > 0.85 else f' {rng.choice(["class", "class", "id"])}="{rng.choice(names)}"'
 
     def links(n: int) -> str:
         return "".join(f'<li{bad}><a{bad} href="/x">{_words(rng, rng.randint(1, 3))}</a></li>' for _ in range(n))
 
     def advert() -> str:
-        return f'<div{bad}{named("ad", "ads", "advert", "sponsored", "promo", "ad-banner")}>{_words(rng, rng.randint(2, 30))}</div>'
+        kind = f' class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo", "ad-banner", "advertisement"])}"'
+        tag = rng.choice(["div", "div", "div", "section", "p"])
+        inner = _words(rng, rng.randint(2, 30)) if rng.random() < 0.7 or tag == "p" else f"<p{bad}>{_words(rng, rng.randint(3, 30))}</p>"
+        return f"<{tag}{bad}{kind}>{inner}</{tag}>"
 
     def notice() -> str:
-        kind = named("cookie-notice", "cookie", "consent", "newsletter", "notice", "popup", "alert")
+        kind = f' {rng.choice(["class", "id"])}="{rng.choice(["cookie-notice", "cookie", "consent", "newsletter", "notice", "popup", "alert"])}"'
         return f'<div{bad}{kind}><p{bad}>{_words(rng, rng.randint(5, 25))}</p><button{bad}>{_words(rng, 1)}</button></div>'
 
     def form() -> str:
@@ -362,88 +373,154 @@ def training_page(rng: random.Random) -> str:
         each = "".join(f'<div{bad} class="comment"><p{bad}>{_words(rng, rng.randint(5, 60))}</p></div>' for _ in range(rng.randint(1, 5)))
         return f'<{(t := rng.choice(["section", "div"]))}{bad}{" " + rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "respond", "discussion"])}">{each}</{t}>'
 
+    def share() -> str:
+        kind = f' class="{rng.choice(["share", "share-link", "social", "ad", "sponsored", "promo"])}"'
+        tag = rng.choice(["a", "span", "a"])
+        return f'<{tag}{bad}{kind}>{_words(rng, rng.randint(1, 6))}</{tag}>'
+
+    def inline(text: str) -> str:
+        tag = rng.choice(["b", "i", "em", "strong", "span", "code", "font", "u", "mark", "a"])
+        return f"<{tag}{good}>{text}</{tag}>"
+
     def paragraph() -> str:
         kind = rng.random()
         text = _words(rng, int(np.exp(rng.uniform(1, 5.5))))
         if kind < 0.08:
+            listed = rng.choice(["ul", "ol"])
             items = "".join(f"<li{good}>{_words(rng, rng.randint(3, 20))}</li>" for _ in range(3))
-            return f"<ul{good}>{items}</ul>"
+            return f"<{listed}{good}>{items}</{listed}>"
         if kind < 0.13:
-            return f"<h2{good}>{_words(rng, rng.randint(2, 6))}</h2>"
+            tag = rng.choice(["h2", "h3", "h4"])
+            return f"<{tag}{good}>{_words(rng, rng.randint(2, 6))}</{tag}>"
         if kind < 0.17:
-            return f"<blockquote{good}>{text}</blockquote>"
+            return f"<blockquote{good}>{text}</blockquote>" if rng.random() < 0.6 else f"<blockquote{good}><p{good}>{text}</p></blockquote>"
         if kind < 0.21:
             return f"<table{good}><tr{good}><td{good}>{_words(rng, 3)}</td><td{good}>{_words(rng, 4)}</td></tr></table>"
-        if kind < 0.35:
+        if kind < 0.3:
             return f"<p{good}><b{good}>{text}<br>"
-        if kind < 0.45:
+        if kind < 0.42:
             return f'<p{good}>{text} <a{good} href="/y">{_words(rng, 3)}</a> {_words(rng, 5)}</p>'
-        if kind < 0.5:
+        if kind < 0.48:
+            return f"<p{good}>{text} {inline(_words(rng, rng.randint(1, 8)))} {_words(rng, 4)}</p>"
+        if kind < 0.52:
+            return f"<p{good}>{text} {share()}</p>"
+        if kind < 0.56:
             return f"<div{good}>{text}</div>"
+        if kind < 0.59:
+            return f"<p{good}><span{good}>{text}</span></p>"
+        if kind < 0.61:
+            return f"<pre{good}>{text}</pre>"
+        if kind < 0.64:
+            return f"<figure{good}><figcaption{good}>{_words(rng, rng.randint(3, 14))}</figcaption></figure>"
         return f"<p{good}>{text}</p>"
 
-    def article() -> str:
-        tag, kind = rng.choice([("article", ""), ("article", ""), ("article", named("post", "story", "entry")), ("main", ""), ("div", named("content", "article-body", "post", "entry-content", "main", "story")), ("section", named("content", "article", "main"))])
-        inner = [f"<h1{good}>{_words(rng, rng.randint(3, 14))}</h1>"] * (rng.random() < 0.85)
-        for _ in range(rng.randint(1, 12)):
-            inner.append(paragraph())
-            if rng.random() < 0.06:
-                inner.append(rng.choice([advert, aside, form, notice])())
-        body = "".join(inner)
-        if rng.random() < 0.2:
-            body = f"<div{good}{named('text', 'body', 'inner')}>{body}</div>"
-        return f"<{tag}{good}{kind}>{body}</{tag}>"
+    def content(bare: bool) -> str:
+        """The blocks of the article; ``bare`` ones are text with line breaks, or inline elements, in the holder itself."""
+        inner = [f"<{(h := rng.choice(['h1', 'h1', 'h2']))}{good}>{_words(rng, rng.randint(3, 14))}</{h}>"] * (rng.random() < 0.75)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 12])):
+            text = _words(rng, int(np.exp(rng.uniform(2.5, 5.5))))
+            inner.append(paragraph() if not bare else rng.choice([text + "<br><br>", text + "<br>", inline(text) + " ", f"{text} {inline(_words(rng, 3))} {text}<br>", f"<p{good}>{text}</p>"]))
+            if rng.random() < 0.07:
+                inner.append(rng.choice([advert, aside, form, notice, share])())
+        return "".join(inner)
+
+    def article() -> tuple[str, bool]:
+        """The main part, and whether it lies in the body itself."""
+        style = rng.random()
+        bare = rng.random() < (0.45 if style >= 0.8 else 0.12)
+        body = content(bare)
+        if style < 0.5:
+            tag, kind = rng.choice([("article", ""), ("article", ""), ("article", named("post", "story", "entry")), ("main", ""), ("div", named("content", "article-body", "post", "entry-content", "main", "story")), ("section", named("content", "article", "main"))])
+            if rng.random() < 0.2:
+                body = f"<div{good}{named('text', 'body', 'inner')}>{body}</div>"
+            return f"<{tag}{good}{kind}>{body}</{tag}>", False
+        if style < 0.72:
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                tag = rng.choice(["div", "div", "section", "center"])
+                body = f"<{tag}{good}>{body}</{tag}>"
+            return body, False
+        if style < 0.8:
+            return f"<table{good}><tr{good}><td{good}>{body}</td></tr></table>", False
+        if style < 0.87:
+            return f"<span{good}>{body}</span>", True
+        return body, True
 
     head = f"<head><title>{_words(rng, 5)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head>"
+    busy = rng.choice([0.0, 0.4, 0.9, 0.9])  # how much surrounds the article
     before, after = [], []
-    nav = f'<nav{bad}><ul{bad}>{links(rng.randint(3, 9))}</ul></nav>' if rng.random() < 0.7 else f'<div{bad} class="{rng.choice(["menu", "navbar", "navigation", "breadcrumbs"])}"><ul{bad}>{links(rng.randint(3, 9))}</ul></div>'
-    if rng.random() < 0.9:
+    shape = rng.random()
+    if shape < 0.6:
+        nav = f'<nav{bad}><ul{bad}>{links(rng.randint(3, 9))}</ul></nav>'
+    elif shape < 0.85:
+        nav = f'<div{bad} class="{rng.choice(["menu", "navbar", "navigation", "breadcrumbs"])}"><ul{bad}>{links(rng.randint(3, 9))}</ul></div>'
+    elif shape < 0.93:
+        nav = f"<ul{bad}>{links(rng.randint(3, 9))}</ul>"
+    else:
+        nav = f"<div{bad}>" + " | ".join(f'<a{bad} href="/z">{_words(rng, rng.randint(1, 2))}</a>' for _ in range(rng.randint(3, 7))) + "</div>"
+    if rng.random() < busy:
         before.append(nav)
-    if rng.random() < 0.4:
+    if rng.random() < 0.45 * busy:
         before.insert(0, f'<header{bad}{named("site-header", "top", "masthead")}><a{bad} href="/">{_words(rng, 2)}</a><p{bad}>{_words(rng, 6)}</p></header>')
     for part in (advert, advert, notice, form):
-        if rng.random() < 0.4:
+        if rng.random() < 0.45 * busy:
             rng.choice([before, after]).append(part())
     for part in (aside, comments):
-        if rng.random() < 0.4:
+        if rng.random() < 0.45 * busy:
             after.append(part())
-    if rng.random() < 0.9:
+    if rng.random() < busy:
         tag = rng.choice(["footer", "footer", "div"])
         kind = "" if tag == "footer" else f' class="{rng.choice(["footer", "site-footer", "copyright"])}"'
         after.append(f"<{tag}{bad}{kind}>&copy; {_words(rng, rng.randint(3, 30))}</{tag}>")
-    main = article()
-    if rng.random() < 0.25:
-        main = f'<div class="{rng.choice(["wrapper", "container", "page", "row"])}">{main}{aside() if rng.random() < 0.5 else ""}</div>'
-    return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    main, in_body = ("", False) if rng.random() < 0.03 else article()
+    if main and not in_body and rng.random() < 0.25:
+        main = f'<div data-y="1"{named("wrapper", "container", "page", "row")}>{main}{aside() if rng.random() < 0.5 else ""}</div>'
+    whole = f"{''.join(before)}{main}{''.join(after)}"
+    mark = good if in_body or main else bad
+    frame = rng.random()
+    if frame < 0.17:  # a fragment
+        return f"<!--r{int(bool(main))}-->{whole}"
+    if frame < 0.25:
+        return f"<body{mark}>{whole}</body>"
+    return f"<!DOCTYPE html><html>{head}<body{mark}>{whole}</body></html>"
 
 
 class _Labelled(Tree):
-    """Also reads the training labels."""
+    """Also reads the training labels; the page itself is main text where a fragment says so."""
 
     def __init__(self):
         super().__init__()
-        self.labels = [-1]
+        self.labels = [0]
+
+    def handle_comment(self, data):
+        if data in ("r0", "r1"):
+            self.labels[0] = int(data[1])
 
     def handle_starttag(self, tag, attrs):
         known = len(self.tags)
         mark = dict(attrs).pop("data-y", None)
         super().handle_starttag(tag, attrs)
         if len(self.tags) > known:
-            self.labels.append(-1 if mark is None else int(mark))
+            self.labels.append(0 if mark is None else int(mark))
 
 
 def training_rows(pages: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of generated pages; unmarked nodes hold no text of their own: not main text."""
+    """Features and labels of the nodes of generated pages; unmarked nodes hold no text that is wanted: not main text.
+
+    Only nodes with text in their subtree count, and the page itself only in fragments: a node without any is never asked.
+    """
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
+        html = training_page(rng)
         tree = _Labelled()
-        tree.feed(training_page(rng))
+        tree.feed(html)
         tree.close()
         while len(tree.stack) > 1:
             tree._pop()
-        xs.append(features(tree)[1:])
-        ys.append(np.array(tree.labels[1:]) == 1)
+        x, y = features(tree), np.array(tree.labels)
+        asked = np.array([k > 0 or html.startswith("<!--r") for k in range(len(y))]) & (x[:, len(TAGS) + 2 * (1 + len(BAD_GROUPS)) + 1] > 0)
+        xs.append(x[asked])
+        ys.append(y[asked] == 1)
     return np.concatenate(xs), np.concatenate(ys).astype(float)
 
 
