@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import text_or_empty
+from tidewatch.llm.common import carried, text_or_empty
 from tidewatch.llm.tokens import blocks, column_texts
 
 #: Entries that a worker's caches hold at most: text chunks, and pairs of tokens.
@@ -188,8 +188,10 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Columns ``keep`` with n_tokens, the digests of ids and of the decoded bytes, and the ids if asked for."""
-    source = docs.select(*keep, text_or_empty(text).alias("__text"))
+    """Columns ``keep`` with n_tokens, the digests of ids and of the decoded bytes, and the ids if asked for. A kept
+    column named as one of these comes out with ``_in`` behind it."""
+    source = docs.select(*carried(keep, ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]), text_or_empty(text).alias("__text"))
+    keep = tuple(source.columns[:-1])
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     extra += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     names = [*keep, *[f.name for f in extra]]

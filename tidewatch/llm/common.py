@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.storage import exists, remove, stored, work_dir
+
 #: White space of the contracts, as characters and inside a regular-expression class.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
+__all__ = ["SPACE", "SPACE_CLASS", "carried", "exists", "remove", "stored", "table", "text_or_empty", "work_dir"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table of ``sf_dir``."""
@@ -19,34 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where neither the configuration nor the context names one (tests), a temporary
-    folder of this machine becomes the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = kept.get() if kept.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidewatch/{purpose}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def carried(keep: tuple[str, ...], own: tuple[str, ...] | list[str]) -> list[Column]:
+    """The columns ``keep``; one whose name an operator needs for itself comes out with ``_in`` behind it."""
+    out, taken = [], {n.lower() for n in own}
+    for name in keep:
+        new = name
+        while new.lower() in taken:
+            new += "_in"
+        taken.add(new.lower())
+        out.append(F.col(f"`{name}`").alias(new))
+    return out
 
 
 def text_or_empty(column: str = "text"):

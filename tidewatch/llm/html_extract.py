@@ -18,7 +18,8 @@ inline holders, and without main text), once in the driver, and travel with the
 Blocks: text is divided at block elements; white space (also a line break element) becomes one space,
 blocks are trimmed, empty ones dropped, and joined by a line feed. Defined results: null or empty html,
 or a page without main text, gives an empty text; repeated rows are extracted each; pages of any length
-or depth are parsed whole, without recursion. Extra columns are carried if asked for.
+or depth are parsed whole, without recursion. Extra columns are carried if asked for; one named text or n_chars comes out
+with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.common import carried
 from tidewatch.llm.tokens import blocks, column_texts
 
 #: Production parameters of training: pages generated, trees, depth, shrinkage and bins.
@@ -545,7 +547,8 @@ def extract(pages: list[str], trees: BoostedTrees) -> list[str]:
 def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", trees: BoostedTrees | None = None) -> DataFrame:
     """Columns ``keep`` with the main text of each page and its code points."""
     trees = trees or model()
-    source = pages.select(*keep, F.coalesce(F.col(html), F.lit("")).alias("__html"))
+    source = pages.select(*carried(keep, ["text", "n_chars"]), F.coalesce(F.col(html), F.lit("")).alias("__html"))
+    keep = tuple(source.columns[:-1])
 
     def extracted(batches):
         for batch in batches:

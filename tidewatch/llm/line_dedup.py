@@ -18,7 +18,8 @@ all its lines except in the largest ``doc_id`` that holds it.
 
 Defined results: null and empty texts are one empty line. Each row counts as one document, so repeated
 rows count each; rows sharing a ``doc_id`` keep or lose a key together. A null ``doc_id`` counts
-and is never the largest. Extra columns are carried if asked for. An empty table gives an empty result.
+and is never the largest. Extra columns are carried if asked for; one named as a column of the
+result comes out with ``_in`` behind it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACE, remove, stored, text_or_empty, work_dir
+from tidewatch.llm.common import SPACE, carried, exists, remove, stored, text_or_empty, work_dir
 
 #: Production parameters.
 MIN_CHARS = 40
@@ -186,7 +187,7 @@ def dedup_lines(
     """
     repeated = repeated_keys(docs, min_docs, min_chars, batches, fanout, key, text)
     rows = docs.select(
-        F.struct(*keep).alias("__kept"), F.col(key).cast("long").alias("__doc"), text_or_empty(text).alias("__text")
+        F.struct(*carried(keep, ["n_lines", "n_dropped", "kept_text"])).alias("__kept"), F.col(key).cast("long").alias("__doc"), text_or_empty(text).alias("__text")
     ).withColumn("__row", F.xxhash64("__text"))
     lines = rows.select("__doc", "__row", F.posexplode_outer(F.split("__text", "\n")).alias("__at", "__line")).where(_is_long(F.col("__line"), min_chars))
     lines = lines.withColumn("__key", line_key(F.col("__line"))).select(

@@ -8,7 +8,8 @@ further than the limit. Texts shorter than the guards carry too little evidence
 and pass that test. One narrow pass: no shuffle, no Python, nothing gathered.
 
 Defined results: null or empty text has 0 words and so fails the base rule; repeated rows are
-judged each on its own; extra columns are ignored by :func:`judge` unless asked for; an unknown or
+judged each on its own; extra columns are ignored by :func:`judge` unless asked for, and one named as a figure
+or verdict comes out with ``_in`` behind it; an unknown or
 null language makes no difference, since every reference is tried.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACE, SPACE_CLASS, text_or_empty
+from tidewatch.llm.common import SPACE, SPACE_CLASS, carried, text_or_empty
 
 # Approximate relative frequencies of very common words in running prose.
 COMMON_WORDS = {
@@ -47,6 +48,9 @@ MAX_CLASS_DISTANCE = 0.24
 MAX_COMMON_DISTANCE = 0.345
 
 
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, with ``value`` evaluated once even where ``body`` loops over it."""
     return F.transform(F.array(value), body)[0]
@@ -94,7 +98,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     words = _let(split, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, 1, F.size(w) - 1)).otherwise(w))
     # one pass drops the lower-case letters; the other classes are counted in what it leaves
     rows = docs.select(
-        F.struct(*keep).alias("__kept"),
+        F.struct(*carried(keep, FIGURES)).alias("__kept"),
         words.alias("__words"),
         lines.alias("__lines"),
         F.length(body).alias("__length"),

@@ -1,7 +1,7 @@
 """Operator 2, token counts: overlap resynchronisation for huge documents.
 
-Ordinary texts are counted through the chunk cache of :mod:`tidewatch.llm.tokens`. A text longer
-than ``HUGE_CHARS`` is cut into overlapping chunks that the library encodes with offsets, each
+Texts of one chunk are counted through the word cache of :mod:`tidewatch.llm.tokens`. Every text longer
+than one chunk is cut into overlapping chunks that the library encodes with offsets, each
 without seeing the others, a few at a time so that memory stays bounded. Neighbours are spliced at
 a proven common boundary:
 
@@ -16,7 +16,8 @@ their offsets are ambiguous. If an overlap has no common boundary, the left chun
 overlap twice as wide, and so on until a boundary is shared or the right chunk is swallowed whole.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
-only the key columns asked for are carried.
+only the columns asked for are carried, and one named as a column
+of the result comes out with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import text_or_empty
+from tidewatch.llm.common import carried, text_or_empty
 from tidewatch.llm.tokens import blocks, chunk_encoder, column_texts, tokenizer
 
-#: Production parameters: a text is huge beyond this, and is cut into chunks of this size.
-HUGE_CHARS = 65_536
+#: Production parameters: a text of more than one chunk is cut into chunks of this size.
 CHUNK_CHARS = 16_384
 OVERLAP = 256
 GUARD = 32
@@ -96,7 +96,8 @@ def count_huge(path: str, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
 
 def token_counts(docs: DataFrame, path: str, limit: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` of each row's whole text."""
-    source = docs.select(*keep, text_or_empty(text).alias("__text"))
+    source = docs.select(*carried(keep, ["n_bytes", "n_tokens", "over_limit"]), text_or_empty(text).alias("__text"))
+    keep = tuple(source.columns[:-1])
     schema = T.StructType([source.schema[k] for k in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def counted(batches):
@@ -105,10 +106,10 @@ def token_counts(docs: DataFrame, path: str, limit: int, keep: tuple[str, ...] =
             sizes, tokens = [], []
             for block in blocks(column_texts(batch, "__text")):
                 sizes += [len(t.encode()) for t in block]
-                if len(block) == 1 and len(block[0]) > HUGE_CHARS:
+                if len(block) == 1 and len(block[0]) > CHUNK_CHARS:
                     tokens.append(count_huge(path, block[0]))
                     continue
-                huge = {i for i, t in enumerate(block) if len(t) > HUGE_CHARS}
+                huge = {i for i, t in enumerate(block) if len(t) > CHUNK_CHARS}
                 for i, ids in enumerate(encoder.encode(["" if i in huge else t for i, t in enumerate(block)])):
                     tokens.append(count_huge(path, block[i]) if i in huge else len(ids) // 4)
             columns = [batch.column(i) for i in range(len(keep))]

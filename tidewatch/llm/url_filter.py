@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import carried, stored
 
 # How the verdicts of one pattern and day are ordered.
 ORDER = {"none": 0, "allow": 1, "block": 2}
@@ -62,7 +62,8 @@ def _keys(host: Column, path: Column) -> Column:
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched_on") -> DataFrame:
-    """All rows and columns of ``captures`` with host, blocked, and the pattern, verdict and start that decided."""
+    """All rows and columns of ``captures`` with host, blocked, and the pattern, verdict and start that decided. A column of
+    captures that is named as one of these comes out with ``_in`` behind it."""
     pairs = captures.select(F.col(url).alias("__url"), F.col(day).alias("__day")).where("__url is not null and __day is not null").distinct()
     span = pairs.agg(F.min("__day").alias("low"), F.max("__day").alias("high")).first()
     held = intervals(entries)
@@ -85,4 +86,4 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
         F.col("__best.verdict").alias("list_verdict"),
         F.col("__best.valid_from").alias("list_since"),
     ]
-    return joined.select(*[F.col(f"`{c}`") for c in captures.columns], *out)
+    return joined.select(*carried(tuple(captures.columns), ["host", "blocked", "list_pattern", "list_verdict", "list_since"]), *out)
