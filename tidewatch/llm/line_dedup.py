@@ -10,7 +10,7 @@ the hashes, in the shared folder. Each new batch of documents
 3. becomes a pair of runs of level 0: its new keys, and what it adds to known ones.
 
 When a level has ``fanout`` pairs they are merged into one of the next level. All runs have the
-same buckets and order, so both joins and merges go without a shuffle of earlier runs. Two 64-bit
+same buckets and order, so joins of runs go without a shuffle and without a sort. Two 64-bit
 hashes with different seeds make a key of 128 bits, so that clashes stay unlikely at any size.
 
 The retrospective rule of :func:`dedup_lines`: a key found in at least ``min_docs`` documents loses
@@ -24,12 +24,14 @@ result comes out with ``_in`` behind it. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACE, carried, exists, remove, stored, text_or_empty, work_dir
+from tidewatch.llm.common import SPACE, carried, remove, stored, text_or_empty, work_dir
 
 #: Production parameters.
 MIN_CHARS = 40
@@ -63,27 +65,63 @@ def document_keys(docs: DataFrame, min_chars: int, key: str = "doc_id", text: st
     return out.where("__key is not null").select("doc_id", F.xxhash64("__key").alias("h1"), F.xxhash64(F.lit(SEED), "__key").alias("h2"))
 
 
+ORDERING = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
     """Levelled sorted runs in the shared folder; ``buckets`` bounds the keys of one merge task.
 
     A level holds pairs of a run of new keys and a run of additions to keys of earlier pairs. Runs of new
     keys never share a key, thanks to the anti join, so merging them needs no aggregation.
+
+    A run has one sorted file for each bucket, and scans tell Spark their order (a setting that is put back by
+    :meth:`close`), so that joins of runs merge them as they are, without a sort. What the runs are is kept in the folder
+    after each batch: a later job goes on with :meth:`reopen`, and a run that a lost driver left unfinished is not part of it.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT, folder: str | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.folder = work_dir(spark, "runs")
+        self.folder = folder or work_dir(spark, "runs")
         self.levels: list[list[tuple[str, str]]] = []
-        self.written = 0
-
-    def _write(self, rows: DataFrame) -> str:
-        """A new run, sorted within each bucket."""
-        name = f"run_{self.folder[-32:]}_{self.written}"
-        path = f"{self.folder}/{self.written}"
-        self.written += 1
+        self.tables: set[str] = set()
+        self.replaced: list[str] = []
+        self.saves = 0
+        self.before = spark.conf.get(ORDERING, None)
+        spark.conf.set(ORDERING, "true")
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, folder: str) -> "LineRuns":
+        """The runs that an earlier job left in ``folder``, as of its last whole batch."""
+        saved = spark.read.json(f"{folder}/levels-*").orderBy(F.col("save").desc()).first()
+        runs = cls(spark, saved["buckets"], saved["fanout"], folder)
+        runs.saves = saved["save"]
+        runs.levels = [[(p[0], p[1]) for p in level] for level in json.loads(saved["levels"])]
+        for name in (n for pair in runs.pairs for n in pair):
+            runs._declare(name)
+        return runs
+
+    def _declare(self, name: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, n_docs BIGINT, last_doc BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+        )
+        self.tables.add(name)
+
+    def _save(self) -> None:
+        """What belongs to the runs, written after each batch; the newest one counts."""
+        self.saves += 1
+        row = [(self.saves, self.buckets, self.fanout, json.dumps(self.levels))]
+        self.spark.createDataFrame(row, "save long, buckets int, fanout int, levels string").coalesce(1).write.json(f"{self.folder}/levels-{self.saves}")
+        self._drop(*self.replaced)  # only now: what was saved before still names them
+        self.replaced = []
+
+    def _write(self, rows: DataFrame, dealt: bool = False) -> str:
+        """A new run, one sorted file for each bucket; ``dealt`` rows come from joins of runs, a task for each bucket."""
+        name = f"run_{uuid.uuid4().hex}"
         rows = rows.select(*HASHES, "n_docs", "last_doc")
-        rows.write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).format("parquet").option("path", path).saveAsTable(name)
+        rows = rows if dealt else rows.repartition(self.buckets, *HASHES)
+        rows.write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        self.tables.add(name)
         return name
 
     def _read(self, name: str) -> DataFrame:
@@ -92,7 +130,8 @@ class LineRuns:
     def _drop(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, f"{self.folder}/{name.rsplit('_', 1)[1]}")
+            self.tables.discard(name)
+            remove(self.spark, f"{self.folder}/{name}")
 
     @property
     def pairs(self) -> list[tuple[str, str]]:
@@ -110,11 +149,13 @@ class LineRuns:
         rows = self._read(own)
         if not self.pairs:
             self._place((own, self._write(rows.limit(0))), 0)
+            self._save()
             return
-        new = self._write(self.unseen(rows))
-        known = self._write(rows.join(self._read(new).select(*HASHES).hint("merge"), HASHES, "left_anti"))
+        new = self._write(self.unseen(rows), dealt=True)
+        known = self._write(rows.join(self._read(new).select(*HASHES).hint("merge"), HASHES, "left_anti"), dealt=True)
         self._drop(own)
         self._place((new, known), 0)
+        self._save()
 
     def _place(self, pair: tuple[str, str], level: int) -> None:
         while len(self.levels) <= level:
@@ -122,11 +163,20 @@ class LineRuns:
         self.levels[level].append(pair)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = self._write(self._union([n for n, _ in old])), self._write(self._summed([k for _, k in old]))
-            for names in old:
-                self._drop(*names)
+            merged = self._merge([n for n, _ in old]), self._merge([k for _, k in old])
+            self.replaced += [n for names in old for n in names]
             self._place(merged, level + 1)
 
+    def _merge(self, names: list[str]) -> str:
+        """One run out of several, two by two: a full merge join of runs that are dealt and sorted alike."""
+        while len(names) > 1:
+            a, b = self._read(names[0]), self._read(names[1]).select(*HASHES, F.col("n_docs").alias("__n"), F.col("last_doc").alias("__last"))
+            both = a.hint("merge").join(b.hint("merge"), HASHES, "full")
+            total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("__n", F.lit(0))
+            made = self._write(both.select(*HASHES, total.alias("n_docs"), F.greatest("last_doc", "__last").alias("last_doc")), dealt=True)
+            names = [*names[2:], made]
+        return names[0]
+
     def _union(self, names: list[str]) -> DataFrame:
         rows = self._read(names[0])
         for name in names[1:]:
@@ -146,9 +196,19 @@ class LineRuns:
             F.greatest("last_doc", "__last").alias("last_doc"),
         )
 
+    def release(self) -> None:
+        """Forget the tables and put the setting back; the runs stay in the folder for :meth:`reopen`."""
+        for name in sorted(self.tables):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+        if self.before is None:
+            self.spark.conf.unset(ORDERING)
+        else:
+            self.spark.conf.set(ORDERING, self.before)
+
     def close(self) -> None:
-        for names in self.pairs:
-            self._drop(*names)
+        """Release the runs and delete them."""
+        self.release()
         self.levels = []
         remove(self.spark, self.folder)
 
@@ -169,12 +229,14 @@ def _in_batches(keys: DataFrame, batches: int) -> list[DataFrame]:
 def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(h1, h2, last_doc) of every key found in ``min_docs`` documents or more, through the runs."""
     spark = docs.sparkSession
+    keys = stored(document_keys(docs, min_chars, key, text), "line-keys")
     runs = LineRuns(spark, fanout=fanout)
-    for batch in _in_batches(stored(document_keys(docs, min_chars, key, text), "line-keys"), batches):
-        runs.add(batch)
-    found = stored(runs.keys().where(F.col("n_docs") >= min_docs).select(*HASHES, "last_doc"), "repeated-lines")
-    runs.close()
-    return found
+    try:
+        for batch in _in_batches(keys, batches):
+            runs.add(batch)
+        return stored(runs.keys().where(F.col("n_docs") >= min_docs).select(*HASHES, "last_doc"), "repeated-lines")
+    finally:
+        runs.close()
 
 
 def dedup_lines(
