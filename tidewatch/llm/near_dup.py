@@ -39,13 +39,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored, text_or_empty
 from tidewatch.llm.tokens import blocks, column_texts
 
-#: Production parameters. A pair at 0.8 of probability Jaccard misses all bands with probability 6e-5; its registers agree
-#: in less than RETRY_SHARE with probability 2e-5 (binomial, 192 registers).
+#: Production parameters. A pair at 0.8 of probability Jaccard misses all bands with probability 6e-5.
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-RETRY_SHARE = 0.68
 BLOCK_CHARS = 4_000_000
 LEADER_SALTS = 1024
 BLOCK_DOCS = 1024
@@ -227,19 +225,24 @@ def components(links: DataFrame, purpose: str = "classes") -> DataFrame:
 
 
 def _links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Exact links between the texts of a group, (block, id, root, sig, text) each; classes joined on the way
-    are not compared again, so there are fewer links than texts."""
-    parts = [weighted(r[4]) for r in rows]
+    """Exact links between the texts of a group, (block, id, root, text) each; classes joined on the way
+    are not compared again, so there are fewer links than texts.
+
+    Where a shingle repeats, probability Jaccard decides, and it is at most the weight that two texts have in common:
+    each shared shingle adds the inverse of a sum of which one term is the inverse of its smaller weight. Only pairs whose
+    common weight reaches the limit are worked out, and no pair that is alike can fall below it."""
+    parts = [weighted(r[3]) for r in rows]
     sizes = np.array([len(k) for k, _ in parts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     vocabulary, tokens = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     lumpy = np.array([w[0] != w[-1] or w.min() != w.max() for _, w in parts])
-    sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
+    weights = np.concatenate([w for _, w in parts])
     block = np.array([r[0] for r in rows])
     crossing = len(set(block.tolist())) > 1
     root = np.unique(np.array([r[2] for r in rows], dtype=np.int64), return_inverse=True)[1]
     out = []
     held = np.zeros(len(vocabulary), dtype=bool)
+    mass = np.zeros(len(vocabulary))
     for x in range(len(rows) - 1):
         open_to = root[x + 1 :] != root[x]
         if crossing:  # pairs within one block are compared where that block stands alone
@@ -251,11 +254,13 @@ def _links(rows: list[tuple]) -> list[tuple[int, int]]:
         shared = np.add.reduceat(held[tokens[starts[x + 1] :]], starts[x + 1 : -1] - starts[x + 1], dtype=np.int64)
         held[mine] = False
         near = shared >= SIMILARITY * (sizes[x] + sizes[x + 1 :] - shared) - 1e-9
-        # weights matter only where a shingle repeats; the registers tell which of these can be alike
-        unsure = np.flatnonzero(open_to & ~near & (lumpy[x] | lumpy[x + 1 :]))
-        if len(unsure):
-            unsure = unsure[(sig[x + 1 + unsure] == sig[x]).mean(axis=1) >= RETRY_SHARE]
-            for y in unsure:
+        # weights matter only where a shingle repeats
+        unsure = open_to & ~near & (lumpy[x] | lumpy[x + 1 :])
+        if unsure.any():
+            mass[mine] = parts[x][1]
+            common = np.add.reduceat(np.minimum(mass[tokens[starts[x + 1] :]], weights[starts[x + 1] :]), starts[x + 1 : -1] - starts[x + 1])
+            mass[mine] = 0.0
+            for y in np.flatnonzero(unsure & (common >= SIMILARITY - 1e-9)):
                 near[y] = root[x] != root[x + 1 + y] and probability_jaccard(parts[x], parts[x + 1 + y]) >= SIMILARITY - 1e-9
         for y in np.flatnonzero(near & open_to) + x + 1:
             if root[x] != root[y]:
@@ -272,11 +277,11 @@ def _again(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text
     ).where("low <> high")
     once = stored(mixed.groupBy("n", "who").agg(F.min_by(F.struct("bucket", "chars"), "bucket").alias("b")).select("b.*"), "mixed")
     parts = F.greatest(F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)), F.lit(1)).cast("int")
-    rows = members.join(once.select("bucket", parts.alias("nb")), "bucket").join(texts.select("id", "sig"), "id")
+    rows = members.join(once.select("bucket", parts.alias("nb")), "bucket")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "sig")
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
     whole = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    rows = rows.join(whole.hint("merge"), "id").select("bucket", "i", "j", "mine", "id", "root", "sig", "text")
+    rows = rows.join(whole.hint("merge"), "id").select("bucket", "i", "j", "mine", "id", "root", "text")
 
     def compared(batches):
         def flush(rows):
