@@ -9,10 +9,14 @@ the manifest points only to those of finished tasks.
 Reading goes two ways. :func:`with_headers` fills metadata columns from range reads of the first
 bytes of each member, never touching payloads. :func:`read_back` range-reads whole members, decodes
 them, checks the digest and computes features; equal neighbours are read once. A third of all rows may
-be one text: each task stores it once, and no row ever travels.
+be one text: each task stores it once, and no text ever travels. Where several tasks have stored a payload, all its rows
+point to one of the members (:func:`one_place`), so equal texts have equal places; the other members stay unread.
 
-Defined results: null and empty texts are a payload of 64 zero bytes; repeated rows share a member
-within a task; equal texts give equal values. An empty table gives an empty manifest.
+Shards go through Arrow's file systems: ``file``, ``hdfs``, ``s3``/``s3a``, ``gs`` and ``abfs``/``abfss`` folders; any other kind of shared
+folder is refused. A failed task leaves a shard that no row points to.
+
+Defined results: null and empty texts are a payload of 64 zero bytes; repeated rows share a member;
+equal texts give equal values. An empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch.llm.common import stored, text_or_empty, work_dir
 from tidewatch.llm.tokens import blocks, column_texts
@@ -34,10 +39,14 @@ WIDTH = 64
 SHARD_BYTES = 256 << 20
 DEFLATE_LEVEL = 4
 ROWS_AT_A_TIME = 256
+#: Payloads whose place a task remembers; one that it has forgotten is stored again.
+KNOWN = 200_000
 # The PNG signature; bytes before the first sample data: signature and header chunk.
 PNG = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 TAR_BLOCK = 512
+# How schemes of Hadoop are called by Arrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
 
 
 def payload_of(text: str) -> bytes:
@@ -96,6 +105,11 @@ def _store(folder: str):
     """The file system of the shared folder and the folder's path there."""
     from pyarrow import fs
 
+    scheme, found, rest = folder.partition("://")
+    if found and scheme in SCHEMES:
+        folder = f"{SCHEMES[scheme]}://{rest}"
+    elif folder.startswith("file:/") and not found:
+        folder = f"file://{folder.removeprefix('file:')}"
     return fs.FileSystem.from_uri(folder)
 
 
@@ -121,6 +135,8 @@ class ShardWriter:
                 self.out, self.at = self.fs.open_output_stream(f"{self.root}/{self.name}"), 0
             self.out.write(tar_header(f"{digest.hex()}.png", len(data)))
             self.out.write(data + bytes(-len(data) % TAR_BLOCK))
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             self.known[digest] = self.name, self.at + TAR_BLOCK, len(data)
             self.at += TAR_BLOCK + len(data) + -len(data) % TAR_BLOCK
         return (digest.hex(), *self.known[digest])
@@ -151,6 +167,17 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     return stored(source.mapInArrow(packed, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "manifest")
 
 
+def one_place(manifest: DataFrame) -> DataFrame:
+    """The manifest with one place (shard, offset, length) for each digest: the smallest. Only digests that lie at several
+    places are joined; hot ones have few places, at most one a task, and their rows need no shuffle of texts."""
+    places = manifest.select("digest", "shard", "offset", "length").distinct()
+    least = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("__at"), F.count("*").alias("__n")).where("__n > 1")
+    least = stored(least.select("digest", "__at"), "places")
+    joined = manifest.join(least, "digest", "left")
+    at = {c: F.coalesce(F.col(f"__at.{c}"), F.col(c)) for c in ("shard", "offset", "length")}
+    return stored(joined.withColumns(at).select(*manifest.columns), "manifest")
+
+
 class ShardReader:
     """Range reads of members; one shard is open at a time."""
 
@@ -224,5 +251,5 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
 def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
     """Rows with metadata and figures, and the folder of their shards."""
     folder = work_dir(docs.sparkSession, "shards")
-    manifest = write_shards(docs, folder, key, text)
+    manifest = one_place(write_shards(docs, folder, key, text))
     return read_back(with_headers(manifest, folder), folder), folder

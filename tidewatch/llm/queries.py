@@ -73,7 +73,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = media.media(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height", "media_bits"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "media_width", "media_height", "media_bits", "digest", "shard", "offset", "length"
     )
 
 
