@@ -1,9 +1,9 @@
 r"""Operator 8, license scans: template markup compiled into token automata.
 
 A template is license wording with markup: ``<<beginOptional>>...<<endOptional>>`` may be left
-out, ``<<var;most=N>>`` stands for up to N words of any kind. :func:`compile_template` turns it into
-a nondeterministic token automaton: word edges, free edges for optional regions, and loops of
-bounded length for replaceable ones. A place matches if the automaton gets from its start to its end,
+out, ``<<var;most=N>>`` stands for up to N words of any kind, ``<<match=a|b c>>`` for one of the wordings. :func:`compile_template` turns it into
+a nondeterministic token automaton: word edges, branches for alternatives, free edges for optional regions, and chains of
+bounded length for replaceable ones. Numbers of lists and marks like (c) are covered by short replaceable regions. A place matches if the automaton gets from its start to its end,
 so all mandatory wording must stand there exactly, word for word. Spans do not overlap within a label:
 from each start the longest match counts.
 
@@ -11,7 +11,8 @@ The base scan looks for short phrases as consecutive words; its labels stay, tem
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z in lower case.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows are
-scanned each; very long texts are scanned whole, and the automaton starts only at places of its first words.
+scanned each; very long texts are scanned whole, and the automaton starts only at places of its first words. Extra columns
+are carried if asked for; one named as a column of the result comes out with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import text_or_empty
+from tidewatch.llm.common import carried, text_or_empty
 from tidewatch.llm.tokens import blocks, column_texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -33,20 +34,44 @@ LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 # The phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Notices of public licenses, with markup for what may be missing or replaced.
+# Disclaimers that several licenses share.
+_BSD_GIVEN = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;most=1>>Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. <<var;most=1>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_DENIED = 'THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+_GNU = (
+    "is free software<<var;most=2>> you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the Free Software Foundation, "
+    "<<match=either version {1} of the License, or (at your option) any later version|version {1} of the License|version {1}>>"
+)
+
+# Wordings and notices of public licenses, with markup for what may be missing, replaced or said otherwise.
 TEMPLATES = {
-    "notice:mit": "<<beginOptional>>released <<endOptional>><<beginOptional>>licensed <<endOptional>>under the <<beginOptional>>terms of the <<endOptional>>MIT License",
-    "notice:apache-2.0": "licensed under the Apache License<<beginOptional>>,<<endOptional>> Version 2.0",
-    "notice:gpl": "<<beginOptional>>this <<var;most=3>> is <<endOptional>>licensed under the GNU General Public License<<beginOptional>>, version <<var;most=2>><<endOptional>>",
-    "notice:cc-by": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>Creative Commons <<endOptional>>CC BY<<beginOptional>>-NC<<endOptional>><<beginOptional>>-SA<<endOptional>><<beginOptional>>-ND<<endOptional>> 4.0",
-    "text:mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;most=1>> Software<<var;most=1>>), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software.<<beginOptional>> THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED<<var;most=80>><<endOptional>>",
+    "notice:mit": "<<match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>><<match=MIT License|MIT licence|Expat License>>",
+    "notice:apache-2.0": "<<match=licensed|released|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>>Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
+    "notice:gpl": "<<match=licensed|released|distributed|available>> under <<beginOptional>>the <<endOptional>><<beginOptional>>terms of the <<endOptional>>GNU <<beginOptional>><<match=Lesser|Affero|Library>> <<endOptional>>General Public License<<beginOptional>>, <<match=version|v>> <<var;most=2>><<endOptional>>",
+    "notice:cc-by": "<<match=licensed|released|available|distributed>> under <<beginOptional>><<match=a|the>> <<endOptional>><<beginOptional>>Creative Commons <<endOptional>><<match=CC BY|Attribution>><<beginOptional>> NC<<endOptional>><<beginOptional>> NonCommercial<<endOptional>><<beginOptional>> SA<<endOptional>><<beginOptional>> ShareAlike<<endOptional>><<beginOptional>> ND<<endOptional>><<beginOptional>> NoDerivatives<<endOptional>><<beginOptional>> International<<endOptional>> <<match=4.0|3.0|2.5|2.0>>",
+    "text:mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<beginOptional>><<var;most=1>> <<endOptional>>Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software.",
+    "text:mit-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED",
     "text:isc": "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "text:bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;most=1>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var;most=1>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "text:apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>> www apache org licenses LICENSE 2.0",
-    "text:gpl-notice": "This program is free software<<var;most=2>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<var;most=8>>",
+    "text:0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED",
+    "text:bsd-2-clause": _BSD_GIVEN + _BSD_DENIED,
+    "text:bsd-3-clause": _BSD_GIVEN + "<<var;most=1>>Neither the name of <<var;most=12>> nor the names of <<match=its|the>> contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DENIED,
+    "text:apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<match=http|https>>://www.apache.org/licenses/LICENSE-2.0",
+    "text:gpl-2.0-notice": _GNU.format("", "2"),
+    "text:gpl-3.0-notice": _GNU.format("", "3"),
+    "text:lgpl-2.1-notice": _GNU.format("Lesser", "2.1"),
+    "text:lgpl-3.0-notice": _GNU.format("Lesser", "3"),
+    "text:agpl-3.0-notice": _GNU.format("Affero", "3"),
+    "text:mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<match=http|https>>://mozilla.org/MPL/2.0",
+    "text:unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "text:cc0-1.0-notice": "To the extent possible under law, <<var;most=12>> <<match=has|have>> waived all copyright and related or neighboring rights to <<var;most=12>>",
+    "text:bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    "text:zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "text:wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
 }
 
-MARKUP = re.compile(r"<<(beginOptional|endOptional|var;most=(\d+))>>")
+MARKUP = re.compile(r"<<(beginOptional|endOptional|var;most=(\d+)|match=([^>]*))>>")
 
 
 def words_of(text: str) -> list[str]:
@@ -104,13 +129,21 @@ def compile_template(label: str, template: str) -> Automaton:
         any_step.append(None)
         return len(step) - 1
 
+    def edge(at: int, word: str) -> int:
+        """A new state reached from ``at`` by a word; a state with several ways for one word gets a free edge first."""
+        if word in step[at]:
+            side = new()
+            skip[at].add(side)
+            at = side
+        to = new()
+        step[at][word] = to
+        return to
+
     opened: list[int] = []
     at, n, pos = 0, 0, 0
     for found in [*MARKUP.finditer(template), None]:
         for word in words_of(template[pos : found.start() if found else len(template)]):
-            to = new()
-            step[at][word] = to
-            at = to
+            at = edge(at, word)
             n += not opened
         if found is None:
             break
@@ -119,6 +152,13 @@ def compile_template(label: str, template: str) -> Automaton:
             opened.append(at)
         elif found[1] == "endOptional":
             skip[opened.pop()].add(at)
+        elif found[3] is not None:
+            start, at = at, new()
+            for option in found[3].split("|"):
+                here = start
+                for word in words_of(option):
+                    here = edge(here, word)
+                skip[here].add(at)
         else:
             passed = [at]
             for _ in range(int(found[2])):
@@ -183,7 +223,8 @@ def license_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     phrases = PHRASES if phrases is None else phrases
     automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
     lengths = {label: len(p.split()) for p, label in phrases.items()}
-    source = docs.select(*keep, text_or_empty(text).alias("__text"))
+    source = docs.select(*carried(keep, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]), text_or_empty(text).alias("__text"))
+    keep = tuple(source.columns[:-1])
     span = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     extra = [
         T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()),
