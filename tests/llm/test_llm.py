@@ -420,11 +420,14 @@ def test_common_words_decide_long_texts(spark):
     rare = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(7)) for _ in range(2000)]
     usual = ["the", "of", "and", "to", "in", "is", "for", "with", "this"]
     prose = [rng.choice(usual) if rng.random() < 0.1 else rng.choice(rare) for _ in range(400)]
-    texts = {1: prose, 2: rng.choices(rare, k=400), 3: rng.choices(rare, k=150), 4: rng.choices(usual, k=400)}
+    texts = {1: prose, 2: rng.choices(rare, k=400), 3: rng.choices(rare, k=quality.MIN_WORDS_FOR_COMMON - 1), 4: rng.choices(usual, k=400)}
+    # common words count in any case and next to punctuation
+    texts[5] = [rng.choice(["The", "(of", "and,", "to.", "“IN", "is;", "for:", "With", "this!"]) if x in usual else x for x in prose]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     got = by_id(quality.judge(docs))
-    assert {i: got[i].kept for i in (1, 2, 3, 4)} == {1: True, 2: False, 3: True, 4: False}
-    assert not any(got[i].base_failed for i in (1, 2, 3))
+    assert {i: got[i].kept for i in texts} == {1: True, 2: False, 3: True, 4: False, 5: True}
+    assert not any(got[i].base_failed for i in (1, 2, 3, 5))
+    assert got[5].common_distance < got[2].common_distance
 
 
 def test_pipeline_stages(spark):

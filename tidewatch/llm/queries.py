@@ -195,8 +195,10 @@ def _op10_sql() -> str:
     n = "greatest(b.word_chars, 1)"
     shares = [f"(c{i}::DOUBLE / {n})" for i in range(len(classes))]
     shares.append(f"greatest(0, ({n} - {' - '.join(f'c{i}' for i in range(len(classes)))})::DOUBLE / {n})")
-    words = [f"len(list_filter(u.words, lambda x: x = '{w}'))" for w in q.WORD_LIST]
-    total = "greatest(b.n_words, 1)"
+    words = [f"len(list_filter(u.pieces, lambda x: x = '{w}'))" for w in q.WORD_LIST]
+    total = "greatest(v.n_pieces, 1)"
+    lower = f"lower(replace({text}, chr(304), 'i' || chr(775)))"  # the one letter whose lower case has two characters
+    pieces = f"list_filter(string_split_regex({lower}, '[\\x20\\x09-\\x0D{q.MARKS.replace(chr(39), chr(39) * 2)}]+'), lambda x: x <> '')"
     usual = []
     for ref in q.COMMON_WORDS.values():
         seen = [f"(w{q.WORD_LIST.index(w)}::DOUBLE / {total})" for w in ref]
@@ -204,8 +206,8 @@ def _op10_sql() -> str:
     char = [distance(shares, list(r)) for r in q.CHAR_REFERENCES.values()]
     return f"""
 WITH b AS ({OP10_BASE_SQL}),
-u AS (SELECT doc_id, string_split_regex({text}, '[\\x20\\x09-\\x0D]+') AS words, {', '.join(f'{c} AS c{i}' for i, c in enumerate(classes))} FROM documents),
-v AS (SELECT u.*, {', '.join(f'{w} AS w{i}' for i, w in enumerate(words))} FROM u),
+u AS (SELECT doc_id, {pieces} AS pieces, {', '.join(f'{c} AS c{i}' for i, c in enumerate(classes))} FROM documents),
+v AS (SELECT u.*, len(pieces) AS n_pieces, {', '.join(f'{w} AS w{i}' for i, w in enumerate(words))} FROM u),
 d AS (SELECT b.*, round(least({', '.join(char)}), 6) AS class_distance, round(least({', '.join(usual)}), 6) AS common_distance FROM b JOIN v ON b.doc_id = v.doc_id),
 f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_SHARE} * n_words AS base_failed FROM d)
 SELECT *, NOT (base_failed OR (word_chars >= {q.MIN_CHARS_FOR_CLASSES} AND class_distance > {q.MAX_CLASS_DISTANCE})
