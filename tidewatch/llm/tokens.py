@@ -23,6 +23,9 @@ import pyarrow as pa
 CACHE_CHUNKS = 700_000
 BLOCK_CHARS = 2_000_000
 
+#: Signs that may stand behind the letters of a chunk without changing how these are split.
+TAIL_SIGNS = ".,;:!?#*%&$"
+
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
@@ -76,21 +79,25 @@ class ChunkEncoder:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Put chunks into the cache: letters with punctuation behind from their two parts, others whole."""
-        cut, plain, other = [], set(), []
+        """Put chunks into the cache: letters with other signs behind from their two parts, others whole.
+
+        The splitter ends a run of letters at any other sign but an apostrophe, so the ids of the two parts are those of
+        the whole. Flat lists of texts are kept, no tuples, which leaves the cycle collector nothing to walk.
+        """
+        chunks, cores, ends, other = [], [], [], []
         for chunk in missing:
-            core = chunk.rstrip(".,;:!?")
-            if core.isalpha() and len(core.lower()) == len(core) and unicodedata.is_normalized("NFC", core):
-                cut.append((chunk, core, chunk[len(core) :]))
-                if core not in self.cache:
-                    plain.add(core)
+            core = chunk.rstrip(TAIL_SIGNS)
+            if core.isalpha() and (core.isascii() or (len(core.lower()) == len(core) and unicodedata.is_normalized("NFC", core))):
+                chunks.append(chunk)
+                cores.append(core.lower() if core.isascii() else core)  # the normaliser lowers letters itself
+                ends.append(chunk[len(core) :])
             else:
                 other.append(chunk)
-        words = list(plain)
+        words = list(set(cores))
         ids = dict(zip(words, self._words(words), strict=True))
-        tails = list({t for _, _, t in cut})
+        tails = list(set(ends))
         tail = dict(zip(tails, self._library(tails), strict=True))
-        self.cache.update([(c, (ids[w] if w in ids else self.cache[w]) + tail[t]) for c, w, t in cut])
+        self.cache.update(zip(chunks, map(bytes.__add__, map(ids.__getitem__, cores), map(tail.__getitem__, ends)), strict=True))
         for i in range(0, len(other), 8192):
             part = other[i : i + 8192]
             self.cache.update(zip(part, self._library(part), strict=True))
