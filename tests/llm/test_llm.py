@@ -85,6 +85,15 @@ def test_token_counts_and_resynchronisation(docs):
         assert [token_counts.count_huge(WORDS, t, c, o) for c, o in ((400, 64), (333, 40))] == [want, want]
 
 
+def test_word_encoder_gives_the_ids_of_the_library():
+    tok, encoder, rng = tokens.tokenizer(WORDS), tokens.ChunkEncoder(WORDS), random.Random(7)
+    signs = [*"abcABCzKIſİıßΣσςéÉ'’.,;:!?#*%&$|<>()-_019 \n\t\r\u0327\u0301ﬁ漢가Å\u200d", "'s", "'ll", "$$$", "the", "THE", "<|", "Word"]
+    for _ in range(5):
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(500)]
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids == b"".join(x.to_bytes(4, "little") for x in tok.encode(t, add_special_tokens=False).ids)
+
+
 def test_packing(docs):
     rows = packing.pack(docs, WORDS, 64, with_ids=True).collect()
     tok = tokens.tokenizer(WORDS)
