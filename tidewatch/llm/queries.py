@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, html_extract, license_scan, line_dedup, media, near_dup, packing, quality, token_counts, url_filter
+from tidewatch.llm import byte_bpe, conversation, hard_negative, html_extract, language_id, license_scan, line_dedup, media, near_dup, packing, quality, token_counts, url_filter
 from tidewatch.llm.common import table
 
 
@@ -90,6 +90,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negative.hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.damage_and_repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries():
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -102,6 +114,9 @@ def queries():
         "op8_license_scans": op8_license_scans,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_quality_rules": op10_quality_rules,
+        "op11_language_id": op11_language_id,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -215,5 +230,91 @@ SELECT *, NOT (base_failed OR (word_chars >= {q.MIN_CHARS_FOR_CLASSES} AND class
 """
 
 
+OP12_SQL = r"""
+WITH fit AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS score
+  FROM fit a JOIN fit b ON a.vec_id % 50 = 0 AND a.r <> b.r
+), positives AS (
+  SELECT ar, anchor_id, id AS positive_id, CAST(score AS BIGINT) AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS place
+  FROM pairs WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.place ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.positive_score, CAST(n.score AS BIGINT) AS negative_score
+FROM positives p JOIN pairs n ON p.ar = n.ar AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+def _op13_sql() -> str:
+    """Damage, faults and the cheapest repair as a recursive query over four states: start (S), after s (P), after u (U), after a (A)."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(str(c))
+    half = lambda x: f"xor({x} >> 4, ([{', '.join(table)}])[CAST({x} & 15 AS INTEGER) + 1])"
+    crc = f"xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, b: {half(half('xor(c, b)'))}, 4294967295), 4294967295)"
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), drawn AS (SELECT *, {crc} % 20 AS d FROM raw),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM drawn, (VALUES (1), (2)) v(copy) WHERE d <> 0 AND (copy = 1 OR d = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM placed
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS neighbours
+  FROM seen
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (neighbours NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id
+), inserted(state, after, added, letters, words) AS (VALUES
+  ('S', 'S', 0, '', NULL), ('S', 'U', 3, 'I', 'user:'), ('S', 'A', 6, 'II', 'user:' || chr(10) || 'assistant:'),
+  ('P', 'P', 0, '', NULL), ('P', 'U', 3, 'I', 'user:'), ('P', 'A', 6, 'II', 'user:' || chr(10) || 'assistant:'),
+  ('A', 'A', 0, '', NULL), ('A', 'U', 3, 'I', 'user:'), ('A', 'A', 6, 'II', 'user:' || chr(10) || 'assistant:'),
+  ('U', 'U', 0, '', NULL), ('U', 'A', 3, 'I', 'assistant:'), ('U', 'U', 6, 'II', 'assistant:' || chr(10) || 'user:')
+), read(letter, state, initial, after, price, role) AS (VALUES
+  ('D', 'S', NULL, 'S', 4, NULL), ('D', 'P', NULL, 'P', 4, NULL), ('D', 'U', NULL, 'U', 4, NULL), ('D', 'A', NULL, 'A', 4, NULL),
+  ('K', 'S', 's', 'P', 0, NULL), ('K', 'S', 'u', 'U', 0, NULL), ('K', 'P', 'u', 'U', 0, NULL), ('K', 'A', 'u', 'U', 0, NULL), ('K', 'U', 'a', 'A', 0, NULL),
+  ('R', 'S', NULL, 'U', 3, 'user'), ('R', 'P', NULL, 'U', 3, 'user'), ('R', 'A', NULL, 'U', 3, 'user'), ('R', 'U', NULL, 'A', 3, 'assistant')
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 'S' AS state, 0 AS cost, '' AS audit, CAST(NULL AS VARCHAR) AS said FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, r.after, w.cost + n.added + r.price + CASE WHEN r.letter <> 'D' AND j.fault = 'truncated' THEN 3 ELSE 0 END,
+    w.audit || n.letters || r.letter,
+    nullif(concat_ws(chr(10), w.said, n.words, CASE WHEN r.letter <> 'D' THEN coalesce(r.role, j.role) || ':' || j.text END), '')
+  FROM walk w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1
+  JOIN inserted n ON n.state = w.state JOIN read r ON r.state = n.after
+  WHERE (r.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate')) AND (r.letter <> 'K' OR r.initial = left(j.role, 1)) AND (r.letter <> 'R' OR r.role <> j.role)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id, r.after ORDER BY w.cost + n.added + r.price + CASE WHEN r.letter <> 'D' AND j.fault = 'truncated' THEN 3 ELSE 0 END, w.audit || n.letters || r.letter) = 1
+), ended AS (
+  SELECT w.conv_id, w.cost + n.added AS cost, w.audit || n.letters AS audit, concat_ws(chr(10), w.said, n.words) AS said
+  FROM walk w LEFT JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id JOIN inserted n ON n.state = w.state
+  WHERE w.i = coalesce(c.n, 0) AND n.after IN ('S', 'A')
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + n.added, w.audit || n.letters) = 1
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(said) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_url_filters": OP7_SQL, "op10_quality_rules": _op10_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op7_url_filters": OP7_SQL, "op10_quality_rules": _op10_sql(), "op12_hard_negatives": OP12_SQL, "op13_conversation_repair": _op13_sql()}
