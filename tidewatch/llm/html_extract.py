@@ -15,6 +15,11 @@ hangs from nodes that are kept or passed. The trees are fitted on ``TRAIN_PAGES`
 seeded sample of varied layouts: with and without classes, semantic elements, wrappers, tables, html and body, bare text and
 inline holders, and without main text), once in the driver, and travel with the tasks (under 200 kB).
 
+A name in class or id counts by its first and last word, or as a whole that begins or ends with a telling word (``commentlist``); a name that
+only describes a state or a kind (``no-sidebar``, ``has-header``, ``tag-comments``) tells nothing. What a node's name says is handed down to the nodes below,
+but not from a node that holds nearly all text of the page. As a last resort, a page whose decoding keeps nothing gives its paragraphs outside of
+all elements that are boilerplate by tag or name, or the text of the page itself, so an article is never lost whole.
+
 Blocks: text is divided at block elements; white space (also a line break element) becomes one space,
 blocks are trimmed, empty ones dropped, and joined by a line feed. Defined results: null or empty html,
 or a page without main text, gives an empty text; repeated rows are extracted each; pages of any length
@@ -49,7 +54,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = frozenset("script style noscript template head title textarea select option button iframe object svg canvas audio video math datalist".split())
+SILENT = frozenset("script style noscript template head title textarea select option button iframe object svg canvas audio video datalist".split())
 #: What a start tag closes, and where looking for it ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -81,9 +86,28 @@ TAG_OF = {
     **{t: "table" for t in ("table", "tbody", "thead", "tr", "td", "th", "tfoot", "caption")}, "fieldset": "form",
     "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "html": "body",
 }
+#: First words of names that describe a state or a kind, not a part of the page.
+STATES = frozenset("no not with without has have is tag category cat page single post type format status hentry theme layout col js template logged archive author term".split())
+#: A node with this share of the page's text hands nothing down.
+NEARLY_ALL = 0.8
 TOKEN = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
-FEATURES = len(TAGS) + 2 * (1 + len(BAD_GROUPS)) + 27
+FEATURES = len(TAGS) + 2 * (1 + len(BAD_GROUPS)) + 28
+#: Words long enough to be recognised at either end of a name.
+LONG_WORDS = tuple(sorted(w for group in (GOOD_TOKENS, *BAD_GROUPS) for w in group if len(w) >= 6))
+
+
+@functools.lru_cache(maxsize=20_000)
+def name_tokens(said: str) -> frozenset[str]:
+    """What the names in an attribute tell: first and last words, and long words at either end of a whole name."""
+    out: set[str] = set()
+    for name in said.lower().split():
+        words = TOKEN.findall(name)
+        if not words or (len(words) > 1 and words[0] in STATES):
+            continue
+        out.update((words[0], words[-1]))
+        out.update(w for w in LONG_WORDS if words[0].startswith(w) or words[-1].endswith(w))
+    return frozenset(out)
 
 
 class Tree(HTMLParser):
@@ -126,7 +150,7 @@ class Tree(HTMLParser):
         said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label")) if attrs else ""
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
-        self.tokens.append(frozenset(TOKEN.findall(said.lower())) if said else frozenset())
+        self.tokens.append(name_tokens(said) if len(said) <= 300 else name_tokens.__wrapped__(said))
         self.stack.append(len(self.tags) - 1)
         self.opened[tag] = self.opened.get(tag, 0) + 1
 
@@ -215,7 +239,10 @@ def features(tree: Tree) -> np.ndarray:
                 for j, group in enumerate(lists):
                     if tree.tokens[i] & group:
                         out[i, base + j] = 1
-            above[i] = np.maximum(above[p], out[p, base : base + len(lists)])
+            if tree.tags[p] not in ("html", "body") and text[p] < NEARLY_ALL * total:
+                above[i] = np.maximum(above[p], out[p, base : base + len(lists)])
+            elif text[p] < NEARLY_ALL * total:
+                above[i] = above[p]
             out[i, base + len(lists) : figures] = above[i]
             inside[i] = inside[p] | (1 << flags[tree.tags[p]] if tree.tags[p] in flags else 0)
         t, up = text[i], text[p] if i else text[0]
@@ -225,6 +252,7 @@ def features(tree: Tree) -> np.ndarray:
             t / (up or 1), t / total, place[i] / max(kids[p] - 1, 1) if i else 0.0, min(kids[p], 50) if i else 0, max(starts[i], 0) / total, (max(starts[i], 0) + t) / total,
             inside[i] & 1, inside[i] >> 1 & 3, inside[i] >> 3 & 3, inside[i] >> 5 & 3, float(silent[i]),
             np.log1p(held[h]), held[h] / longest, link[h] / text[h] if text[h] else 0.0, float(in_link[i]), t / (largest[p] or 1) if i else 1.0, semantic, named, np.log1p(total), (text[p] - t) / total if i else 0.0,
+            float(inside[i] & 4 and inside[i] & 96),
         )
     return out
 
@@ -330,6 +358,33 @@ def main_text(tree: Tree, kept: list[bool]) -> str:
     return "\n".join(b for b in out if b)
 
 
+def last_resort(tree: Tree, kept: list[bool]) -> list[bool]:
+    """Where nothing is kept: the paragraphs outside of all that is boilerplate by tag or name, or else the text of the page or body itself."""
+    if any(kept[node] for node, text in tree.runs if text and text.strip()):
+        return kept
+    n = len(tree.tags)
+    text, link, bad, para = [0] * n, [0] * n, [False] * n, [False] * n
+    for node, said in tree.runs:
+        text[node] += len(said.strip()) if said else 0
+    for i in range(n - 1, 0, -1):
+        text[tree.parents[i]] += text[i]
+        link[i] += text[i] if tree.tags[i] == "a" else 0
+        link[tree.parents[i]] += link[i]
+    worst = frozenset().union(*BAD_GROUPS)
+    for i in range(1, n):
+        p, tag = tree.parents[i], tree.tags[i]
+        named = bool(tree.tokens[i] & worst) and tag not in ("html", "body", "article", "main") and text[i] < NEARLY_ALL * max(text[0], 1)
+        bad[i] = bad[p] or named or tag in SILENT or tag in ("nav", "footer", "aside", "label", "button")
+        bad[i] |= tag in ("form", "header") and text[i] < NEARLY_ALL * max(text[0], 1)
+        para[i] = not bad[i] and (para[p] or (tag == "p" and 2 * link[i] < text[i]))
+    if not any(para):
+        own = {node for node, said in tree.runs if said and said.strip()}
+        for i in range(n):
+            whole = tree.tags[i] in ("#root", "html", "body") and i in own
+            para[i] = whole or (i > 0 and para[tree.parents[i]] and not bad[i] and tree.tags[i] not in BLOCK and tree.tags[i] != "a")
+    return para
+
+
 def _words(rng: random.Random, n: int) -> str:
     syllables = "ta re mi on the shi lor ven qua et des com pli no ra ü ción é"
     parts = syllables.split()
@@ -373,7 +428,10 @@ def training_page(rng: random.Random) -> str:
 
     def comments() -> str:
         each = "".join(f'<div{bad} class="comment"><p{bad}>{_words(rng, rng.randint(5, 60))}</p></div>' for _ in range(rng.randint(1, 5)))
-        return f'<{(t := rng.choice(["section", "div"]))}{bad}{" " + rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "respond", "discussion"])}">{each}</{t}>'
+        if rng.random() < 0.3:
+            each = "".join(f"<li{bad}>{_words(rng, 2)}<p{bad}>{_words(rng, rng.randint(5, 60))}</p></li>" for _ in range(rng.randint(1, 5)))
+            return f'<{(t := rng.choice(["ol", "ul"]))}{bad} class="{rng.choice(["commentlist", "comment-list", "comments"])}">{each}</{t}>'
+        return f'<{(t := rng.choice(["section", "div"]))}{bad}{" " + rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "respond", "discussion", "comments-area"])}">{each}</{t}>'
 
     def share() -> str:
         kind = f' class="{rng.choice(["share", "share-link", "social", "ad", "sponsored", "promo"])}"'
@@ -416,9 +474,14 @@ def training_page(rng: random.Random) -> str:
             return f"<figure{good}><figcaption{good}>{_words(rng, rng.randint(3, 14))}</figcaption></figure>"
         return f"<p{good}>{text}</p>"
 
-    def content(bare: bool) -> str:
+    def content(bare: bool, headed: bool) -> str:
         """The blocks of the article; ``bare`` ones are text with line breaks, or inline elements, in the holder itself."""
         inner = [f"<{(h := rng.choice(['h1', 'h1', 'h2']))}{good}>{_words(rng, rng.randint(3, 14))}</{h}>"] * (rng.random() < 0.75)
+        if inner and headed and rng.random() < 0.3:
+            inner = [f"<header{good}{named('entry-header', 'header', 'post-header')}>{inner[0]}</header>"]
+        if headed and rng.random() < 0.08:  # an overview: linked titles are what the page is about
+            titles = "".join(f'<li{good}><a{good} href="/t">{_words(rng, rng.randint(3, 9))}</a></li>' for _ in range(rng.randint(3, 8)))
+            return "".join(inner) + f"<ul{good}>{titles}</ul>"
         for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 12])):
             text = _words(rng, int(np.exp(rng.uniform(2.5, 5.5))))
             inner.append(paragraph() if not bare else rng.choice([text + "<br><br>", text + "<br>", inline(text) + " ", f"{text} {inline(_words(rng, 3))} {text}<br>", f"<p{good}>{text}</p>"]))
@@ -426,13 +489,18 @@ def training_page(rng: random.Random) -> str:
                 inner.append(rng.choice([advert, aside, form, notice, share])())
         return "".join(inner)
 
+    def headed_list(body: str) -> bool:
+        return "<ul" in body and "<p" not in body
+
     def article() -> tuple[str, bool]:
         """The main part, and whether it lies in the body itself."""
         style = rng.random()
         bare = rng.random() < (0.45 if style >= 0.8 else 0.12)
-        body = content(bare)
+        body = content(bare, style < 0.5)
         if style < 0.5:
-            tag, kind = rng.choice([("article", ""), ("article", ""), ("article", named("post", "story", "entry")), ("main", ""), ("div", named("content", "article-body", "post", "entry-content", "main", "story")), ("section", named("content", "article", "main"))])
+            tag, kind = rng.choice([("article", ""), ("article", ""), ("article", named("post", "story", "entry", "post tag-comments category-notice")), ("main", ""), ("div", named("content", "article-body", "post", "entry-content", "main", "story")), ("section", named("content", "article", "main"))])
+            if headed_list(body) and tag == "div" and not kind:
+                kind = ' class="content"'
             if rng.random() < 0.2:
                 body = f"<div{good}{named('text', 'body', 'inner')}>{body}</div>"
             return f"<{tag}{good}{kind}>{body}</{tag}>", False
@@ -472,18 +540,22 @@ def training_page(rng: random.Random) -> str:
     if rng.random() < busy:
         tag = rng.choice(["footer", "footer", "div"])
         kind = "" if tag == "footer" else f' class="{rng.choice(["footer", "site-footer", "copyright"])}"'
-        after.append(f"<{tag}{bad}{kind}>&copy; {_words(rng, rng.randint(3, 30))}</{tag}>")
+        said = f"&copy; {_words(rng, rng.randint(3, 30))}"
+        after.append(f"<{tag}{bad}{kind}>" + (said if rng.random() < 0.6 else f"<p{bad}>{said if rng.random() < 0.3 else _words(rng, rng.randint(4, 25))}</p>") + f"</{tag}>")
     main, in_body = ("", False) if rng.random() < 0.03 else article()
     if main and not in_body and rng.random() < 0.25:
         main = f'<div data-y="1"{named("wrapper", "container", "page", "row")}>{main}{aside() if rng.random() < 0.5 else ""}</div>'
     whole = f"{''.join(before)}{main}{''.join(after)}"
     mark = good if in_body or main else bad
+    if main and rng.random() < 0.04:  # pages whose whole body is one form
+        whole = f'<form{good}{named("aspnetForm", "form1", "mainform")}>{whole}</form>'
     frame = rng.random()
     if frame < 0.17:  # a fragment
         return f"<!--r{int(bool(main))}-->{whole}"
+    state = "" if rng.random() < 0.6 else f' class="{rng.choice(["single no-sidebar", "page with-sidebar has-header", "home blog", "sidebar-right", "has-ads logged-in", "cookie-accepted"])}"'
     if frame < 0.25:
-        return f"<body{mark}>{whole}</body>"
-    return f"<!DOCTYPE html><html>{head}<body{mark}>{whole}</body></html>"
+        return f"<body{mark}{state}>{whole}</body>"
+    return f"<!DOCTYPE html><html>{head}<body{mark}{state}>{whole}</body></html>"
 
 
 class _Labelled(Tree):
@@ -539,7 +611,7 @@ def extract(pages: list[str], trees: BoostedTrees) -> list[str]:
     scores = trees.probability(np.concatenate(rows))
     out, at = [], 0
     for tree, mine in zip(parsed, rows, strict=True):
-        out.append(main_text(tree, decode(tree, scores[at : at + len(mine)])))
+        out.append(main_text(tree, last_resort(tree, decode(tree, scores[at : at + len(mine)]))))
         at += len(mine)
     return out
 
