@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import carried, text_or_empty
-from tidewatch.llm.tokens import blocks, column_texts
+from tidewatch.llm.tokens import KEPT_CHARS, blocks, column_texts, entry_bytes
 
-#: Entries that a worker's caches hold at most: text chunks, and pairs of tokens.
-CACHE_CHUNKS = 600_000
+#: What a worker's caches hold at most: bytes of text chunks and their ids, and pairs of tokens. Longer chunks than ``KEPT_CHARS`` are never kept.
+CACHE_BYTES = 200_000_000
 CACHE_PAIRS = 400_000
 #: Unicode's White_Space, which the pattern's ``\s`` means.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -138,6 +138,7 @@ class TextEncoder:
         self.chunks = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]")
         self.double = re.compile(rf"[{WHITE}][{WHITE}]")
         self.cache: dict[str, list[int]] = {}
+        self.held = 0  # bytes of the cache
 
     def pieces(self, text: str) -> list[str]:
         return self.chunks.findall(text) if self.double.search(text) is None else self.pattern.findall(text)
@@ -159,8 +160,9 @@ class TextEncoder:
                 cache[part] = ids[part] if part in ids else cache[part]
             else:
                 cache[part] = [i for m in found for i in (ids[m] if m in ids else cache[m])]
-        if len(cache) + len(ids) <= CACHE_CHUNKS:
-            cache.update(ids)
+        short = {k: v for k, v in ids.items() if len(k) <= KEPT_CHARS and k not in cache}
+        cache.update(short)
+        self.held += entry_bytes(short, 8 * sum(map(len, short.values())))
 
     def encode(self, texts: list[str]):
         """The ids of each text, in order."""
@@ -170,16 +172,23 @@ class TextEncoder:
         for parts in split:
             need.update(parts)
         missing = need.difference(cache)
-        if len(cache) + len(missing) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
             missing = need
         self._learn(missing)
-        for parts in split:
-            ids: list[int] = []
-            add = ids.extend
-            for found in map(cache.__getitem__, parts):
-                add(found)
-            yield ids
+        try:
+            for parts in split:
+                ids: list[int] = []
+                add = ids.extend
+                for found in map(cache.__getitem__, parts):
+                    add(found)
+                yield ids
+        finally:
+            for long in [c for c in missing if len(c) > KEPT_CHARS]:
+                missing.discard(long)
+                cache.pop(long, None)
+            self.held += entry_bytes(missing, sum(8 * len(cache[c]) for c in missing if c in cache))
 
 
 @functools.lru_cache(maxsize=2)

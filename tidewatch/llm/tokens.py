@@ -2,8 +2,9 @@
 
 The vocabulary's normaliser turns runs of white space into one space and its splitter drops white
 space, so a space, tab or newline always ends a split: the ids of a text are the ids of its chunks
-in order. Each worker process keeps a bounded cache from chunk to ids; what is not in it is encoded
-by the library itself, and a full cache starts again, so memory is bounded and results never differ.
+in order. Each worker process keeps a cache from chunk to ids, bounded in bytes; what is not in it is encoded
+by the library itself, and a full cache starts again, so results never differ. Chunks of more than ``KEPT_CHARS``
+characters (texts without white space, base64, minified code) are never kept: they live as long as their block.
 Texts that hold ``<|`` may hold an added token, which is found before splitting; they go to the
 library whole.
 """
@@ -19,14 +20,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker's cache holds at most, and characters of text taken at a time.
-CACHE_CHUNKS = 700_000
+#: Bytes that a worker's cache holds at most (by :func:`entry_bytes`), the longest chunk it keeps, and characters of text taken at a time.
+CACHE_BYTES = 160_000_000
+KEPT_CHARS = 64
 BLOCK_CHARS = 2_000_000
 
 #: Signs that may stand behind the letters of a chunk without changing how these are split.
 TAIL_SIGNS = ".,;:!?#*%&$"
 
 
+def entry_bytes(keys: Iterable[str], value_bytes: int) -> int:
+    """What new cache entries take, estimated from above: two objects and a slot each, four bytes a character, and the values."""
+    sizes = [len(k) for k in keys]
+    return 200 * len(sizes) + 4 * sum(sizes) + value_bytes
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The library's tokenizer of this process; no truncation, no padding, one thread."""
@@ -58,6 +66,7 @@ class ChunkEncoder:
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # bytes of the cache
         ends = [t.endswith("</w>") for t, _ in sorted(self.tok.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends, dtype=bool)
 
@@ -110,13 +119,20 @@ class ChunkEncoder:
             if chunks:
                 need.update(chunks)
         missing = need.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
             missing = need
         self._learn(missing)
         get = self.cache.__getitem__
-        for text, chunks in zip(texts, lists, strict=True):
-            yield self._library([text])[0] if chunks is None else b"".join(map(get, chunks))
+        try:
+            for text, chunks in zip(texts, lists, strict=True):
+                yield self._library([text])[0] if chunks is None else b"".join(map(get, chunks))
+        finally:
+            for long in [c for c in missing if len(c) > KEPT_CHARS]:
+                missing.discard(long)
+                self.cache.pop(long, None)
+            self.held += entry_bytes(missing, sum(len(self.cache[c]) for c in missing if c in self.cache))
 
 
 @functools.lru_cache(maxsize=2)
