@@ -35,9 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.llm.common import stored, text_or_empty
-from tidewatch.llm.tokens import blocks, column_texts
+from tidewatch.llm.common import carried, stored, text_or_empty
+from tidewatch.llm.tokens import KEPT_CHARS, blocks, column_texts, entry_bytes
 
 #: Production parameters. A pair at 0.8 of probability Jaccard misses all bands with probability 6e-5.
 SHINGLE = 5
@@ -47,7 +48,9 @@ REGISTERS = BANDS * ROWS
 BLOCK_CHARS = 4_000_000
 LEADER_SALTS = 1024
 BLOCK_DOCS = 1024
-CACHE_WORDS = 500_000
+CACHE_BYTES = 100_000_000
+#: Bytes of a register: labels of 32 bits, so that short texts, which fill all registers with one label, hardly ever share one by chance.
+LABEL = 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,8 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _word_cache() -> dict[str, int]:
-    return {}
+def _word_cache() -> dict:
+    """Hashes of words; under the key None the bytes that the others take."""
+    return {None: 0}
 
 
 def shingles(text: str) -> np.ndarray:
@@ -68,12 +72,17 @@ def shingles(text: str) -> np.ndarray:
     words = text.lower().split()
     cache = _word_cache()
     missing = set(words).difference(cache)
-    if len(cache) + len(missing) > CACHE_WORDS:
+    if cache[None] > CACHE_BYTES:
         cache.clear()
+        cache[None] = 0
         missing = set(words)
     for word in missing:
         cache[word] = xxhash.xxh3_64_intdigest(word)
     h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    for word in [w for w in missing if len(w) > KEPT_CHARS]:
+        missing.discard(word)
+        del cache[word]
+    cache[None] += entry_bytes(missing, 0)
     size = min(SHINGLE, len(h)) or 1
     if not len(h):
         return np.zeros(1, dtype=np.uint64)
@@ -90,15 +99,15 @@ def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str], registers: int = REGISTERS) -> np.ndarray:
-    """ProbMinHash registers (16 bits each) of some texts at once; one row for each text."""
+    """ProbMinHash registers (32 bits each) of some texts at once; one row for each text."""
     parts = [weighted(t) for t in texts]
     n = len(parts)
     h = np.concatenate([k for k, _ in parts])
     rate = np.concatenate([w for _, w in parts])
     doc = np.repeat(np.arange(n), [len(k) for k, _ in parts])
     first = np.full(n * registers, np.inf)
-    sig = np.zeros(n * registers, dtype=np.uint16)
-    label = (_mix(h ^ GOLDEN) & np.uint64(0xFFFF)).astype(np.uint16)
+    sig = np.zeros(n * registers, dtype=np.uint32)
+    label = (_mix(h ^ GOLDEN) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     time = np.zeros(len(h))
     step = np.uint64(0)
     with np.errstate(over="ignore"):
@@ -139,9 +148,11 @@ def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], li
     return probability_jaccard(a, b) >= limit - 1e-9
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t1, t2, sig, chars): text hashes, registers and length of each row."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("__text"))
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, t1, t2, sig, chars, kept): text hashes, registers and length of each row, and a struct of the columns ``keep``."""
+    kept = F.struct(*carried(keep, ["class_id", "n_equal"])) if keep else F.lit(None).cast("boolean")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("__text"), kept.alias("kept"))
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "t1", "t2")], T.StructField("sig", T.BinaryType()), T.StructField("chars", T.LongType()), source.schema["kept"]])
 
     def made(batches):
         for batch in batches:
@@ -155,14 +166,14 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                         t2.append(int.from_bytes(digest[8:], "little", signed=True))
                     sigs += [row.tobytes() for row in signatures(part)]
                     chars += map(len, part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(chars, pa.int64())], names=["doc_id", "t1", "t2", "sig", "chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(chars, pa.int64()), batch.column(2)], names=["doc_id", "t1", "t2", "sig", "chars", "kept"])
 
-    return source.mapInArrow(made, "doc_id long, t1 long, t2 long, sig binary, chars long")
+    return source.mapInArrow(made, schema)
 
 
 def _banded(texts: DataFrame) -> DataFrame:
     """(bucket, id): one row for each band of each text."""
-    width = 2 * ROWS
+    width = LABEL * ROWS
     rows = texts.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     return rows.select(F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"), "id")
 
@@ -175,13 +186,20 @@ def _groups(batches, size: int):
             yield row[:size], row[size:]
 
 
-def verify(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The (a, b) of ``pairs`` that are alike. Each a is sent once for each salt, each b once for each pair."""
+def _one_each(docs: DataFrame, twice: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the rows of ``docs``, once for each different text of an id; ``twice`` are the ids that have several rows, and
+    only their rows are grouped, with partial sums where they lie."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    again = rows.join(twice, "id", "left_semi").groupBy("id", F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text")).select("id", "text")
+    return rows.join(twice, "id", "left_anti").unionByName(again)
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that are alike; ``texts`` are (id, text). Each a is sent once for each salt, each b once for each pair."""
     salted = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(LEADER_SALTS)).cast("int").alias("salt"), "b")
     wanted = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")).unionByName(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"))
     )
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
     rows = wanted.join(texts.hint("merge"), "id").select("a", "salt", "role", "id", "text")
 
     def checked(batches):
@@ -269,7 +287,7 @@ def _links(rows: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def _again(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _again(members: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
     """Links between different classes that share a bucket, by exact shingles, in blocks of bounded size."""
     sized = members.join(texts.select("id", "chars"), "id")
     mixed = sized.groupBy("bucket").agg(
@@ -280,7 +298,6 @@ def _again(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text
     rows = members.join(once.select("bucket", parts.alias("nb")), "bucket")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
-    whole = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
     rows = rows.join(whole.hint("merge"), "id").select("bucket", "i", "j", "mine", "id", "root", "text")
 
     def compared(batches):
@@ -303,9 +320,11 @@ def _again(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text
 
 
 def classes(docs: DataFrame, keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's doc_id (or columns ``keep``), its ``class_id`` (the smallest doc_id of the class) and the
+    """Each row's doc_id (or columns ``keep`` in its place), its ``class_id`` (the smallest doc_id of the class) and the
     number of equal texts ``n_equal``; a document is its class's representative if both ids are equal."""
-    made = stored(features(docs, key, text), "features")
+    made = stored(features(docs, key, text, keep), "features")
+    twice = stored(made.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    rows = _one_each(docs, twice, key, text)
     texts = stored(made.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("chars").alias("chars"), F.count("*").alias("n_equal")), "texts")
     known = texts.where("id is not null")
     banded = _banded(known)
@@ -313,10 +332,11 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = (), key: str = "doc_id", te
     shared = stored(banded.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("bucket", "a"), "buckets")
     members = stored(banded.join(shared, "bucket").select("bucket", "a", "id").distinct(), "members")
     stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = stored(verify(stars, docs, key, text), "links")
+    links = stored(verify(stars, rows), "links")
     found = components(links)
     rooted = members.join(found, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    links = stored(links.unionByName(_again(rooted, known, docs, key, text)), "links")
+    links = stored(links.unionByName(_again(rooted, known, rows)), "links")
     found = components(links)
     whole = stored(texts.join(found, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("class_id"), "n_equal"), "classes")
-    return made.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"]).select("doc_id", "class_id", "n_equal")
+    own = made.select("doc_id", "t1", "t2", "kept").join(whole, ["t1", "t2"])
+    return own.select("kept.*" if keep else "doc_id", "class_id", "n_equal")
