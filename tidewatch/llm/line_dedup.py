@@ -259,7 +259,7 @@ def dedup_lines(
         lines.join(repeated, HASHES)
         .where(~F.col("__doc").eqNullSafe(F.col("last_doc")))
         .groupBy(F.col("__doc").alias("__d"), F.col("__row").alias("__r"))
-        .agg(F.collect_list("__at").alias("__drop"))
+        .agg(F.collect_set("__at").alias("__drop"))  # a set: repeated rows give each place once
     )
     joined = rows.join(dropped, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left").withColumn("__lines", F.split("__text", "\n"))
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
