@@ -228,6 +228,34 @@ PAGES = {
     "many paragraphs": ("<html><body><div id='main'>" + "".join(f"<p>{L} {i}</p>" for i in range(2000)) + "</div><div id='footer'>Imprint and contact</div></body></html>", "\n".join(f"{L} {i}" for i in range(2000))),
     "old tags": (f"<html><body><center><font size=2>{L}</font></center><p><i>{M}</i></p></body></html>", f"{L}\n{M}"),
     "line breaks": (f"<html><body><div id='content'>{L}<br><br>{M}</div></body></html>", f"{L} {M}"),
+    # names of body and article that only describe a state or a kind, headers of articles, overviews, formulas, comment lists
+    "body of a theme": (f"<body class='single no-sidebar'><div class='wrap'><p>{L}</p><p>{M}</p></div></body>", f"{L}\n{M}"),
+    "article with categories": (f"<article class='post tag-comments category-notice'><p>{L}</p><p>{M}</p></article>", f"{L}\n{M}"),
+    "states of body": (f"<body class='page with-sidebar has-header'><h1>Odd lights</h1><p>{L}</p></body>", f"Odd lights\n{L}"),
+    "header of an article": (f"<html><body><header class='site-header'><a href='/'>The Daily</a></header><article><header><h1>Odd lights</h1></header><p>{L}</p><p>{M}</p></article></body></html>", f"Odd lights\n{L}\n{M}"),
+    "overview": ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='content'><h1>All reports</h1><ul><li><a href='/1'>How the river was crossed</a></li><li><a href='/2'>What the farmers said about it</a></li><li><a href='/3'>Why the bridge stands again</a></li></ul></div></body></html>", "All reports\nHow the river was crossed\nWhat the farmers said about it\nWhy the bridge stands again"),
+    "formula": (f"<body><article><p>{L}</p><p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></article></body>", f"{L}\nHere x=2 holds for all of them."),
+    "comment list": (f"<body><article><p>{L}</p><p>{M}</p></article><ol class='commentlist'><li>Anna<p>I liked this story a lot, thank you.</p></li><li>Bob<p>Me too, it was good to read.</p></li></ol></body>", f"{L}\n{M}"),
+    "logged in": (f"<html><body class='post-template-default single single-post logged-in has-ads'><div id='page'><div class='site-content'><p>{L}</p><p>{M}</p></div></div></body></html>", f"{L}\n{M}"),
+    "layout names": (f"<html><body class='layout-sidebar-right'><div class='row'><div class='col-md-8'><h1>Odd lights</h1><p>{L}</p><p>{M}</p></div></div></body></html>", f"Odd lights\n{L}\n{M}"),
+    "archive of a tag": (f"<html><body class='archive tag tag-popup'><main><h2>Odd lights</h2><p>{L}</p></main></body></html>", f"Odd lights\n{L}"),
+    "entry header class": (f"<html><body><article class='hentry'><div class='entry-header'><h1>Odd lights</h1></div><div class='entry-content'><p>{L}</p><p>{M}</p></div></article></body></html>", f"Odd lights\n{L}\n{M}"),
+    "site footer": (f"<html><body><div class='entry'><p>{L}</p><p>{M}</p></div><div class='site-footer'><p>Imprint, contact and the terms of use of this site.</p></div></body></html>", f"{L}\n{M}"),
+    "comments area": (f"<html><body><main><p>{L}</p><p>{M}</p></main><div id='comments' class='comments-area'><p>First of all, thank you for this.</p><p>What about the other bridge?</p></div></body></html>", f"{L}\n{M}"),
+    "sidebar beside": (f"<html><body><div class='content'><p>{L}</p><p>{M}</p></div><div class='sidebar'><h3>Popular</h3><ul><li><a href='/1'>Old lights</a></li><li><a href='/2'>New lights</a></li></ul></div></body></html>", f"{L}\n{M}"),
+    "section with heading": (f"<html><body><section><h2>Odd lights</h2><p>{L}</p><p>{M}</p></section></body></html>", f"Odd lights\n{L}\n{M}"),
+    "quoted": (f"<html><body><article><p>{L}</p><blockquote><p>{M}</p></blockquote></article></body></html>", f"{L}\n{M}"),
+    "footnote": (f"<html><body><main><p>{L}</p><p>{M}<sup>2</sup></p></main></body></html>", f"{L}\n{M}2"),
+    "ordered steps": (f"<html><body><article><h1>How to do it</h1><p>{L}</p><ol><li>Take the first one out of the box.</li><li>Put it where it belongs.</li></ol></article></body></html>", f"How to do it\n{L}\nTake the first one out of the box.\nPut it where it belongs."),
+    "newsletter box": (f"<html><body><article><p>{L}</p><p>{M}</p></article><div class='newsletter'><p>Get our news by mail.</p><form><input><button>Go</button></form></div></body></html>", f"{L}\n{M}"),
+    "breadcrumbs": (f"<html><body><div class='breadcrumbs'><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/t'>Town</a></li></ul></div><article><h1>Odd lights</h1><p>{L}</p></article></body></html>", f"Odd lights\n{L}"),
+    "cookie notice of a theme": (f"<body class='cookie-accepted'><div class='cookie-notice'><p>We use cookies to make this site work for you.</p><button>Fine</button></div><article><p>{L}</p><p>{M}</p></article></body>", f"{L}\n{M}"),
+    "picture with caption": (f"<html><body><article><p>{L}</p><figure><img src='a.png'><figcaption>The bridge at night, seen from the hill.</figcaption></figure><p>{M}</p></article></body></html>", f"{L}\nThe bridge at night, seen from the hill.\n{M}"),
+    "role main": (f"<html><body><div role='navigation'><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul></div><div role='main'><p>{L}</p><p>{M}</p></div></body></html>", f"{L}\n{M}"),
+    "camel case": (f"<html><body><div id='mainContent'><p>{L}</p><p>{M}</p></div></body></html>", f"{L}\n{M}"),
+    "long words": (f"<html><body><article><p>{'Donaudampfschiff' * 30} is a word.</p><p>{L}</p></article></body></html>", f"{'Donaudampfschiff' * 30} is a word.\n{L}"),
+    "two holders": (f"<html><body><div class='text'><p>{L}</p></div><div class='text'><p>{M}</p></div></body></html>", f"{L}\n{M}"),
+    "paragraphs in a form of a page": (f"<html><body><form id='aspnetForm'><div id='wrapper'><div class='article-body'><p>{L}</p><p>{M}</p></div></div></form></body></html>", f"{L}\n{M}"),
 }
 
 

@@ -8,7 +8,7 @@ The grammar of a conversation is ``(s?(ua)+)?`` over the first letters of its ro
 
 Errors are productions with weights: a row is deleted (D), an item staying as it is while the row is read; ``u`` and ``a`` may derive a row of another
 role (R) or no row at all (I). Chart items are (production, dot), all from the chart's first set, since the grammar is
-left-recursive; each retains its minimum (cost, audit), so a set holds eight items at most and a conversation is read once, row by row.
+left-recursive; each retains its minimum (cost, audit), so a set holds a dozen items at most and a conversation is read once, row by row.
 Equal costs are settled by the audit, character by character. Two audits of one item, set and cost are never each other's beginnings, because what
 is longer has an insertion more and costs more; so the smaller beginning gives the smaller whole, and keeping only the minimum loses
 nothing. The completed chart (Dialog, complete, after the last row) yields the repair.

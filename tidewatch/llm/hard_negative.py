@@ -16,7 +16,8 @@ Every candidate goes to the groups of anchors and every anchor to the blocks, as
 bounds of at most ``CELLS`` cells. In 64 random dimensions intervals overlap and little can be pruned; then each tile is a few matrix products.
 
 Components are ``floor(256 * x)`` of doubles. Products are taken in doubles where they are exact (bounds proven from the data of a tile),
-else in Python's integers; scores beyond a long are given as the nearest long, but are compared exactly within a tile.
+else in Python's integers; scores beyond a long are compared exactly within a tile, but
+given as the nearest long, and the range that a positive asks for follows from what is given.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite component take no part; shorter vectors count as
 filled with zeros; each row counts, so a repeated row is another row with the same id, and an anchor that is there n times
