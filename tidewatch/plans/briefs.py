@@ -10,7 +10,6 @@ from tidewatch.plans import oracle, registry
 from tidewatch.plans.queries import SERIES, themes_sql
 from tidewatch.plans.registry import dated, register, rounded
 from tidewatch.sources import market
-from tidewatch.storage import layer
 
 NOW = "1998-12-31"
 BUDGET = brief.DEFAULT_BUDGET
@@ -63,11 +62,13 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
         until = F.when(status == "SNOOZED", F.date_add(now(), F.when(user % 2 == 0, 2).otherwise(-2)))
         return rows.select("user_id", "fingerprint", status.alias("status"), until.alias("until")).distinct()
 
-    return layer(spark, sf_dir, "states", make, "user_id")
+    return registry.layer(spark, sf_dir, "states", make, "user_id", over=registry.READERS)
 
 
 def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layer(spark, sf_dir, "visible", lambda: brief.visible(recent_events(spark, sf_dir), readers(spark, sf_dir), states(spark, sf_dir), now()), "user_id")
+    return registry.layer(
+        spark, sf_dir, "visible", lambda: brief.visible(recent_events(spark, sf_dir), readers(spark, sf_dir), states(spark, sf_dir), now()), "user_id", over=registry.READERS
+    )
 
 
 def silenced(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from tidewatch.plans import oracle, registry
 from tidewatch.plans.queries import SERIES, themes_sql
 from tidewatch.plans.registry import dated, register
 from tidewatch.sources import market, providers
-from tidewatch.storage import append_absent, layer, replaced, work_dir
+from tidewatch.storage import replaced, work_dir
+from tidewatch.tables import Table
 
 TODAY = "2030-01-01"
 
@@ -98,7 +99,7 @@ VALIDATED = "WITH RECURSIVE " + FAULTY + f""", static AS (
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layer(spark, sf_dir, "judged", lambda: ingest.validated(market.faulty_bars(registry.provided(spark, sf_dir)), today()), "symbol", "source_id")
+    return registry.layer(spark, sf_dir, "judged", lambda: ingest.validated(market.faulty_bars(registry.provided(spark, sf_dir)), today()), "symbol", "source_id")
 
 
 @register("ingest_validate", VALIDATED + " SELECT symbol, source_id, CAST(bar_date AS VARCHAR) AS bar_date, round(close, 4) AS close, problem FROM judged")
@@ -230,8 +231,8 @@ def earnings_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- storage -----------------------------------------------------------------------------------
 
 
-@register("ingest_insert_if_absent", "WITH " + PROVIDERS + """ SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date FROM given b WHERE source_id = 'beta'
-AND NOT EXISTS (SELECT 1 FROM given a WHERE a.source_id = 'alpha' AND a.symbol = b.symbol AND a.bar_date = b.bar_date)""")
+@register("ingest_insert_if_absent", "WITH " + PROVIDERS + """ SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date FROM (SELECT * FROM given WHERE source_id = 'beta') b
+ANTI JOIN (SELECT symbol, bar_date FROM given WHERE source_id = 'alpha') a USING (symbol, bar_date)""")
 def ingest_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = registry.provided(spark, sf_dir)
     out = ingest.insert_if_absent(given.where("source_id = 'beta'"), given.where("source_id = 'alpha'"), ["symbol", "bar_date"])
@@ -247,12 +248,13 @@ def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("events_append", oracle.scores_sql("SELECT severity, count(*) AS n, count(DISTINCT fingerprint) AS n_fingerprints FROM events_scored GROUP BY severity"))
 def events_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events appended in three overlapping deliveries; the fingerprint keeps each once."""
-    path, rows = work_dir(spark, "events"), registry.events(spark, sf_dir)
-    month = F.month("bar_date")
-    for part in (rows.where(month <= 7), rows.where((month >= 3) & (month <= 10)), rows.where((month >= 6) | (month <= 2))):
-        table = append_absent(part, path, ["fingerprint"])
-    return table.groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("fingerprint").alias("n_fingerprints"))
+    """Events appended in three overlapping deliveries, two of which come twice; the fingerprint keeps each event once."""
+    rows = registry.events(spark, sf_dir).withColumn("yr", F.year("bar_date"))
+    table, month = Table(spark, work_dir(spark, "events"), "yr"), F.month("bar_date")
+    parts = [rows.where(month <= 7), rows.where((month >= 3) & (month <= 10)), rows.where((month >= 6) | (month <= 2))]
+    for number in (0, 1, 1, 0, 2):  # deliveries come again
+        table.insert_absent(parts[number], ["fingerprint"], ("deliveries", number))
+    return table.read().groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("fingerprint").alias("n_fingerprints"))
 
 
 @register("events_replace", oracle.scores_sql("""SELECT fingerprint, CAST(bar_date AS VARCHAR) AS bar_date, CASE WHEN bar_date BETWEEN DATE '1997-03-01' AND DATE '1997-08-31' THEN 'second' ELSE 'first' END AS run

@@ -1,7 +1,7 @@
 """Where queries and their DuckDB SQL are kept, and the layers that they share.
 
-A layer is written once in each application, to the shared folder, and read by every query after that: the large table is scanned and
-summed once, and no query computes features, events or members of themes again.
+A layer is written once for the input files as they are, to the shared folder, and read by every query after that: the large table is scanned and
+summed once, and no query computes features, events or members of themes again. When a file of an input changes, the next query writes another version.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch import tables
 from tidewatch.operators import detect, score, themes
 from tidewatch.operators import features as feature_ops
 from tidewatch.sources import market
-from tidewatch.storage import layer
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +46,16 @@ def dated(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in names or ("bar_date",)})
 
 
+#: The tables that layers are made of.
+MARKET = ("lineitem", "supplier", "nation", "region")
+READERS = (*MARKET, "customer")
+
+
+def layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], *cluster: str, over: tuple[str, ...] = MARKET, params: str = "") -> DataFrame:
+    """A versioned layer over the named tables of ``sf_dir``."""
+    return tables.layer(spark, name, [f"{sf_dir}/{t}.parquet" for t in over], make, *cluster, params=params)
+
+
 DAY = "CAST(bar_date AS VARCHAR) AS bar_date"
 
 

@@ -1,17 +1,16 @@
-"""The shared work folder, layers that several queries read, and the sinks of the engine."""
+"""The shared work folder, stored intermediate rows, range replacement and reports; :mod:`tidewatch.tables` keeps versioned tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+def work_root(spark: SparkSession) -> str:
+    """The library's folder under ``spark.checkpoint.dir``, which all executors share.
 
     Only in local mode, where neither the configuration nor the context names one (tests), a temporary folder of
     this machine becomes the checkpoint folder; on a cluster that is an error, since no executor could see it.
@@ -25,22 +24,28 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidewatch/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tidewatch"
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder for one purpose."""
+    return f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path of ``path`` and its file system."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target, files = _path(spark, path)
+    target, files = file_system(spark, path)
     return files.exists(target)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Hadoop's file system."""
-    target, files = _path(spark, path)
+    target, files = file_system(spark, path)
     files.delete(target, True)
 
 
@@ -51,43 +56,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_LAYERS: dict[tuple[str, str, str], tuple[str, object]] = {}
-
-
-def layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], *cluster: str) -> DataFrame:
-    """The named layer of ``sf_dir``, written once in each application and read from then on.
-
-    Rows that ``cluster`` names columns for are sorted by them within files, so that row groups can be skipped.
-    A layer whose folder is gone is written again.
-    """
-    key = spark.sparkContext.applicationId, sf_dir, name
-    if key not in _LAYERS or not exists(spark, f"{_LAYERS[key][0]}/_SUCCESS"):
-        df, path = make(), work_dir(spark, name)
-        (df.sortWithinPartitions(*cluster) if cluster else df).write.parquet(path)
-        _LAYERS[key] = path, df.schema
-    path, schema = _LAYERS[key]
-    return spark.read.schema(schema).parquet(path)
-
-
-def append_absent(new: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Append the rows of ``new`` whose key the table at ``path`` lacks, one for each key; returns the whole table."""
-    spark = new.sparkSession
-    rows = new.dropDuplicates(key)
-    if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
 def replaced(old: DataFrame, new: DataFrame, column: str, low: str, high: str) -> DataFrame:
     """``old`` with its rows between ``low`` and ``high`` (both included) deleted and those of ``new`` in their place."""
     inside = F.col(column).between(F.lit(low), F.lit(high))
     return old.where(~inside | F.col(column).isNull()).unionByName(new.where(inside))
 
 
-def overwrite_partitions(df: DataFrame, path: str, *partition: str) -> None:
-    """Write ``df`` and overwrite only the partitions that it has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, such as a report, to any file system that Spark knows."""
+    target, files = file_system(spark, path)
+    out = files.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def report(title: str, parts: dict[str, DataFrame]) -> str:
