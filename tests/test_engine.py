@@ -316,7 +316,7 @@ def test_contributions_and_order(spark):
     # 100 * 0.6 * 0.22 / 0.36 and 100 * 0.9 * 0.14 / 0.36, then coverage 0.36 ** 0.25, confidence and dispute
     assert [(c.key, c.amount) for c in r.ups] == [("move_z", 36.7), ("rvol", 35.0)]
     assert [(c.key, c.amount) for c in r.downs] == [("corroboration", 0.77), ("data_quality", 0.78), ("unconfirmed", 0.85)]
-    assert "55%" in r.downs[1].label and r.downs[0].label == "Only 2 of 5 signal families fired"
+    assert r.downs[1].label == "Data: 55/100" and r.downs[0].label == "Families: 2/5"
     assert (r.score, r.severity) == (36.6, "INFO")
 
 
@@ -334,7 +334,7 @@ def test_themes_need_a_driver_of_their_own(spark):
     found = {(r.sector, r.direction): r for r in themes.themes(members).collect()}
     assert set(found) == {("A", -1), ("E", -1)} and found["A", -1].members == "A3,A2,A1,A0" and found["A", -1].cohesion > 0.8 and found["A", -1].band == "High"
     assert found["E", -1].cohesion < 0.4
-    assert found["A", -1].summary.startswith("4 of your A names showed selling pressure, led by A3.")
+    assert found["A", -1].summary.startswith("A down: 4 members, first A3")
 
 
 def test_requests_are_checked():

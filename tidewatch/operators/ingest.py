@@ -26,26 +26,37 @@ def _checked(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason is null"), letters
 
 
+#: Numbers as providers write them, also inside strings.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def number(text: Column) -> Column:
+    """A number given as text: null counts as none, the empty text as 0, all that is not written as a number as not a number."""
+    return F.when(text.isNull(), F.lit(None).cast("double")).when(F.trim(text) == "", 0.0).when(text.rlike(_NUMBER), text.try_cast("double")).otherwise(F.lit(float("nan")))
+
+
+def iso_date(text: Column) -> Column:
+    """The day of a text that begins with YYYY-MM-DD; null (a malformed date for :func:`validated`) for all else, such as 2024-6-3 or a year alone."""
+    return F.when(F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(text, 1, 10).try_cast("date"))
+
+
 def parse_values(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(bars, dead letters) of provider bodies ``{"values": [{"datetime", "open", ...}]}`` with numbers as strings.
 
-    A body that is not JSON, reports an error (a status or a code) or has no usable row becomes a dead letter with its
+    A body that is not JSON, reports an error (a status, or a code that is not 0 or empty) or has no usable row becomes a dead letter with its
     reason. Rows without finite prices are dropped, a bad volume counts as 0. The feed is adjusted already, so
     its close is the adjusted close too. ``bars`` are sorted by day within each body.
     """
     schema = "status string, code string, message string, values array<struct<datetime string, open string, high string, low string, close string, volume string>>"
     rows = raw.select("symbol", "source_id", F.col(body).alias("__body"), F.from_json(body, schema).alias("b"))
 
-    def number(v: Column) -> Column:
-        return v.try_cast("double")
-
     made = F.transform("b.values", lambda v: F.struct(
-        F.substring(v["datetime"], 1, 10).try_cast("date").alias("bar_date"), *[number(v[c]).alias(c) for c in PRICES], number(v["close"]).alias("close_adj"), number(v["volume"]).alias("volume")
+        iso_date(v["datetime"]).alias("bar_date"), *[number(v[c]).alias(c) for c in PRICES], number(v["close"]).alias("close_adj"), number(v["volume"]).alias("volume")
     ))
     rows = rows.withColumn("usable", F.filter(F.coalesce(made, F.array().cast("array<struct<bar_date date, open double, high double, low double, close double, close_adj double, volume double>>")), _usable))
     error = F.coalesce(
         F.when(F.col("b").isNull(), "not a JSON object"),
-        F.when((F.col("b.status") == "error") | F.col("b.code").isNotNull(), F.coalesce("b.message", F.concat(F.lit("error code "), "b.code"), F.lit("error"))),
+        F.when((F.col("b.status") == "error") | ~F.col("b.code").isin("", "0", "false"), F.coalesce("b.message", F.concat(F.lit("error code "), "b.code"), F.lit("error"))),
         F.when(F.col("b.values").isNull() | (F.size("b.values") == 0), "no values in response"),
     )
     good, letters = _checked(rows, error)
@@ -61,19 +72,22 @@ def _usable(v: Column) -> Column:
 
 
 def parse_array(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(bars, dead letters) of provider bodies ``[{"date", "open", ..., "splitFactor"}]`` with unadjusted numbers.
+    """(bars, dead letters) of provider bodies ``[{"date", "open", ..., "splitFactor"}]`` with unadjusted numbers, as numbers or as strings.
 
     Prices are divided and volumes multiplied by all later split factors, then rounded to six places and to whole shares.
-    A body that is no array, is empty or has no usable row becomes a dead letter.
+    A volume that is missing counts as 0, one that is no number stays so, for :func:`validated` to reject. A body that is no array, is empty
+    or has no usable row becomes a dead letter.
     """
-    schema = "array<struct<date string, open double, high double, low double, close double, volume double, splitFactor double>>"
-    rows = raw.select("symbol", "source_id", F.col(body).alias("__body"), F.from_json(body, schema).alias("b"))
-    rows = rows.withColumn("usable", F.filter(F.coalesce("b", F.array().cast(schema)), _usable))
+    said = "array<struct<date string, open string, high string, low string, close string, volume string, splitFactor string>>"
+    rows = raw.select("symbol", "source_id", F.col(body).alias("__body"), F.from_json(body, said).alias("b"))
+    schema = said.replace("string", "double").replace("date double", "date string")
+    made = F.transform("b", lambda v: F.struct(v["date"].alias("date"), *[number(v[c]).alias(c) for c in (*PRICES, "volume", "splitFactor")]))
+    rows = rows.withColumn("usable", F.filter(F.coalesce(made, F.array().cast(schema)), _usable))
     error = F.coalesce(
         F.when(F.col("b").isNull() | ~F.ltrim("__body").startswith("["), "expected an array of prices"), F.when(F.size("b") == 0, "no rows in response")
     )
     good, letters = _checked(rows, error)
-    bars = good.select("symbol", "source_id", F.inline("usable")).withColumns({"bar_date": F.substring("date", 1, 10).try_cast("date"), "close_adj": F.col("close"), "volume": F.coalesce("volume", F.lit(0.0))})
+    bars = good.select("symbol", "source_id", F.inline("usable")).withColumns({"bar_date": iso_date(F.col("date")), "close_adj": F.col("close"), "volume": F.coalesce("volume", F.lit(0.0))})
     return split_adjusted(bars, "splitFactor").drop("date", "splitFactor"), letters
 
 
@@ -243,5 +257,5 @@ def padded(bars: DataFrame, windows: DataFrame, sessions: int = 320) -> DataFram
     Each window gives one range of positions a symbol; a bar is kept once, however many ranges hold it."""
     place = Window.partitionBy("symbol").orderBy("bar_date")
     rows = bars.withColumn("__n", F.row_number().over(place))
-    ranges = rows.join(F.broadcast(windows), F.col("bar_date").between(F.col("low"), F.col("high"))).groupBy("symbol", "name").agg((F.min("__n") - sessions).alias("a"), F.max("__n").alias("b"))
+    ranges = rows.join(windows, F.col("bar_date").between(F.col("low"), F.col("high"))).groupBy("symbol", "name").agg((F.min("__n") - sessions).alias("a"), F.max("__n").alias("b"))
     return rows.join(ranges.select("symbol", "a", "b"), (rows["symbol"] == ranges["symbol"]) & F.col("__n").between(F.col("a"), F.col("b")), "left_semi").drop("__n")

@@ -87,7 +87,7 @@ def _tilt(family: str) -> str:
 
 TILTED = {f: _tilt(f) for f in oracle.WEIGHTS}
 _PRIORITY = "CASE priority WHEN 'HIGH' THEN 1.3 WHEN 'LOW' THEN 0.7 ELSE 1 END"
-MARKED = [("priority", "CASE priority WHEN 'HIGH' THEN 'Marked as high priority' WHEN 'LOW' THEN 'Marked as low priority' ELSE 'Normal priority' END", _PRIORITY)]
+MARKED = [("priority", "'Priority: ' || lower(priority)", _PRIORITY)]
 _DEALT = f"(r.user_id + day(e.bar_date) + e.position) % 4 = 0 AND e.bar_date > DATE '{NOW}' - 40"
 _PAST = "events_scored e JOIN (SELECT *, min(last_seen) OVER (PARTITION BY user_id) AS since FROM readers) r ON e.symbol = r.symbol"
 BRIEF = READERS + f""",
@@ -192,22 +192,18 @@ reached AS (
 
 ACCOUNTING = "SELECT user_id, n_watched, n_surfaced, n_shown, n_surfaced - n_shown AS n_below_budget, n_snoozed, n_watched - n_surfaced - n_snoozed AS n_normal, rule FROM ruled"
 _MOVE, _SIGMA = oracle._pct("return_pct"), oracle._fixed("abs(sigmas)", 1)
-_SURE = f"'(' || {oracle._fixed('confidence', 0)} || '% confidence)'"
+_MARKET = f"'market ' || {_MOVE} || ' = ' || {_SIGMA} || ' sigmas'"
+_WAY = "CASE WHEN direction < 0 THEN ' down' ELSE ' up' END"
+_GROUP = f"sector || {_WAY} || ', ' || n_members || ' members, confidence ' || {oracle._fixed('confidence', 0)}"
 TEXT = f"""CASE rule
-  WHEN 'quiet' THEN CASE WHEN n_snoozed > 0 THEN 'Nothing new needs attention. ' || (n_watched - n_snoozed) || CASE WHEN n_watched - n_snoozed = 1 THEN ' name moved within its' ELSE ' names moved within their' END
-    || ' normal range, and ' || n_snoozed || CASE WHEN n_snoozed = 1 THEN ' is' ELSE ' are' END || ' snoozed rather than resolved.'
-    ELSE 'Nothing in your watchlist needs attention. All ' || n_watched || ' names moved within their normal range.' END
-  WHEN 'sector_rotation' THEN 'Your watchlist is splitting by sector. ' || down_sector || ' names are under pressure while ' || up_sector || ' names are holding up: rotation between sectors rather than a change of the market.'
-  WHEN 'sector_specific' THEN 'Your watchlist is experiencing concentrated ' || sector || CASE WHEN direction < 0 THEN ' weakness. ' ELSE ' strength. ' END || top_share || ' of your top ' || least(5, n_shown) || ' attention events are ' || sector
-    || ' names, but the broader market is close to flat (' || {_MOVE} || ').'
-  WHEN 'theme_led_market' THEN sector || ' names are driving a broader ' || CASE WHEN direction < 0 THEN 'decline' ELSE 'rally' END || ' in your watchlist. The market moved ' || {_MOVE} || ' (' || {_SIGMA} || 'σ), but your ' || sector
-    || ' names moved further and together ' || {_SURE} || '.'
-  WHEN 'broad_market' THEN 'This is a broad market move, not a story about any one of your names. The market is ' || {_MOVE} || ' (' || {_SIGMA} || 'σ) and ' || floor(breadth * 100 + 0.5)::INT || '% of your watchlist moved with it.'
-  WHEN 'single_theme' THEN n_members || ' of your ' || sector || ' names are showing ' || CASE WHEN direction < 0 THEN 'selling pressure ' ELSE 'strength ' END || {_SURE} || '.'
-    || CASE WHEN abs(sigmas) < 0.5 THEN ' The broader market is close to flat.' ELSE ' The broader market is ' || {_MOVE} || '.' END
-  WHEN 'isolated' THEN 'One name needs attention. The rest of your watchlist moved within its normal range, so this looks specific to the name.'
-  WHEN 'scattered' THEN n_surfaced || ' names in your watchlist need attention, but they do not share a common driver.'
-  ELSE 'Add a few names to your watchlist and your first brief will appear after the next close.' END"""
+  WHEN 'quiet' THEN 'Calm: ' || (n_watched - n_snoozed) || '; snoozed: ' || n_snoozed
+  WHEN 'sector_rotation' THEN 'Rotation: ' || up_sector || ' up, ' || down_sector || ' down'
+  WHEN 'sector_specific' THEN 'Sector: ' || sector || {_WAY} || ', ' || top_share || '/' || least(5, n_shown) || ' first items; ' || {_MARKET}
+  WHEN 'theme_led_market' THEN 'Market led by a group: ' || {_GROUP} || '; ' || {_MARKET}
+  WHEN 'broad_market' THEN 'Broad: ' || {_MARKET} || '; along with it ' || floor(breadth * 100 + 0.5)::INT || '%'
+  WHEN 'single_theme' THEN 'Group: ' || {_GROUP} || '; ' || {_MARKET}
+  WHEN 'isolated' THEN 'Notable: 1, no group'
+  WHEN 'scattered' THEN 'Notable: ' || n_surfaced || ', no group' ELSE 'No names yet' END"""
 
 
 def _accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,14 +252,14 @@ def brief_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("detect_since_cursor", oracle.feats_sql(f"""SELECT r.user_id, r.symbol, CAST(f.bar_date AS VARCHAR) AS bar_date, u.n AS sessions, sign(m.z)::INT AS direction, round(abs(m.z), 4) AS magnitude, round(tanh(m.z / 4), 4) AS strength,
-  CASE WHEN m.z > 0 THEN 'Rose ' ELSE 'Fell ' END || {oracle._pct('abs(f.close / g.close - 1)')} || ' since you last checked: ' || {oracle._fixed('abs(m.z)', 1)} || 'σ over ' || CASE WHEN u.n = 1 THEN 'session' ELSE u.n || ' sessions' END || '.' AS headline
+  'Price ' || {oracle._pct('(f.close / g.close - 1)')} || ' in ' || u.n || CASE WHEN u.n = 1 THEN ' session = ' ELSE ' sessions = ' END || {oracle._fixed('abs(m.z)', 1)} || ' sigmas' AS headline, abs(m.z) >= 2.5 AS fires
 FROM readers r JOIN (SELECT * FROM feats WHERE bar_date <= DATE '{NOW}' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1) f ON r.symbol = f.symbol,
   LATERAL (SELECT least((SELECT count(*) FROM feats c WHERE c.symbol = r.symbol AND c.bar_date > r.last_seen AND c.bar_date <= DATE '{NOW}'), least(f.rn, 300) - 1) AS n) u
   JOIN feats g ON g.symbol = r.symbol AND g.rn = f.rn - u.n, LATERAL (SELECT ln(f.close / g.close) / (f.sigma20 * sqrt(u.n)) AS z) m
 WHERE u.n >= 1 AND f.rn >= 60 AND abs(m.z) >= 1.5""").replace("WITH ", "WITH " + READERS.strip() + ", ", 1))
 def detect_since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves since each reader's own last look, at the newest bar: the detector over the reader's number of sessions, with a
-    threshold of 1.5 sigmas (2.5 is the rule for events; these are for one reader's eyes)."""
+    """Moves of 1.5 sigmas or more since each reader's own last look, at the newest bar, over the reader's number of sessions;
+    ``fires`` tells whether the detector's own threshold is reached."""
     rows = registry.features(spark, sf_dir).where(F.col("bar_date") <= now())
     last = rows.groupBy("symbol").agg(F.max("rn").alias("rn")).join(rows, ["symbol", "rn"])
     watch = readers(spark, sf_dir).select("user_id", "symbol", "last_seen")
@@ -273,7 +269,7 @@ def detect_since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = features.moved_from(asked, rows, F.col("sessions"))
     fired = detect.prepared(features.ready(moved)).where("abs(z) >= 1.5")
     rule = detect.registry()[0]
-    out = fired.select("symbol", "last_seen", "bar_date", F.col("sessions_used").alias("sessions"), rule.direction.cast("int").alias("direction"), F.round(rule.magnitude, 4).alias("magnitude"), F.round(rule.strength, 4).alias("strength"), rule.headline.alias("headline"))
+    out = fired.select("symbol", "last_seen", "bar_date", F.col("sessions_used").alias("sessions"), rule.direction.cast("int").alias("direction"), F.round(rule.magnitude, 4).alias("magnitude"), F.round(rule.strength, 4).alias("strength"), rule.headline.alias("headline"), rule.fires.alias("fires"))
     return dated(watch.join(out, ["symbol", "last_seen"]).drop("last_seen"))
 
 

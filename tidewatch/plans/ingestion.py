@@ -77,9 +77,9 @@ def ingest_split_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FAULTY = PROVIDERS + """, dealt AS (SELECT *, ((bar_date - DATE '1970-01-01') + length(symbol)) % 97 AS fault FROM given),
 faulty AS (
-  SELECT source_id, trust_rank, symbol, CASE fault WHEN 31 THEN bar_date + 200000 WHEN 37 THEN NULL ELSE bar_date END AS bar_date, CASE fault WHEN 3 THEN NULL ELSE open END AS open,
-    CASE fault WHEN 5 THEN 0 WHEN 19 THEN low / 2 WHEN 23 THEN open * 0.75::DOUBLE WHEN 29 THEN open * 3 ELSE high END AS high, CASE fault WHEN 7 THEN -1 WHEN 23 THEN open * 0.5::DOUBLE WHEN 29 THEN open * 2 ELSE low END AS low,
-    CASE fault WHEN 11 THEN 'NaN'::DOUBLE WHEN 29 THEN open * 2 ELSE close END AS close, CASE fault WHEN 13 THEN 0 WHEN 14 THEN NULL ELSE close_adj END AS close_adj, CASE fault WHEN 17 THEN -1 WHEN 43 THEN NULL ELSE volume END AS volume
+  SELECT source_id, trust_rank, symbol, CASE fault WHEN 31 THEN bar_date + 200000 WHEN 37 THEN NULL ELSE bar_date END AS bar_date, CASE fault WHEN 3 THEN NULL WHEN 59 THEN 0 ELSE open END AS open,
+    CASE fault WHEN 5 THEN 0 WHEN 47 THEN 'NaN'::DOUBLE WHEN 19 THEN low / 2 WHEN 23 THEN open * 0.75::DOUBLE WHEN 29 THEN open * 3 ELSE high END AS high, CASE fault WHEN 7 THEN -1 WHEN 53 THEN NULL WHEN 23 THEN open * 0.5::DOUBLE WHEN 29 THEN open * 2 ELSE low END AS low,
+    CASE fault WHEN 11 THEN 'NaN'::DOUBLE WHEN 61 THEN -1 WHEN 29 THEN open * 2 ELSE close END AS close, CASE fault WHEN 13 THEN 0 WHEN 14 THEN NULL ELSE close_adj END AS close_adj, CASE fault WHEN 17 THEN -1 WHEN 43 THEN NULL ELSE volume END AS volume
   FROM dealt UNION ALL SELECT source_id, trust_rank, symbol, bar_date, open, high, low, close, close_adj, volume + 1 FROM dealt WHERE fault = 41
 )"""
 _FIELD = " ".join(f"WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) THEN '{c} is not finite' WHEN {c} <= 0 THEN '{c} is not positive'" for c in ("open", "high", "low", "close", "close_adj"))
@@ -87,7 +87,7 @@ VALIDATED = "WITH RECURSIVE " + FAULTY + f""", static AS (
   SELECT *, CASE {_FIELD} WHEN volume IS NULL OR volume < 0 THEN 'volume is not valid' WHEN high < low THEN 'high below low' WHEN high < greatest(open, close) THEN 'high below open or close'
     WHEN low > least(open, close) THEN 'low above open or close' WHEN bar_date > DATE '{TODAY}' + 1 THEN 'dated in the future' END AS own_problem FROM faulty
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY symbol, source_id ORDER BY bar_date NULLS FIRST, trust_rank, open NULLS FIRST, high, low, close, close_adj NULLS FIRST, volume NULLS FIRST) AS nth FROM static
+  SELECT *, row_number() OVER (PARTITION BY symbol, source_id ORDER BY bar_date NULLS FIRST, trust_rank, open NULLS FIRST, high, low NULLS FIRST, close, close_adj NULLS FIRST, volume NULLS FIRST) AS nth FROM static
 ), fold AS (
   SELECT symbol, source_id, 0::BIGINT AS nth, '' AS problem, NULL::DATE AS day, NULL::DOUBLE AS kept FROM numbered WHERE nth = 1
   UNION ALL
@@ -161,15 +161,16 @@ def _value_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = {c: F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "volume")}
     close = F.when(F.dayofmonth("bar_date") == 5, "n/a").when(F.dayofmonth("bar_date") == 6, "Infinity").when(F.dayofmonth("bar_date") == 7, F.lit(None)).otherwise(F.col("close").cast("string"))
     volume = F.when(F.dayofmonth("bar_date") == 9, "none").otherwise(F.col("volume").cast("string"))
-    value = F.struct(F.concat(F.col("bar_date").cast("string"), F.lit(" 00:00:00")).alias("datetime"), text["open"], text["high"], text["low"], close.alias("close"), volume.alias("volume"))
-    made = rows.groupBy("symbol", "yr", "kind").agg(F.to_json(F.struct(F.collect_list(value).alias("values"))).alias("body"))
+    date = F.when(F.dayofmonth("bar_date") == 8, F.date_format("bar_date", "yyyy-M-d")).when(F.dayofmonth("bar_date") == 11, F.date_format("bar_date", "yyyy")).otherwise(F.col("bar_date").cast("string"))
+    value = F.struct(F.concat(date, F.lit(" 00:00:00")).alias("datetime"), text["open"], text["high"], text["low"], close.alias("close"), volume.alias("volume"))
+    made = rows.groupBy("symbol", "yr", "kind").agg(F.to_json(F.struct(F.lit(0).alias("code"), F.collect_list(value).alias("values"))).alias("body"))
     body = F.when(F.col("kind") % 9 == 0, F.lit('{"status": "error", "code": 429, "message": "out of credits"}')).when(F.col("kind") % 11 == 0, F.lit('{"values": []}')).otherwise(F.col("body"))
     return made.select("symbol", F.lit("alpha").alias("source_id"), body.alias("body"))
 
 
-@register("ingest_parse_values", "WITH " + _BODY + " SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, round(close, 4) AS close, round(close, 4) AS close_adj, CASE WHEN day(bar_date) = 9 THEN 0 ELSE volume END AS volume FROM src WHERE kind % 9 <> 0 AND kind % 11 <> 0 AND day(bar_date) NOT IN (5, 6, 7)")
+@register("ingest_parse_values", "WITH " + _BODY + " SELECT symbol, CASE WHEN day(bar_date) NOT IN (8, 11) THEN CAST(bar_date AS VARCHAR) END AS bar_date, round(close, 4) AS close, round(close, 4) AS close_adj, CASE WHEN day(bar_date) = 9 THEN 0 ELSE volume END AS volume FROM src WHERE kind % 9 <> 0 AND kind % 11 <> 0 AND day(bar_date) NOT IN (5, 6, 7)")
 def ingest_parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of one year each, with numbers as strings, read back."""
+    """Bodies of one year each, with numbers as strings, a code of 0 and dates that are not ISO dates, read back."""
     out, _ = ingest.parse_values(_value_bodies(spark, sf_dir))
     return dated(out.select("symbol", "bar_date", F.round("close", 4).alias("close"), F.round("close_adj", 4).alias("close_adj"), "volume"))
 
@@ -185,10 +186,10 @@ def ingest_body_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT *, coalesce(exp(sum(ln(sf)) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1) AS fac FROM f)
 SELECT symbol, CAST(bar_date AS VARCHAR) AS bar_date, round(round(close / fac, 6) + 1e-5, 2) AS close_adj, floor(volume * round(fac) + 0.5)::DOUBLE AS volume FROM g""")
 def ingest_parse_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One unadjusted body for each symbol, with splits, read back."""
+    """One unadjusted body for each symbol, with splits and some numbers as strings, read back."""
     factor = F.when((F.dayofmonth("bar_date") == 7) & (F.month("bar_date") % 6 == 0), 2.0).otherwise(1.0)
     close = F.when(F.dayofmonth("bar_date") != 5, F.col("close"))
-    row = F.struct(F.col("bar_date").cast("string").alias("date"), "open", "high", "low", close.alias("close"), "volume", factor.alias("splitFactor"))
+    row = F.struct(F.col("bar_date").cast("string").alias("date"), "open", F.concat(F.lit(" "), F.col("high").cast("string")).alias("high"), "low", close.cast("string").alias("close"), F.col("volume").cast("string").alias("volume"), factor.cast("string").alias("splitFactor"))
     bodies = _bodies(spark, sf_dir).groupBy("symbol", "source_id").agg(F.to_json(F.collect_list(row)).alias("body"))
     out, _ = ingest.parse_array(bodies)
     return dated(out.select("symbol", "bar_date", F.round(F.col("close_adj") + 1e-5, 2).alias("close_adj"), "volume"))

@@ -271,11 +271,11 @@ def themes_multi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("theme_texts", oracle.scores_sql(f"""SELECT {_SPAN}, sector, direction, CASE WHEN confidence >= 75 THEN 'High' WHEN confidence >= 50 THEN 'Medium' ELSE 'Low' END AS band,
-  concat_ws('; ', CASE WHEN timing >= 0.8 THEN 'Similar timing' ELSE 'Developed over several sessions' END, CASE WHEN cohesion >= 0.5 THEN 'These names historically move together' END,
-    CASE WHEN distinctness >= 0.6 THEN 'Not explained by the broader market' WHEN distinctness <= 0.35 THEN 'Largely tracks a broader market move' END,
-    CASE WHEN mean_ret > 0 THEN 'Average move ' || {oracle._fixed('(mean_ret * 100)', 1)} || '%' END) AS characteristics,
-  n_members || ' of your ' || sector || ' names showed ' || CASE WHEN direction < 0 THEN 'selling pressure' ELSE 'strength' END || ', led by ' || split_part(members, ',', 1) || '.'
-    || CASE WHEN distinctness >= 0.6 THEN ' It is specific to these names rather than the broader market.' ELSE '' END AS summary FROM groups""", SERIES, themes_sql(3, 5)))
+  concat_ws('; ', CASE WHEN timing >= 0.8 THEN 'at once' ELSE 'by and by' END, CASE WHEN cohesion >= 0.5 THEN 'correlated' END,
+    CASE WHEN distinctness >= 0.6 THEN 'apart from the market' WHEN distinctness <= 0.35 THEN 'with the market' END,
+    CASE WHEN mean_ret > 0 THEN 'mean size ' || {oracle._fixed('(mean_ret * 100)', 1)} || '%' END) AS characteristics,
+  sector || CASE WHEN direction < 0 THEN ' down: ' ELSE ' up: ' END || n_members || ' members, first ' || split_part(members, ',', 1)
+    || CASE WHEN distinctness >= 0.6 THEN ', apart from the market' ELSE '' END AS summary FROM groups""", SERIES, themes_sql(3, 5)))
 def theme_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = themes.themes(registry.members(spark, sf_dir), gates=False, window_days=5)
     return _themes(out.withColumn("characteristics", F.array_join("characteristics", "; ")), "sector", "direction", "band", "characteristics", "summary")

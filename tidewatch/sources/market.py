@@ -86,10 +86,10 @@ def faulty_bars(provided: DataFrame) -> DataFrame:
     c = F.col
     nan, none = F.lit(float("nan")), F.lit(None).cast("double")
     broken = {
-        "open": F.when(day == 3, none).otherwise(c("open")),
-        "high": F.when(day == 5, 0.0).when(day == 19, c("low") / 2).when(day == 23, c("open") * 0.75).when(day == 29, c("open") * 3).otherwise(c("high")),
-        "low": F.when(day == 7, -1.0).when(day == 23, c("open") * 0.5).when(day == 29, c("open") * 2).otherwise(c("low")),
-        "close": F.when(day == 11, nan).when(day == 29, c("open") * 2).otherwise(c("close")),
+        "open": F.when(day == 3, none).when(day == 59, 0.0).otherwise(c("open")),
+        "high": F.when(day == 5, 0.0).when(day == 47, nan).when(day == 19, c("low") / 2).when(day == 23, c("open") * 0.75).when(day == 29, c("open") * 3).otherwise(c("high")),
+        "low": F.when(day == 7, -1.0).when(day == 53, none).when(day == 23, c("open") * 0.5).when(day == 29, c("open") * 2).otherwise(c("low")),
+        "close": F.when(day == 11, nan).when(day == 61, -1.0).when(day == 29, c("open") * 2).otherwise(c("close")),
         "close_adj": F.when(day == 13, 0.0).when(day == 14, none).otherwise(c("close_adj")),
         "volume": F.when(day == 17, -1.0).when(day == 43, none).otherwise(c("volume")),
         "bar_date": F.when(day == 31, F.date_add("bar_date", 200_000)).when(day == 37, F.lit(None).cast("date")).otherwise(c("bar_date")),
