@@ -38,9 +38,12 @@ def full(value: Column, guard: Column, n: int) -> Column:
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    """Adds rn, prev_close, ret1d, log_ret and true_range."""
+    """Adds rn, prev_close, ret1d, log_ret and true_range; ``rn_before``, where the bars have it, tells how many bars of the series were left out before."""
     prev = F.lag("close").over(series())
-    out = bars.withColumn("rn", F.row_number().over(series())).withColumn("prev_close", prev)
+    place = F.row_number().over(series())
+    if "rn_before" in bars.columns:
+        place = (place + F.coalesce("rn_before", F.lit(0))).cast("int")
+    out = bars.withColumn("rn", place).withColumn("prev_close", prev)
     moved = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close")))
     return out.withColumns({
         "ret1d": safe_div(F.col("close"), F.col("prev_close")) - 1,

@@ -351,4 +351,4 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other parts register their queries on import
-from tidewatch.plans import briefs, ingestion  # noqa: E402, F401
+from tidewatch.plans import briefs, ingestion, recomputation  # noqa: E402, F401

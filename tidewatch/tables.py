@@ -152,27 +152,34 @@ class Table:
     # ---- changing
 
     def _write(self, rows: DataFrame, keys: list[str]) -> dict[str, list[str]]:
-        """Folders of ``rows`` by partition (none where a partition has no rows), one Parquet write; the partition column stays in the files."""
+        """Folders of ``rows`` by partition (none where one of ``keys`` has no rows), one Parquet write; the partition column stays in the files."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.withColumn("__part", F.col(self.partition).cast("string")).repartition("__part").write.partitionBy("__part").parquet(folder)
         path, files = file_system(self.spark, folder)
         there = {s.getPath().getName().removeprefix("__part=") for s in files.listStatus(path) if s.isDirectory()}
-        return {k: [f"{folder}/__part={k}"] if k in there else [] for k in keys}
+        return {k: [f"{folder}/__part={k}"] if k in there else [] for k in {*keys, *there}}
 
     def _keys(self, new: DataFrame) -> list[str]:
         return [r[0] for r in new.select(F.col(self.partition).cast("string")).distinct().collect()]  # partitions, not rows
 
-    def _change(self, keys: list[str], schema: T.StructType, merge: Callable, batch: tuple[str, int] | None) -> int:
-        """Merge into the partitions ``keys`` of the newest version until a version is published; returns its number, or the newest one's
-        if the batch is in it already."""
+    def has(self, batch: tuple[str, int]) -> bool:
+        """Whether the batch is in the newest version."""
+        return self.manifest()["batches"].get(batch[0], -1) >= batch[1]
+
+    def _change(self, touched: Callable[[], list[str]], schema: T.StructType, merge: Callable, batch: tuple[str, int] | None) -> int:
+        """Merge into the partitions ``touched`` of the newest version until a version is published; returns its number, or the newest one's
+        if the batch is in it already. A table without rows takes them all, whichever partitions they have."""
+        keys: list[str] | None = None
         for _ in range(TRIES):
             at = self.version()
             manifest = self.manifest(at)
             if batch and manifest["batches"].get(batch[0], -1) >= batch[1]:
                 return at
             parts = {k: list(v) for k, v in manifest["parts"].items()}
-            if keys:
-                for k, folders in merge(self._rows(manifest, keys), parts).items():
+            if parts and keys is None:
+                keys = touched()
+            if keys or not parts:
+                for k, folders in merge(self._rows(manifest, keys or []), parts, keys or []).items():
                     parts[k] = folders
             entry = {
                 "parts": {k: v for k, v in parts.items() if v}, "batches": manifest["batches"] | ({batch[0]: batch[1]} if batch else {}),
@@ -184,31 +191,30 @@ class Table:
 
     def upsert(self, new: DataFrame, on: list[str], batch: tuple[str, int] | None = None) -> int:
         """Rows of ``new`` take the place of stored ones with their key; only their partitions are read and rewritten. ``new`` has a key once."""
-        keys = self._keys(new)
 
-        def merge(old: DataFrame | None, parts: dict) -> dict:
-            return self._write(new if old is None else old.join(new.select(*on), on, "left_anti").unionByName(new), keys)
+        def merge(old: DataFrame | None, parts: dict, keys: list[str]) -> dict:
+            return self._write(old.join(new.select(*on), on, "left_anti").unionByName(new) if parts else new, keys)
 
-        return self._change(keys, new.schema, merge, batch)
+        return self._change(lambda: self._keys(new), new.schema, merge, batch)
 
     def insert_absent(self, new: DataFrame, on: list[str], batch: tuple[str, int] | None = None) -> int:
         """Add the rows of ``new`` whose key is not stored, one for each key; stored files stay as they are. A key lies in one partition.
 
         ``batch`` (name of a stream, number) is kept in the manifest of the version that holds its rows, so a batch that comes again adds nothing.
         """
-        keys = self._keys(new)
 
-        def merge(old: DataFrame | None, parts: dict) -> dict:
+        def merge(old: DataFrame | None, parts: dict, keys: list[str]) -> dict:
             rows = new.dropDuplicates(on)
-            written = self._write(rows if old is None else rows.join(old.select(*on), on, "left_anti"), keys)
+            written = self._write(rows.join(old.select(*on), on, "left_anti") if parts else rows, keys)
             return {k: [*parts.get(k, []), *folders] for k, folders in written.items()}
 
-        return self._change(keys, new.schema, merge, batch)
+        return self._change(lambda: self._keys(new), new.schema, merge, batch)
 
     def replace(self, new: DataFrame, keys: list[str], stays: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None) -> int:
         """In the partitions ``keys``: of the stored rows those that ``stays`` leaves, and the rows of ``new``, which lie in them."""
+        keys = [str(k) for k in keys]
 
-        def merge(old: DataFrame | None, parts: dict) -> dict:
-            return self._write(new if old is None else stays(old).unionByName(new), keys)
+        def merge(old: DataFrame | None, parts: dict, keys: list[str]) -> dict:
+            return self._write(stays(old).unionByName(new) if parts else new, keys)
 
-        return self._change(keys, new.schema, merge, batch)
+        return self._change(lambda: keys, new.schema, merge, batch)
