@@ -26,7 +26,7 @@ from tidewatch.llm.common import carried, text_or_empty
 from tidewatch.llm.tokens import KEPT_CHARS, blocks, column_texts, entry_bytes
 
 #: What a worker's caches hold at most: bytes of text chunks and their ids, and pairs of tokens. Longer chunks than ``KEPT_CHARS`` are never kept.
-CACHE_BYTES = 200_000_000
+CACHE_BYTES = 300_000_000
 CACHE_PAIRS = 400_000
 #: Unicode's White_Space, which the pattern's ``\s`` means.
 WHITE = "\t-\r \x85\xa0  -     　"
