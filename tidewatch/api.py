@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,18 @@ from tidewatch.plans import briefs, queries, registry
 from tidewatch.plans.queries import QUERIES
 
 
-def brief(spark: SparkSession, sf_dir: str, user_id: int) -> dict[str, DataFrame]:
-    """A reader's ``items`` in order, ``summary``, ``themes``, ``histogram`` and ``quality``; no rows for a reader who watches nothing."""
-    mine = F.col("user_id") == user_id
-    items = brief_ops.ranked(brief_ops.items(briefs.visible(spark, sf_dir).where(mine), explain=True), briefs.BUDGET).where("shown").orderBy("place")
-    parts = {n: QUERIES[q](spark, sf_dir).where(mine) for n, q in (("themes", "brief_themes"), ("histogram", "brief_histogram"), ("quality", "brief_quality"), ("summary", "brief_narrative"))}
-    return {"items": items, **parts}
+def brief(spark: SparkSession, sf_dir: str, user_id: int, now: str = briefs.NOW) -> dict[str, DataFrame]:
+    """A reader's ``brief`` at the day ``now`` (one row: counts, story, items with their windows and reasons' headline, themes with their names), and the
+    ``items`` with all reasons, in order. Only this reader's names are computed. A reader who watches nothing gets the one row without items."""
+    at, mine = F.lit(now).cast("date"), F.col("user_id") == user_id
+    watch = briefs.readers(spark, sf_dir).where(mine)
+    events = registry.events(spark, sf_dir).where(F.col("bar_date") <= at).join(watch.select("symbol").distinct(), "symbol", "left_semi")
+    states = briefs.dealt_states(events, watch)
+    shown = storage.stored(brief_ops.visible(events, watch, states, at), "visible")
+    asleep = brief_ops.snoozed_names(brief_ops.past_cursor(events, watch), shown, states, at)
+    users = spark.createDataFrame([(user_id,)], "user_id long")
+    items = brief_ops.ranked(brief_ops.items(shown, explain=True), briefs.BUDGET).where("shown").orderBy("place")
+    return {"brief": briefs.whole_briefs(spark, sf_dir, users, watch, at, shown, asleep), "items": items}
 
 
 def explain_event(spark: SparkSession, sf_dir: str, user_id: int, fingerprint: str) -> DataFrame:
@@ -27,14 +35,14 @@ def explain_event(spark: SparkSession, sf_dir: str, user_id: int, fingerprint: s
 
 
 def pipeline_health(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: QUERIES[n](spark, sf_dir) for n in ("ops_counts", "ops_sources", "ops_stalest", "ingest_run_totals", "severity_histogram")}
+    return {n: QUERIES[n](spark, sf_dir) for n in ("ops_counts", "ops_sources", "ops_stalest", "ingest_run_totals", "ops_last_runs", "severity_histogram")}
 
 
-def replay(spark: SparkSession, sf_dir: str, first: str, last: str) -> DataFrame:
-    """The five strongest names of every day of the range, days of the market without any included (null symbol)."""
-    inside = F.col("bar_date").between(first, last)
-    days = registry.bars(spark, sf_dir).where("kind = 'market'").select(F.col("bar_date").cast("string").alias("bar_date")).where(inside)
-    return days.join(QUERIES["replay_top"](spark, sf_dir).where(inside), "bar_date", "left")
+def replay(spark: SparkSession, sf_dir: str, first: str, last: str, symbols: list[str] | None = None) -> DataFrame:
+    """Every session of the range in order: items with reasons, themes, story, the market's return, and how many names were quiet."""
+    state.check_request(first=dt.date.fromisoformat(first), last=dt.date.fromisoformat(last))
+    names = None if symbols is None else spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    return briefs.replayed(spark, sf_dir, first, last, names).orderBy("bar_date")
 
 
 def calibration_report(spark: SparkSession, sf_dir: str) -> str:

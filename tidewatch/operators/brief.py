@@ -48,7 +48,7 @@ def items(shown: DataFrame, explain: bool = False) -> DataFrame:
     """One row for each reader and name: all its signals scored again with the reader's intent and priority.
 
     With ``explain`` also the contributions, ``positives`` and ``suppressors``, and the headline of the lead event: of
-    those that own the strongest signal (by key and label), the one with the highest score, then the latest.
+    those that own the strongest signal (by key and label), the one with the highest score, then the latest; the best event where no signal adds points.
     """
     own = [c for c in ("budget",) if c in shown.columns]
     rows = shown.groupBy("user_id", "symbol", "intent", "priority").agg(
@@ -68,7 +68,10 @@ def items(shown: DataFrame, explain: bool = False) -> DataFrame:
     leads = shown.join(owned, ["user_id", "symbol", "signal_key", "signal_label"]).groupBy("user_id", "symbol").agg(
         F.max_by(F.struct("headline", "detector", "fingerprint"), F.struct("score", "bar_date", -F.col("position"))).alias("lead")
     )
-    return out.join(leads, ["user_id", "symbol"], "left").drop("top", *[c for c in out.columns if c.startswith("l_")])
+    # without a positive the best event leads
+    best = shown.groupBy("user_id", "symbol").agg(F.max_by(F.struct("headline", "detector", "fingerprint"), F.struct("score", "bar_date", -F.col("position"))).alias("best"))
+    out = out.join(leads, ["user_id", "symbol"], "left").join(best, ["user_id", "symbol"], "left").withColumn("lead", F.coalesce("lead", "best")).drop("best")
+    return out.drop("top", *[c for c in out.columns if c.startswith("l_")])
 
 
 def ranked(scored_items: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
@@ -126,15 +129,18 @@ def reached_themes(shown: DataFrame, links: DataFrame) -> DataFrame:
     return shown.select("user_id", "symbol", "bar_date").join(links, ["symbol", "bar_date"]).select("user_id", *THEME_KEY).distinct()
 
 
-def facts(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+def facts(
+    watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET, scored_items: DataFrame | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """One row for each reader with all that the narrative needs: counts of names, the themes, market and breadth.
 
     ``silenced`` are the names of :func:`snoozed_names`; ``shown`` holds the visible events, ``links`` the theme of each member and day, ``bars`` the closes up to now of
     instruments and market. The first theme is the most confident one that a visible event belongs to, then the
     latest. A name counts for the breadth if it has visible events and rose by more than one sigma since its own
-    cursor; the market's window starts at the reader's oldest cursor. A window without figures counts as no move.
+    cursor; the market's window starts at the reader's oldest cursor. A window without figures counts as no move. ``scored_items`` and
+    ``stats`` are the results of :func:`items` and :func:`window_stats` where the caller has them already.
     """
-    scored_items = items(shown)
+    scored_items = items(shown) if scored_items is None else scored_items
     placed = ranked(scored_items, budget)
 
     def first(condition: Column | None = None) -> Column:
@@ -152,7 +158,7 @@ def facts(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFr
     reached = reached.withColumns({n: theme(n) for n in ("theme", "up_theme", "down_theme")})
     top = placed.join(reached.select("user_id", "theme.sector"), ["user_id", "sector"], "left_semi").where("shown and place <= 5").groupBy("user_id").agg(F.count("*").alias("top_share"))
     surfaced = placed.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("shown").alias("k"))
-    stats = window_stats(bars.where("kind = 'instrument'"), watch)
+    stats = window_stats(bars.where("kind = 'instrument'"), watch) if stats is None else stats
     moved = stats.where("sigmas > 1").join(scored_items.select("user_id", "symbol"), ["user_id", "symbol"], "left_semi").groupBy("user_id").agg(F.count("*").alias("moved"))
     readers = watch.groupBy("user_id").agg(F.count("*").alias("n_watched"), F.min("last_seen").alias("since"))
     asked = readers.select("user_id", F.lit(MARKET).alias("symbol"), F.col("since").alias("last_seen"))
@@ -165,10 +171,12 @@ def facts(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFr
     return out.withColumn("breadth", F.col("moved") / F.col("n_watched")).drop("n", "k", "s")
 
 
-def accounting(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+def accounting(
+    watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: DataFrame, bars: DataFrame, budget: int = DEFAULT_BUDGET, scored_items: DataFrame | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """One row for each reader: how many names are watched, surfaced, shown, below the budget, snoozed and within their
     normal range, and the rule and text of the narrative. Shown, below budget, snoozed and normal add up to watched."""
-    out = facts(watch, shown, silenced, links, bars, budget)
+    out = facts(watch, shown, silenced, links, bars, budget, scored_items, stats)
     c = F.col
     rule = narrative.rule(c("n_surfaced"), c("up"), c("down"), c("top_share"), c("theme.direction"), c("market_sigmas"), c("market_return"), c("breadth"), c("n_watched"))
     out = out.withColumns({
@@ -177,10 +185,38 @@ def accounting(watch: DataFrame, shown: DataFrame, silenced: DataFrame, links: D
     return out.withColumn("text", narrative.text(c("rule")))
 
 
+def with_windows(placed: DataFrame, stats: DataFrame) -> DataFrame:
+    """Items with return_pct, sigmas, last_close, as_of and sparkline of the reader's own window; null for a name without bars."""
+    return placed.join(stats, ["user_id", "symbol"], "left")
+
+
+def theme_names(reached: DataFrame, placed: DataFrame, shown: DataFrame, links: DataFrame) -> DataFrame:
+    """The themes of :func:`reached_themes` with ``names``: the shown names of the theme's sector of which a visible event belongs to a theme, in order."""
+    themed = shown.select("user_id", "symbol", "bar_date").join(links.select("symbol", "bar_date"), ["symbol", "bar_date"]).select("user_id", "symbol").distinct()
+    held = placed.where("shown").select("user_id", "symbol", "sector", "place").join(themed, ["user_id", "symbol"], "left_semi")
+    lists = held.groupBy("user_id", "sector").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "symbol"))), lambda x: x["symbol"]).alias("names"))
+    return reached.join(lists, ["user_id", "sector"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def whole(users: DataFrame, told: DataFrame, placed: DataFrame, named_themes: DataFrame) -> DataFrame:
+    """One row for each of ``users``: the accounting and text of :func:`accounting`, the shown items in order (of :func:`with_windows`) and the
+    themes with their names. A user who watches nothing has zeros, no items and the text for an empty watchlist."""
+    item = F.struct("place", "symbol", "attention", "severity", F.col("lead.headline").alias("headline"), "return_pct", "sigmas", "last_close", "as_of", "sparkline")
+    listed = placed.where("shown").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    order = F.struct((-F.col("confidence")).alias("c"), F.datediff(F.lit("1970-01-01"), "window_start").alias("d"), "sector", "direction", "n_members", "names")
+    themes = named_themes.groupBy("user_id").agg(F.array_sort(F.collect_list(order)).alias("themes"))
+    out = users.select("user_id").join(told, "user_id", "left").join(listed, "user_id", "left").join(themes, "user_id", "left")
+    counts = ["n_watched", "n_surfaced", "n_shown", "n_below_budget", "n_snoozed", "n_normal"]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    empty = F.col("rule").isNull()
+    said = {"rule": F.when(empty, "empty_watchlist").otherwise(F.col("rule")), "text": F.when(empty, narrative.text(F.lit("empty_watchlist"))).otherwise(F.col("text"))}
+    return out.withColumns(said).select("user_id", *counts, "rule", "text", "items", "themes")
+
+
 def quality(watch: DataFrame, scored_items: DataFrame, budget: int, stats: DataFrame, bars: DataFrame, freshness: DataFrame, now: Column) -> DataFrame:
-    """(user_id, since, absence_hours, as_of, n_unconfirmed, stalest_source): how long the reader was away, the day that the
+    """(user_id, since, absence_hours, as_of, n_unconfirmed, stalest_source, lag_seconds): how long the reader was away, the day that the
     brief stands for (of the first shown item, else of any item, else the newest bar of a watched name), items with
-    disputed prices, and the source whose last success is the oldest (one that never succeeded comes last)."""
+    disputed prices, and the source whose last success is the oldest (one that never succeeded comes last) with the seconds since then."""
     placed = ranked(scored_items, budget).select("user_id", "symbol", "place", "shown")
     dated = scored_items.select("user_id", "symbol", "is_confirmed").join(stats.select("user_id", "symbol", "as_of"), ["user_id", "symbol"], "left").join(placed, ["user_id", "symbol"], "left")
     told = dated.groupBy("user_id").agg(
@@ -188,11 +224,12 @@ def quality(watch: DataFrame, scored_items: DataFrame, budget: int, stats: DataF
     )
     newest = watch.select("user_id", "symbol").join(bars.groupBy("symbol").agg(F.max("bar_date").alias("d")), "symbol").groupBy("user_id").agg(F.max("d").alias("newest"))
     readers = watch.groupBy("user_id").agg(F.min("last_seen").alias("since"))
-    stalest = freshness.agg(F.min_by("source_id", F.struct(F.col("last_success").isNull(), "last_success", "source_id"))).scalar()
+    stalest = freshness.agg(F.min_by(F.struct("source_id", "last_success"), F.struct(F.col("last_success").isNull(), "last_success", "source_id"))).scalar()
     out = readers.join(told, "user_id", "left").join(newest, "user_id", "left")
     return out.select(
         "user_id", "since", (F.datediff(now, "since") * 24).alias("absence_hours"), F.coalesce("first_shown", "first_item", "newest").alias("as_of"),
-        F.coalesce("n_unconfirmed", F.lit(0)).alias("n_unconfirmed"), stalest.alias("stalest_source"),
+        F.coalesce("n_unconfirmed", F.lit(0)).alias("n_unconfirmed"), stalest["source_id"].alias("stalest_source"),
+        (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(stalest["last_success"].cast("timestamp"))).alias("lag_seconds"),
     )
 
 

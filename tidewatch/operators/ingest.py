@@ -224,6 +224,23 @@ def runs(asked: DataFrame, judged: DataFrame, failures: DataFrame, n_sources: in
     return out.select("symbol", status.alias("status"), F.coalesce("rows_in", F.lit(0)).alias("rows_in"), F.coalesce("rows_rejected", F.lit(0)).alias("rows_rejected"), "note")
 
 
+def begun(asked: DataFrame) -> DataFrame:
+    """Runs as they begin: ``running`` until :func:`ended`."""
+    return asked.withColumn("status", F.lit("running"))
+
+
+def ended(begun_runs: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """Runs with the status of ``results`` (key, status); one without a result is still running, or was lost."""
+    done = results.select(*key, F.col("status").alias("__s"))
+    return begun_runs.join(done, key, "left").withColumn("status", F.coalesce("__s", "status")).drop("__s")
+
+
+def last_runs(rows: DataFrame, n: int = 8) -> DataFrame:
+    """The ``n`` runs that began last, with their place."""
+    newest = rows.orderBy(F.col("started").desc(), "symbol", "status").limit(n)
+    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.col("started").desc(), "symbol", "status")))
+
+
 def run_totals(finished: DataFrame) -> DataFrame:
     """One row: sums over runs, and how many ended each way."""
     ended = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "partial", "failed")]

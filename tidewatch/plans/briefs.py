@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import brief, detect, features, score, state
+from tidewatch.operators import brief, detect, features, replay, score, state
 from tidewatch.plans import oracle, registry
 from tidewatch.plans.queries import SERIES, themes_sql
 from tidewatch.plans.registry import dated, register, rounded
 from tidewatch.sources import market
+from tidewatch.storage import stored
 
 NOW = "1998-12-31"
 BUDGET = brief.DEFAULT_BUDGET
@@ -52,17 +53,18 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read states by rule: of the last 40 days every fourth event of a reader is seen, snoozed (of even readers still) or dismissed."""
+    """The read states of all readers."""
+    return registry.layer(spark, sf_dir, "states", lambda: dealt_states(recent_events(spark, sf_dir), readers(spark, sf_dir)), "user_id", over=registry.READERS)
 
-    def make() -> DataFrame:
-        user, position = F.col("user_id"), F.col("position")
-        recent = recent_events(spark, sf_dir).where(F.col("bar_date") > F.date_sub(now(), 40)).select("symbol", "fingerprint", "position", "bar_date")
-        rows = readers(spark, sf_dir).select("user_id", "symbol").join(recent, "symbol").where((user + F.dayofmonth("bar_date") + position) % 4 == 0)
-        status = F.get(F.array(F.lit("SEEN"), F.lit("SNOOZED"), F.lit("DISMISSED")), (position % 3).cast("int"))
-        until = F.when(status == "SNOOZED", F.date_add(now(), F.when(user % 2 == 0, 2).otherwise(-2)))
-        return rows.select("user_id", "fingerprint", status.alias("status"), until.alias("until")).distinct()
 
-    return registry.layer(spark, sf_dir, "states", make, "user_id", over=registry.READERS)
+def dealt_states(events: DataFrame, watch: DataFrame) -> DataFrame:
+    """Read states by rule: of the last 40 days every fourth event of a reader is seen, snoozed (of even readers still) or dismissed."""
+    user, position = F.col("user_id"), F.col("position")
+    recent = events.where(F.col("bar_date").between(F.date_sub(now(), 39), now())).select("symbol", "fingerprint", "position", "bar_date")
+    rows = watch.select("user_id", "symbol").join(recent, "symbol").where((user + F.dayofmonth("bar_date") + position) % 4 == 0)
+    status = F.get(F.array(F.lit("SEEN"), F.lit("SNOOZED"), F.lit("DISMISSED")), (position % 3).cast("int"))
+    until = F.when(status == "SNOOZED", F.date_add(now(), F.when(user % 2 == 0, 2).otherwise(-2)))
+    return rows.select("user_id", "fingerprint", status.alias("status"), until.alias("until")).distinct()
 
 
 def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,16 @@ def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all readers with their reasons, once for all queries over briefs."""
+    return registry.layer(spark, sf_dir, "items", lambda: brief.items(visible(spark, sf_dir), explain=True), "user_id", over=registry.READERS)
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda: brief.window_stats(closed_bars(spark, sf_dir).where("kind = 'instrument'"), readers(spark, sf_dir))
+    return registry.layer(spark, sf_dir, "stats", make, "user_id", over=registry.READERS)
+
+
 def silenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     watch = readers(spark, sf_dir)
     return brief.snoozed_names(brief.past_cursor(recent_events(spark, sf_dir), watch), visible(spark, sf_dir), states(spark, sf_dir), now())
@@ -123,20 +135,19 @@ stats AS (
 
 @register("window_stats", oracle.sql("SELECT user_id, symbol, round(return_pct, 5) + 0.0 AS return_pct, round(sigmas, 5) + 0.0 AS sigmas, last_close, CAST(as_of AS VARCHAR) AS as_of, len(spark) AS n_spark, spark[1] AS oldest_close FROM stats WHERE symbol <> 'MARKET'", oracle.BARS, READERS, _S40))
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = brief.window_stats(closed_bars(spark, sf_dir).where("kind = 'instrument'"), readers(spark, sf_dir))
-    out = out.withColumns({"n_spark": F.size("sparkline"), "oldest_close": F.col("sparkline")[0]}).drop("sparkline")
+    out = stats(spark, sf_dir).withColumns({"n_spark": F.size("sparkline"), "oldest_close": F.col("sparkline")[0]}).drop("sparkline")
     return dated(rounded(out, 5, "return_pct", "sigmas"), "as_of")
 
 
 @register("brief_items", oracle.scores_sql("SELECT user_id, symbol, n_events, round(score, 1) AS score, severity_rank FROM its", BRIEF))
 def brief_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief.items(visible(spark, sf_dir)).select("user_id", "symbol", "n_events", F.round("score", 1).alias("score"), "severity_rank")
+    return items(spark, sf_dir).select("user_id", "symbol", "n_events", F.round("score", 1).alias("score"), "severity_rank")
 
 
 @register("brief_top", oracle.scores_sql(f"SELECT user_id, place, symbol, floor(score + 0.5)::INT AS attention FROM rk WHERE place <= coalesce(budget, {BUDGET})", BRIEF))
 def brief_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top-k report of every reader: as many items as the reader's own budget allows."""
-    return brief.ranked(brief.items(visible(spark, sf_dir)), BUDGET).where("shown").select("user_id", "place", "symbol", "attention")
+    return brief.ranked(items(spark, sf_dir), BUDGET).where("shown").select("user_id", "place", "symbol", "attention")
 
 
 @register("brief_explained", oracle.scores_sql("""SELECT i.user_id, i.symbol, p.positives, p.suppressors, l.headline, l.detector AS lead_detector FROM its i
@@ -148,7 +159,7 @@ JOIN (SELECT c.user_id, c.symbol, first(e.headline ORDER BY e.score DESC, e.bar_
   BRIEF, oracle.contributions_sql("itm", "con", "user_id, symbol", TILTED, MARKED)))
 def brief_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each item is there, why it is not higher, and the headline of its lead event."""
-    out = brief.items(visible(spark, sf_dir), explain=True)
+    out = items(spark, sf_dir)
     held = F.array_join(F.transform("suppressors", lambda c: F.concat(c["key"], F.lit(" "), F.format_string("%.2f", c["amount"]))), ",")
     return out.select("user_id", "symbol", F.array_join(F.transform("positives", lambda c: c["key"]), ",").alias("positives"), held.alias("suppressors"), "lead.headline", F.col("lead.detector").alias("lead_detector"))
 
@@ -157,7 +168,22 @@ def brief_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM readers r WHERE r.user_id = u.user_id AND NOT EXISTS (SELECT 1 FROM its i WHERE i.user_id = r.user_id AND i.symbol = r.symbol) AND NOT EXISTS (SELECT 1 FROM silenced z WHERE z.user_id = r.user_id AND z.symbol = r.symbol)) ELSE 0 END AS n
 FROM (SELECT DISTINCT user_id FROM readers) u, (VALUES (0, 'NOISE'), (1, 'INFO'), (2, 'WATCH'), (3, 'IMPORTANT'), (4, 'CRITICAL')) s(rank, severity)""", BRIEF))
 def brief_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief.histogram(readers(spark, sf_dir), brief.items(visible(spark, sf_dir)), silenced(spark, sf_dir))
+    return brief.histogram(readers(spark, sf_dir), items(spark, sf_dir), silenced(spark, sf_dir))
+
+
+def whole_briefs(spark: SparkSession, sf_dir: str, users: DataFrame, watch: DataFrame, at: Column, shown: DataFrame, asleep: DataFrame) -> DataFrame:
+    """Whole briefs of ``users`` (user_id) at ``at``: ``shown`` are the visible events, ``asleep`` the silenced names of their names ``watch``."""
+    bars = registry.bars(spark, sf_dir).where(F.col("bar_date") <= at)
+    found = stored(brief.items(shown, explain=True), "items")
+    windows = brief.window_stats(bars.where("kind = 'instrument'"), watch)
+    told = brief.accounting(watch, shown, asleep, registry.links(spark, sf_dir), bars, BUDGET, found, windows)
+    placed = brief.ranked(found, BUDGET)
+    named = brief.theme_names(brief.reached_themes(shown, registry.links(spark, sf_dir)), placed, shown, registry.links(spark, sf_dir))
+    return brief.whole(users, told, brief.with_windows(placed, windows), named)
+
+
+#: Every fortieth customer reads nothing in brief_full.
+_READS = "user_id % 40 <> 7"
 
 
 def facts_sql(budget: int = BUDGET) -> str:
@@ -207,7 +233,11 @@ TEXT = f"""CASE rule
 
 
 def _accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief.accounting(readers(spark, sf_dir), visible(spark, sf_dir), silenced(spark, sf_dir), registry.links(spark, sf_dir), closed_bars(spark, sf_dir), BUDGET)
+    def make() -> DataFrame:
+        parts = readers(spark, sf_dir), visible(spark, sf_dir), silenced(spark, sf_dir), registry.links(spark, sf_dir), closed_bars(spark, sf_dir)
+        return brief.accounting(*parts, BUDGET, items(spark, sf_dir), stats(spark, sf_dir))
+
+    return registry.layer(spark, sf_dir, "accounting", make, "user_id", over=registry.READERS)
 
 
 @register("brief_accounting", oracle.scores_sql(ACCOUNTING, SERIES, themes_sql(), BRIEF, facts_sql()))
@@ -239,15 +269,15 @@ _FRESH = "SELECT event_type AS source_id, CAST(max(CASE WHEN user_id % 7 <> 0 TH
     (SELECT first(s.as_of ORDER BY i.symbol) FROM its i JOIN stats s ON i.user_id = s.user_id AND i.symbol = s.symbol WHERE i.user_id = w.user_id),
     (SELECT max(b.bar_date) FROM readers r JOIN bars b ON r.symbol = b.symbol WHERE r.user_id = w.user_id AND b.bar_date <= DATE '{NOW}')) AS VARCHAR) AS as_of,
   (SELECT count(*) FROM its i WHERE i.user_id = w.user_id AND NOT i.is_confirmed) AS n_unconfirmed,
-  (SELECT source_id FROM ({_FRESH}) ORDER BY last_success NULLS LAST, source_id LIMIT 1) AS stalest_source
+  (SELECT source_id FROM ({_FRESH}) ORDER BY last_success NULLS LAST, source_id LIMIT 1) AS stalest_source,
+  (DATE '{NOW}' - (SELECT min(last_success) FROM ({_FRESH}))) * 86400::BIGINT AS lag_seconds
 FROM (SELECT user_id, min(last_seen) AS since FROM readers GROUP BY user_id) w""", BRIEF, _S40))
 def brief_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.plans.ingestion import fresh_sources
 
     watch = readers(spark, sf_dir)
     known = closed_bars(spark, sf_dir)
-    stats = brief.window_stats(known.where("kind = 'instrument'"), watch)
-    out = brief.quality(watch, brief.items(visible(spark, sf_dir)), BUDGET, stats, known, fresh_sources(spark, sf_dir), now())
+    out = brief.quality(watch, items(spark, sf_dir), BUDGET, stats(spark, sf_dir), known, fresh_sources(spark, sf_dir), now())
     return dated(out, "since", "as_of")
 
 
@@ -273,6 +303,80 @@ def detect_since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(watch.join(out, ["symbol", "last_seen"]).drop("last_seen"))
 
 
+_LEADS = """leads AS (
+  SELECT c.user_id, c.symbol, first(e.headline ORDER BY e.score DESC, e.bar_date DESC, e.position) AS headline
+  FROM (SELECT * FROM con WHERE kind = 'additive' AND side = 'positive' QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY place) = 1) c
+  JOIN shown e ON c.user_id = e.user_id AND c.symbol = e.symbol AND c.key = e.signal_key AND c.label = e.signal_label GROUP BY ALL)"""
+
+
+def _near(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', round({x}, {digits}) + 0.0)"
+
+
+@register("brief_full", oracle.scores_sql(f"""SELECT u.user_id, coalesce(a.n_watched, 0) AS n_watched, coalesce(a.rule, 'empty_watchlist') AS rule, coalesce(a.text, 'No names yet') AS text,
+  (SELECT string_agg(place || ' ' || k.symbol || ' ' || floor(k.score + 0.5)::INT || ' ' || {_near('s.return_pct', 4)} || ' ' || {_near('s.sigmas', 3)} || ' ' || {_near('s.last_close', 2)} || ' ' || s.as_of || ' ' || len(s.spark) || ' ' || l.headline, '; ' ORDER BY place)
+    FROM rk k JOIN leads l ON k.user_id = l.user_id AND k.symbol = l.symbol JOIN stats s ON k.user_id = s.user_id AND k.symbol = s.symbol WHERE k.user_id = u.user_id AND k.place <= coalesce(k.budget, {BUDGET})) AS items,
+  (SELECT string_agg(t.sector || ' ' || t.direction || ' ' || printf('%.1f', t.confidence) || ' [' || coalesce(
+      (SELECT string_agg(k.symbol, ',' ORDER BY k.place) FROM rk k WHERE k.user_id = u.user_id AND k.sector = t.sector AND k.place <= coalesce(k.budget, {BUDGET})
+        AND EXISTS (SELECT 1 FROM shown e JOIN member_theme m ON e.symbol = m.symbol AND e.bar_date = m.bar_date WHERE e.user_id = k.user_id AND e.symbol = k.symbol)), '') || ']', '; '
+      ORDER BY t.confidence DESC, t.window_start DESC, t.sector, t.direction) FROM reached t WHERE t.user_id = u.user_id) AS themes
+FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN (SELECT *, {TEXT} AS text FROM ruled) a ON u.user_id = a.user_id""",
+SERIES, themes_sql(), BRIEF.replace("  FROM customer c JOIN", "  FROM (SELECT * FROM customer WHERE c_custkey % 40 <> 7) c JOIN", 1), facts_sql(), oracle.contributions_sql("itm", "con", "user_id, symbol", TILTED, MARKED), _LEADS))
+def brief_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole brief of every customer, readers without names included: items with their windows, themes with their names, the story."""
+    users = market.read(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("user_id"))
+    out = whole_briefs(spark, sf_dir, users, readers(spark, sf_dir).where(_READS), now(), visible(spark, sf_dir).where(_READS), silenced(spark, sf_dir).where(_READS))
+    near = lambda c, digits: F.format_string(f"%.{digits}f", F.round(c, digits) + F.lit(0.0))
+    item = lambda i: F.concat_ws(" ", i["place"], i["symbol"], i["attention"], near(i["return_pct"], 4), near(i["sigmas"], 3), near(i["last_close"], 2), i["as_of"].cast("string"), F.size(i["sparkline"]), i["headline"])
+    theme = lambda t: F.concat(F.concat_ws(" ", t["sector"], t["direction"].cast("string"), F.format_string("%.1f", -t["c"])), F.lit(" ["), F.array_join(t["names"], ","), F.lit("]"))
+    return out.select("user_id", "n_watched", "rule", "text", F.array_join(F.transform("items", item), "; ").alias("items"), F.array_join(F.transform("themes", theme), "; ").alias("themes"))
+
+
+@register("replay_days", oracle.scores_sql(f"""SELECT CAST(d.bar_date AS VARCHAR) AS bar_date, n_items, quiet_count, rule, {TEXT} AS text, round(return_pct, 5) + 0.0 AS market_return, round(sigmas, 4) + 0.0 AS market_sigmas,
+  (SELECT string_agg(i.place || ' ' || i.symbol || ' ' || i.attention || ' ' || i.severity || ' ' || {_near('i.ret', 4)} || ' ' || i.n_spark || ' ' || i.headline || ' [' || i.positives || ']', '; ' ORDER BY i.place) FROM ritems i WHERE i.bar_date = d.bar_date AND i.place <= 5) AS items,
+  (SELECT string_agg(t.sector || ' ' || t.direction || ' ' || printf('%.1f', t.confidence) || ' [' || t.members || ']', '; ' ORDER BY t.confidence DESC, t.sector, t.direction) FROM themes t WHERE t.window_start = d.bar_date) AS themes
+FROM rruled d""", SERIES, themes_sql(), oracle.contributions_sql("context", "con", "symbol, bar_date"), f"""
+mk AS (SELECT bar_date, row_number() OVER (ORDER BY bar_date) AS rn, close / nullif(lag(close) OVER (ORDER BY bar_date), 0) - 1 AS ret, ln(close / nullif(lag(close) OVER (ORDER BY bar_date), 0)) AS r FROM adj WHERE kind = 'market'),
+mks AS (SELECT bar_date, coalesce(ret, 0) AS return_pct, CASE WHEN rn < 22 THEN 0 ELSE coalesce(r / nullif(stddev_samp(r) OVER (ORDER BY bar_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0), 0) END AS sigmas FROM mk),
+tops AS (SELECT symbol, bar_date, key, label FROM con WHERE kind = 'additive' AND side = 'positive' QUALIFY row_number() OVER (PARTITION BY symbol, bar_date ORDER BY place) = 1),
+rleads AS (SELECT e.symbol, e.bar_date, first(e.headline ORDER BY e.score DESC, e.position) AS headline FROM events_scored e JOIN tops t ON e.symbol = t.symbol AND e.bar_date = t.bar_date AND e.signal_key = t.key AND e.signal_label = t.label GROUP BY ALL),
+rups AS (SELECT symbol, bar_date, string_agg(key, ',' ORDER BY place) AS positives FROM con WHERE side = 'positive' GROUP BY ALL),
+ritems AS (
+  SELECT y.symbol, y.sector, y.bar_date, y.severity, floor(y.score + 0.5)::INT AS attention, f.ret1d AS ret, least(f.rn, 20) AS n_spark, l.headline, p.positives,
+    row_number() OVER (PARTITION BY y.bar_date ORDER BY floor(y.score + 0.5) DESC, y.symbol) AS place
+  FROM days y JOIN feats f ON y.symbol = f.symbol AND y.bar_date = f.bar_date JOIN rleads l ON y.symbol = l.symbol AND y.bar_date = l.bar_date JOIN rups p ON y.symbol = p.symbol AND y.bar_date = p.bar_date WHERE y.severity_rank >= 2
+), rstory AS (
+  SELECT window_start, count(*) FILTER (direction = 1) AS up, count(*) FILTER (direction = -1) AS down, first(sector ORDER BY confidence DESC, sector, direction) AS sector, first(direction ORDER BY confidence DESC, sector, direction) AS direction,
+    max(confidence) AS confidence, first(n_members ORDER BY confidence DESC, sector, direction) AS n_members, first(sector ORDER BY confidence DESC, sector) FILTER (direction = 1) AS up_sector,
+    first(sector ORDER BY confidence DESC, sector) FILTER (direction = -1) AS down_sector FROM themes GROUP BY window_start
+), rfacts AS (
+  SELECT m.bar_date, m.return_pct, m.sigmas, coalesce(k.n, 0) AS n_surfaced, coalesce(k.n, 0) AS n_items, least(5, coalesce(k.n, 0)) AS n_shown, z.n AS n_watched, 0 AS n_snoozed, z.n - coalesce(k.n, 0) AS quiet_count,
+    coalesce(k.n, 0) / z.n::DOUBLE AS breadth, coalesce(t.up, 0) AS up, coalesce(t.down, 0) AS down, t.sector, t.direction, t.confidence, t.n_members, t.up_sector, t.down_sector,
+    (SELECT count(*) FROM ritems i WHERE i.bar_date = m.bar_date AND i.place <= 5 AND i.sector = t.sector) AS top_share
+  FROM mks m LEFT JOIN rstory t ON m.bar_date = t.window_start LEFT JOIN (SELECT bar_date, count(*) AS n FROM ritems GROUP BY bar_date) k ON m.bar_date = k.bar_date, (SELECT count(*) AS n FROM nation) z WHERE m.bar_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'
+), rruled AS (
+  SELECT *, CASE WHEN n_watched = 0 THEN 'empty_watchlist' WHEN n_surfaced = 0 THEN 'quiet' WHEN up > 0 AND down > 0 THEN 'sector_rotation'
+    WHEN direction IS NOT NULL AND top_share >= 3 AND abs(sigmas) < 0.5 THEN 'sector_specific' WHEN direction IS NOT NULL AND abs(sigmas) >= 0.5 AND sign(return_pct) = direction THEN 'theme_led_market'
+    WHEN breadth >= 0.6 AND abs(sigmas) >= 1.5 THEN 'broad_market' WHEN direction IS NOT NULL THEN 'single_theme' WHEN n_surfaced = 1 THEN 'isolated' ELSE 'scattered' END AS rule FROM rfacts
+)"""))
+def replay_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years replayed: items, reasons, themes, story, the market's return and the count of quiet names of each session."""
+    out = replayed(spark, sf_dir, "1997-01-01", "1998-12-31")
+    near = lambda c, digits: F.format_string(f"%.{digits}f", F.round(c, digits) + F.lit(0.0))
+    item = lambda i: F.concat(F.concat_ws(" ", i["place"], i["symbol"], i["attention"], i["severity"], near(i["return_pct"], 4), F.size(i["sparkline"]), i["headline"]), F.lit(" ["), F.array_join(F.transform(i["positives"], lambda p: p["key"]), ","), F.lit("]"))
+    theme = lambda t: F.concat(F.concat_ws(" ", t["sector"], t["direction"].cast("string"), F.format_string("%.1f", -t["c"])), F.lit(" ["), t["members"], F.lit("]"))
+    out = out.select("bar_date", "n_items", "quiet_count", "rule", "text", "market_return", "market_sigmas", F.array_join(F.transform("items", item), "; ").alias("items"), F.array_join(F.transform("themes", theme), "; ").alias("themes"))
+    return dated(rounded(rounded(out, 5, "market_return"), 4, "market_sigmas"))
+
+
+def replayed(spark: SparkSession, sf_dir: str, first: str, last: str, names: DataFrame | None = None) -> DataFrame:
+    """The steps of a replay over ``names`` (symbol), all instruments if not given."""
+    days = score.score_days(registry.candidates(spark, sf_dir), explain=True)
+    found = replay.items(days, registry.events(spark, sf_dir), registry.bars(spark, sf_dir))
+    known = market.instruments(spark, sf_dir).select("symbol") if names is None else names
+    return replay.steps(found, registry.members(spark, sf_dir), registry.bars(spark, sf_dir), known, first, last)
+
+
 # ---- what readers change -----------------------------------------------------------------------
 
 _NEWEST = "SELECT symbol, max(bar_date) AS d, arg_max(close_adj, bar_date) AS c FROM bars GROUP BY symbol"

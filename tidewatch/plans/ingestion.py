@@ -281,7 +281,8 @@ def basis_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("ops_counts", oracle.scores_sql("""SELECT (SELECT count(*) FROM worst) AS n_bars, (SELECT count(*) FROM worst WHERE worst IS NOT NULL) AS n_unconfirmed, (SELECT count(*) FROM worst WHERE n_sources = 1 OR round(1 - (worst - 0.003) / (0.1 - 0.003) / 2, 3) < 1) AS n_unsure,
-  (SELECT count(*) FROM worst WHERE n_sources = 1) AS n_single_source, (SELECT count(*) FROM long WHERE delta > tol) AS n_conflicts, (SELECT count(*) FROM themes) AS n_themes, (SELECT count(*) FROM events_scored) AS n_events""",
+  (SELECT count(*) FROM worst WHERE n_sources = 1) AS n_single_source, (SELECT count(*) FROM long WHERE delta > tol) AS n_conflicts, (SELECT count(*) FROM themes) AS n_themes, (SELECT count(*) FROM events_scored) AS n_events,
+  (SELECT count(*) FROM (SELECT DISTINCT symbol, year(bar_date) * 7 + length(symbol) AS kind, year(bar_date) AS yr FROM given WHERE source_id = 'alpha') WHERE kind % 9 = 0 OR kind % 11 = 0) AS n_dead_letters""",
   SERIES, themes_sql(), RECONCILED[RECONCILED.index("own AS (") :] + ", long AS (" + " UNION ALL ".join(
     f"SELECT {_rd(c)} AS delta, {0.25 if c == 'volume' else 0.003} AS tol FROM ranked WHERE nth > 1" for c in ("open", "high", "low", "close", "volume")) + ")"))
 def ops_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,10 +293,24 @@ def ops_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ingest.reconciled(given).agg(
         F.count("*").alias("n_bars"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"), F.count_if(F.col("confidence") < 1).alias("n_unsure"), F.count_if(F.col("n_sources") == 1).alias("n_single_source")
     )
-    others = {"n_conflicts": ingest.conflicts(given), "n_themes": themes.themes(registry.members(spark, sf_dir)), "n_events": registry.events(spark, sf_dir)}
+    others = {"n_conflicts": ingest.conflicts(given), "n_themes": themes.themes(registry.members(spark, sf_dir)), "n_events": registry.events(spark, sf_dir), "n_dead_letters": ingest.parse_values(_value_bodies(spark, sf_dir))[1]}
     return counts.select("*", *[df.agg(F.count("*")).scalar().alias(name) for name, df in others.items()])
 
 
+@register("ops_last_runs", VALIDATED + _RUNS + """, attempts AS (
+  SELECT symbol, m, CASE WHEN m = 0 THEN status WHEN (length(symbol) + m) % 4 = 0 THEN 'running' WHEN (length(symbol) + m) % 4 = 1 THEN 'failed' ELSE 'ok' END AS status, DATE '2001-12-31' - m * 3 - CAST(ascii(right(symbol, 1)) % 3 AS INTEGER) AS started
+  FROM runs, (VALUES (0), (1), (2), (3)) v(m))
+SELECT symbol, status, CAST(started AS VARCHAR) AS started, row_number() OVER (ORDER BY started DESC, symbol, status) AS place FROM attempts QUALIFY place <= 8""")
+def ops_last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight runs that began last, those still running included (a report of the newest)."""
+    ended, size, m = _runs(spark, sf_dir).select("symbol", "status"), F.length("symbol"), F.col("m")
+    rows = ended.withColumn("m", F.explode(F.array(*map(F.lit, range(4)))))
+    begun = F.date_sub(F.lit("2001-12-31").cast("date"), (m * 3 + F.ascii(F.right("symbol", F.lit(1))) % 3).cast("int"))
+    started = ingest.begun(rows.select("symbol", "m", begun.alias("started")))
+    done = rows.select("symbol", "m", F.when(m == 0, F.col("status")).when((size + m) % 4 == 1, "failed").when((size + m) % 4 > 1, "ok").alias("status")).where("status is not null")
+    return dated(ingest.last_runs(ingest.ended(started, done, ["symbol", "m"]), 8).select("symbol", "status", "started", "place"), "started")
+
+
 def fresh_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freshness of the event feeds by type: an event of every seventh user counts as a failed attempt."""
     rows = market.read(spark, sf_dir, "events", "ts", "event_type", "user_id")
