@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.expr import SEVERITIES, safe_div, severity_name
 from tidewatch.operators import narrative
 from tidewatch.operators.features import adjusted
-from tidewatch.operators.score import explained, scored, strongest
+from tidewatch.operators.score import FAMILIES, explained, scored, strongest
 
 DEFAULT_BUDGET = 5
 MARKET = "MARKET"
@@ -44,6 +44,51 @@ def snoozed_names(rows: DataFrame, shown: DataFrame, states: DataFrame, now: Col
     return names.join(shown.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti")
 
 
+def _gathered() -> list[Column]:
+    """What a score needs of a set of events beside the strongest signals."""
+    return [
+        F.bool_or(F.col("detector") == "earnings_upcoming").alias("has_catalyst"), F.bool_or(F.col("detector") == "sector_divergence").alias("idiosyncratic"),
+        F.min("confidence").alias("confidence"), F.bool_and("is_confirmed").alias("is_confirmed"), F.count("*").alias("n_events"), F.max("sector").alias("sector"),
+    ]
+
+
+def _judged(rows: DataFrame, explain: bool) -> DataFrame:
+    out = scored(rows, intent=F.col("intent"), priority=F.col("priority"), explain=explain)
+    return out.withColumns({"severity": severity_name(F.col("severity_rank")), "attention": F.floor(F.col("score") + 0.5).cast("int")})
+
+
+def suffix_index(events: DataFrame) -> DataFrame:
+    """(symbol, day, ...): for each day with events of a name what a score needs of all its events from that day on. One row a name and
+    day, from sums of each day that a window runs over backward: it does not grow with the readers."""
+    days = events.where("severity_rank > 0").groupBy("symbol", F.col("bar_date").alias("day")).agg(*_gathered(), *strongest())
+    later = Window.partitionBy("symbol").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = {"has_catalyst": F.bool_or, "idiosyncratic": F.bool_or, "confidence": F.min, "is_confirmed": F.bool_and, "n_events": F.sum, "sector": F.max} | {f"s_{f}": F.max for f in FAMILIES}
+    return days.select("symbol", "day", *[f(c).over(later).alias(c) for c, f in run.items()])
+
+
+def indexed_items(events: DataFrame, watch: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """The rows of :func:`items` (without reasons) for all readers, by one lookup in :func:`suffix_index` for each reader and name.
+
+    The lookup is an as-of join: for each different (name, cursor) the first day with events after it, and readers join that pair. Only
+    names of which the reader has hidden an event need their events one by one.
+    """
+    since = watch.withColumn("last_seen", F.min("last_seen").over(Window.partitionBy("user_id")))
+    hidden = states.where(F.col("status").isin("SEEN", "DISMISSED") | _asleep(now)).select("user_id", "fingerprint")
+    touched = hidden.join(events.where("severity_rank > 0").select("fingerprint", "symbol"), "fingerprint").select("user_id", "symbol").distinct()
+    index = suffix_index(events)
+    cursors = since.select("symbol", F.col("last_seen").alias("day")).distinct().withColumn("__asks", F.lit(True))
+    both = index.select("symbol", "day", F.col("day").alias("__at"), F.lit(False).alias("__asks")).unionByName(cursors.withColumn("__at", F.lit(None).cast("date")))
+    # a cursor sorts behind the events of its own day, so the next row ahead is a later day
+    ahead = Window.partitionBy("symbol").orderBy("day", "__asks").rowsBetween(1, Window.unboundedFollowing)
+    met = both.withColumn("__next", F.first("__at", ignorenulls=True).over(ahead)).where("__asks and __next is not null").select("symbol", F.col("day").alias("last_seen"), F.col("__next").alias("day"))
+    known = met.join(index, ["symbol", "day"]).drop("day")
+    quick = since.join(touched, ["user_id", "symbol"], "left_anti").join(known, ["symbol", "last_seen"]).drop("last_seen")
+    slow = visible(events, since.join(touched, ["user_id", "symbol"], "left_semi"), states, now)
+    own = [c for c in ("budget",) if c in watch.columns]
+    rows = slow.groupBy("user_id", "symbol", "intent", "priority").agg(*[F.max(c).alias(c) for c in own], *_gathered(), *strongest())
+    return _judged(quick.select(*rows.columns).unionByName(rows), False)
+
+
 def items(shown: DataFrame, explain: bool = False) -> DataFrame:
     """One row for each reader and name: all its signals scored again with the reader's intent and priority.
 
@@ -51,13 +96,8 @@ def items(shown: DataFrame, explain: bool = False) -> DataFrame:
     those that own the strongest signal (by key and label), the one with the highest score, then the latest; the best event where no signal adds points.
     """
     own = [c for c in ("budget",) if c in shown.columns]
-    rows = shown.groupBy("user_id", "symbol", "intent", "priority").agg(
-        F.bool_or(F.col("detector") == "earnings_upcoming").alias("has_catalyst"), F.bool_or(F.col("detector") == "sector_divergence").alias("idiosyncratic"),
-        F.min("confidence").alias("confidence"), F.bool_and("is_confirmed").alias("is_confirmed"), F.count("*").alias("n_events"),
-        F.max("sector").alias("sector"), *[F.max(c).alias(c) for c in own], *strongest(explain),
-    )
-    out = scored(rows, intent=F.col("intent"), priority=F.col("priority"), explain=explain)
-    out = out.withColumns({"severity": severity_name(F.col("severity_rank")), "attention": F.floor(F.col("score") + 0.5).cast("int")})
+    rows = shown.groupBy("user_id", "symbol", "intent", "priority").agg(*[F.max(c).alias(c) for c in own], *_gathered(), *strongest(explain))
+    out = _judged(rows, explain)
     if not explain:
         return out
     ups, downs = explained(F.col("contributions"))

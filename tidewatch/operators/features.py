@@ -182,6 +182,38 @@ def features(bars: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
+def placed(bars: DataFrame) -> DataFrame:
+    """Adds __rn, the place of each bar in its series: counted within a year, behind the counts of the years before, so no task sees a whole series."""
+    rows = bars.withColumn("__year", F.year("bar_date"))
+    years = rows.groupBy("symbol", "__year").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("symbol").orderBy("__year").rowsBetween(Window.unboundedPreceding, -1)
+    years = years.select("symbol", "__year", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("symbol", "__year").orderBy("bar_date"))
+    return rows.withColumn("__in", inside).join(years, ["symbol", "__year"]).withColumn("__rn", F.col("__in") + F.col("__before")).drop("__year", "__in", "__before")
+
+
+def cut_features(bars: DataFrame, length: int = 2000, halo: int = 400) -> DataFrame:
+    """:func:`features` with every series cut into pieces of ``length`` bars, each computed with the ``halo`` bars before it, so that one symbol
+    keeps many tasks busy. The longest frame is 252 bars; correlations reach back 121 bars that the proxy has too. What is carried over
+    days that the proxy lacks comes from the ends of the pieces before: one row a piece."""
+    if halo < 253:
+        raise ValueError("the halo must hold the longest frame, 252 bars and one before")
+    own = placed(bars.where("kind = 'instrument'"))
+    piece = F.floor((F.col("__rn") - 1) / length)
+    copies = own.withColumns({"__own": piece, "__piece": F.explode(F.sequence(piece, F.floor((F.col("__rn") + halo - 1) / length)))})
+    first = F.greatest(F.col("__piece") * length - halo, F.lit(0))
+    named = copies.select(
+        *[c for c in bars.columns if c != "symbol"], F.concat_ws("\u0001", "symbol", F.col("__piece").cast("string")).alias("symbol"), first.alias("rn_before"), (F.col("__own") == F.col("__piece")).alias("is_own"), F.col("symbol").alias("whole"), F.col("__piece").alias("piece")
+    )
+    found = features(named.unionByName(bars.where("kind <> 'instrument'"), allowMissingColumns=True)).where("is_own")
+    carried = {f"corr{n}": F.max_by(f"corr{n}", F.when(F.col(f"corr{n}").isNotNull(), F.col("rn"))) for n in (20, 120)}
+    ends = found.groupBy("whole", "piece").agg(*[v.alias(f"end_{k}") for k, v in carried.items()])
+    earlier = Window.partitionBy("whole").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("whole", "piece", *[F.last(f"end_{k}", ignorenulls=True).over(earlier).alias(f"seed_{k}") for k in carried])
+    out = found.join(ends, ["whole", "piece"]).withColumns({k: F.coalesce(k, f"seed_{k}") for k in carried})
+    return out.withColumn("symbol", F.col("whole")).drop("whole", "piece", "is_own", "rn_before", *[f"seed_{k}" for k in carried])
+
+
 def ready(feats: DataFrame) -> DataFrame:
     """Days with enough history to judge; windows come first, so this never shortens a frame."""
     return feats.where(F.col("rn") >= MIN_HISTORY)

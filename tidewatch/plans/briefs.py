@@ -78,6 +78,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.layer(spark, sf_dir, "items", lambda: brief.items(visible(spark, sf_dir), explain=True), "user_id", over=registry.READERS)
 
 
+def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all readers without reasons, from the index of each name's strongest signals."""
+    make = lambda: brief.indexed_items(recent_events(spark, sf_dir), readers(spark, sf_dir), states(spark, sf_dir), now())
+    return registry.layer(spark, sf_dir, "scored-items", make, "user_id", over=registry.READERS)
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = lambda: brief.window_stats(closed_bars(spark, sf_dir).where("kind = 'instrument'"), readers(spark, sf_dir))
     return registry.layer(spark, sf_dir, "stats", make, "user_id", over=registry.READERS)
@@ -141,13 +147,13 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("brief_items", oracle.scores_sql("SELECT user_id, symbol, n_events, round(score, 1) AS score, severity_rank FROM its", BRIEF))
 def brief_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("user_id", "symbol", "n_events", F.round("score", 1).alias("score"), "severity_rank")
+    return scored_items(spark, sf_dir).select("user_id", "symbol", "n_events", F.round("score", 1).alias("score"), "severity_rank")
 
 
 @register("brief_top", oracle.scores_sql(f"SELECT user_id, place, symbol, floor(score + 0.5)::INT AS attention FROM rk WHERE place <= coalesce(budget, {BUDGET})", BRIEF))
 def brief_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top-k report of every reader: as many items as the reader's own budget allows."""
-    return brief.ranked(items(spark, sf_dir), BUDGET).where("shown").select("user_id", "place", "symbol", "attention")
+    return brief.ranked(scored_items(spark, sf_dir), BUDGET).where("shown").select("user_id", "place", "symbol", "attention")
 
 
 @register("brief_explained", oracle.scores_sql("""SELECT i.user_id, i.symbol, p.positives, p.suppressors, l.headline, l.detector AS lead_detector FROM its i
@@ -168,7 +174,7 @@ def brief_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM readers r WHERE r.user_id = u.user_id AND NOT EXISTS (SELECT 1 FROM its i WHERE i.user_id = r.user_id AND i.symbol = r.symbol) AND NOT EXISTS (SELECT 1 FROM silenced z WHERE z.user_id = r.user_id AND z.symbol = r.symbol)) ELSE 0 END AS n
 FROM (SELECT DISTINCT user_id FROM readers) u, (VALUES (0, 'NOISE'), (1, 'INFO'), (2, 'WATCH'), (3, 'IMPORTANT'), (4, 'CRITICAL')) s(rank, severity)""", BRIEF))
 def brief_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief.histogram(readers(spark, sf_dir), items(spark, sf_dir), silenced(spark, sf_dir))
+    return brief.histogram(readers(spark, sf_dir), scored_items(spark, sf_dir), silenced(spark, sf_dir))
 
 
 def whole_briefs(spark: SparkSession, sf_dir: str, users: DataFrame, watch: DataFrame, at: Column, shown: DataFrame, asleep: DataFrame) -> DataFrame:
@@ -235,7 +241,7 @@ TEXT = f"""CASE rule
 def _accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         parts = readers(spark, sf_dir), visible(spark, sf_dir), silenced(spark, sf_dir), registry.links(spark, sf_dir), closed_bars(spark, sf_dir)
-        return brief.accounting(*parts, BUDGET, items(spark, sf_dir), stats(spark, sf_dir))
+        return brief.accounting(*parts, BUDGET, scored_items(spark, sf_dir), stats(spark, sf_dir))
 
     return registry.layer(spark, sf_dir, "accounting", make, "user_id", over=registry.READERS)
 
@@ -277,7 +283,7 @@ def brief_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     watch = readers(spark, sf_dir)
     known = closed_bars(spark, sf_dir)
-    out = brief.quality(watch, items(spark, sf_dir), BUDGET, stats(spark, sf_dir), known, fresh_sources(spark, sf_dir), now())
+    out = brief.quality(watch, scored_items(spark, sf_dir), BUDGET, stats(spark, sf_dir), known, fresh_sources(spark, sf_dir), now())
     return dated(out, "since", "as_of")
 
 

@@ -58,6 +58,14 @@ def feat_move_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(rounded(out.select("symbol", "bar_date", "sessions_used", "move_sigmas"), 5, "move_sigmas"))
 
 
+@register("feat_cut_series", oracle.feats_sql(f"SELECT symbol, {DAY}, rn, {round_sql(5, 'rv60', 'atr14', 'high252', 'rvol', 'rvol_past', 'beta_market', 'resid_std_sector', 'corr20', 'corr120')}, worst_confidence, all_confirmed FROM feats"))
+def feat_cut_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all days with every series cut into pieces of 150 bars."""
+    figures = ["rv60", "atr14", "high252", "rvol", "rvol_past", "beta_market", "resid_std_sector", "corr20", "corr120"]
+    out = features.cut_features(registry.bars(spark, sf_dir), length=150)
+    return dated(rounded(out.select("symbol", "bar_date", "rn", *figures, "worst_confidence", "all_confirmed"), 5, *figures))
+
+
 @register("feat_samples", oracle.feats_sql(f"""SELECT symbol, {DAY}, len(a) AS n_returns, round(list_avg(a), 6) AS mean_abs_return, round(v, 6) AS vol30, len(s) AS n_closes, s[1] AS oldest_close FROM (
   SELECT symbol, bar_date, list_filter(list(abs(log_ret)) {oracle._last(90)}, lambda x: x IS NOT NULL) AS a, {oracle._full('stddev_samp(log_ret)', 'log_ret', 30)} AS v, list(close) {oracle._last(20)} AS s FROM feats)"""))
 def feat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

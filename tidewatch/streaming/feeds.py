@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.tables import Table
+
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) -> DataFrame:
     """Parquet files of (event_id, ts, user_id, event_type, value) as a stream in event time."""
@@ -39,6 +41,12 @@ def cursor_updates(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.count("*").alias("n_events"))
 
 
+def into(table: Table, on: list[str], stream: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that adds each row once: a batch that comes again after a crash is known by its number, and
+    rows that another batch or job has brought are known by their key ``on``."""
+    return lambda batch, number: table.insert_absent(batch, on, (stream, number)) and None
+
+
 def restarted(start: Callable[[], StreamingQuery], tries: int = 3, wait: float = 30.0) -> StreamingQuery:
     """Run a query that ends by itself; one that fails is started again from its checkpoint, ``tries`` times in all, after
     ``wait`` seconds and twice as long each further time."""
