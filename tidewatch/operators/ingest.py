@@ -98,7 +98,7 @@ def split_adjusted(bars: DataFrame, factor: str = "split_factor") -> DataFrame:
     total = F.coalesce(F.exp(F.sum(F.ln(valid)).over(later)), F.lit(1.0))
     out = bars.withColumn("__by", total)
     prices = [c for c in FIELDS if c in bars.columns]
-    return out.withColumns({c: F.round(F.col(c) / F.col("__by"), 6) for c in prices} | {"volume": F.floor(F.col("volume") * F.col("__by") + 0.5).cast("double")}).drop("__by")
+    return out.withColumns({c: F.round(F.col(c) / F.col("__by"), 6) for c in prices} | {"volume": F.when(F.isnan("volume"), F.col("volume")).otherwise(F.floor(F.col("volume") * F.col("__by") + 0.5).cast("double"))}).drop("__by")
 
 
 def first_problem(today: Column) -> Column:
