@@ -366,3 +366,40 @@ def test_sql_of_new_queries(spark):
     names = list(want.columns)
     got = conversation.damage_and_repair(spark.createDataFrame(frame))
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+# ---- licenses ----------------------------------------------------------------------------------
+
+
+def test_whole_licenses_and_near_misses(spark):
+    from tidewatch.llm import license_scan
+
+    def body(label):
+        """A license as it is written: the first of each alternative, optional regions left in, names where they belong."""
+        out = license_scan.TEMPLATES[label].replace("<<beginOptional>>", "").replace("<<endOptional>>", "")
+        return license_scan.MARKUP.sub(lambda m: m[3].split("|")[0] if m[3] else "the authors" if m[2] == "12" else "", out)
+
+    whole = ["text:mit", "text:mit-0", "text:isc", "text:0bsd", "text:bsd-2-clause", "text:bsd-3-clause", "text:unlicense", "text:bsl-1.0", "text:zlib", "text:wtfpl", "text:apache-2.0", "text:gpl-3.0"]
+    texts = {label: f"Some project\n\n{body(label)}\n\nmore words" for label in whole}
+    mit, zlib_, free, apache, gpl = (body(f"text:{n}") for n in ("mit", "zlib", "unlicense", "apache-2.0", "gpl-3.0"))
+    disclaimer = mit.index("THE SOFTWARE IS PROVIDED")
+    misses = {
+        "json": mit[:disclaimer] + "The Software shall be used for Good, not Evil. " + mit[disclaimer:],
+        "mit without disclaimer": mit[:disclaimer],
+        "zlib without conditions": zlib_[: zlib_.index("The origin")],
+        "unlicense with an exception": free.replace("by any means.", "by any means, except that nobody may sell it."),
+        "apache changed": apache.replace("irrevocable", "revocable", 1),
+        "gpl cut": gpl[: len(gpl) // 2],
+        "gpl changed": gpl.replace("Everyone is permitted", "Nobody is permitted", 1),
+    }
+    assert all(text != mit for text in misses.values())
+    texts |= misses
+    terms = gpl[: gpl.index("END OF TERMS")]
+    texts["gpl terms alone"] = terms
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: {x for x in r.labels.split(",") if x.startswith("text:") and not x.endswith("-notice")} for r in license_scan.license_scan(docs).collect()}
+    for label in whole:
+        assert got[label] == {label}, label
+    assert got["gpl terms alone"] == {"text:gpl-3.0"}
+    for name in misses:
+        assert got[name] == set(), name

@@ -4,7 +4,9 @@ A template is license wording with markup: ``<<beginOptional>>...<<endOptional>>
 out, ``<<var;most=N>>`` stands for up to N words of any kind, ``<<match=a|b c>>`` for one of the wordings. :func:`compile_template` turns it into
 a nondeterministic token automaton: word edges, branches for alternatives, free edges for optional regions, and chains of
 bounded length for replaceable ones. Numbers of lists and marks like (c) are covered by short replaceable regions. A place matches if the automaton gets from its start to its end,
-so all mandatory wording must stand there exactly, word for word. Spans do not overlap within a label:
+so all mandatory wording must stand there exactly, word for word. A ``text:`` template holds the whole license, conditions and disclaimer
+included, so wording that is added or lost inside it (a field of use, a missing disclaimer) gives no match; ``notice:`` and ``-notice`` templates hold what
+files say of a license that stands elsewhere. Spans do not overlap within a label:
 from each start the longest match counts.
 
 The base scan looks for short phrases as consecutive words; its labels stay, templates add theirs.
@@ -17,6 +19,7 @@ are carried if asked for; one named as a column of the result comes out with ``_
 
 from __future__ import annotations
 
+import pkgutil
 import re
 import string
 from dataclasses import dataclass
@@ -34,12 +37,33 @@ LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 # The phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+def _whole(name: str, notice: str) -> str:
+    """The whole text of a license from this package; what stands behind its terms (``notice`` on) may be missing."""
+    text = pkgutil.get_data("tidewatch.llm", f"licenses/{name}.txt").decode()
+    terms, mark, rest = text.partition(notice)
+    return f"{terms}<<beginOptional>>{mark}{rest}<<endOptional>>".replace("https://", "<<match=http|https>>://").replace("http://", "<<match=http|https>>://")
+
+
 # Disclaimers that several licenses share.
+_MIT_DENIED = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND <<match=NONINFRINGEMENT|NON INFRINGEMENT>>. '
+    "IN NO EVENT SHALL <<beginOptional>>THE <<endOptional>><<var;most=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC_DENIED = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND <<var;most=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL <<var;most=12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 _BSD_GIVEN = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;most=1>>Redistributions of source code must retain the above copyright notice, "
     "this list of conditions and the following disclaimer. <<var;most=1>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
-_BSD_DENIED = 'THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+_BSD_DENIED = (
+    'THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL <<beginOptional>>THE <<endOptional>><<var;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 _GNU = (
     "is free software<<var;most=2>> you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the Free Software Foundation, "
     "<<match=either version {1} of the License, or (at your option) any later version|version {1} of the License|version {1}>>"
@@ -51,10 +75,10 @@ TEMPLATES = {
     "notice:apache-2.0": "<<match=licensed|released|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>>Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
     "notice:gpl": "<<match=licensed|released|distributed|available>> under <<beginOptional>>the <<endOptional>><<beginOptional>>terms of the <<endOptional>>GNU <<beginOptional>><<match=Lesser|Affero|Library>> <<endOptional>>General Public License<<beginOptional>>, <<match=version|v>> <<var;most=2>><<endOptional>>",
     "notice:cc-by": "<<match=licensed|released|available|distributed>> under <<beginOptional>><<match=a|the>> <<endOptional>><<beginOptional>>Creative Commons <<endOptional>><<match=CC BY|Attribution>><<beginOptional>> NC<<endOptional>><<beginOptional>> NonCommercial<<endOptional>><<beginOptional>> SA<<endOptional>><<beginOptional>> ShareAlike<<endOptional>><<beginOptional>> ND<<endOptional>><<beginOptional>> NoDerivatives<<endOptional>><<beginOptional>> International<<endOptional>> <<match=4.0|3.0|2.5|2.0>>",
-    "text:mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<beginOptional>><<var;most=1>> <<endOptional>>Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software.",
-    "text:mit-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED",
-    "text:isc": "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "text:0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED",
+    "text:mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<beginOptional>><<var;most=1>> <<endOptional>>Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software. " + _MIT_DENIED,
+    "text:mit-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. " + _MIT_DENIED,
+    "text:isc": "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_DENIED,
+    "text:0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_DENIED,
     "text:bsd-2-clause": _BSD_GIVEN + _BSD_DENIED,
     "text:bsd-3-clause": _BSD_GIVEN + "<<var;most=1>>Neither the name of <<var;most=12>> nor the names of <<match=its|the>> contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DENIED,
     "text:apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<match=http|https>>://www.apache.org/licenses/LICENSE-2.0",
@@ -64,11 +88,13 @@ TEMPLATES = {
     "text:lgpl-3.0-notice": _GNU.format("Lesser", "3"),
     "text:agpl-3.0-notice": _GNU.format("Affero", "3"),
     "text:mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<match=http|https>>://mozilla.org/MPL/2.0",
-    "text:unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "text:unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.<<beginOptional>> For more information, please refer to <<match=http|https>>://unlicense.org<<endOptional>>",
     "text:cc0-1.0-notice": "To the extent possible under law, <<var;most=12>> <<match=has|have>> waived all copyright and related or neighboring rights to <<var;most=12>>",
-    "text:bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
-    "text:zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
-    "text:wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "text:bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "text:zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<var;most=1>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<var;most=1>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<var;most=1>>This notice may not be removed or altered from any source distribution.",
+    "text:wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION <<var;most=1>>You just DO WHAT THE FUCK YOU WANT TO.",
+    "text:apache-2.0": _whole("apache-2.0", "END OF TERMS AND CONDITIONS"),
+    "text:gpl-3.0": _whole("gpl-3.0", "END OF TERMS AND CONDITIONS"),
 }
 
 MARKUP = re.compile(r"<<(beginOptional|endOptional|var;most=(\d+)|match=([^>]*))>>")
