@@ -269,3 +269,38 @@ def test_best_event_leads_without_points(spark):
     text = f"file://{storage.work_dir(spark, 'report').removeprefix('file://')}/r.md"
     storage.write_text(spark, text, "# Title")
     assert tables.read_text(spark, text) == "# Title"
+
+
+def test_keyed_state_does_not_depend_on_order(spark, tmp_path):
+    from tidewatch.streaming import cursors
+
+    rng = random.Random(3)
+    past, future = dt.datetime(2024, 1, 1), dt.datetime(2090, 1, 1)
+    rows = []
+    for i in range(120):
+        user, name, at = rng.randrange(4), f"N{rng.randrange(3)}", past + dt.timedelta(hours=i)
+        rows.append((user, name, "seen", at, None, float(i)) if i % 3 else (user, name, "snooze", at, rng.choice([past, future]) + dt.timedelta(minutes=i), None))
+    rows += rows[:20] + [(9, "N0", "seen", None, None, None), (9, "N0", "snooze", past, None, None)]
+    schema = "user_id long, symbol string, kind string, at timestamp, until timestamp, snap_close double"
+    whole = spark.createDataFrame(rows, schema)
+    key = ["user_id", "symbol"]
+    want = whole.groupBy(*key).agg(F.max(F.when(F.col("kind") == "seen", F.col("at"))).alias("last_seen"), F.max_by("snap_close", F.when(F.col("kind") == "seen", F.col("at"))).alias("snap_close"), F.max_by("until", F.when(F.col("kind") == "snooze", F.col("at"))).alias("until"))
+    want = {(r.user_id, r.symbol): (r.last_seen, r.snap_close, r.until) for r in want.collect() if r.last_seen or r.until}
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for order in (1, 2):
+            random.Random(order).shuffle(rows)
+            folder = tmp_path / f"a{order}"
+            for part in range(3):
+                spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(str(folder))
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+            out = feeds.drain(cursors.reader_states(stream), f"readers{order}", str(tmp_path / f"c{order}"), "update").collect()
+            found: dict = {}
+            for r in out:  # each key's rows in the order of their batches
+                found.setdefault((r.user_id, r.symbol), []).append((r.last_seen, r.snap_close, r.until, r.version))
+            assert set(found) == set(want)
+            for k, changes in found.items():
+                assert want[k] in {c[:3] for c in changes} and max(c[3] for c in changes) <= len(rows)
+                assert max((c[0] for c in changes if c[0]), default=None) == want[k][0]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
