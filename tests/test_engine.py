@@ -96,14 +96,14 @@ def test_drift_fires_over_its_horizon_only(spark):
     df = spark.createDataFrame(bars, series(spark, 2).schema)
     assert "move_since_last_seen" not in fired_last(df)
     found = fired_last(df, sessions=10)["move_since_last_seen"]
-    assert found.direction == -1 and found.sessions_used == 10 and "over 10 sessions" in found.headline
+    assert found.direction == -1 and found.sessions_used == 10 and "in 10 sessions" in found.headline
 
 
 def test_earnings_ahead(spark):
     bars = series(spark, days=90, last_move=0.1)
     last = bars.agg(F.max("bar_date")).first()[0]
     near = fired_last(bars, [("X", last + dt.timedelta(days=1), "bmo"), ("X", last + dt.timedelta(days=30), "amc"), ("Y", last, "amc")])["earnings_upcoming"]
-    assert (near.signal_value, near.headline) == (21.5, "Reports earnings tomorrow before the open.")
+    assert (near.signal_value, near.headline) == (21.5, "Report due in 1 d, premarket")
     assert "earnings_upcoming" not in fired_last(bars, [("X", last + dt.timedelta(days=3), "amc"), ("X", last - dt.timedelta(days=1), "amc"), ("X", None, "amc")])
     # a report of the same morning is past, and is the next one all the same
     assert "earnings_upcoming" not in fired_last(bars, [("X", last, "bmo"), ("X", last + dt.timedelta(days=1), "bmo")])

@@ -11,12 +11,13 @@ from tidewatch import storage
 from tidewatch.operators import brief as brief_ops
 from tidewatch.operators import score, state
 from tidewatch.plans import briefs, queries, registry
+from tidewatch.plans.ingestion import fresh_sources
 from tidewatch.plans.queries import QUERIES
 
 
 def brief(spark: SparkSession, sf_dir: str, user_id: int, now: str = briefs.NOW) -> dict[str, DataFrame]:
     """A reader's ``brief`` at the day ``now`` (one row: counts, story, items with their windows and reasons' headline, themes with their names), and the
-    ``items`` with all reasons, in order. Only this reader's names are computed. A reader who watches nothing gets the one row without items."""
+    ``items`` with all reasons, in order, ``summary``, ``themes``, ``histogram`` and ``quality``. Only this reader's names are computed. A reader who watches nothing gets the one row without items."""
     at, mine = F.lit(now).cast("date"), F.col("user_id") == user_id
     watch = briefs.readers(spark, sf_dir).where(mine)
     events = registry.events(spark, sf_dir).where(F.col("bar_date") <= at).join(watch.select("symbol").distinct(), "symbol", "left_semi")
@@ -24,8 +25,15 @@ def brief(spark: SparkSession, sf_dir: str, user_id: int, now: str = briefs.NOW)
     shown = storage.stored(brief_ops.visible(events, watch, states, at), "visible")
     asleep = brief_ops.snoozed_names(brief_ops.past_cursor(events, watch), shown, states, at)
     users = spark.createDataFrame([(user_id,)], "user_id long")
-    items = brief_ops.ranked(brief_ops.items(shown, explain=True), briefs.BUDGET).where("shown").orderBy("place")
-    return {"brief": briefs.whole_briefs(spark, sf_dir, users, watch, at, shown, asleep), "items": items}
+    found = brief_ops.items(shown, explain=True)
+    bars = registry.bars(spark, sf_dir).where(F.col("bar_date") <= at)
+    stats = brief_ops.window_stats(bars.where("kind = 'instrument'"), watch)
+    whole = storage.stored(briefs.whole_briefs(spark, sf_dir, users, watch, at, shown, asleep), "brief")
+    return {
+        "brief": whole, "items": brief_ops.ranked(found, briefs.BUDGET).where("shown").orderBy("place"), "histogram": brief_ops.histogram(watch, found, asleep),
+        "summary": whole.drop("items", "themes"), "themes": whole.select("user_id", F.inline("themes")),
+        "quality": brief_ops.quality(watch, found, briefs.BUDGET, stats, bars, fresh_sources(spark, sf_dir), at),
+    }
 
 
 def explain_event(spark: SparkSession, sf_dir: str, user_id: int, fingerprint: str) -> DataFrame:
