@@ -34,7 +34,7 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", [
     "bars_daily", "feat_beta_sector", "feat_move_sigmas", "feat_rv10_pct", "stats_pairwise_correlation", "detect_all", "detect_headlines", "score_days", "score_contributions", "score_aged", "themes_multi_day", "theme_events",
-    "ingest_reconcile", "ingest_conflicts", "ingest_split_adjust", "ingest_validate", "ingest_parse_array", "ingest_runs", "ingest_insert_if_absent", "window_stats", "brief_explained", "brief_histogram", "brief_narrative",
+    "ingest_reconcile", "ingest_conflicts", "ingest_split_adjust", "ingest_validate", "ingest_validate_pieces", "ingest_parse_array", "ingest_runs", "ingest_insert_if_absent", "window_stats", "brief_explained", "brief_histogram", "brief_narrative",
     "detect_since_cursor", "state_mark_seen", "state_snooze", "state_watchlist", "ops_sources", "debounce_sessions",
 ])
 def test_query_matches_sql(spark, duck, name):
@@ -147,6 +147,26 @@ def test_validation_ignores_rejected_closes(spark):
     assert [r.problem for r in out] == [None, "implausible move", None, "duplicate date", None, "open is not positive"]
 
 
+def test_validation_in_pieces_equals_the_fold(spark):
+    rng = random.Random(11)
+    first, rows = dt.date(2023, 12, 20), []
+    for name in ("X", "Y", "Z"):
+        for _ in range(160):  # repeated dates, leaps, rows without a date, and gaps of all lengths
+            c = rng.choice([100.0, 101.0, 10.0, 170.0, 300.0, -1.0, float("nan")])
+            day = None if rng.random() < 0.03 else first + dt.timedelta(days=rng.randrange(70) if name == "X" else rng.randrange(70) * 3)
+            rows.append((name, rng.choice("ab"), day, c, c, c, c, c, 1.0))
+    rows += rows[:15] + [("W", "a", None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    schema = "symbol string, source_id string, bar_date date, open double, high double, low double, close double, close_adj double, volume double"
+    bars, today = spark.createDataFrame(rows, schema), F.lit("2030-01-01").cast("date")
+    want = sorted(map(repr, ingest.validated(bars, today).collect()))
+    assert {"implausible move", "duplicate date", "malformed date"} <= {r.problem for r in ingest.validated(bars, today).collect()}
+    for days in (4, 5, 30, 366):
+        assert sorted(map(repr, ingest.validated_in_pieces(bars, today, days).collect())) == want, days
+    assert ingest.validated_in_pieces(bars.limit(0), today).count() == 0
+    with pytest.raises(ValueError):
+        ingest.validated_in_pieces(bars, today, 3)
+
+
 def test_payloads(spark):
     good = '{"values": [{"datetime": "2024-06-04", "open": "1", "high": "2", "low": "1", "close": "2", "volume": "x"}, {"datetime": "2024-06-03", "open": "1", "high": "2", "low": "1", "close": "3", "volume": "5"}, {"datetime": "2024-06-05", "open": "n/a", "high": "2", "low": "1", "close": "2", "volume": "5"}]}'
     bodies = [good, '{"status": "error", "message": "quota"}', '{"code": 500}', '{"values": []}', '{"values": [{"datetime": "2024-06-05", "open": "n/a"}]}', "oops", None]

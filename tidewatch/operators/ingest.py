@@ -118,35 +118,95 @@ def first_problem(today: Column) -> Column:
     return F.coalesce(*rules)
 
 
+def _accepted(acc: Column, x: Column, problem: Column) -> list[Column]:
+    """The last accepted bar behind ``x``."""
+    return [F.when(problem.isNull(), x[new]).otherwise(acc[name]).alias(name) for name, new in (("day", "bar_date"), ("close", "close"))]
+
+
+def _problem(acc: Column, x: Column) -> Column:
+    """What is wrong with ``x`` behind the last accepted bar ``acc``."""
+    gap = F.datediff(x["bar_date"], acc["day"])
+    leap = (gap > 0) & (gap <= MAX_GAP_DAYS) & (F.abs(F.try_divide(x["close"], acc["close"]) - 1) > MAX_MOVE)
+    return F.coalesce(F.when(x["bar_date"].isNull(), "malformed date"), F.when(x["bar_date"] == acc["day"], "duplicate date"), x["static"], F.when(leap, "implausible move"))
+
+
+def _rejects(day: Column, close: Column) -> Column:
+    """Place and problem of the bars of ``items`` that are rejected, behind a last accepted bar."""
+    empty = F.struct(F.lit(0).alias("i"), day.cast("date").alias("day"), close.cast("double").alias("close"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")).alias("bad"))
+
+    def step(acc: Column, x: Column) -> Column:
+        problem = _problem(acc, x)
+        bad = F.when(problem.isNull(), acc["bad"]).otherwise(F.map_concat(acc["bad"], F.create_map(acc["i"], F.coalesce(problem, F.lit("")))))
+        return F.struct((acc["i"] + 1).alias("i"), *_accepted(acc, x, problem), bad.alias("bad"))
+
+    return F.aggregate("items", empty, step, lambda acc: acc["bad"])
+
+
+def _told(series: DataFrame, columns: list[str]) -> DataFrame:
+    """The bars of ``items``, each with its problem in ``bad``."""
+    out = series.select(*KEY, "bad", F.posexplode("items").alias("__i", "x")).select(*KEY, "x.*", F.try_element_at("bad", F.col("__i")).alias("problem"))
+    return out.select(*columns, "problem")
+
+
+def _item(rows: DataFrame) -> Column:
+    return F.struct("bar_date", *[c for c in rows.columns if c not in [*KEY, "bar_date"]])
+
+
 def validated(bars: DataFrame, today: Column) -> DataFrame:
     """``bars`` with ``problem``: null where accepted.
 
     Whether a bar repeats a date or moves too far depends on the last *accepted* bar, so each series is
     folded in order of date, then of its other columns. A series is one provider's daily history of one symbol, which
-    bounds the array; the fold carries the last accepted bar and only what it rejects.
+    bounds the array; the fold carries the last accepted bar and only what it rejects. :func:`validated_in_pieces` gives the same from many
+    tasks a series.
     """
     rows = bars.withColumn("static", first_problem(today))
-    item = F.struct("bar_date", *[c for c in rows.columns if c not in [*KEY, "bar_date"]])
-    series = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.struct(
-        F.lit(0).alias("i"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")).alias("bad")
-    )
+    series = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(_item(rows))).alias("items"))
+    return _told(series.withColumn("bad", _rejects(F.lit(None), F.lit(None))), bars.columns)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.datediff(x["bar_date"], acc["day"])
-        leap = (gap > 0) & (gap <= MAX_GAP_DAYS) & (F.abs(F.try_divide(x["close"], acc["close"]) - 1) > MAX_MOVE)
-        problem = F.coalesce(
-            F.when(x["bar_date"].isNull(), "malformed date"), F.when(x["bar_date"] == acc["day"], "duplicate date"), x["static"], F.when(leap, "implausible move")
-        )
-        good = problem.isNull()
-        return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(good, x["bar_date"]).otherwise(acc["day"]).alias("day"), F.when(good, x["close"]).otherwise(acc["close"]).alias("close"),
-            F.when(good, acc["bad"]).otherwise(F.map_concat(acc["bad"], F.create_map(acc["i"], F.coalesce(problem, F.lit(""))))).alias("bad"),
-        )
-
-    judged = series.withColumn("bad", F.aggregate("items", empty, step, lambda acc: acc["bad"]))
-    out = judged.select(*KEY, "bad", F.posexplode("items").alias("__i", "x")).select(*KEY, "x.*", F.try_element_at("bad", F.col("__i")).alias("problem"))
-    return out.select(*bars.columns, "problem")
+
+def validated_in_pieces(bars: DataFrame, today: Column, days: int = 366) -> DataFrame:
+    """:func:`validated` with each series cut into pieces of ``days`` calendar days, each folded by a task of its own.
+
+    A bar looks back at most ``MAX_GAP_DAYS``, so a piece depends on what lies before it only through the last accepted bar, if that is one
+    of the sound bars of those last days. A piece is therefore a function with a table of few rows, from each such bar, and from none,
+    to the last accepted bar at the piece's own end. The tables of a series are composed in order, which tells the bar that each piece starts
+    behind, and the pieces are then judged apart. Only tables meet in one task, never a series; bars without a date are judged alone.
+    """
+    if days < MAX_GAP_DAYS:
+        raise ValueError(f"a piece takes at least {MAX_GAP_DAYS} days")
+    rows = bars.withColumn("static", first_problem(today))
+    place = F.datediff("bar_date", F.lit("1970-01-01").cast("date"))
+    piece = F.floor(place / days)
+    near = F.col("static").isNull() & ((piece + 1) * days - place <= MAX_GAP_DAYS)
+    spots = F.filter(F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own")), F.when(near, F.struct((piece + 1).alias("piece"), F.lit(False).alias("own")))), lambda x: x.isNotNull())
+    dated = rows.where("bar_date is not null").select(*KEY, _item(rows).alias("item"), F.inline(spots))
+    bar = F.struct(F.col("item.bar_date").alias("day"), F.col("item.close").alias("close"))
+    pieces = dated.groupBy(*KEY, "piece").agg(
+        F.array_sort(F.collect_list(F.when(F.col("own"), F.col("item")))).alias("items"), F.collect_set(F.when(~F.col("own"), bar)).alias("edges")
+    ).where(F.size("items") > 0)
+
+    none = F.struct(F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("close"))
+    end = F.date_add(F.lit("1970-01-01").cast("date"), ((F.col("piece") + 1) * days - MAX_GAP_DAYS).cast("int"))
+
+    def row(start: Column) -> Column:
+        last = F.aggregate("items", F.struct(start["day"].alias("day"), start["close"].alias("close")), lambda acc, x: F.struct(*_accepted(acc, x, _problem(acc, x))))
+        return F.struct(start.alias("start"), F.transform(F.array(last), lambda y: F.when(y["day"] >= end, y).otherwise(none))[0].alias("last"))
+
+    tables = pieces.select(*KEY, F.struct("piece", F.transform(F.concat(F.array(none), "edges"), row).alias("rows")).alias("t"))
+    series = tables.groupBy(*KEY).agg(F.array_sort(F.collect_list("t")).alias("tables"))
+    started = F.struct(F.lit(None).cast("bigint").alias("piece"), none.alias("start"), none.alias("last"))
+
+    def compose(done: Column, t: Column) -> Column:
+        before = done[F.size(done) - 1]
+        start = F.when(before["piece"] + 1 == t["piece"], before["last"]).otherwise(none)
+        last = F.filter(t["rows"], lambda r: r["start"].eqNullSafe(start))[0]["last"]
+        return F.concat(done, F.array(F.struct(t["piece"].alias("piece"), start.alias("start"), last.alias("last"))))
+
+    starts = series.select(*KEY, F.inline(F.aggregate("tables", F.array(started), compose))).where("piece is not null").select(*KEY, "piece", "start")
+    judged = pieces.drop("edges").join(starts, [*KEY, "piece"]).withColumn("bad", _rejects(F.col("start.day"), F.col("start.close")))
+    undated = rows.where("bar_date is null").withColumn("problem", F.lit("malformed date"))
+    return _told(judged, bars.columns).unionByName(undated.select(*bars.columns, "problem"))
 
 
 def dead_letters(judged: DataFrame) -> DataFrame:

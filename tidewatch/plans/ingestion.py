@@ -107,6 +107,13 @@ def ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(judged(spark, sf_dir).select("symbol", "source_id", "bar_date", F.round("close", 4).alias("close"), "problem"))
 
 
+@register("ingest_validate_pieces", VALIDATED + " SELECT symbol, source_id, CAST(bar_date AS VARCHAR) AS bar_date, round(close, 4) AS close, problem FROM judged")
+def ingest_validate_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series cut into pieces of 90 days that are judged apart and composed; the SQL goes from bar to bar."""
+    out = ingest.validated_in_pieces(market.faulty_bars(registry.provided(spark, sf_dir)), today(), 90)
+    return dated(out.select("symbol", "source_id", "bar_date", F.round("close", 4).alias("close"), "problem"))
+
+
 @register("ingest_reasons", VALIDATED + " SELECT source_id, problem, count(*) AS n FROM judged GROUP BY ALL")
 def ingest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).groupBy("source_id", "problem").agg(F.count("*").alias("n"))
