@@ -34,7 +34,7 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", [
     "bars_daily", "feat_beta_sector", "feat_move_sigmas", "feat_rv10_pct", "stats_pairwise_correlation", "detect_all", "detect_headlines", "score_days", "score_contributions", "score_aged", "themes_multi_day", "theme_events",
-    "ingest_reconcile", "ingest_conflicts", "ingest_split_adjust", "ingest_validate", "ingest_validate_pieces", "ingest_parse_array", "ingest_runs", "ingest_insert_if_absent", "window_stats", "brief_explained", "brief_histogram", "brief_narrative",
+    "ingest_reconcile", "ingest_conflicts", "ingest_split_adjust", "ingest_validate", "ingest_validate_pieces", "state_woken", "ingest_parse_array", "ingest_runs", "ingest_insert_if_absent", "window_stats", "brief_explained", "brief_histogram", "brief_narrative",
     "detect_since_cursor", "state_mark_seen", "state_snooze", "state_watchlist", "ops_sources", "debounce_sessions",
 ])
 def test_query_matches_sql(spark, duck, name):

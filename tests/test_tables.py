@@ -304,3 +304,34 @@ def test_keyed_state_does_not_depend_on_order(spark, tmp_path):
                 assert max((c[0] for c in changes if c[0]), default=None) == want[k][0]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_snoozes_wake_by_timers_in_any_order(spark, tmp_path):
+    from tidewatch.streaming import cursors
+
+    rng = random.Random(5)
+    begin = dt.datetime(2024, 1, 1)
+    rows = [(rng.randrange(3), f"N{rng.randrange(2)}", begin + dt.timedelta(minutes=30 * i), begin + dt.timedelta(minutes=30 * i + rng.choice([-5, 20, 90, 200, 700]))) for i in range(150)]
+    rows += rows[:20] + [(1, "N0", rows[3][2], rows[3][2] + dt.timedelta(hours=2)), (1, "N0", None, begin), (1, None, begin, begin + dt.timedelta(hours=1)), (2, "N1", begin, None)]
+    mark = max(r[2] for r in rows if r[2]) - dt.timedelta(days=1)
+    want, asked = set(), {}
+    for user, name, at, until in rows:
+        if at and until and until > at:
+            mine = asked.setdefault((user, name), {})
+            mine[at] = max(until, mine.get(at, until))
+    for (user, name), mine in asked.items():
+        want |= {(user, name, at, until) for at, until in mine.items() if until < mark and not any(at < other <= until for other in mine)}
+    schema = "user_id long, symbol string, at timestamp, until timestamp"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for order, parts in ((1, 1), (2, 4)):
+            # rows come late by less than the delay, in several batches
+            late = sorted(rows, key=lambda r: (r[2] or begin) + dt.timedelta(hours=random.Random(f"{order}{r}").randrange(20)))
+            folder, size = tmp_path / f"w{order}", -(-len(rows) // parts)
+            for part in range(parts):
+                spark.createDataFrame(late[part * size : (part + 1) * size], schema).coalesce(1).write.mode("append").parquet(str(folder))
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+            out = [tuple(r) for r in feeds.drain(cursors.woken(stream, "1 day"), f"woken{order}", str(tmp_path / f"k{order}")).collect()]
+            assert len(out) == len(set(out)) and set(out) == want and len(want) > 20
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

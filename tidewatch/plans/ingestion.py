@@ -11,6 +11,7 @@ from tidewatch.plans.queries import SERIES, themes_sql
 from tidewatch.plans.registry import dated, register
 from tidewatch.sources import market, providers
 from tidewatch.storage import replaced, work_dir
+from tidewatch.streaming import cursors, feeds
 from tidewatch.tables import Table
 
 TODAY = "2030-01-01"
@@ -360,3 +361,20 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = market.read(spark, sf_dir, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
     out = events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
     return out.select("user_id", "n", F.date_format(F.col("session_window.start"), "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+@register("state_woken", """WITH asked AS (SELECT user_id, event_type AS symbol, ts, max(ts + INTERVAL 1 HOUR * (1 + event_id % 48)) AS until FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, symbol ORDER BY ts) AS after FROM asked)
+SELECT user_id, symbol, CAST(ts AS VARCHAR)[1:19] AS asked, CAST(until AS VARCHAR)[1:19] AS woken FROM s WHERE (after IS NULL OR after > until) AND until <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def state_woken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a snooze of up to two days of its type; timers of the stream wake those that no later one has replaced."""
+    hours = F.make_dt_interval(hours=(1 + F.col("event_id") % 48).cast("int"))
+    # a table's files are in no order of time, so all are one batch and none comes late
+    stream = feeds.event_stream(spark, f"{sf_dir}/events*.parquet", 1_000_000)
+    snoozes = stream.select("user_id", F.col("event_type").alias("symbol"), F.col("ts").alias("at"), (F.col("ts") + hours).alias("until"))
+    folder = work_dir(spark, "woken")
+    write = cursors.woken(snoozes, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    feeds.restarted(lambda: write.start(f"{folder}/rows"))
+    rows = spark.read.schema("user_id long, symbol string, at timestamp, until timestamp").parquet(f"{folder}/rows")
+    said = {name: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for name, c in (("asked", "at"), ("woken", "until"))}
+    return rows.select("user_id", "symbol", *[c.alias(name) for name, c in said.items()])

@@ -1,7 +1,7 @@
 """Cursors and snoozes as keyed state: one state a reader and name, fed by acknowledgements that may come late, twice and in any order.
 
 An acknowledgement moves a cursor forward only, counts a version and takes along the close that the reader saw; a snooze is replaced
-by one that was asked for later, and ends when a brief's ``now`` has passed it, so no timer is needed. Cursor and snooze therefore do not depend on the order in which
+by one that was asked for later, and ends when a brief's ``now`` has passed it; :func:`woken` tells it by timers when that happens. Cursor and snooze therefore do not depend on the order in which
 acknowledgements come (the version does: it counts how often the cursor moved, and never goes back). State lies in RocksDB beside the query's
 checkpoint, two small values a key, so a reader with very many names is many keys, not one large state.
 """
@@ -63,3 +63,69 @@ def reader_states(acknowledged: DataFrame) -> DataFrame:
     told = acknowledged.select("user_id", "symbol", "kind", F.unix_micros("at").alias("at"), F.unix_micros("until").alias("until"), "snap_close")
     out = told.groupBy("user_id", "symbol").transformWithState(Reader(), RESULT, "Update", "None")
     return out.withColumns({c: F.timestamp_micros(c) for c in ("last_seen", "until")})
+
+
+class Waker(StatefulProcessor):
+    """Snoozes of one reader and name until they end: a timer stands at each end, in event time.
+
+    When the watermark reaches an end, every snooze asked for before it has come, so whether another one has replaced it is known for good, in
+    whatever order and batches they came. Kept are snoozes that have not ended, and replaced ones as long as one that they replace may come.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.asked = handle.getMapState("asked", "at long", "until long")
+
+    @staticmethod
+    def _milliseconds(micros: int) -> int:
+        return -(-micros // 1000)
+
+    def _standing(self, asked: list[tuple[int, int]], watermark: int) -> list[tuple[int, int]]:
+        """The snoozes that none has replaced; replaced ones behind the watermark are forgotten."""
+        out = []
+        for (at, until), after in zip(asked, [*asked[1:], None], strict=True):
+            if after is None or after[0] > until:
+                out.append((at, until))
+            elif at <= watermark * 1000:
+                self.asked.removeKey((at,))
+        return out
+
+    def _asked(self) -> list[tuple[int, int]]:
+        return sorted((k[0], v[0]) for k, v in self.asked.iterator())
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = dict(self._asked())
+        fresh: dict[int, int] = {}
+        for row in rows:
+            at, until = row["at"], row["until"]
+            if at is not None and until is not None and until > at:
+                fresh[at] = max(until, fresh.get(at, until), known.get(at, until))
+        for at, until in fresh.items():
+            self.asked.updateValue((at,), (until,))
+        for at, until in self._standing(sorted((known | fresh).items()), timerValues.getCurrentWatermarkInMs()):
+            if at in fresh:
+                self.handle.registerTimer(self._milliseconds(until))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for at, until in self._standing(self._asked(), timerValues.getCurrentWatermarkInMs()):
+            if self._milliseconds(until) == now:
+                self.asked.removeKey((at,))
+                yield Row(user_id=key[0], symbol=key[1], at=at, until=until)
+
+    def close(self) -> None:
+        pass
+
+
+def woken(snoozes: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(user_id, symbol, at, until) of snoozes that have ended without being replaced, from a stream (user_id, symbol, at, until), in append mode.
+
+    A snooze is replaced by one of the same reader and name that is asked for later, up to its end; of two asked for at once the longer one
+    counts. It wakes when the watermark (the latest ``at``, less ``delay``) is past its end. A row that comes later than ``delay`` is dropped, as
+    streams in event time do; a row without a time, and one that ends before it begins, is none. Sets the session's state store to RocksDB.
+    """
+    snoozes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    told = snoozes.select("user_id", "symbol", F.col("at").alias("clock"), F.unix_micros("at").alias("at"), F.unix_micros("until").alias("until"))
+    out = told.withWatermark("clock", delay).groupBy("user_id", "symbol").transformWithState(Waker(), "user_id long, symbol string, at long, until long", "Append", "EventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("at", "until")})
