@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,87 +28,102 @@ from tidewatch.llm.tokens import KEPT_CHARS, blocks, column_texts, entry_bytes
 
 #: What a worker's caches hold at most: bytes of text chunks and their ids, and pairs of tokens. Longer chunks than ``KEPT_CHARS`` are never kept.
 CACHE_BYTES = 300_000_000
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 1_000_000
 #: Unicode's White_Space, which the pattern's ``\s`` means.
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
 class PrefixEncoder:
-    """Last tokens of byte prefixes for one vocabulary of ranks."""
+    """Last tokens of byte prefixes for one vocabulary of ranks; an entry is a token's id."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.whole: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # lengths of tokens that end with a byte, longest first: no other start can give one
+        ending: list[set[int]] = [set() for _ in range(256)]
+        for token in ranks:
+            ending[token[-1]].add(len(token))
+        self.lengths = [sorted(found, reverse=True) for found in ending]
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merging by rank, for short strings: it decides which tokens may stand together."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        none = len(ranks) + 1
-        while len(parts) > 1:
-            best, at = none, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1], none)
-                if rank < best:
-                    best, at = rank, i
-            if at < 0:
+        get, none = self.ranks.get, len(self.ranks) + 1
+        joined = [get(data[i : i + 2], none) for i in range(len(data) - 1)]  # rank of each part with the next
+        while joined:
+            best = min(joined)
+            if best == none:
                 break
+            at = joined.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(joined):
+                joined[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
-    def alone(self, token: bytes) -> bool:
+    def alone(self, token: int) -> bool:
         """Whether a token is the encoding of its own bytes; some are never reached by merging."""
         known = self.whole.get(token)
         if known is None:
-            known = self.whole[token] = len(self.merged(token)) == 1
+            known = self.whole[token] = len(self.merged(self.tokens[token])) == 1
         return known
 
-    def beside(self, a: bytes, b: bytes) -> bool:
+    def beside(self, a: int, b: int) -> bool:
         """Whether ``b`` can follow ``a``: their joined bytes encode to these two."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            left, right = self.tokens[a], self.tokens[b]
+            known = self.pairs[a << 32 | b] = self.merged(left + right) == [left, right]
         return known
 
-    def extend(self, last: list[bytes], data: bytes) -> list[bytes]:
+    def extend(self, last: list[int], data: bytes) -> list[int]:
         """Entries for all prefixes of ``data``; ``last`` holds those of its first prefixes already.
 
         ``last[i]`` is the last token of the first ``i + 1`` bytes, so appending is exact.
         """
-        ranks, longest = self.ranks, self.longest
+        get, whole, pairs, lengths = self.ranks.get, self.whole, self.pairs, self.lengths
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in ranks and self.alone(token) and (start == 0 or self.beside(last[start - 1], token)):
-                    last.append(token)
-                    break
+            for length in lengths[data[end - 1]]:
+                if length > end:
+                    continue
+                token = get(data[end - length : end])
+                if token is None:
+                    continue
+                if not (whole[token] if token in whole else self.alone(token)):
+                    continue
+                if length < end:
+                    before = last[end - length - 1]
+                    fits = pairs.get(before << 32 | token)
+                    if not (self.beside(before, token) if fits is None else fits):
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("no token ends this prefix: the vocabulary lacks a byte")
         return last
 
-    def edited(self, last: list[bytes], old: bytes, new: bytes) -> list[bytes]:
+    def edited(self, last: list[int], old: bytes, new: bytes) -> list[int]:
         """Entries of ``new``, keeping those before its first difference from ``old``."""
-        same = next((i for i, (a, b) in enumerate(zip(old, new, strict=False)) if a != b), min(len(old), len(new)))
-        return self.extend(last[:same], new)
+        return self.extend(last[: len(os.path.commonprefix((old, new)))], new)
 
-    @staticmethod
-    def walk(last: list[bytes]) -> list[bytes]:
-        """The encoding that the entries hold, as byte strings."""
-        out, end = [], len(last)
+    def walk(self, last: list[int]) -> list[int]:
+        """The encoding that the entries hold."""
+        out, end, tokens = [], len(last), self.tokens
         while end:
             out.append(last[end - 1])
-            end -= len(last[end - 1])
+            end -= len(tokens[last[end - 1]])
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        if data in self.ranks and self.alone(data):
-            return [self.ranks[data]]
-        return [self.ranks[t] for t in self.walk(self.extend([], data))]
+        token = self.ranks.get(data)
+        return [token] if token is not None and self.alone(token) else self.walk(self.extend([], data))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -154,7 +170,7 @@ class TextEncoder:
         for data in fresh:
             last = prefixes.edited(last, old, data)
             old = data
-            ids[data.decode()] = [prefixes.ranks[t] for t in prefixes.walk(last)]
+            ids[data.decode()] = prefixes.walk(last)
         for part, found in split.items():
             if len(found) == 1:
                 cache[part] = ids[part] if part in ids else cache[part]
