@@ -16,15 +16,19 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import os
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import carried, text_or_empty
-from tidewatch.llm.tokens import KEPT_CHARS, blocks, column_texts, entry_bytes
+from tidewatch.llm.tokens import RunCache, blocks, column_texts, gathered, parted, totals
 
 #: What a worker's caches hold at most: bytes of text chunks and their ids, and pairs of tokens. Longer chunks than ``KEPT_CHARS`` are never kept.
 CACHE_BYTES = 300_000_000
@@ -40,13 +44,16 @@ class PrefixEncoder:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.whole: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
-        # lengths of tokens that end with a byte, longest first: no other start can give one
-        ending: list[set[int]] = [set() for _ in range(256)]
-        for token in ranks:
-            ending[token[-1]].add(len(token))
-        self.lengths = [sorted(found, reverse=True) for found in ending]
+        self.sizes = {v: len(k) for k, v in ranks.items()}
+        self.pairs: dict[int, dict[int, bool]] = {}  # by the second token, then by the first
+        self.n_pairs = 0
+        # States stand for the longest end of the bytes read that begins a token. They and their steps are made when met.
+        self.begins = {token[:i] for token in ranks for i in range(len(token) + 1)}
+        self.states: dict[bytes, int] = {}
+        self.ends: list[bytes] = []
+        self.chains: list[list[tuple[int, int, dict[int, bool]]]] = []
+        self.steps: dict[int, int] = {}
+        self.state(b"")
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merging by rank, for short strings: it decides which tokens may stand together."""
@@ -66,47 +73,63 @@ class PrefixEncoder:
                 joined[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
-    def alone(self, token: int) -> bool:
-        """Whether a token is the encoding of its own bytes; some are never reached by merging."""
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = len(self.merged(self.tokens[token])) == 1
-        return known
+    def state(self, end: bytes) -> int:
+        """The state of an end of what was read, with the tokens it ends with, longest first, that are the encoding of
+        their own bytes; some are never reached by merging."""
+        found = self.states.get(end)
+        if found is None:
+            found = self.states[end] = len(self.ends)
+            self.ends.append(end)
+            tokens = [self.ranks.get(end[i:]) for i in range(len(end))]
+            alone = [t for t in tokens if t is not None and len(self.merged(self.tokens[t])) == 1]
+            self.chains.append([(self.sizes[t], t, self.pairs.setdefault(t, {})) for t in alone])
+        return found
+
+    def step(self, state: int, byte: int) -> int:
+        """The state behind one more byte."""
+        end = self.ends[state] + bytes((byte,))
+        while end not in self.begins:
+            end = end[1:]
+        if len(self.steps) >= CACHE_PAIRS:
+            self.steps.clear()
+        found = self.steps[state << 8 | byte] = self.state(end)
+        return found
 
     def beside(self, a: int, b: int) -> bool:
         """Whether ``b`` can follow ``a``: their joined bytes encode to these two."""
-        known = self.pairs.get(a << 32 | b)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            left, right = self.tokens[a], self.tokens[b]
-            known = self.pairs[a << 32 | b] = self.merged(left + right) == [left, right]
-        return known
+        if self.n_pairs >= CACHE_PAIRS:
+            for known in self.pairs.values():
+                known.clear()
+            self.n_pairs = 0
+        left, right = self.tokens[a], self.tokens[b]
+        fits = self.pairs[b][a] = self.merged(left + right) == [left, right]
+        self.n_pairs += 1
+        return fits
 
     def extend(self, last: list[int], data: bytes) -> list[int]:
         """Entries for all prefixes of ``data``; ``last`` holds those of its first prefixes already.
 
-        ``last[i]`` is the last token of the first ``i + 1`` bytes, so appending is exact.
+        ``last[i]`` is the last token of the first ``i + 1`` bytes, so appending is exact. No state reaches further
+        back than the longest token.
         """
-        get, whole, pairs, lengths = self.ranks.get, self.whole, self.pairs, self.lengths
-        for end in range(len(last) + 1, len(data) + 1):
-            for length in lengths[data[end - 1]]:
+        steps, chains, done, state = self.steps, self.chains, len(last), 0
+        for byte in data[max(0, done - self.longest) : done]:
+            to = steps.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+        for end in range(done, len(data)):
+            byte = data[end]
+            to = steps.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            for length, token, known in chains[state]:
                 if length > end:
-                    continue
-                token = get(data[end - length : end])
-                if token is None:
-                    continue
-                if not (whole[token] if token in whole else self.alone(token)):
-                    continue
-                if length < end:
-                    before = last[end - length - 1]
-                    fits = pairs.get(before << 32 | token)
-                    if not (self.beside(before, token) if fits is None else fits):
-                        continue
-                last.append(token)
-                break
+                    break
+                before = last[end - length]
+                fits = known.get(before)
+                if self.beside(before, token) if fits is None else fits:
+                    break
             else:
                 raise ValueError("no token ends this prefix: the vocabulary lacks a byte")
+            last.append(token)
         return last
 
     def edited(self, last: list[int], old: bytes, new: bytes) -> list[int]:
@@ -115,16 +138,13 @@ class PrefixEncoder:
 
     def walk(self, last: list[int]) -> list[int]:
         """The encoding that the entries hold."""
-        out, end, tokens = [], len(last), self.tokens
+        out, end, sizes = [], len(last), self.sizes
         while end:
-            out.append(last[end - 1])
-            end -= len(tokens[last[end - 1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
         return out[::-1]
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        token = self.ranks.get(data)
-        return [token] if token is not None and self.alone(token) else self.walk(self.extend([], data))
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -136,7 +156,7 @@ def prefix_encoder(path: str) -> PrefixEncoder:
         return PrefixEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
 
 
-class TextEncoder:
+class TextEncoder(RunCache):
     """Ids of whole texts: the pattern splits, prefixes encode, and frequent chunks are kept.
 
     Where no two white-space characters are neighbours, one of them always starts a match: a space
@@ -149,62 +169,59 @@ class TextEncoder:
 
         import regex
 
+        super().__init__(CACHE_BYTES)
         self.prefixes = prefix_encoder(path)
         self.pattern = regex.compile(pattern.replace(r"\s\p", rf"{WHITE}\p").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.chunks = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]")
         self.double = re.compile(rf"[{WHITE}][{WHITE}]")
-        self.cache: dict[str, list[int]] = {}
-        self.held = 0  # bytes of the cache
+        said = [f"{i},".encode() if i in self.prefixes.tokens else b"" for i in range(max(self.prefixes.tokens) + 1)]
+        self.decimals = runs_of(said)
+        self.bytes = runs_of([self.prefixes.tokens.get(i, b"") for i in range(len(said))])
 
     def pieces(self, text: str) -> list[str]:
         return self.chunks.findall(text) if self.double.search(text) is None else self.pattern.findall(text)
 
-    def _learn(self, missing: set[str]) -> None:
+    def learn(self, missing: list[str]) -> None:
         """Encode chunks; in sorted order a match goes on from the entries of its common prefix with the last."""
-        cache, prefixes = self.cache, self.prefixes
-        split = {part: self.pattern.findall(part) for part in missing}
-        fresh = sorted({m.encode() for found in split.values() for m in found if m not in cache})
-        ids: dict[str, list[int]] = {}
-        last: list[bytes] = []
+        prefixes = self.prefixes
+        split = list(map(self.pattern.findall, missing))
+        fresh = sorted({m.encode() for found in split for m in found if m not in self.cache})
+        ids, sizes = array("I"), []
+        last: list[int] = []
         old = b""
         for data in fresh:
             last = prefixes.edited(last, old, data)
             old = data
-            ids[data.decode()] = prefixes.walk(last)
-        for part, found in split.items():
-            if len(found) == 1:
-                cache[part] = ids[part] if part in ids else cache[part]
-            else:
-                cache[part] = [i for m in found for i in (ids[m] if m in ids else cache[m])]
-        short = {k: v for k, v in ids.items() if len(k) <= KEPT_CHARS and k not in cache}
-        cache.update(short)
-        self.held += entry_bytes(short, 8 * sum(map(len, short.values())))
+            found = prefixes.walk(last)
+            ids.extend(found)
+            sizes.append(len(found))
+        self.add([m.decode() for m in fresh], np.frombuffer(ids, np.uint32), np.array(sizes, np.int64))
+        several = [i for i, found in enumerate(split) if len(found) > 1]
+        found, sizes = gathered(self.flat, self.starts, self.runs([m for i in several for m in split[i]]))
+        self.add([missing[i] for i in several], found, totals(sizes, np.array([len(split[i]) for i in several], np.int64)))
+
+    def text_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind one another, and the number of each text's."""
+        split = [self.pieces(text) for text in texts]
+        ids, sizes = self.chunk_ids(pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()))
+        return ids, totals(sizes, np.fromiter(map(len, split), np.int64, len(split)))
 
-    def encode(self, texts: list[str]):
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text, in order."""
-        cache = self.cache
-        split = [self.pieces(text) for text in texts]
-        need: set[str] = set()
-        for parts in split:
-            need.update(parts)
-        missing = need.difference(cache)
-        if self.held > CACHE_BYTES:
-            cache.clear()
-            self.held = 0
-            missing = need
-        self._learn(missing)
-        try:
-            for parts in split:
-                ids: list[int] = []
-                add = ids.extend
-                for found in map(cache.__getitem__, parts):
-                    add(found)
-                yield ids
-        finally:
-            for long in [c for c in missing if len(c) > KEPT_CHARS]:
-                missing.discard(long)
-                cache.pop(long, None)
-            self.held += entry_bytes(missing, sum(8 * len(cache[c]) for c in missing if c in cache))
+        ids, sizes = self.text_ids(texts)
+        return (part.tolist() for part in parted(ids, sizes))
+
+    def digests(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[str], list[str]]:
+        """For each text the digests of its ids, as decimals joined by commas, and of the bytes that they decode to."""
+        out = []
+        for table, behind in ((self.decimals, 1), (self.bytes, 0)):
+            data, lengths = gathered(*table, ids)
+            out.append([hashlib.sha256(part[: max(0, len(part) - behind)]).hexdigest() for part in parted(data, totals(lengths, sizes))])
+        return out[0], out[1]
+
+
+def runs_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(strings), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in strings])))
 
 
 @functools.lru_cache(maxsize=2)
@@ -224,15 +241,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...
 
     def both(batches):
         encoder = text_encoder(path, pattern)
-        decode = encoder.prefixes.decode
-        decimal = [str(i) for i in range(max(encoder.prefixes.tokens) + 1)]
         for batch in batches:
-            rows: list[tuple] = []
+            columns: list[list] = [[] for _ in extra]
             for block in blocks(column_texts(batch, "__text")):
-                for ids in encoder.encode(block):
-                    said = ",".join(map(decimal.__getitem__, ids))
-                    rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decode(ids)).hexdigest(), *([ids] if with_ids else [])))
-            columns = zip(*rows, strict=True) if rows else [[] for _ in extra]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)]], names=names)
+                ids, sizes = encoder.text_ids(block)
+                found = [sizes.tolist(), *encoder.digests(ids, sizes)]
+                if with_ids:
+                    found.append(parted(ids, sizes))
+                for column, values in zip(columns, found, strict=True):
+                    column += values
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=names)
 
     return source.mapInArrow(both, T.StructType([source.schema[k] for k in keep] + extra))

@@ -30,7 +30,7 @@ TAIL_SIGNS = ".,;:!?#*%&$"
 
 
 def entry_bytes(keys: Iterable[str], value_bytes: int) -> int:
-    """What new cache entries take, estimated from above: two objects and a slot each, four bytes a character, and the values."""
+    """What new cache entries take, estimated from above: objects, slots and places, four bytes a character, and the values."""
     sizes = [len(k) for k in keys]
     return 200 * len(sizes) + 4 * sum(sizes) + value_bytes
 
@@ -60,6 +60,93 @@ def blocks(texts: Iterable[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]
         yield block
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[starts[r] : starts[r + 1]]`` of all ``rows`` behind one another, and their sizes."""
+    first = starts[rows]
+    sizes = starts[rows + 1] - first
+    ends = np.cumsum(sizes)
+    at = np.repeat(first - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return flat[at], sizes
+
+
+def totals(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of ``counts`` sizes."""
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    ends = np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]
+
+
+def parted(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Consecutive parts of these sizes."""
+    ends = np.cumsum(sizes)
+    return [ids[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class RunCache:
+    """Ids of chunks as runs of one flat array; ``cache`` maps a chunk to its run, and holds at most ``limit`` bytes between blocks.
+
+    A block's chunks are numbered by Arrow, so that each different one is looked up once. What is not there
+    is left to :meth:`learn`, which puts at least these chunks into the cache by :meth:`add`.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.held = 0  # bytes of the cache
+        self.flat = np.empty(1 << 12, np.uint32)
+        self.starts = np.zeros(1 << 10, np.int64)
+        self.fresh: list[str] = []  # chunks added by this block
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put chunks that are not there yet, with their ids behind one another."""
+        n, used = len(self.cache), int(self.starts[len(self.cache)])
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[:used], np.empty(used + 2 * len(ids), np.uint32)))
+        if n + len(keys) >= len(self.starts):
+            self.starts = np.concatenate((self.starts[: n + 1], np.zeros(n + 2 * len(keys), np.int64)))
+        self.flat[used : used + len(ids)] = ids
+        np.cumsum(sizes, out=self.starts[n + 1 : n + 1 + len(keys)])
+        self.starts[n + 1 : n + 1 + len(keys)] += used
+        self.cache.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.fresh += keys
+
+    def runs(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.cache.__getitem__, keys), np.int64, len(keys))
+
+    def learn(self, missing: list[str]) -> None:
+        raise NotImplementedError
+
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks behind one another, and the number of each chunk's."""
+        coded = chunks.dictionary_encode()
+        different = listed(coded.dictionary)
+        if self.held > self.limit:
+            self.clear()
+        n, used = len(self.cache), int(self.starts[len(self.cache)])
+        self.fresh = []
+        try:
+            self.learn([c for c in different if c not in self.cache])
+            return gathered(self.flat, self.starts, self.runs(different)[coded.indices.to_numpy()])
+        finally:
+            kept = [c for c in self.fresh if len(c) <= KEPT_CHARS]
+            if len(kept) < len(self.fresh):
+                ids, sizes = gathered(self.flat, self.starts, self.runs(kept))
+                for chunk in self.fresh:
+                    del self.cache[chunk]
+                self.flat = self.flat[:used].copy()
+                self.starts = self.starts[: n + 1].copy()
+                self.add(kept, ids, sizes)
+            self.held += entry_bytes(kept, 8 * (int(self.starts[len(self.cache)]) - used))
+
+
 class ChunkEncoder:
     """Little-endian 32-bit ids of texts."""
 
