@@ -1,4 +1,4 @@
-"""Encoder of op 9: what is known is not worked out again, and ids stay those of the library."""
+"""Encoders of ops 2, 3 and 9: what is known is not worked out again, and ids stay those of the libraries."""
 
 import hashlib
 import random
@@ -9,6 +9,7 @@ import pytest
 
 from tidewatch.llm import byte_bpe, tokens
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SIGNS = [*"abcABCzéÉß'.,;!#0129 \n\t\r\x85  ̧漢가‍🙂", " ", "'s", "<|", "the", " Word", "tion", "$$$"]
 
@@ -56,3 +57,29 @@ def test_byte_ids_and_digests(monkeypatch, pairs):
         assert len(encoder.prefixes.steps) <= pairs and encoder.prefixes.n_pairs <= pairs
         assert all(len(k) <= tokens.KEPT_CHARS for k in encoder.cache)
     assert list(encoder.encode([])) == []
+
+
+def test_known_letters_are_not_encoded_again(monkeypatch):
+    encoder = tokens.ChunkEncoder(WORDS)
+    library = tokens.tokenizer(WORDS)
+    list(encoder.encode(["reading élan, now; reading"]))
+    asked = []
+    own = encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda words: asked.extend(words) or own(words))
+    text = "Reading, NOW! élan reading### now now."
+    assert np.frombuffer(next(encoder.encode([text])), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == []
+
+
+def test_word_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)  # starts again many times
+    encoder = tokens.ChunkEncoder(WORDS)
+    library = tokens.tokenizer(WORDS)
+    for seed in range(6):
+        texts = mixed(150, seed)
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert all(len(k) <= tokens.KEPT_CHARS for k in encoder.cache)
+        runs = encoder.runs(list(encoder.cache))
+        assert sorted(runs.tolist()) == list(range(len(encoder.cache)))
+    assert list(encoder.encode([])) == []

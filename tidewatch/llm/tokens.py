@@ -12,16 +12,17 @@ library whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that a worker's cache holds at most (by :func:`entry_bytes`), the longest chunk it keeps, and characters of text taken at a time.
-CACHE_BYTES = 160_000_000
+CACHE_BYTES = 240_000_000
 KEPT_CHARS = 64
 BLOCK_CHARS = 2_000_000
 
@@ -147,79 +148,76 @@ class RunCache:
             self.held += entry_bytes(kept, 8 * (int(self.starts[len(self.cache)]) - used))
 
 
-class ChunkEncoder:
-    """Little-endian 32-bit ids of texts."""
+class ChunkEncoder(RunCache):
+    """32-bit ids of texts."""
 
     def __init__(self, path: str):
+        super().__init__(CACHE_BYTES)
         self.tok = tokenizer(path)
-        self.cache: dict[str, bytes] = {}
-        self.held = 0  # bytes of the cache
         ends = [t.endswith("</w>") for t, _ in sorted(self.tok.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends, dtype=bool)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for i in range(0, len(texts), 8192) for e in self.tok.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters only: each is one split, whose last id alone ends a word."""
-        out: list[bytes] = []
+        found = [(np.empty(0, np.uint32), np.empty(0, np.int64))]
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            data = ids.tobytes()
-            if len(stops) == len(part):
-                out += [data[u:v] for u, v in zip([0, *stops], stops, strict=False)]
-            else:
-                out += self._library(part)
-        return out
+            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            found.append((ids, sizes) if len(sizes) == len(part) else self._library(part))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
-    def _learn(self, missing: set[str]) -> None:
+    def learn(self, missing: list[str]) -> None:
         """Put chunks into the cache: letters with other signs behind from their two parts, others whole.
 
         The splitter ends a run of letters at any other sign but an apostrophe, so the ids of the two parts are those of
-        the whole. Flat lists of texts are kept, no tuples, which leaves the cycle collector nothing to walk.
+        the whole. The letters themselves are kept too: they come with other signs or capitals.
         """
-        chunks, cores, ends, other = [], [], [], []
+        chunks, parts, other = [], [], []
         for chunk in missing:
             core = chunk.rstrip(TAIL_SIGNS)
             if core.isalpha() and (core.isascii() or (len(core.lower()) == len(core) and unicodedata.is_normalized("NFC", core))):
                 chunks.append(chunk)
-                cores.append(core.lower() if core.isascii() else core)  # the normaliser lowers letters itself
-                ends.append(chunk[len(core) :])
+                parts.append(core.lower() if core.isascii() else core)  # the normaliser lowers letters itself
+                parts.append(chunk[len(core) :])
             else:
                 other.append(chunk)
-        words = list(set(cores))
-        ids = dict(zip(words, self._words(words), strict=True))
-        tails = list(set(ends))
-        tail = dict(zip(tails, self._library(tails), strict=True))
-        self.cache.update(zip(chunks, map(bytes.__add__, map(ids.__getitem__, cores), map(tail.__getitem__, ends)), strict=True))
-        for i in range(0, len(other), 8192):
-            part = other[i : i + 8192]
-            self.cache.update(zip(part, self._library(part), strict=True))
+        words = [w for w in set(parts[::2]) if w not in self.cache]
+        self.add(words, *self._words(words))
+        tails = [t for t in set(parts[1::2]) if t not in self.cache]
+        other = [c for c in set(other).difference(tails)]
+        whole = tails + other
+        self.add(whole, *self._library(whole))
+        new = [i for i, c in enumerate(chunks) if c not in self.cache]
+        runs = self.runs(parts).reshape(-1, 2)[new].ravel()
+        ids, sizes = gathered(self.flat, self.starts, runs)
+        self.add([chunks[i] for i in new], ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    def text_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind one another, whole texts, and the number of each text's."""
+        special = [i for i, t in enumerate(texts) if "<|" in t]
+        plain = [t.replace("\n", " ").replace("\t", " ") for t in texts]
+        for i in special:
+            plain[i] = ""
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        ids, sizes = self.chunk_ids(lists.flatten())
+        sizes = totals(sizes, lists.value_lengths().to_numpy())
+        if special:
+            cuts = parted(ids, sizes)
+            for i in special:
+                cuts[i], _ = self._library([texts[i]])
+                sizes[i] = len(cuts[i])
+            ids = np.concatenate(cuts)
+        return ids, sizes
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as bytes, whole texts, in order."""
-        lists = [None if "<|" in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        need: set[str] = set()
-        for chunks in lists:
-            if chunks:
-                need.update(chunks)
-        missing = need.difference(self.cache)
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-            missing = need
-        self._learn(missing)
-        get = self.cache.__getitem__
-        try:
-            for text, chunks in zip(texts, lists, strict=True):
-                yield self._library([text])[0] if chunks is None else b"".join(map(get, chunks))
-        finally:
-            for long in [c for c in missing if len(c) > KEPT_CHARS]:
-                missing.discard(long)
-                self.cache.pop(long, None)
-            self.held += entry_bytes(missing, sum(len(self.cache[c]) for c in missing if c in self.cache))
+        """The ids of each text as little-endian bytes, in order."""
+        ids, sizes = self.text_ids(texts)
+        return (part.tobytes() for part in parted(ids.astype("<u4", copy=False), sizes))
 
 
 @functools.lru_cache(maxsize=2)
