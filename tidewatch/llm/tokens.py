@@ -134,8 +134,12 @@ class RunCache:
         n, used = len(self.cache), int(self.starts[len(self.cache)])
         self.fresh = []
         try:
-            self.learn([c for c in different if c not in self.cache])
-            return gathered(self.flat, self.starts, self.runs(different)[coded.indices.to_numpy()])
+            runs = np.fromiter(map(self.cache.get, different, itertools.repeat(-1)), np.int64, len(different))
+            unknown = np.flatnonzero(runs < 0)
+            missing = list(map(different.__getitem__, unknown.tolist()))
+            self.learn(missing)
+            runs[unknown] = self.runs(missing)
+            return gathered(self.flat, self.starts, runs[coded.indices.to_numpy()])
         finally:
             kept = [c for c in self.fresh if len(c) <= KEPT_CHARS]
             if len(kept) < len(self.fresh):
@@ -177,25 +181,26 @@ class ChunkEncoder(RunCache):
         The splitter ends a run of letters at any other sign but an apostrophe, so the ids of the two parts are those of
         the whole. The letters themselves are kept too: they come with other signs or capitals.
         """
-        chunks, parts, other = [], [], []
+        chunks, cores, tails, words, other = [], [], [], [], []
         for chunk in missing:
             core = chunk.rstrip(TAIL_SIGNS)
             if core.isalpha() and (core.isascii() or (len(core.lower()) == len(core) and unicodedata.is_normalized("NFC", core))):
-                chunks.append(chunk)
-                parts.append(core.lower() if core.isascii() else core)  # the normaliser lowers letters itself
-                parts.append(chunk[len(core) :])
+                word = core.lower() if core.isascii() else core  # the normaliser lowers letters itself
+                words.append(word)
+                if word != chunk:
+                    chunks.append(chunk)
+                    cores.append(word)
+                    tails.append(chunk[len(core) :])
             else:
                 other.append(chunk)
-        words = [w for w in set(parts[::2]) if w not in self.cache]
+        words = [w for w in set(words) if w not in self.cache]
         self.add(words, *self._words(words))
-        tails = [t for t in set(parts[1::2]) if t not in self.cache]
-        other = [c for c in set(other).difference(tails)]
-        whole = tails + other
+        whole = [t for t in set(tails) if t not in self.cache]
+        whole += set(other).difference(whole)
         self.add(whole, *self._library(whole))
-        new = [i for i, c in enumerate(chunks) if c not in self.cache]
-        runs = self.runs(parts).reshape(-1, 2)[new].ravel()
-        ids, sizes = gathered(self.flat, self.starts, runs)
-        self.add([chunks[i] for i in new], ids, sizes.reshape(-1, 2).sum(axis=1))
+        parts = np.stack((self.runs(cores), self.runs(tails)), axis=1)
+        ids, sizes = gathered(self.flat, self.starts, parts.ravel())
+        self.add(chunks, ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def text_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind one another, whole texts, and the number of each text's."""
